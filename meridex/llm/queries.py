@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, packing, quality, suffixes
+from . import decontam, media, ngrams, packing, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
+    "op5_ngrams": ngrams.op5_ngrams,
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_packing": packing.op9_packing,
     "op10_decontam": decontam.op10_decontam,
