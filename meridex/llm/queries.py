@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, ngrams, packing, quality, suffixes
+from . import decontam, lines, lm, media, ngrams, packing, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
     "op5_ngrams": ngrams.op5_ngrams,
+    "op6_lines": lines.op6_lines,
+    "op7_lm": lm.op7_lm,
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_packing": packing.op9_packing,
     "op10_decontam": decontam.op10_decontam,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_lines": lines.OP6_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def key_ranges(docs: DataFrame, total: int, block_bytes: int) -> np.ndarray:
+    """Cuts of the integer column `key` into ranges of about `block_bytes` of `total` bytes of text each.
+
+    One number for each block of text; block k holds keys above cut k - 1 and up to cut k, null keys are in the first.
+    """
+    number = max(1, -(-total // block_bytes))
+    cuts = docs.select("key").approxQuantile("key", [k / number for k in range(1, number)], 0.1 / number) if number > 1 else []
+    return np.array(sorted(set(cuts)), np.float64)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches.
 
