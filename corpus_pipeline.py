@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridex.llm import decontam, packing, quality
+from meridex.llm import decontam, lines, ngrams, packing, quality
+from meridex.llm.shared import shared_folder
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +16,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality_classifier", quality.keep_good),
+    ("line_dedup", lines.drop_lines),
+    ("ngram_jaccard_join", ngrams.one_of_each),
     ("benchmark_decontamination", decontam.drop_contaminated),
     ("packing", pack_documents),
 ]
@@ -25,8 +28,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage returns is written in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    at = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, lm, media, ngrams, packing, quality, suffixes
+from . import decontam, lines, lm, media, ngrams, packing, pii, quality, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
+    "op3_pii": pii.op3_pii,
+    "op4_urls": urls.op4_urls,
     "op5_ngrams": ngrams.op5_ngrams,
     "op6_lines": lines.op6_lines,
     "op7_lm": lm.op7_lm,
@@ -18,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
     "op10_decontam": decontam.op10_decontam,
 }
-ORACLE_SQL: dict[str, str] = {"op6_lines": lines.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_urls": urls.OP4_SQL, "op6_lines": lines.OP6_SQL}
