@@ -1,3 +1,8 @@
-"""Queries by name; filled by the modules of meridex.plans."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""All queries by name, with their SQL."""
+
+from __future__ import annotations
+
+from .plans import events, metrics_plans, records, rules_plans, spatial_plans  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
