@@ -67,10 +67,10 @@ def top_factors(names: list[str], k: int) -> dict[str, Column]:
     """Arrays of the k largest positive and most negative contributions of a row, as (name, value)."""
     pairs = F.array(*[F.struct(F.col(n).alias("value"), F.lit(n).alias("name")) for n in names])
     # ascending by value: the end holds the largest
-    ordered = F.array_sort(F.filter(pairs, lambda x: x.value.isNotNull()))
-    up = F.slice(F.reverse(F.filter(ordered, lambda x: x.value > 0)), 1, k)
-    down = F.slice(F.filter(ordered, lambda x: x.value < 0), 1, k)
-    return {"raising": F.transform(up, lambda x: x.name), "lowering": F.transform(down, lambda x: x.name)}
+    ordered = F.array_sort(F.filter(pairs, lambda x: x["value"].isNotNull()))
+    up = F.slice(F.reverse(F.filter(ordered, lambda x: x["value"] > 0)), 1, k)
+    down = F.slice(F.filter(ordered, lambda x: x["value"] < 0), 1, k)
+    return {"raising": F.transform(up, lambda x: x["name"]), "lowering": F.transform(down, lambda x: x["name"])}
 
 
 def content_hash(columns: list[str]) -> Column:
