@@ -1 +1,207 @@
-"""To come."""
+"""Queries on intervals, context, rules and plans. Intervals are orders; scored entities are customers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hours import hour_index
+from ..operators import context as X
+from ..operators import models as MO
+from ..operators import rules as R
+from .registry import query, table
+
+I = """i AS (SELECT o_orderkey AS id, o_custkey AS seg, epoch_us(o_orderdate) // 86400000000 AS s, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE epoch_us(o_orderdate) // 86400000000 + floor(o_totalprice / 50000)::BIGINT END AS e, o_orderkey % 14 = 0 AS open_end, CASE o_orderstatus WHEN 'F' THEN 'full' WHEN 'O' THEN 'partial' ELSE 'other' END AS kind, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 500)::DOUBLE END AS d, o_totalprice AS w FROM orders)"""
+DAY = 10400
+HIT = f"CASE WHEN e IS NOT NULL THEN s < {DAY} + 30 AND e >= {DAY} WHEN open_end THEN s < {DAY} + 30 ELSE s >= {DAY} AND s < {DAY} + 30 END"
+
+
+def intervals(spark, sf):
+    o = table(spark, sf, "orders")
+    s = F.floor(hour_index("o_orderdate") / 24).cast("long")
+    kind = F.when(F.col("o_orderstatus") == "F", "full").when(F.col("o_orderstatus") == "O", "partial").otherwise("other")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("seg"), s.alias("s"), F.when(F.col("o_orderkey") % 7 != 0, s + F.floor(F.col("o_totalprice") / 50000)).alias("e"),
+        (F.col("o_orderkey") % 14 == 0).alias("open_end"), kind.alias("kind"), F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") % 500).cast("double")).alias("d"), F.col("o_totalprice").alias("w"),
+    )
+
+
+def hits(spark, sf):
+    return intervals(spark, sf).where(X.overlaps(F.col("s"), F.col("e"), F.lit(DAY), F.lit(DAY + 30), F.col("open_end")))
+
+
+@query(f"WITH {I} SELECT id, {HIT} AS hit FROM i")
+def interval_overlap(spark, sf):
+    return intervals(spark, sf).select("id", X.overlaps(F.col("s"), F.col("e"), F.lit(DAY), F.lit(DAY + 30), F.col("open_end")).alias("hit"))
+
+
+@query(f"WITH {I} SELECT i.id, c_mktsegment FROM i JOIN customer ON c_custkey = seg WHERE {HIT}")
+def overlap_join(spark, sf):
+    return hits(spark, sf).join(table(spark, sf, "customer"), F.col("seg") == F.col("c_custkey")).select("id", "c_mktsegment")
+
+
+@query(f"""WITH {I}, h AS (SELECT * FROM i WHERE {HIT}) SELECT seg, count(*) AS records, count(*) FILTER (kind = 'full') AS full, count(*) FILTER (kind = 'partial') AS partial, round(sum(w), 2) AS weight_sum, max(w) AS weight_max, min(d) AS nearest, count(*) FILTER (open_end) AS open_ends,
+ min(s - {DAY}) FILTER (s >= {DAY}) AS next_start, min_by(id, (coalesce(d, 'inf'::DOUBLE), id)) AS primary FROM h GROUP BY 1""")
+def interval_features_a(spark, sf):
+    h = hits(spark, sf).withColumn("starts_in", F.col("s") - DAY)
+    return X.interval_features(h, "seg", F.col("kind"), F.col("d"), F.col("w"), "id").withColumn("weight_sum", F.round("weight_sum", 2))
+
+
+@query(f"WITH {I}, h AS (SELECT * FROM i WHERE {HIT}) SELECT seg, count(*) FILTER (d <= 100) AS within_100, count(*) FILTER (d <= 250) AS within_250, round(sum(w), 2) AS intensity_sum, max(w) AS intensity_max, min(d) AS nearest FROM h GROUP BY 1")
+def interval_features_b(spark, sf):
+    got = X.radius_features(hits(spark, sf), "seg", F.col("d"), F.col("w"), [100, 250])
+    return got.withColumns({"within_100": F.coalesce("within_100", F.lit(0)), "within_250": F.coalesce("within_250", F.lit(0)), "intensity_sum": F.round("intensity_sum", 2)})
+
+
+@query(f"WITH {I} SELECT count(DISTINCT seg) AS covered, round(count(*) / count(DISTINCT id), 6) AS per_record, min(d) AS lo, round(avg(d), 6) AS mean, max(d) AS hi FROM i")
+def match_metrics(spark, sf):
+    return intervals(spark, sf).agg(F.count_distinct("seg").alias("covered"), F.round(F.count("*") / F.count_distinct("id"), 6).alias("per_record"), F.min("d").alias("lo"), F.round(F.avg("d"), 6).alias("mean"), F.max("d").alias("hi"))
+
+
+@query(f"WITH {I} SELECT seg, id FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY s DESC, id DESC) AS r FROM i WHERE d IS NOT NULL AND seg IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) WHERE r = 1")
+def valid_matches(spark, sf):
+    from ..operators.records import dedupe_first
+
+    known = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("seg"))
+    return dedupe_first(intervals(spark, sf).where("d is not null").join(known, "seg", "left_semi"), ["seg"], [F.desc("s"), F.desc("id")]).select("seg", "id")
+
+
+@query(f"WITH {I} SELECT id, s + id % 5 AS known_from, id % 5 > 0 AS early FROM i WHERE s + id % 5 <= {DAY}")
+def as_known_at(spark, sf):
+    r = intervals(spark, sf).withColumn("known_from", F.col("s") + F.col("id") % 5)
+    return X.known_at(r, "known_from", "s", F.lit(DAY)).select("id", "known_from", "early")
+
+
+@query(f"WITH {I} SELECT id, list_filter([CASE WHEN d IS NULL THEN 'no_match' END, CASE WHEN e IS NULL AND NOT open_end THEN 'no_end' END, CASE WHEN kind = 'other' THEN 'irrelevant' END], lambda x: x IS NOT NULL) AS reasons, d IS NOT NULL AND NOT (e IS NULL AND NOT open_end) AND kind <> 'other' AS eligible FROM i")
+def eligibility_reasons(spark, sf):
+    why = X.reasons({"no_match": F.col("d").isNull(), "no_end": F.col("e").isNull() & ~F.col("open_end"), "irrelevant": F.col("kind") == "other"})
+    return intervals(spark, sf).select("id", why.alias("reasons"), (F.size(why) == 0).alias("eligible"))
+
+
+@query("""WITH n AS (SELECT max(epoch_us(ts)) // 1000000 AS now FROM events), t AS (SELECT unnest(['click', 'error', 'purchase', 'none']) AS provider, unnest([600, 1800, 60, 60]) AS ttl_seconds), l AS (SELECT event_type AS provider, max(epoch_us(ts) // 1000000) AS c FROM events GROUP BY 1)
+ SELECT provider, now - c AS age_seconds, coalesce(now - c <= ttl_seconds, false) AS fresh, CASE WHEN c IS NULL THEN 'missing' WHEN now - c > ttl_seconds THEN 'stale' END AS warning, NOT coalesce(now - c <= ttl_seconds, false) AS degraded FROM t LEFT JOIN l USING (provider) CROSS JOIN n""")
+def ttl_freshness(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("provider"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("collected_at"))
+    now = e.agg(F.max("collected_at")).first()[0]
+    ttl = spark.createDataFrame([("click", 600), ("error", 1800), ("purchase", 60), ("none", 60)], "provider string, ttl_seconds int")
+    return X.ttl_freshness(e, ttl, F.lit(now))
+
+
+W = "w AS (SELECT event_type, epoch_us(ts) // 3600000000 AS hour, avg(value) AS v FROM events GROUP BY 1, 2)"
+
+
+def hourly(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type", hour_index("ts").alias("hour")).agg(F.avg("value").alias("v"))
+
+
+@query(f"WITH {W} SELECT event_type, round(avg(v), 6) AS mean, round(min(v), 6) AS lo, round(max(v), 6) AS hi, round(stddev_pop(v), 6) AS std, round(max(v) - min(v), 6) AS span, count(v) AS points, count(*) FILTER (v >= 20) * 3 AS strong_hours, count(*) FILTER (v >= 40) * 3 AS severe_hours FROM w GROUP BY 1")
+def forecast_summary(spark, sf):
+    got = X.forecast_summary(hourly(spark, sf), "event_type", "v", {"strong_hours": 20, "severe_hours": 40}, 3)
+    return got.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "std", "span")], "points", "strong_hours", "severe_hours")
+
+
+@query(f"WITH {W}, s AS (SELECT *, round(least(v / 60, 1) * 0.7 + least(hour % 24 / 23.0, 1) * 0.3, 9) AS sev FROM w) SELECT event_type, round(max(sev), 6)::DOUBLE AS severity, arg_max(hour, (sev, -hour)) AS hour, count(*) AS points FROM s GROUP BY 1")
+def worst_period(spark, sf):
+    h = hourly(spark, sf).withColumn("late", (F.col("hour") % 24).cast("double"))
+    return X.worst_point(h, "event_type", "hour", {"v": ("v", 60.0, 0.7), "late": ("late", 23.0, 0.3)}).select("event_type", F.round("severity", 6).alias("severity"), "hour", "points")
+
+
+@query(f"WITH {W}, l AS (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY hour) AS b FROM w) SELECT event_type, count(*) FILTER (b <> v) AS changes, bool_or(coalesce(b - v >= 30, false)) AS rapid_drop FROM l GROUP BY 1")
+def consecutive_changes(spark, sf):
+    return X.consecutive_changes(hourly(spark, sf), "event_type", "hour", "v", 30)
+
+
+@query("SELECT p_partkey, round(least(greatest(p_size / 10.0, 0), 1), 6)::DOUBLE AS severity, p_size > 10 AS out_of_range FROM part")
+def normalise_severity(spark, sf):
+    return X.normalise_severity(table(spark, sf, "part"), "p_size").select("p_partkey", F.round("severity", 6).alias("severity"), "out_of_range")
+
+
+H = f"c AS (SELECT o_custkey AS seg, epoch_us(o_orderdate) // 86400000000 AS day, count(*) AS n FROM orders GROUP BY 1, 2), h AS (SELECT k.c_custkey AS seg, coalesce(sum(n), 0)::BIGINT AS all_time, coalesce(sum(n) FILTER (day >= {DAY} - 30), 0)::BIGINT AS d30, coalesce(sum(n) FILTER (day >= {DAY} - 365), 0)::BIGINT AS d365 FROM customer k LEFT JOIN c ON c.seg = k.c_custkey AND day < {DAY} GROUP BY 1)"
+
+
+def hot(spark, sf):
+    c = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("seg"), F.floor(hour_index("o_orderdate") / 24).cast("long").alias("day")).agg(F.count("*").alias("n"))
+    return X.hotspots(table(spark, sf, "customer").select(F.col("c_custkey").alias("seg")), c, "seg", "day", DAY, {"all_time": None, "d30": 30, "d365": 365})
+
+
+@query(f"WITH {H} SELECT * FROM h")
+def hotspots(spark, sf):
+    return hot(spark, sf)
+
+
+@query("SELECT event_type, count(*) AS runs, round(avg((value >= 5)::INT), 6) AS availability, max(epoch_us(ts)) AS last, count(*) FILTER (value < 5) AS warnings, bool_or(value < 5) AS any_degraded FROM events GROUP BY 1")
+def provider_coverage(spark, sf):
+    return X.provider_coverage(table(spark, sf, "events"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")), F.col("value") >= 5)
+
+
+RISK = f"""{H}, r AS (SELECT seg, round((rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2) / count(*) OVER (), 6) AS pct, round((rank() OVER (ORDER BY all_time) + (count(*) OVER (PARTITION BY all_time) - 1) / 2) / count(*) OVER (), 6) AS hot,
+ CASE WHEN seg % 13 = 0 THEN NULL ELSE (seg % 100) / 100.0 END AS weather, (seg % 37) / 37.0 AS traffic, seg % 17 = 0 AS rep, seg % 19 = 0 AS ev, c_nationkey FROM h JOIN customer ON c_custkey = seg),
+ f AS (SELECT *, list_filter([CASE WHEN weather >= 0.60 THEN 'severe_weather' END, CASE WHEN traffic >= 0.70 THEN 'heavy_traffic' END, CASE WHEN rep THEN 'active_repair' END, CASE WHEN ev THEN 'active_event' END], lambda x: x IS NOT NULL) AS flags, weather IS NULL AS degraded FROM r),
+ c2 AS (SELECT *, list_filter([CASE WHEN pct >= 0.99 THEN 'DYNAMIC_TOP_1PCT' END, CASE WHEN pct >= 0.95 AND pct < 0.99 THEN 'DYNAMIC_TOP_5PCT' END, CASE WHEN hot >= 0.95 THEN 'HISTORICAL_HOTSPOT' END,
+ CASE WHEN list_contains(flags, 'severe_weather') THEN 'SEVERE_WEATHER' END, CASE WHEN list_contains(flags, 'heavy_traffic') THEN 'HEAVY_TRAFFIC' END, CASE WHEN rep THEN 'ACTIVE_REPAIR' END, CASE WHEN ev THEN 'ACTIVE_EVENT' END,
+ CASE WHEN abs(pct - hot) >= 0.5 THEN 'MODEL_DISAGREEMENT' END, CASE WHEN (pct >= 0.95)::INT + (hot >= 0.95)::INT + len(flags) >= 3 THEN 'MULTI_SIGNAL_AGREEMENT' END, CASE WHEN degraded THEN 'DATA_DEGRADED' END], lambda x: x IS NOT NULL) AS codes FROM f),
+ o AS (SELECT *, CASE WHEN pct >= 0.99 AND list_contains(codes, 'MULTI_SIGNAL_AGREEMENT') THEN 'critical' WHEN pct >= 0.99 OR (pct >= 0.95 AND list_contains(codes, 'MULTI_SIGNAL_AGREEMENT')) THEN 'high' WHEN pct >= 0.95 OR hot >= 0.95 THEN 'elevated' WHEN pct >= 0.80 OR (len(codes) >= 2 AND NOT degraded) THEN 'watch' ELSE 'monitor_only' END AS priority,
+ CASE WHEN degraded THEN 'high' WHEN list_contains(codes, 'MODEL_DISAGREEMENT') THEN 'medium' ELSE 'low' END AS uncertainty FROM c2)"""
+
+
+def risk(spark, sf):
+    from ..operators.metrics import rank_pct_average
+
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "seg").join(hot(spark, sf), "seg")
+    r = c.select("seg", F.round(rank_pct_average("c_acctbal", []), 6).alias("pct"), F.round(rank_pct_average("all_time", []), 6).alias("hot"), "c_nationkey", F.when(F.col("seg") % 13 != 0, (F.col("seg") % 100) / 100.0).alias("weather"), ((F.col("seg") % 37) / 37.0).alias("traffic"), (F.col("seg") % 17 == 0).cast("int").alias("rep"), (F.col("seg") % 19 == 0).cast("int").alias("ev"))
+    r = r.withColumns(R.context_flags(F.col("weather"), F.col("traffic"), F.col("rep"), F.col("ev")))
+    r = r.withColumn("codes", R.reason_codes(F.col("pct"), F.col("hot"), F.col("flags"), F.col("degraded")))
+    return r.withColumns(R.operational_priority(F.col("pct"), F.col("hot"), F.col("codes"), F.col("degraded")))
+
+
+@query(f"WITH {RISK} SELECT seg, flags, degraded FROM o")
+def context_flags(spark, sf):
+    return risk(spark, sf).select("seg", "flags", "degraded")
+
+
+@query(f"WITH {RISK} SELECT seg, codes FROM o")
+def reason_codes(spark, sf):
+    return risk(spark, sf).select("seg", "codes")
+
+
+@query(f"WITH {RISK} SELECT seg, priority, uncertainty FROM o")
+def operational_priority(spark, sf):
+    return risk(spark, sf).select("seg", "priority", "uncertainty")
+
+
+@query(f"WITH {RISK} SELECT seg, priority, row_number() OVER (ORDER BY list_position(['critical', 'high', 'elevated', 'watch', 'monitor_only'], priority), pct DESC, seg) AS place FROM o")
+def priority_rank(spark, sf):
+    return R.priority_rank(risk(spark, sf), "priority", [F.desc("pct"), F.col("seg")]).select("seg", "priority", "place")
+
+
+@query(f"""WITH {RISK}, a AS (SELECT * FROM (VALUES ('DYNAMIC_TOP_1PCT', 'INCREASE_PATROL'), ('DYNAMIC_TOP_1PCT', 'REVIEW_SIGNALS'), ('DYNAMIC_TOP_5PCT', 'INCREASE_PATROL'), ('HISTORICAL_HOTSPOT', 'INSPECT_SEGMENT'), ('SEVERE_WEATHER', 'WARN_DRIVERS'), ('HEAVY_TRAFFIC', 'ADJUST_SIGNALS'), ('ACTIVE_REPAIR', 'CHECK_SIGNAGE'), ('ACTIVE_EVENT', 'MANAGE_CROWD')) t(reason, action)),
+ e AS (SELECT seg, c_nationkey AS group_key, pct AS score, unnest(codes) AS reason FROM o WHERE priority <> 'monitor_only'), g AS (SELECT action, group_key, count(DISTINCT seg) AS segments, arg_max(seg, (score, -seg)) AS best, max(score) AS score, list_sort(list(DISTINCT reason)) AS reasons FROM e JOIN a USING (reason) GROUP BY 1, 2)
+ SELECT action, group_key, segments, best, score, reasons, row_number() OVER (ORDER BY score DESC, action, group_key) AS place FROM g ORDER BY score DESC, action, group_key LIMIT 20""")
+def action_plan(spark, sf):
+    return R.action_plan(risk(spark, sf).where("priority <> 'monitor_only'"), "seg", "codes", F.col("c_nationkey"), F.col("pct"), 20)
+
+
+@query(f"WITH {RISK} SELECT count(*) FILTER (list_contains(codes, 'SEVERE_WEATHER')) AS rows_with_code, round(count(*) FILTER (list_contains(codes, 'SEVERE_WEATHER')) / count(*), 6) AS share, count(*) FILTER (list_contains(codes, 'SEVERE_WEATHER')) / count(*) >= 0.3 AS warning FROM o")
+def citywide_warning(spark, sf):
+    return R.citywide_warning(risk(spark, sf), "codes", "SEVERE_WEATHER", 0.3)
+
+
+@query("""SELECT p_partkey, list_filter([CASE WHEN p_size >= 30 AND (p_size - 25) / 25.0 > 0 THEN 'BIG' END, CASE WHEN p_retailprice >= 1300 AND (p_size - 40) / 10.0 > 0 THEN 'DEAR_BIG' END, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY' END], lambda x: x IS NOT NULL) AS rules_fired, CASE WHEN p_size / 50.0 >= 0.75 THEN 'high' WHEN p_size / 50.0 >= 0.4 THEN 'medium' ELSE 'low' END AS priority FROM part""")
+def local_rules(spark, sf):
+    p = table(spark, sf, "part").withColumn("c", F.create_map(F.lit("size"), (F.col("p_size") - 25) / 25.0, F.lit("over"), (F.col("p_size") - 40) / 10.0)).withColumn("prob", F.col("p_size") / 50.0)
+    rules = [R.Rule("BIG", F.col("p_size") >= 30, ("size",)), R.Rule("DEAR_BIG", F.col("p_retailprice") >= 1300, ("over",)), R.Rule("ECONOMY", F.col("p_type") == "ECONOMY")]
+    return R.local_rules(p, rules, "c", "prob").select("p_partkey", "rules_fired", "priority")
+
+
+@query("WITH t AS (SELECT s_suppkey, 0.25 + s_acctbal / 100000 AS v, 0.2 + s_acctbal / 90000 AS te FROM supplier) SELECT s_suppkey, v >= 0.25 * 1.03 AND te >= 0.2 AND s_suppkey % 3 <> 0 AS accepted FROM t")
+def accept_rule(spark, sf):
+    s = table(spark, sf, "supplier")
+    c = {"val_pr": 0.25 + F.col("s_acctbal") / 100000, "test_pr": 0.2 + F.col("s_acctbal") / 90000, "fold_std": F.when(F.col("s_suppkey") % 3 == 0, 0.02).otherwise(0.001), "ece": F.lit(0.02)}
+    b = {"val_pr": F.lit(0.25), "test_pr": F.lit(0.2), "fold_std": F.lit(0.0), "ece": F.lit(0.02)}
+    return s.select("s_suppkey", MO.accept_rule(c, b).alias("accepted"))
+
+
+@query(f"WITH {RISK} SELECT seg, {{'percentile': pct, 'hotspot': hot}} AS scores, {{'flags': flags, 'weather': weather::DOUBLE}} AS context FROM o WHERE priority IN ('critical', 'high')")
+def public_view(spark, sf):
+    r = risk(spark, sf).where("priority in ('critical', 'high')")
+    finite = F.when(~F.isnan("weather"), F.col("weather"))
+    return r.select("seg", F.struct(F.col("pct").alias("percentile"), F.col("hot").alias("hotspot")).alias("scores"), F.struct("flags", finite.alias("weather")).alias("context"))
