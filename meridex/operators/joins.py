@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def assert_unique(df: DataFrame, keys: list[str]) -> None:
     """Raises if a key repeats; looks at one offender."""
@@ -56,7 +58,7 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, rounds: int = 30, keep
         step = state.join(both, F.col("node") == F.col("a")).select("request", F.col("b").alias("node"), (state["cost"] + both["cost"]).alias("cost"))
         state = state.union(step).groupBy("request", "node").agg(F.min("cost").alias("cost"))
         if i % keep == keep - 1:
-            state = state.checkpoint()
+            state = cut(state)
             now = state.agg(F.count("*"), F.round(F.sum("cost"), 9)).first()
             if now == last:
                 break
