@@ -20,7 +20,7 @@ def blank_to_null(c: Column) -> Column:
 def list_items(c: Column) -> Column:
     """Items of a list-like text: ['60', '70'], or values between , ; / and |."""
     parts = F.split(F.regexp_replace(c, r"[\[\]'\"]", ""), r"[,;/|]")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def largest_number(c: Column, digits: int = 9) -> Column:

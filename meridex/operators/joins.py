@@ -51,11 +51,11 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, rounds: int = 30, keep
     A frontier table keyed by (request, node) is relaxed with the edges; it is written every few rounds, so its
     lineage stays short. Ends when no cost falls any more.
     """
-    both = edges.select("a", "b", "cost").union(edges.select(F.col("b"), F.col("a"), "cost"))
+    both = edges.select("a", "b", F.col("cost").alias("step")).union(edges.select("b", "a", "cost"))
     state = requests.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"))
     last = None
     for i in range(rounds):
-        step = state.join(both, F.col("node") == F.col("a")).select("request", F.col("b").alias("node"), (state["cost"] + both["cost"]).alias("cost"))
+        step = state.join(both, F.col("node") == F.col("a")).select("request", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
         state = state.union(step).groupBy("request", "node").agg(F.min("cost").alias("cost"))
         if i % keep == keep - 1:
             state = cut(state)
