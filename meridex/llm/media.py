@@ -343,7 +343,7 @@ def media_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
             column = whole.column("media")
             while at < whole.num_rows:
                 raws, size = [], 0
-                while at + len(raws) < whole.num_rows and size < 4 << 20:
+                while at + len(raws) < whole.num_rows and size < 1 << 20:
                     raws.append(column[at + len(raws)].as_py())
                     size += len(raws[-1] or b"")
                 part = whole.slice(at, len(raws))

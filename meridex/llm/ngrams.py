@@ -3,16 +3,17 @@
 Two documents link when their sets of distinct n-word shingles have a Jaccard similarity of at least `percent` / 100.
 The result is each document's class: the connected component of links.
 
-1. Global order. All shingles of all documents are counted in 2**20 buckets (a fixed size); buckets are ranked by
-   count, and a shingle's key is its bucket's rank and the rest of its hash. The key is a bijection of the 64-bit
-   hash, and its numeric order puts rare shingles first.
-2. Documents of equal sets are one from here on. Sets that link share one of the first |x| - ceil(t |x|) + 1 keys.
+1. Documents of equal sets are one from here on.
+2. Global order: by document frequency, then by hash. Blocks of documents send their sorted, distinct shingles to
+   shards, which add them up and tell each block the frequencies of those that it shares with another document.
+   Sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of this order. Those of frequency one come
+   first and match nothing, so a document that has enough of them is done; only others send shingles on.
 3. Star links. Each shared key has a leader, the document whose first keys are shared most. Leaders are compared with
    the others of their keys and linked ones form components.
 4. The rest. Where a key still holds several components, documents of different components are paired, once each,
    if their sizes and the number of first keys that they share allow a link. So a group of thousands of copies costs
    about one comparison for each copy and no link between different components is lost.
-5. Comparison. Candidates of one probe are put in a prefix tree in global order (sorted, with the depth that each
+5. Comparison. Candidates of one probe are put in a prefix tree of sets in the order of hashes (sorted, with the depth that each
    shares with the one before). Walking it keeps the overlap of the shared path and leaves a subtree as soon as the
    overlap so far plus the remaining length is too small.
 
@@ -23,7 +24,6 @@ document with several texts, each of which can link it; extra columns are ignore
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, small, stored
+from .packed import pack_sorted, pack_values, unpack_sorted, unpack_values
+from .shared import connected_components, key_ranges, small, stored
 from .textops import chunks, distinct_per_text, mix, shingles, text_buffers, words
 
-BUCKET_BITS = 20
-_REST = np.uint64(64 - BUCKET_BITS)
-_SLICES = 64
+BLOCK_BYTES = 4 << 20
+#: Shingles that one shard adds up at a time, about.
+SHARD_NAMES = 2_000_000
 #: Candidates of one probe that are compared in one go; more are spread over several tasks.
 CHUNK = 500
 
@@ -46,40 +47,6 @@ def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(hashes, before, n)
 
 
-def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
-    """For each bucket its rank by the number of shingles of all documents (distinct within each)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.uint32)
-        for whole in batches:
-            for batch in chunks(whole):
-                values, _ = distinct_per_text(*_sets(batch, n))
-                total += np.bincount((values >> _REST).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, _SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << BUCKET_BITS) // _SLICES, np.int64)
-        for raw in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(raw.as_py()), np.uint32)
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "slice int, counts binary"
-    rows = docs.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()  # always 8 MB
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in rows:
-        size = len(total) // _SLICES
-        total[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.counts, np.int64)
-    rank = np.zeros(1 << BUCKET_BITS, np.uint64)
-    rank[np.argsort(total, kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=np.uint64)
-    return rank
-
-
-def to_keys(values: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Keys of shingles, whose numeric order is the global order."""
-    return (rank[(values >> _REST).astype(np.int64)] << _REST) | (values & ((np.uint64(1) << _REST) - np.uint64(1)))
-
-
 def prefix_length(size, percent: int):
     return size - -(-percent * size // 100) + 1
 
@@ -118,7 +85,7 @@ def tree_join(probe: np.ndarray, members: list[np.ndarray], percent: int, step:
     return out
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, rank, n: int, percent: int) -> DataFrame:
+def _compare(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sets link."""
     spark = docs.sparkSession
     pairs = stored(pairs, "pairs")
@@ -128,8 +95,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, rank, n: int, percent: int) -> D
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
-                values, starts = _sets(batch, n)
-                values, starts = distinct_per_text(to_keys(values, rank.value), starts)
+                values, starts = distinct_per_text(*_sets(batch, n))
                 raw = [values[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(raw, pa.binary())], names=["id", "set"])
 
@@ -162,43 +128,122 @@ def _compare(pairs: DataFrame, docs: DataFrame, rank, n: int, percent: int) -> D
     return stored(rows.groupBy("block").applyInArrow(join, "a long, b long").distinct(), "links")
 
 
+def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, percent: int) -> DataFrame:
+    """(id, n, k): of each document the first shingles in global order that another one may share."""
+    spark = docs.sparkSession
+    cuts = spark.sparkContext.broadcast(key_ranges(docs, total_bytes, BLOCK_BYTES))
+    bits = min(60, max(total, 1).bit_length() + 10)
+    shards = max(spark.sparkContext.defaultParallelism, total // SHARD_NAMES + 1)
+    cut_off = np.uint64(64 - bits)
+
+    def block_of(keys: pa.Array) -> np.ndarray:
+        return np.searchsorted(cuts.value, keys.to_numpy(), "left")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for b, parts in held.items():
+                values = np.sort(np.concatenate(parts))
+                keep = np.ones(len(values), bool)
+                keep[2:] = values[2:] != values[:-2]  # two of each say as much as thousands
+                values = values[keep]
+                shard = (values >> np.uint64(max(bits - 30, 0))).astype(np.int64) * shards >> min(bits, 30)
+                edge = np.searchsorted(shard, np.arange(shards + 1))
+                rows = [(s, pack_sorted(values[x:y])) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
+                s, p = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array([b] * len(s), pa.int64()), pa.array(p, pa.binary())], names=["shard", "block", "packed"])
+            held.clear()
+
+        count = 0
+        for whole in batches:
+            for batch in chunks(whole):
+                values, starts = distinct_per_text(*_sets(batch, n))
+                block = np.repeat(block_of(batch.column("key")), np.diff(starts))
+                for b in np.unique(block).tolist():
+                    held.setdefault(b, []).append(values[block == b] >> cut_off)
+                count += len(values)
+                if count > 2_000_000:
+                    yield from flush()
+                    count = 0
+        yield from flush()
+
+    def add_up(table: pa.Table) -> pa.Table:
+        parts = [unpack_sorted(p) for p in table.column("packed").to_pylist()]
+        block = np.repeat(table.column("block").to_numpy(), [len(p) for p in parts])
+        every, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        rows = []
+        order = np.lexsort((back, block))
+        order = order[count[back[order]] > 1]
+        edge = np.flatnonzero(np.diff(block[order])) + 1
+        for part in np.split(order, edge) if len(order) else []:
+            which = np.unique(back[part])
+            rows.append((int(block[part[0]]), pack_sorted(every[which]), pack_values(count[which].astype(np.uint64))))
+        b, p, c = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"block": pa.array(b, pa.int64()), "packed": pa.array(p, pa.binary()), "counts": pa.array(c, pa.binary())})
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(block_of(b.column("key")), pa.int64()), b.column("key"), b.column("text")], names=["block", "key", "text"])
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, np.ndarray, int]] = []
+        if left.num_rows and right.num_rows:
+            known = np.concatenate([unpack_sorted(p) for p in right.column("packed").to_pylist()])
+            count = np.concatenate([unpack_values(p) for p in right.column("counts").to_pylist()])
+            order = np.argsort(known, kind="stable")
+            known, count = known[order], count[order]
+            for batch in left.combine_chunks().to_batches():
+                values, starts = distinct_per_text(*_sets(batch, n))
+                at = np.minimum(np.searchsorted(known, values >> cut_off), len(known) - 1)
+                often = np.where(known[at] == values >> cut_off, count[at], np.uint64(1))
+                for key, x, y in zip(batch.column("key").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    more = np.flatnonzero(often[x:y] > 1)
+                    take = prefix_length(y - x, percent) - (y - x - len(more)) if y > x else 0
+                    if take > 0:
+                        v = values[x:y][more]
+                        out.append((key, v[np.lexsort((v, often[x:y][more]))][:take], y - x))
+        size = [len(v) for _, v, _ in out]
+        k = np.concatenate([v for _, v, _ in out]).view(np.int64) if out else np.zeros(0, np.int64)
+        return pa.table({"id": pa.array(np.repeat(np.array([i for i, _, _ in out], np.int64), size)), "n": pa.array(np.repeat(np.array([m for _, _, m in out], np.int64), size)), "k": pa.array(k)})
+
+    told = docs.mapInArrow(names, "shard long, block long, packed binary").groupBy("shard").applyInArrow(add_up, "block long, packed binary, counts binary")
+    blocks = docs.mapInArrow(by_block, "block long, key long, text string")
+    return stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(first, "id long, n long, k long"), "first-shingles")
+
+
 def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) for each row of `df`; keys must be integers."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rank = spark.sparkContext.broadcast(bucket_ranks(docs, n))
 
-    def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
-                values, starts = _sets(batch, n)
-                values, starts = distinct_per_text(to_keys(values, rank.value), starts)
-                size = np.diff(starts)
+                values, starts = distinct_per_text(*_sets(batch, n))
                 sums = np.zeros((2, len(values) + 1), np.uint64)
                 np.cumsum(mix(values), out=sums[0, 1:])
                 np.cumsum(mix(values ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=sums[1, 1:])
                 whole_set = (sums[:, starts[1:]] - sums[:, starts[:-1]]).view(np.int64)
-                take = np.where(size > 0, prefix_length(size, percent), 0)
-                ends = np.zeros(len(take) + 1, np.int32)
-                np.cumsum(take, out=ends[1:])
-                at = np.repeat(starts[:-1] - ends[:-1], take) + np.arange(ends[-1])
-                first = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(size, pa.int64()), pa.array(whole_set[0]), pa.array(whole_set[1]), first], names=["key", "n", "s1", "s2", "first"])
-
-    seen = stored(docs.mapInArrow(first_keys, "key long, n long, s1 long, s2 long, first array<long>"), "first-keys")
+                bytes_ = np.diff(text_buffers(batch.column("text"))[1])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(starts), pa.int64()), pa.array(whole_set[0]), pa.array(whole_set[1]), pa.array(bytes_)], names=["key", "n", "s1", "s2", "bytes"])
+
+    seen = stored(docs.mapInArrow(measure, "key long, n long, s1 long, s2 long, bytes long"), "sets-seen")
     real = seen.where("n > 0 and key is not null")
     groups = stored(real.groupBy("n", "s1", "s2").agg(F.min("key").alias("id")), "groups")
     # a document of several texts joins their groups
     twins = real.groupBy("key").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").select("key")
-    reps = real.join(groups.select("n", "s1", "s2", F.col("id").alias("key")), ["n", "s1", "s2", "key"])
-    tokens = reps.select(F.col("key").alias("id"), "n", F.explode("first").alias("k"))
+    copies = real.join(groups, ["n", "s1", "s2"]).where("key <> id").select("key").distinct()
+    alone = docs.where("key is not null").join(small(copies), "key", "left_anti")
+    totals = seen.agg(F.sum("bytes"), F.sum("n")).first()
+    tokens = _first_shingles(alone, totals[0] or 0, totals[1] or 0, n, percent)
     shared = tokens.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     tokens = stored(tokens.join(shared, "k"), "shared-keys")  # only keys of two or more sets
     weighed = tokens.join(tokens.groupBy("id").agg(F.avg("c").alias("w")), "id").withColumn("down", -F.col("id"))
     leader = weighed.groupBy("k").agg(F.max(F.struct("w", "down", "n")).alias("l")).select("k", (-F.col("l.down")).alias("a"), F.col("l.n").alias("an"))
     fits = f"100 * least(n, an) >= {percent} * greatest(n, an)"
     stars = tokens.join(leader, "k").where(f"id <> a and {fits}").select("a", F.col("id").alias("b")).distinct()
-    found = _compare(stars, docs, rank, n, percent)
+    found = _compare(stars, docs, n, percent)
     again = real.join(twins, "key", "left_semi").join(groups, ["n", "s1", "s2"]).select(F.col("key").alias("a"), F.col("id").alias("b")).where("a <> b")
     found = found.union(again)
     component = stored(connected_components(found), "components")
@@ -215,11 +260,11 @@ def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ke
     pairs = left.join(right, ["k", "other"]).where(fits).groupBy("a", "b", "an", "n").agg(F.count("*").alias("shared")).where(f"{100 + percent} * ({most}) >= {percent} * (an + n)")
     done = stars.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     fresh = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(done, ["u", "v"], "left_anti").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    more = _compare(fresh, docs, rank, n, percent)
+    more = _compare(fresh, docs, n, percent)
     if not more.isEmpty():
         component = stored(connected_components(found.union(more)), "components")
     whole = groups.join(component, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
-    out = seen.drop("first").join(whole, ["n", "s1", "s2"], "left")
+    out = seen.join(whole, ["n", "s1", "s2"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
@@ -233,5 +278,5 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = docs.join(small(gone), "doc_id", "left_anti")
     if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():  # repeated rows
         nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        stay = stay.withColumn("nth", nth).where("nth = 1 or doc_id is null").drop("nth")
+        stay = stay.withColumn("__nth", nth).where("__nth = 1 or doc_id is null").drop("__nth")
     return stay.select(docs.columns)
