@@ -179,4 +179,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that no benchmark item contaminates stay."""
-    return mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("contamination") == 0).drop("contamination")
+    marked = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), column="__contamination")
+    return marked.where(F.size("__contamination") == 0).drop("__contamination")

@@ -205,6 +205,7 @@ def exceptions(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
 
 def pseudonymise(df: DataFrame, text: str = "text", key_column: str = "doc_id", key: str = KEY) -> DataFrame:
     """`df` with surrogates in `text` and a column `replaced` of (kind, start, end) in the new text."""
+    df = df.drop("replaced")
     moved = exceptions(df, key, text)
     spans = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
     if not moved.isEmpty():

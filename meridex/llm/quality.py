@@ -154,7 +154,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score is at least 0.5 stay."""
-    return score(docs, train(spark, sf_dir), column="quality_score").where("quality_score >= 0.5").drop("quality_score")
+    return score(docs, train(spark, sf_dir), column="__quality").where("__quality >= 0.5").drop("__quality")
 
 
 __all__ = ["Model", "fit", "fit_nnpu", "features", "held_out", "keep_good", "op2_quality", "score", "train"]
