@@ -8,11 +8,14 @@ only kept to depth `width`, which makes the recursion of the difference-cover co
    `width` - 56 bytes. For any two positions there is one offset below 57 at which both are sampled, so two equal
    strings of `width` bytes hold two samples of equal names at the same offset.
 2. Names are sorted in shards; those that occur once are dropped.
-3. Merge. Only strings that hold a repeated name can be repeated. Their own names (hashes of all `width` bytes, wide
-   enough that no two strings are expected to share one) are sorted in shards, equal neighbours compared, and all but
-   the first block with a string are told so.
+3. Merge. Only strings that hold a repeated name can be repeated. Samples with a repeated name get longer names, of
+   `width` + 56 bytes, which cover 57 strings each: inside a repeated passage these cover every string, since samples
+   at the right offset recur every 57 bytes. What they leave, the first occurrences and the ends of passages, gets
+   names of all `width` bytes, wide enough that no two strings are expected to share one. Both kinds of names are
+   sorted in shards, equal neighbours compared, and all but the first block with a name are told so.
 4. Each block of documents marks the strings it was told about and those that it repeats itself.
 
+Whole texts that equal one of a smaller key go beforehand; so a group of copies is worked on once.
 Blocks are ranges of keys of about `BLOCK_BYTES` of text, so the first block holds the first occurrence. Sorted names
 travel as differences. At most two equal names leave a block, so a very common string stays small everywhere.
 
@@ -30,47 +33,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packed import pack_sorted, unpack_sorted
+from .shared import key_ranges, small
 from .textops import chunks, prefix_sums, text_buffers, window_hash
 
 WIDTH = 100
 MODULUS = 57
 RESIDUES = (0, 1, 3, 13, 32, 36, 43, 52)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Names that one shard sorts at a time.
 SHARD_NAMES = 3_000_000
 _COVER = np.zeros(MODULUS, bool)
 _COVER[list(RESIDUES)] = True
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending uint64 values as differences of seven bits a byte."""
-    if not len(values):
-        return b""
-    d = values.copy()
-    d[1:] -= values[:-1]
-    size = np.ones(len(d), np.int64)
-    for k in range(1, 10):
-        size += d >= np.uint64(1) << np.uint64(7 * k)
-    end = np.cumsum(size)
-    out = np.zeros(int(end[-1]), np.uint8)
-    begin = end - size
-    for k in range(int(size.max())):
-        has = size > k
-        out[begin[has] + k] = ((d[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((size[has] > k + 1).astype(np.uint8) << 7)
-    return out.tobytes()
-
-
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    last = np.flatnonzero(data < 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(len(data)) - np.repeat(first, last - first + 1)
-    parts = (data & 127).astype(np.uint64) << (7 * place).astype(np.uint64)
-    return np.cumsum(np.add.reduceat(parts, first), dtype=np.uint64)
-
-
 def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which of `values` are in the sorted `among`; most are ruled out by a table of their upper bits."""
     out = np.zeros(len(values), bool)
@@ -119,11 +95,29 @@ def cover(starts: np.ndarray, width: int, total: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The keys, bytes and offsets of a block in the order of its documents."""
-    order = pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending")], null_placement="at_start")
+def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block in the order of its documents, and their bytes and offsets."""
+    order = pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending"), ("n_bytes", "ascending")], null_placement="at_start")
     table = table.take(order)
-    return table.column("key").combine_chunks(), *text_buffers(table.column("text"))
+    return table, *text_buffers(table.column("text"))
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray, total: int) -> np.ndarray:
+    """A mask of the positions in any of the ranges lo to hi, both included."""
+    edge = np.zeros(total + 1, np.int32)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _ranges(mask: np.ndarray) -> bytes:
+    """The edges of the true runs of a mask, packed."""
+    return pack_sorted(np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).astype(np.uint64))
+
+
+def _mask(packed: bytes, total: int) -> np.ndarray:
+    edge = unpack_sorted(packed).astype(np.int64)
+    return _spread(edge[::2], edge[1::2] - 1, total)
 
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -133,19 +127,24 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
     spark = df.sparkSession
     size = width - MODULUS + 1
     docs = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    print_of = (F.xxhash64("text").alias("p1"), F.hash("text").alias("p2"), F.octet_length("text").cast("long").alias("n_bytes"))
+    prints = docs.select("key", *print_of).where(F.col("n_bytes") >= width)
+    groups = prints.groupBy("p1", "p2", "n_bytes").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    copies = prints.join(small(groups), ["p1", "p2", "n_bytes"]).where("key > first").select("key", "p1", F.lit(True).alias("copy")).distinct()
+    flagged = docs.select("key", "text", *print_of).join(small(copies), ["key", "p1"], "left")
+    lean = flagged.select("key", F.expr("if(copy, '', text)").alias("text"), "n_bytes", F.coalesce("copy", F.lit(False)).alias("copy"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = max(1, -(-total // BLOCK_BYTES))
-    cuts = sorted(set(docs.select("key").approxQuantile("key", [k / number for k in range(1, number)], 0.1 / number))) if number > 1 else []
+    cuts = key_ranges(docs, total, BLOCK_BYTES)
     samples = max(1, total * len(RESIDUES) // MODULUS)
     name_bits = min(60, samples.bit_length() + 8)
     string_bits = min(64, 2 * max(1, total).bit_length() + 4)
     shards = max(spark.sparkContext.defaultParallelism, -(-samples // SHARD_NAMES))
-    edges = spark.sparkContext.broadcast(np.array(cuts, np.float64))  # one number for each BLOCK_BYTES of text
+    edges = spark.sparkContext.broadcast(cuts)  # one number for each BLOCK_BYTES of text
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.searchsorted(edges.value, b.column("key").fill_null(-(1 << 63)).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), b.column("key"), b.column("text")], names=["block", "key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(b.column(c) for c in ("key", "text", "n_bytes", "copy"))], names=["block", "key", "text", "n_bytes", "copy"])
 
     def split(shard_of: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         cut = np.flatnonzero(np.diff(shard_of)) + 1
@@ -208,50 +207,82 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         keep = np.append(same, False) | np.append(False, same)
         return told(values[keep], blocks[keep], [])
 
-    def name_strings(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int, bytes]] = []
-        if left.num_rows and right.num_rows:
-            block = left.column("block")[0].as_py()
-            _, data, offsets = _ordered(left)
-            sums = prefix_sums(data)
-            wanted = np.unique(np.concatenate([unpack_sorted(p) for p in right.column("packed").to_pylist()]))
-            at = sampled(offsets, size)
-            at = at[member(names_at(sums, at, size, name_bits), wanted)]
-            # a string that holds the sample starts at most 56 bytes before it, and lies in its text
-            text = np.searchsorted(offsets, at, "right") - 1
-            lo, hi = np.maximum(at - MODULUS + 1, offsets[text]), np.minimum(at, offsets[text + 1] - width)
-            lo, hi = lo[hi >= lo], hi[hi >= lo]
-            edge = np.zeros(len(data) + 1, np.int32)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi + 1, -1)
-            start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            values = names_at(sums, start, width, string_bits)
-            each, first = np.unique(values, return_index=True)
-            again = np.ones(len(values), bool)
-            again[first] = False
-            for s, p in split(of_shard(each, string_bits), each):
-                rows.append((s, block, 0, pack_sorted(p)))
-            mine = start[again].astype(np.uint64)  # strings that this block has further left
-            if len(mine):
-                rows.append((block % shards, block, 1, pack_sorted(mine)))
+    def lists(table: pa.Table, kind: int) -> list[bytes]:
+        return [p for k, p in zip(table.column("kind").to_pylist(), table.column("packed").to_pylist(), strict=True) if k == kind]
+
+    def named(right: pa.Table) -> np.ndarray:
+        parts = [unpack_sorted(p) for p in lists(right, 0)]
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+    def named_rows(block: int, values: np.ndarray, bits: int) -> tuple[list[tuple[int, int, int, bytes]], np.ndarray]:
+        """Rows for the shards of the names, and which of them the block has further left already."""
+        each, first = np.unique(values, return_index=True)
+        again = np.ones(len(values), bool)
+        again[first] = False
+        return [(s, block, 0, pack_sorted(p)) for s, p in split(of_shard(each, bits), each)], again
+
+    def to_shards(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
         s, b, k, p = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"shard": pa.array(s, pa.int64()), "block": pa.array(b, pa.int64()), "kind": pa.array(k, pa.int64()), "packed": pa.array(p, pa.binary())})
 
-    def later_strings(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.equal(table.column("kind"), 1))
-        values, blocks = joined(table.filter(pc.equal(table.column("kind"), 0)))
-        later = np.append(False, values[1:] == values[:-1])  # blocks ascend among equal values
-        return told(values[later[: len(values)]], blocks[later[: len(values)]], list(zip(own.column("block").to_pylist(), [1] * own.num_rows, own.column("packed").to_pylist(), strict=True)))
+    def samples_of(data: np.ndarray, offsets: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Samples whose 57 strings lie in their text and are candidates at least in part."""
+        at = sampled(offsets, width + MODULUS - 1)
+        return at[candidates[at]]
+
+    def name_passages(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Names of the longer strings at repeated samples; kind 1: where candidate strings start; kind 2: own repeats."""
+        if not left.num_rows or not right.num_rows:
+            return to_shards([])
+        block = left.column("block")[0].as_py()
+        _, data, offsets = _ordered(left)
+        sums = prefix_sums(data)
+        at = sampled(offsets, size)
+        at = at[member(names_at(sums, at, size, name_bits), named(right))]
+        # a string that holds the sample starts at most 56 bytes before it, and lies in its text
+        text = np.searchsorted(offsets, at, "right") - 1
+        lo, hi = np.maximum(at - MODULUS + 1, offsets[text]), np.minimum(at, offsets[text + 1] - width)
+        candidates = _spread(lo[hi >= lo], hi[hi >= lo], len(data))
+        long = samples_of(data, offsets, candidates)
+        rows, again = named_rows(block, names_at(sums, long, width + MODULUS - 1, string_bits), string_bits)
+        rows.append((block % shards, block, 1, _ranges(candidates)))
+        if again.any():
+            rows.append((block % shards, block, 2, pack_sorted(long[again].astype(np.uint64))))
+        return to_shards(rows)
+
+    def name_strings(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Names of the candidates that no longer string covers; kind 1: strings known to be repeats."""
+        if not left.num_rows or not right.num_rows:
+            return to_shards([])
+        block = left.column("block")[0].as_py()
+        _, data, offsets = _ordered(left)
+        sums = prefix_sums(data)
+        candidates = _mask(lists(right, 1)[0], len(data))
+        long = samples_of(data, offsets, candidates)
+        long = long[member(names_at(sums, long, width + MODULUS - 1, string_bits), named(right))]
+        long = np.concatenate([long, *(unpack_sorted(p).astype(np.int64) for p in lists(right, 2))])
+        covered = _spread(long, long + MODULUS - 1, len(data))
+        start = np.flatnonzero(candidates & ~covered)
+        rows, again = named_rows(block, names_at(sums, start, width, string_bits), string_bits)
+        covered[start[again]] = True
+        if covered.any():
+            rows.append((block % shards, block, 1, _ranges(covered)))
+        return to_shards(rows)
+
+    def later(table: pa.Table) -> pa.Table:
+        """For each block the names that an earlier block has; other kinds go on to their block."""
+        mine = pc.equal(table.column("kind"), 0)
+        own = table.filter(pc.invert(mine))
+        values, blocks = joined(table.filter(mine))
+        again = np.append(False, values[1:] == values[:-1])[: len(values)]  # blocks ascend among equal values
+        return told(values[again], blocks[again], list(zip(*(own.column(c).to_pylist() for c in ("block", "kind", "packed")), strict=True)))
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, data, offsets = _ordered(left)
-        start = []
-        for kind, packed in zip(right.column("kind").to_pylist(), right.column("packed").to_pylist(), strict=True):
-            if kind == 1:
-                start.append(unpack_sorted(packed).astype(np.int64))
-        lists = [unpack_sorted(p) for k, p in zip(right.column("kind").to_pylist(), right.column("packed").to_pylist(), strict=True) if k == 0]
-        if lists:
-            wanted, sums = np.unique(np.concatenate(lists)), prefix_sums(data)
+        table, data, offsets = _ordered(left)
+        start = [np.flatnonzero(_mask(p, len(data))) for p in lists(right, 1)]
+        wanted = named(right)
+        if len(wanted):
+            sums = prefix_sums(data)
             left_over = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
             every = np.flatnonzero(left_over >= width)
             for lo in range(0, len(every), 1 << 20):
@@ -260,17 +291,25 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         gone = cover(np.concatenate(start), width, len(data)) if start else np.zeros(len(data), bool)
         begin, end = runs(gone, offsets)
         text = np.searchsorted(offsets, begin, "right") - 1
-        bounds = np.searchsorted(text, np.arange(len(keys) + 1)).astype(np.int32)
-        spans = pa.StructArray.from_arrays([pa.array(begin - offsets[text], pa.int64()), pa.array(end - offsets[text], pa.int64())], names=["start", "end"])
+        copy, whole = table.column("copy").to_numpy(), table.column("n_bytes").to_numpy()
+        text = np.concatenate([text, np.flatnonzero(copy)])
+        begin = np.concatenate([begin - offsets[text[: len(begin)]], np.zeros(copy.sum(), np.int64)])
+        end = np.concatenate([end - offsets[text[: len(end)]], whole[copy]])
+        order = np.argsort(text, kind="stable")
+        bounds = np.searchsorted(text[order], np.arange(len(whole) + 1)).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(begin[order], pa.int64()), pa.array(end[order], pa.int64())], names=["start", "end"])
         kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.table({"key": keys, "n_bytes": pa.array(np.diff(offsets), pa.int64()), "kept": pa.array(kept, pa.binary()), "removed": pa.ListArray.from_arrays(pa.array(bounds), spans)})
-
-    names = docs.mapInArrow(name_samples, "shard long, block long, packed binary")
-    repeated = names.groupBy("shard").applyInArrow(repeated_names, "block long, kind long, packed binary")
-    blocks = docs.mapInArrow(by_block, "block long, key long, text string")
-    strings = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(name_strings, "shard long, block long, kind long, packed binary")
-    later = strings.groupBy("shard").applyInArrow(later_strings, "block long, kind long, packed binary")
-    out = blocks.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(cut_out, "key long, n_bytes long, kept binary, removed array<struct<start:bigint,end:bigint>>")
+        return pa.table({"key": table.column("key"), "n_bytes": pa.array(whole, pa.int64()), "kept": pa.array(kept, pa.binary()), "removed": pa.ListArray.from_arrays(pa.array(bounds), spans)})
+
+    told_schema, shard_schema = "block long, kind long, packed binary", "shard long, block long, kind long, packed binary"
+    names = lean.where("not copy").select("key", "text").mapInArrow(name_samples, "shard long, block long, packed binary")
+    repeated = names.groupBy("shard").applyInArrow(repeated_names, told_schema)
+    blocks = lean.mapInArrow(by_block, "block long, key long, text string, n_bytes long, copy boolean")
+    passages = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(name_passages, shard_schema)
+    passages = passages.groupBy("shard").applyInArrow(later, told_schema)
+    strings = blocks.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(name_strings, shard_schema)
+    strings = strings.groupBy("shard").applyInArrow(later, told_schema)
+    out = blocks.groupBy("block").cogroup(strings.groupBy("block")).applyInArrow(cut_out, "key long, n_bytes long, kept binary, removed array<struct<start:bigint,end:bigint>>")
     return out.withColumnRenamed("key", key)
 
 
