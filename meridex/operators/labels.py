@@ -23,23 +23,37 @@ def positives_window(counts: DataFrame, horizon: int) -> DataFrame:
     return shifted.crossJoin(F.broadcast(span)).where("hour between lo and hi").select("entity", "hour")  # one row
 
 
-def sample_negatives(positives: DataFrame, members: DataFrame, ratio: int, attempts: int = 4, seed: int = 42) -> DataFrame:
+def _draw(asked: DataFrame, positives: DataFrame, members: DataFrame, ratio: int, attempts: int, seed: int) -> DataFrame:
+    """(hour, entity, positive, k): clean candidates of each asked (entity, hour, stratum), one owner for each."""
+    ranked = members.withColumn("pos", F.row_number().over(Window.partitionBy("stratum").orderBy("entity")) - 1)
+    sized = ranked.groupBy("stratum").agg(F.count("*").alias("size"))
+    tries = asked.join(sized, "stratum").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(attempts * ratio - 1))))
+    at = F.pmod(hash_number(F.lit(seed), F.col("entity"), F.col("hour"), F.col("k")), F.col("size")).cast("int")
+    found = tries.withColumn("pos", at).withColumnRenamed("entity", "positive").join(ranked, ["stratum", "pos"]).select("positive", "hour", "k", "entity")
+    clean = found.join(positives, ["entity", "hour"], "left_anti")
+    owner = clean.groupBy("hour", "entity").agg(F.min(F.struct("positive", "k")).alias("o"))
+    return owner.select("hour", "entity", F.col("o.positive").alias("positive"), F.col("o.k").alias("k"))
+
+
+def sample_negatives(positives: DataFrame, members: DataFrame, ratio: int, attempts: int = 4, seed: int = 42, fallback: bool = False) -> DataFrame:
     """(hour, entity): for each positive up to `ratio` entities of its stratum at its hour, never a positive, never twice.
 
     `members`: (entity, stratum). Attempt k of a positive looks at member hash(seed, entity, hour, k) modulo the
-    stratum's size. A candidate that several positives draw goes to the smallest positive; where attempts don't
-    suffice a second round draws from all members.
+    stratum's size. A candidate that several positives draw goes to the smallest positive. With `fallback`, positives
+    that are short of negatives draw the rest from all members in a second round.
     """
-    ranked = members.withColumn("pos", F.row_number().over(Window.partitionBy("stratum").orderBy("entity")) - 1)
-    sized = ranked.groupBy("stratum").agg(F.count("*").alias("size"))
-    home = positives.join(members, "entity").join(sized, "stratum")
-    tries = home.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(attempts * ratio - 1))))
-    draw = tries.withColumn("pos", F.pmod(hash_number(F.lit(seed), F.col("entity"), F.col("hour"), F.col("k")), F.col("size")).cast("int"))
-    found = draw.withColumnRenamed("entity", "positive").join(ranked, ["stratum", "pos"]).select("positive", "hour", "k", "entity")
-    clean = found.join(positives, ["entity", "hour"], "left_anti")
-    owner = clean.groupBy("hour", "entity").agg(F.min(F.struct("positive", "k")).alias("o")).select("hour", "entity", F.col("o.positive").alias("positive"), F.col("o.k").alias("k"))
     nth = F.row_number().over(Window.partitionBy("positive", "hour").orderBy("k", "entity"))
-    return owner.withColumn("nth", nth).where(F.col("nth") <= ratio).select("hour", "entity", "positive")
+    asked = positives.join(members, "entity")
+    first = _draw(asked, positives, members, ratio, attempts, seed).withColumn("nth", nth).where(F.col("nth") <= ratio).select("hour", "entity", "positive")
+    if not fallback:
+        return first
+    got = first.groupBy(F.col("positive").alias("entity"), "hour").agg(F.count("*").alias("got"))
+    short = asked.join(got, ["entity", "hour"], "left").withColumn("need", ratio - F.coalesce("got", F.lit(0))).where("need > 0")
+    everyone = members.withColumn("stratum", F.lit("all"))
+    taken = positives.union(first.select("entity", "hour"))
+    more = _draw(short.select("entity", "hour", F.lit("all").alias("stratum")), taken, everyone, ratio, attempts, seed + 1).withColumn("nth", nth)
+    more = more.join(short.select(F.col("entity").alias("positive"), "hour", "need"), ["positive", "hour"]).where("nth <= need")
+    return first.union(more.select("hour", "entity", "positive"))
 
 
 def chronological_split(df: DataFrame, hour: str, train: int = 70, validation: int = 85, purge: int = 0) -> DataFrame:

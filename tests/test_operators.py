@@ -60,6 +60,8 @@ def test_negatives_are_disjoint_and_repeatable(spark):
     assert one == {tuple(r) for r in L.sample_negatives(pos.orderBy(F.rand()), mem, 3).collect()}
     assert len({(h, e) for h, e, _ in one}) == len(one) and not {(e, h) for h, e, _ in one} & {(e, h) for e in range(10) for h in range(5)}
     assert all((e % 2) == (p % 2) for _, e, p in one)
+    few = spark.createDataFrame([(e, "s" if e < 10 else "t") for e in range(60)], "entity long, stratum string")
+    assert L.sample_negatives(pos, few, 3).count() == 0 and L.sample_negatives(pos, few, 3, fallback=True).count() > 100
 
 
 def test_metrics_and_ties(spark):
