@@ -33,9 +33,9 @@ from .shared import key_ranges
 from .textops import chunks, mix, text_buffers, words
 
 MU = 100.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Words of text whose pairs one shard of the trie holds, about.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_000_000
 BUCKETS = 1 << 16
 _END = np.uint64(0x3C6EF372FE94F82B)
 _BEGIN = np.uint64(0xA54FF53A5F1D36F1)
