@@ -11,7 +11,7 @@ The result is each document's class: the connected component of links.
 3. Star links. Each shared key has a leader, the document whose first keys are shared most. Leaders are compared with
    the others of their keys and linked ones form components.
 4. The rest. Where a key still holds several components, documents of different components are paired, once each,
-   if their sizes and the number of first keys that they share allow a link. So a group of thousands of copies costs
+   if their sizes, the shingles that they don't have alone, and the first keys that they share allow a link. So a group of thousands of copies costs
    about one comparison for each copy and no link between different components is lost.
 5. Comparison. Candidates of one probe are put in a prefix tree of sets in the order of hashes (sorted, with the depth that each
    shares with the one before). Walking it keeps the overlap of the shared path and leaves a subtree as soon as the
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packed import pack_sorted, pack_values, unpack_sorted, unpack_values
-from .shared import connected_components, key_ranges, small, stored
+from .shared import BROADCAST_ROWS, connected_components, key_ranges, small, stored
 from .textops import chunks, distinct_per_text, mix, shingles, text_buffers, words
 
 BLOCK_BYTES = 4 << 20
@@ -89,8 +89,9 @@ def _compare(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     """Those of the pairs (a, b) of keys whose sets link."""
     spark = docs.sparkSession
     pairs = stored(pairs, "pairs")
+    near = F.broadcast if 2 * pairs.count() <= BROADCAST_ROWS else lambda d: d  # no more ids or probes than ends of pairs
     ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = docs.join(small(ids), "key", "left_semi")
+    wanted = docs.join(near(ids), "key", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,7 +104,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     members = stored(wanted.mapInArrow(sets, "id long, set binary"), "sets")
     number = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     of = F.pmod(F.xxhash64("a", "part"), F.lit(blocks)).alias("block")
-    some = pairs.join(number, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", F.col("b").alias("id"))
+    some = pairs.join(near(number), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", F.col("b").alias("id"))
     rows = some.join(members, "id").select(of, "a", "part", "id", "set")
     probes = number.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("id", F.col("a"))
     rows = rows.union(probes.join(members, "id").select(of, "a", "part", "id", "set"))
@@ -129,7 +130,10 @@ def _compare(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
 
 
 def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, percent: int) -> DataFrame:
-    """(id, n, k): of each document the first shingles in global order that another one may share."""
+    """(id, n, core, k): of each document the first shingles in global order that another one may share.
+
+    core: how many of its shingles another one may share at all, which bounds every overlap.
+    """
     spark = docs.sparkSession
     cuts = spark.sparkContext.broadcast(key_ranges(docs, total_bytes, BLOCK_BYTES))
     bits = min(60, max(total, 1).bit_length() + 10)
@@ -187,7 +191,7 @@ def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(block_of(b.column("key")), pa.int64()), b.column("key"), b.column("text")], names=["block", "key", "text"])
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, int]] = []
+        out: list[tuple[int, np.ndarray, int, int]] = []
         if left.num_rows and right.num_rows:
             known = np.concatenate([unpack_sorted(p) for p in right.column("packed").to_pylist()])
             count = np.concatenate([unpack_values(p) for p in right.column("counts").to_pylist()])
@@ -202,14 +206,15 @@ def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, perce
                     take = prefix_length(y - x, percent) - (y - x - len(more)) if y > x else 0
                     if take > 0:
                         v = values[x:y][more]
-                        out.append((key, v[np.lexsort((v, often[x:y][more]))][:take], y - x))
-        size = [len(v) for _, v, _ in out]
-        k = np.concatenate([v for _, v, _ in out]).view(np.int64) if out else np.zeros(0, np.int64)
-        return pa.table({"id": pa.array(np.repeat(np.array([i for i, _, _ in out], np.int64), size)), "n": pa.array(np.repeat(np.array([m for _, _, m in out], np.int64), size)), "k": pa.array(k)})
+                        out.append((key, v[np.lexsort((v, often[x:y][more]))][:take], y - x, len(more)))
+        size = [len(x[1]) for x in out]
+        k = np.concatenate([x[1] for x in out]).view(np.int64) if out else np.zeros(0, np.int64)
+        spread = lambda i: pa.array(np.repeat(np.array([x[i] for x in out], np.int64), size))
+        return pa.table({"id": spread(0), "n": spread(2), "core": spread(3), "k": k})
 
     told = docs.mapInArrow(names, "shard long, block long, packed binary").groupBy("shard").applyInArrow(add_up, "block long, packed binary, counts binary")
     blocks = docs.mapInArrow(by_block, "block long, key long, text string")
-    return stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(first, "id long, n long, k long"), "first-shingles")
+    return stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(first, "id long, n long, core long, k long"), "first-shingles")
 
 
 def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -240,21 +245,21 @@ def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ke
     shared = tokens.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     tokens = stored(tokens.join(shared, "k"), "shared-keys")  # only keys of two or more sets
     weighed = tokens.join(tokens.groupBy("id").agg(F.avg("c").alias("w")), "id").withColumn("down", -F.col("id"))
-    leader = weighed.groupBy("k").agg(F.max(F.struct("w", "down", "n")).alias("l")).select("k", (-F.col("l.down")).alias("a"), F.col("l.n").alias("an"))
-    fits = f"100 * least(n, an) >= {percent} * greatest(n, an)"
+    leader = weighed.groupBy("k").agg(F.max(F.struct("w", "down", "n", "core")).alias("l")).select("k", (-F.col("l.down")).alias("a"), F.col("l.n").alias("an"), F.col("l.core").alias("acore"))
+    fits = f"100 * least(n, an) >= {percent} * greatest(n, an) and {100 + percent} * least(core, acore) >= {percent} * (n + an)"
     stars = tokens.join(leader, "k").where(f"id <> a and {fits}").select("a", F.col("id").alias("b")).distinct()
     found = _compare(stars, docs, n, percent)
     again = real.join(twins, "key", "left_semi").join(groups, ["n", "s1", "s2"]).select(F.col("key").alias("a"), F.col("id").alias("b")).where("a <> b")
     found = found.union(again)
     component = stored(connected_components(found), "components")
 
-    labelled = tokens.join(component, "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("component"))
+    labelled = tokens.join(component, "id", "left").select("k", "id", "n", "core", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
     open_keys = stored(labelled.join(mixed, "k"), "open-keys")
-    kinds = open_keys.select("k", "component").distinct()
-    between = kinds.alias("x").join(kinds.alias("y"), F.expr("x.k = y.k and x.component < y.component")).select(F.col("x.k").alias("k"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
-    left = between.join(open_keys, ["k", "component"]).select("k", "other", F.col("id").alias("a"), F.col("n").alias("an"))
-    right = open_keys.select("k", F.col("component").alias("other"), F.col("id").alias("b"), "n")
+    kinds = open_keys.groupBy("k", "component").agg(F.min("n").alias("n"), F.max("core").alias("core"))
+    between = kinds.alias("x").join(kinds.alias("y"), F.expr(f"x.k = y.k and x.component < y.component and {100 + percent} * least(x.core, y.core) >= {percent} * (x.n + y.n)")).select(F.col("x.k").alias("k"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
+    left = between.join(open_keys, ["k", "component"]).select("k", "other", F.col("id").alias("a"), F.col("n").alias("an"), F.col("core").alias("acore"))
+    right = open_keys.select("k", F.col("component").alias("other"), F.col("id").alias("b"), "n", "core")
     p = lambda c: f"({c} - ceil({percent} * {c} / 100) + 1)"
     most = f"shared + greatest(an - {p('an')}, n - {p('n')})"  # common keys are among the first ones of both or past those of one
     pairs = left.join(right, ["k", "other"]).where(fits).groupBy("a", "b", "an", "n").agg(F.count("*").alias("shared")).where(f"{100 + percent} * ({most}) >= {percent} * (an + n)")
@@ -280,3 +285,23 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
         stay = stay.withColumn("__nth", nth).where("__nth = 1 or doc_id is null").drop("__nth")
     return stay.select(docs.columns)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM w
+), e AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)
+), both_ways AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+)
+SELECT s.doc_id, len(any_value(g)) AS n_shingles, min(other) AS component_id FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id
+"""

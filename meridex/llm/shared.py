@@ -47,18 +47,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     gathered in one task. The number of steps grows with the logarithm of the longest chain.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, near) -> DataFrame:
         if large:
             both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
+        joined = both.join(near(least), "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return out.where("a <> b")
 
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
@@ -67,4 +67,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         mark = now
-        e = stored(star(star(e, True), False), "edges")
+        near = F.broadcast if 2 * now[0] <= BROADCAST_ROWS else lambda d: d  # no more minima than ends of edges
+        e = stored(star(star(e, True, near), False, near).distinct(), "edges")
