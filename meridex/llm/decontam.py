@@ -181,3 +181,28 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: documents that no benchmark item contaminates stay."""
     marked = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), column="__contamination")
     return marked.where(F.size("__contamination") == 0).drop("__contamination")
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT side, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t
+), s AS (
+  SELECT side, id, len(w) AS words, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g FROM w WHERE len(w) > 0
+), d AS (
+  SELECT id AS doc_id, words, pos - 1 AS pos, g[pos] AS k FROM (SELECT *, unnest(generate_series(1, len(g))) AS pos FROM s WHERE side = 'd')
+), i AS (
+  SELECT item_id, words, n, k, count(*) AS c FROM (SELECT id AS item_id, words, len(g) AS n, unnest(g) AS k FROM s WHERE side = 'i') GROUP BY ALL
+), hit AS (
+  SELECT d.doc_id, d.pos, d.k, i.item_id, i.c, i.n, least(i.words, d.words) AS size, greatest(least(i.words, d.words) - 4, 1) AS wide, greatest(d.words - 4, 1) AS all_n FROM d JOIN i USING (k)
+), placed AS (
+  SELECT *, unnest(generate_series(greatest(pos - wide + 1, 0), least(pos, all_n - wide))) AS start FROM hit
+), per AS (
+  SELECT doc_id, item_id, start, n, size, wide, k, least(count(*), any_value(c)) AS c FROM placed GROUP BY doc_id, item_id, start, n, size, wide, k
+), rated AS (
+  SELECT doc_id, item_id, start, size, sum(c)::BIGINT / (wide + n - sum(c)::BIGINT) AS similarity FROM per GROUP BY doc_id, item_id, start, n, size, wide
+)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, (similarity, -start)) AS start_word, any_value(size) AS n_words FROM rated WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
