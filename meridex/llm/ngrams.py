@@ -197,7 +197,7 @@ def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, perce
             count = np.concatenate([unpack_values(p) for p in right.column("counts").to_pylist()])
             order = np.argsort(known, kind="stable")
             known, count = known[order], count[order]
-            for batch in left.combine_chunks().to_batches():
+            for batch in (b for whole in left.combine_chunks().to_batches() for b in chunks(whole)):
                 values, starts = distinct_per_text(*_sets(batch, n))
                 at = np.minimum(np.searchsorted(known, values >> cut_off), len(known) - 1)
                 often = np.where(known[at] == values >> cut_off, count[at], np.uint64(1))
