@@ -16,8 +16,12 @@ labels follow the smoothed prior (1 where there are no labels at all); a null id
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import stored
+
 LEVELS = 4
 MIN_KINDS = 8
 MIN_PURITY = 0.5
@@ -35,59 +39,67 @@ def _rule_cases(rules: tuple[tuple[str, str], ...], verdict: bool) -> str:
     return f"CASE {' '.join(out)} ELSE NULL END" if out else "CAST(NULL AS VARCHAR(10))"
 
 
-def statement(rules: tuple[tuple[str, str], ...] = RULES, everywhere: str = "") -> str:
-    """The filter over `pages` and `labels` in SQL; `everywhere` is the flag for replacing all matches, where needed."""
+def steps(rules: tuple[tuple[str, str], ...] = RULES, everywhere: str = "") -> list[tuple[str, str]]:
+    """(name, SQL) of each step over `pages`, `labels` and earlier steps; the last is the result.
+
+    `everywhere` is the flag for replacing all matches, where an engine needs one.
+    """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     parts = []
     for i in range(1, LEVELS + 1):
         tail = "[^/]*" if i < LEVELS else ".*"
         parts.append(f"CASE WHEN depth >= {i} THEN regexp_extract(path, '^(?:/[^/]*){{{i - 1}}}/({tail})', 1) END AS s{i}")
-    tree = [f"l0 AS (SELECT *, '' AS t0, {', '.join(parts)} FROM split_urls)"]
+    tree = [("l0", f"SELECT *, '' AS t0, {', '.join(parts)} FROM split_urls")]
     for i in range(1, LEVELS + 1):
         p = f"t{i - 1}"
         shape = f"regexp_replace(s{i}, '[0-9]+', '#'{everywhere})"
-        tree.append(f"k{i} AS (SELECT host, {p}, count(*) AS kinds, sum(n) AS urls FROM (SELECT host, {p}, s{i}, count(*) AS n FROM l{i - 1} WHERE s{i} IS NOT NULL GROUP BY host, {p}, s{i}) c GROUP BY host, {p})")
+        tree.append((f"k{i}", f"SELECT host, {p}, count(*) AS kinds, sum(n) AS urls FROM (SELECT host, {p}, s{i}, count(*) AS n FROM l{i - 1} WHERE s{i} IS NOT NULL GROUP BY host, {p}, s{i}) c GROUP BY host, {p}"))
         token = f"CASE WHEN kinds >= {MIN_KINDS} AND kinds * 4 >= urls THEN CASE WHEN {shape} <> s{i} THEN {shape} ELSE '*' END ELSE s{i} END"
         first = f", CASE WHEN kinds >= {MIN_KINDS} AND kinds * 4 >= urls THEN 1 ELSE 0 END AS variable1" if i == 1 else ""
-        tree.append(f"l{i} AS (SELECT l.*, CASE WHEN l.s{i} IS NULL THEN l.{p} ELSE concat(l.{p}, '/', {token}) END AS t{i}{first} FROM l{i - 1} l LEFT JOIN k{i} k ON l.host = k.host AND l.{p} = k.{p})")
-    return f"""
-WITH cut AS (
-  SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
-), split_urls AS (
-  SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, path, length(path) - length(replace(path, '/', '')) AS depth FROM cut
-), {', '.join(tree)}, known AS (
-  SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
-), labelled AS (
-  SELECT l.page_id, l.host, l.path, l.t{LEVELS} AS template, CASE WHEN l.variable1 = 0 AND l.s1 IS NOT NULL THEN concat('/*', substr(l.t{LEVELS}, length(l.s1) + 2)) ELSE l.t{LEVELS} END AS family, k.quality
-  FROM l{LEVELS} l LEFT JOIN known k ON l.page_id = k.doc_id
-), branch AS (
-  SELECT host, family, template, count(quality) AS n, coalesce(sum(quality), 0) AS good FROM labelled GROUP BY host, family, template
-), sibling AS (
-  SELECT host, family, sum(n) AS all_n, sum(good) AS all_good, count(*) AS branches FROM branch GROUP BY host, family
-), merged AS (
-  SELECT b.host, b.family, b.template, b.n, b.good, CASE WHEN s.branches > 1 AND
+        tree.append((f"l{i}", f"SELECT l.*, CASE WHEN l.s{i} IS NULL THEN l.{p} ELSE concat(l.{p}, '/', {token}) END AS t{i}{first} FROM l{i - 1} l LEFT JOIN k{i} k ON l.host = k.host AND l.{p} = k.{p}"))
+    return [
+        ("cut", """SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages"""),
+        ("split_urls", f"""SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, path, length(path) - length(replace(path, '/', '')) AS depth FROM cut"""),
+        *tree,
+        ("known", """SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id"""),
+        ("labelled", f"""SELECT l.page_id, l.host, l.path, l.t{LEVELS} AS template, CASE WHEN l.variable1 = 0 AND l.s1 IS NOT NULL THEN concat('/*', substr(l.t{LEVELS}, length(l.s1) + 2)) ELSE l.t{LEVELS} END AS family, k.quality
+  FROM l{LEVELS} l LEFT JOIN known k ON l.page_id = k.doc_id"""),
+        ("branch", """SELECT host, family, template, count(quality) AS n, coalesce(sum(quality), 0) AS good FROM labelled GROUP BY host, family, template"""),
+        ("sibling", """SELECT host, family, sum(n) AS all_n, sum(good) AS all_good, count(*) AS branches FROM branch GROUP BY host, family"""),
+        ("merged", """SELECT b.host, b.family, b.template, b.n, b.good, CASE WHEN s.branches > 1 AND
     (b.n * 1.0 * s.all_n - 0.0 <= 0 OR (b.good * 1.0 * s.all_n - b.n * 1.0 * s.all_good) * (b.good * 1.0 * s.all_n - b.n * 1.0 * s.all_good) <= 3.8416 * b.n * s.all_good * (s.all_n - s.all_good))
     THEN b.family ELSE b.template END AS final
-  FROM branch b JOIN sibling s ON b.host = s.host AND b.family = s.family
-), prior AS (
-  SELECT CASE WHEN count(quality) = 0 THEN 1.0 ELSE sum(quality) * 1.0 / count(quality) END AS rate FROM labelled
-), purity AS (
-  SELECT host, final, (CAST(sum(good) AS DOUBLE) + {ALPHA} * CAST(max(rate) AS DOUBLE)) / (CAST(sum(n) AS DOUBLE) + {ALPHA}) AS purity FROM merged CROSS JOIN prior GROUP BY host, final
-), judged AS (
-  SELECT l.page_id, l.host, l.path, m.final AS template, p.purity FROM labelled l
-  JOIN merged m ON l.host = m.host AND l.template = m.template JOIN purity p ON m.host = p.host AND m.final = p.final
-)
-SELECT page_id, host, path, {_rule_cases(rules, False)} AS rule,
+  FROM branch b JOIN sibling s ON b.host = s.host AND b.family = s.family"""),
+        ("prior", """SELECT CASE WHEN count(quality) = 0 THEN 1.0 ELSE sum(quality) * 1.0 / count(quality) END AS rate FROM labelled"""),
+        ("purity", f"""SELECT host, final, (CAST(sum(good) AS DOUBLE) + {ALPHA} * CAST(max(rate) AS DOUBLE)) / (CAST(sum(n) AS DOUBLE) + {ALPHA}) AS purity FROM merged CROSS JOIN prior GROUP BY host, final"""),
+        ("judged", """SELECT l.page_id, l.host, l.path, m.final AS template, p.purity FROM labelled l
+  JOIN merged m ON l.host = m.host AND l.template = m.template JOIN purity p ON m.host = p.host AND m.final = p.final"""),
+        ("result", f"""SELECT page_id, host, path, {_rule_cases(rules, False)} AS rule,
   coalesce({_rule_cases(rules, True)}, CASE WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
   template, round(purity, 6) AS purity
-FROM judged
-"""
+FROM judged"""),
+    ]
+
+
+def statement(rules: tuple[tuple[str, str], ...] = RULES, everywhere: str = "") -> str:
+    """All steps in one SQL statement."""
+    *made, (_, last) = steps(rules, everywhere)
+    return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in made) + " " + last
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity) for each row of (page_id, url)."""
-    text = statement(rules)
-    return pages.sparkSession.sql(text.replace("FROM pages", "FROM {pages}").replace("FROM labels", "FROM {labels}").replace("'^(?:/[^/]*){", "'^(?:/[^/]*){{").replace("}/(", "}}/("), pages=pages.select("page_id", "url"), labels=labels.select("doc_id", "quality"))
+    """(page_id, host, path, rule, verdict, template, purity) for each row of (page_id, url).
+
+    Each level of the tree is a table of its own, since several later steps read it.
+    """
+    spark = pages.sparkSession
+    known = {"pages": pages.select("page_id", "url"), "labels": labels.select("doc_id", "quality")}
+    for name, text in steps(rules):
+        used = {n for n in re.findall(r"(?:FROM|JOIN) (\w+)", text) if n in known}
+        text = re.sub(r"(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in known else m[0], text.replace("{", "{{").replace("}", "}}"))
+        made = spark.sql(text, **{n: known[n] for n in used})
+        known[name] = stored(made, name) if re.fullmatch(r"l[1-9]|labelled|merged|prior", name) else made
+    return known["result"]
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
