@@ -8,7 +8,11 @@ is a template of its own.
 
 A template recurs if at least `MIN_DOCS` documents have a line of it and it has a word that isn't variable. Lines of
 recurring templates are dropped, except in a document more than half of whose words they would take: that is a copy
-of other documents as a whole and a matter of document deduplication.
+of other documents as a whole and a matter of document deduplication. The SQL of `op6_lines` has this rule.
+
+The pipeline's stage has no such exception. There, documents more than half of whose words recur are compared over
+their shingles as in the join that follows, those that link count as one document, and the lines that still recur are
+dropped whatever their share. So groups of copies neither make lines recur nor become empty.
 
 Only keys, hashes and counts of lines are shuffled until the last join; counting is partial before each shuffle.
 Lines of leaves with several different lines are read a second time for their words.
@@ -23,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngrams import classes
 from .shared import small, stored
 
 LEAD = 3
@@ -60,17 +65,41 @@ def recurring_lines(docs: DataFrame, seen: DataFrame, min_docs: int = MIN_DOCS)
     return stored(alone.union(members.join(support, "leaf").select("line")).distinct(), "recurring")
 
 
-def drop_recurring(df: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
-    """`df` with recurring lines taken out of `text`; `counts` adds n_lines (with words) and n_dropped."""
+def _marked(seen: DataFrame, recurring: DataFrame) -> DataFrame:
+    return seen.join(small(recurring.withColumn("again", F.lit(True))), "line", "left")
+
+
+def _apart_from_copies(docs: DataFrame, seen: DataFrame, recurring: DataFrame, min_docs: int) -> DataFrame:
+    """`recurring` again, where documents that mostly recur and link with each other count as one."""
+    gone = _marked(seen, recurring).groupBy("doc").agg(F.sum("n").alias("words"), F.sum(F.expr("if(again, n, 0)")).alias("gone"))
+    mostly = stored(gone.where("2 * gone > words and doc is not null").select("doc"), "mostly-recurring")
+    if mostly.isEmpty():
+        return recurring
+    linked = classes(docs.join(small(mostly), "doc", "left_semi"), key="doc").where("component_id <> doc").groupBy("doc").agg(F.min("component_id").alias("one"))
+    linked = stored(linked, "linked")
+    if linked.isEmpty():
+        return recurring
+    as_one = seen.join(small(linked), "doc", "left").withColumn("doc", F.coalesce("one", "doc")).drop("one")
+    return recurring_lines(docs, as_one, min_docs)
+
+
+def drop_recurring(df: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS, counts: bool = False, spare: bool = True) -> DataFrame:
+    """`df` with recurring lines taken out of `text`; `counts` adds n_lines (with words) and n_dropped.
+
+    `spare` leaves documents alone that would lose more than half of their words; without it, keys must be integers.
+    """
     docs = df.select(F.col(key).alias("doc"), "text")
     fixed = F.expr("exists(w, x -> x <> '<*>')")
     seen = stored(_lines(docs).select("doc", "n", "leaf", "line", fixed.alias("fixed")), "lines")
     recurring = recurring_lines(docs, seen, min_docs)
-    marked = seen.join(small(recurring.withColumn("again", F.lit(True))), "line", "left")
-    per = marked.groupBy("doc").agg(
+    if not spare:
+        recurring = _apart_from_copies(docs, seen, recurring, min_docs)
+    per = _marked(seen, recurring).groupBy("doc").agg(
         F.count("*").alias("__lines"), F.sum("n").alias("__words"), F.sum(F.expr("if(again, n, 0)")).alias("__gone"), F.collect_set(F.expr("if(again, line, null)")).alias("__drop")
     )
-    per = per.withColumn("__drop", F.expr("if(2 * __gone > __words, array(), __drop)")).withColumnRenamed("doc", "__doc")
+    if spare:
+        per = per.withColumn("__drop", F.expr("if(2 * __gone > __words, array(), __drop)"))
+    per = per.withColumnRenamed("doc", "__doc")
     if not counts:
         per = per.where("size(__drop) > 0")
     joined = df.join(per, F.col(key).eqNullSafe(F.col("__doc")), "left")
@@ -92,7 +121,7 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without the lines that recur across documents."""
-    return drop_recurring(docs)
+    return drop_recurring(docs, spare=False)
 
 
 OP6_SQL = r"""
