@@ -11,7 +11,9 @@ keys, passwords, tokens, and names after a title. Each is replaced by a keyed pe
 
 The surrogate is a function of kind, value and key alone, so an entity reads the same in every document, in either
 case of letters. Collisions: over the whole corpus, surrogates that equal another entity's text or another surrogate
-are given to the next attempt (another permutation) until none is left; these exceptions are joined to documents.
+are given to the next attempt (another permutation), `ATTEMPTS` times at most. What is open then (the names of a full
+list, a secret without letters) gets a longer made-up form of its kind by its rank, checked in the same way; kinds of
+fixed length (addresses, numbers, access keys) raise an error instead. These exceptions are joined to documents.
 
 Defined results: null texts stay null, empty ones empty; texts without entities stay the same byte for byte; repeated
 rows get equal results; the other columns stay.
@@ -29,8 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..operators.records import global_rank
 from .shared import small, stored
 
+#: Permutations that are tried for an entity before it gets a longer form.
+ATTEMPTS = 64
 KEY = "surrogate-key"
 # Given names by script and gender.
 NAMES = {
@@ -141,6 +146,22 @@ def surrogate(kind: str, value: str, key: str = KEY, attempt: int = 0) -> str:
     return " ".join(out)
 
 
+def longer(kind: str, value: str, number: int, count: int, extra: int, key: str = KEY) -> str:
+    """Replacement `number` of `count` in a form longer than `value`; different numbers give different ones."""
+    script = "cyrillic" if re.match("[А-Яа-яЁё]", value) else "latin"
+    head, at, _ = value.partition("@")
+    letters = ["0123456789abcdef"] if kind == "secret" and re.fullmatch("[0-9a-f]+", value) else _SPEECH[2:4] if script == "cyrillic" else _SPEECH[:2]
+    width, size = 0, 1
+    while width <= len(head) + extra or size < count:
+        size, width = size * len(letters[width % len(letters)]), width + 1
+    number = permute(number, size, hashlib.sha256(f"{key}|{kind.split(':')[0]}|{letters[0]}|{width}|longer".encode()).digest())
+    out = ""
+    for i in range(width):
+        number, k = divmod(number, len(letters[i % len(letters)]))
+        out += letters[i % len(letters)][k]
+    return out + (at + surrogate(kind, value, key).partition("@")[2] if at else "")
+
+
 def entities(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, in order."""
     if not text or not QUICK.search(text):
@@ -185,7 +206,7 @@ def exceptions(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     root = F.substring_index("kind", ":", 1)
     taken = known.select(root.alias("root"), F.col("value").alias("surrogate")).distinct()
     settled, open_, moved = None, known, None
-    for attempt in range(64):
+    for attempt in range(ATTEMPTS):
         given = open_.select("kind", "value").mapInArrow(give(attempt), schema).withColumn("root", root)
         rivals = given.groupBy("root", "surrogate").agg(F.min("value").alias("winner"))
         used = taken if settled is None else taken.union(settled.select("root", "surrogate"))
@@ -198,11 +219,42 @@ def exceptions(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
         open_ = marked.where("bad")
         if open_.isEmpty():
             break
+    else:
+        more = _longer_forms(open_.select("kind", "value", "root"), taken.union(settled.select("root", "surrogate")), key)
+        moved = more if moved is None else moved.select(more.columns).union(more)
     if moved is None:
         moved = known.select("kind", "value", F.lit("").alias("surrogate")).where("false")
     return moved.select("kind", "value", "surrogate")
 
 
+def _longer_forms(open_: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) for each of `open_`: longer forms that differ from each other and from `taken`."""
+    fixed = open_.where("root not in ('name', 'email', 'secret')").first()
+    if fixed:
+        raise ValueError(f"no free surrogate is left for an entity of kind {fixed.kind}")
+    open_ = stored(global_rank(open_, [F.col("kind"), F.col("value")], "number"), "open")
+    count, done, extra = open_.count(), None, 0
+
+    def give(extra: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = zip(*(b.column(c).to_pylist() for c in ("kind", "value", "number")), strict=True)
+                made = [longer(k, v, n - 1, count, extra, key) for k, v, n in rows]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "surrogate"])
+
+        return run
+
+    while True:  # ends: a form longer than the longest of `taken` is free
+        used = taken if done is None else taken.union(done.select("root", "surrogate"))
+        given = open_.select("kind", "value", "root", "number").mapInArrow(give(extra), "kind string, value string, root string, number long, surrogate string")
+        marked = stored(given.join(used.distinct().withColumn("hit", F.lit(True)), ["root", "surrogate"], "left"), "longer")
+        good = marked.where("hit is null").select("kind", "value", "surrogate", "root")
+        done = good if done is None else done.union(good)
+        open_, extra = marked.where("hit"), extra + 1
+        if open_.isEmpty():
+            return done.select("kind", "value", "surrogate")
+
+
 def pseudonymise(df: DataFrame, text: str = "text", key_column: str = "doc_id", key: str = KEY) -> DataFrame:
     """`df` with surrogates in `text` and a column `replaced` of (kind, start, end) in the new text."""
     df = df.drop("replaced")
@@ -222,7 +274,11 @@ def pseudonymise(df: DataFrame, text: str = "text", key_column: str = "doc_id",
             for t, own in zip(batch.column(text).to_pylist(), given, strict=True):
                 parts, at, size, spots = [], 0, 0, []
                 for k, a, b in entities(t):
-                    new = own.get(f"{k}|{_norm(k, t[a:b])}") or surrogate(k, t[a:b], key)
+                    new = own.get(f"{k}|{_norm(k, t[a:b])}")
+                    if new is None:
+                        new = surrogate(k, t[a:b], key)
+                    elif k.startswith("name"):
+                        new = new[0].upper() + new[1:]
                     parts += [t[at:a], new]
                     size += a - at
                     spots.append({"kind": k.partition(":")[0], "start": size, "end": size + len(new)})
