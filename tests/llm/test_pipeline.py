@@ -6,7 +6,7 @@ from oracle import SF
 from pyspark.sql import functions as F
 
 from meridex.llm import decontam, ngrams
-from test_queries import ODD, empty, odd  # noqa: F401
+from test_corpus_queries import ODD, empty, odd  # noqa: F401
 
 
 def test_order_and_names():
