@@ -7,15 +7,18 @@ The result is each document's class: the connected component of links.
 2. Global order: by document frequency, then by hash. Blocks of documents send their sorted, distinct shingles to
    shards, which add them up and tell each block the frequencies of those that it shares with another document.
    Sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of this order. Those of frequency one come
-   first and match nothing, so a document that has enough of them is done; only others send shingles on.
-3. Star links. Each shared key has a leader, the document whose first keys are shared most. Leaders are compared with
-   the others of their keys and linked ones form components.
-4. The rest. Where a key still holds several components, documents of different components are paired, once each,
-   if their sizes, the shingles that they don't have alone, and the first keys that they share allow a link. So a group of thousands of copies costs
-   about one comparison for each copy and no link between different components is lost.
-5. Comparison. Candidates of one probe are put in a prefix tree of sets in the order of hashes (sorted, with the depth that each
-   shares with the one before). Walking it keeps the overlap of the shared path and leaves a subtree as soon as the
-   overlap so far plus the remaining length is too small.
+   first and match nothing, so a document that has enough of them is done; the others keep their shared shingles in
+   the global order and send their first ones on as keys.
+3. Star links. Each key has a leader, the document whose keys are shared most. Leaders are compared with the others of
+   their keys, unless sizes or places in the order rule a link out, and linked ones form components.
+4. The rest. Documents whose keys still hold several components form clusters: what keys connect. A cluster is one unit
+   of work, each set being sent to it once. A cluster of more than `UNIT` sets is cut in parts, with a unit for each two
+   of them, or goes by single keys, whichever sends fewer sets. Pairs exist only inside a unit, in the walk of step 5;
+   what leaves it are links that join components. No link is lost, and a unit's memory is bounded.
+5. Prefix tree. A unit's sets, in the global order, are a trie whose edges hold several shingles. All probes walk it
+   together; each carries the overlap of the path so far, shared by all sets below, and leaves a subtree as soon as what
+   either side has missed is more than a link allows (the overlap so far plus the remaining length is too small).
+   Rare shingles come first, so sets that differ part after a few of them.
 
 Defined results: null and empty texts have an empty set and are alone; a text with fewer than n words has its whole
 sequence as its one shingle; a null key stays in the result with a null class; rows that repeat a key count as one
@@ -38,8 +41,12 @@ from .textops import chunks, distinct_per_text, mix, shingles, text_buffers, wor
 BLOCK_BYTES = 4 << 20
 #: Shingles that one shard adds up at a time, about.
 SHARD_NAMES = 2_000_000
-#: Candidates of one probe that are compared in one go; more are spread over several tasks.
+#: Members of one leader that are compared in one go; more are spread over several tasks.
 CHUNK = 500
+#: Sets of one unit of the rest; a larger cluster is cut.
+UNIT = 1000
+#: Shingles that a walk looks up at a time.
+STEP = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,88 +58,231 @@ def prefix_length(size, percent: int):
     return size - -(-percent * size // 100) + 1
 
 
-def links(x: np.ndarray, y: int, common: int, percent: int) -> bool:
-    return (100 + percent) * common >= percent * (len(x) + y)
-
-
-def tree_join(probe: np.ndarray, members: list[np.ndarray], percent: int, step: int = 64) -> list[int]:
-    """Which members (ascending keys) link with the probe."""
-    order = sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
-    out, last, path, dead = [], probe[:0], np.zeros(1, np.int64), -1
-    for i in order:
-        y = members[i]
-        short = min(len(last), len(y))
-        differ = np.flatnonzero(last[:short] != y[:short])
-        shared = int(differ[0]) if len(differ) else short
-        need = -(-percent * (len(probe) + len(y)) // (100 + percent))
-        last = y
-        if 0 <= dead <= shared and path[dead] + len(y) - dead < need:
-            path = path[: dead + 1]  # the subtree was left at this depth
-            continue
-        dead = -1
-        shared = min(shared, len(path) - 1)
-        path = path[: shared + 1]
-        while shared < len(y):
-            part = y[shared : shared + step]
-            at = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
-            path = np.concatenate([path, path[-1] + np.cumsum(probe[at] == part)])
-            shared += len(part)
-            if path[-1] + len(y) - shared < need:
-                dead = shared
-                break
-        if dead < 0 and path[-1] >= need:
-            out.append(i)
-    return out
+def needed(a, b, percent: int):
+    """The least overlap of sets of these sizes that link."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose sets link."""
-    spark = docs.sparkSession
-    pairs = stored(pairs, "pairs")
-    near = F.broadcast if 2 * pairs.count() <= BROADCAST_ROWS else lambda d: d  # no more ids or probes than ends of pairs
-    ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = docs.join(near(ids), "key", "left_semi")
+class PrefixTree:
+    """A trie of sets in the global order.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in chunks(whole):
-                values, starts = distinct_per_text(*_sets(batch, n))
-                raw = [values[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(raw, pa.binary())], names=["id", "set"])
+    `sets`: ascending ranks of the shingles that others may share; `size`: sizes with the others; `group`: a number for
+    each set. Edges end where sets part and at depths 4, 12, 28, ..., so an early difference costs few look-ups.
+    """
 
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray, group: np.ndarray):
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        self.member = np.array(order, np.int64)
+        self.size, self.group = np.asarray(size)[order], np.asarray(group)[order]
+        ordered = [sets[i] for i in order]
+        core = np.array([len(x) for x in ordered], np.int64)
+        self.flat = np.concatenate(ordered) if ordered else np.zeros(0, np.int64)
+        start = np.concatenate([[0], np.cumsum(core)])
+        shared = np.zeros(len(ordered) + 1, np.int64)  # with the set before
+        for i in range(1, len(ordered)):
+            a, b = ordered[i - 1], ordered[i]
+            short = min(len(a), len(b))
+            differ = np.flatnonzero(a[:short] != b[:short])
+            shared[i] = differ[0] if len(differ) else short
+        rows = [(0, len(ordered), 0, 0)]  # first and last set, depth where the edge begins and ends
+        children, leaves, k = [], [], 0
+        while k < len(rows):
+            lo, hi, _, depth = rows[k]
+            inner = lo + int(np.searchsorted(-(core[lo:hi] == depth).astype(np.int64), 0)) if hi > lo else lo
+            leaves.append((lo, inner))
+            cut = [inner, *(inner + 1 + np.flatnonzero(shared[inner + 1 : hi] <= depth)).tolist(), hi] if inner < hi else [hi]
+            children.append((len(rows), len(rows) + len(cut) - 1))
+            until = 4
+            while until <= depth:
+                until = 2 * until + 4
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                common = int(shared[a + 1 : b].min()) if b > a + 1 else int(core[a])
+                rows.append((a, b, depth, min(common, until)))
+            k += 1
+        lo, hi, begin, self.depth = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        self.at, self.length = start[lo] + begin, self.depth - begin
+        self.child, self.leaf = np.array(children, np.int64), np.array(leaves, np.int64)
+        over = lambda f, x: np.array([f(x[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]) if len(ordered) else np.zeros(1, np.int64)
+        self.most, self.least, self.low, self.high = over(np.max, core), over(np.min, self.size), over(np.min, self.group), over(np.max, self.group)
+
+    def join(self, sets: list[np.ndarray], size: np.ndarray, group: np.ndarray, percent: int, ascending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, member) of all links between sets of different groups; `ascending`: only with members of higher groups."""
+        wide = 1 + max([int(self.flat.max(initial=0)), *(int(x[-1]) for x in sets if len(x))])
+        keys = np.concatenate([i * wide + x for i, x in enumerate(sets)]) if sets else np.zeros(0, np.int64)
+        core = np.array([len(x) for x in sets], np.int64)
+        start = np.concatenate([[0], np.cumsum(core)])
+        size, group = np.asarray(size), np.asarray(group)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        stack = [(np.arange(len(sets)), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64))]
+        while stack:
+            probe, node, overlap = stack.pop()
+            first, last = self.child[node].T
+            many = last - first
+            if not len(many) or not many.any():
+                continue
+            if many.sum() > STEP and len(probe) > 1:
+                half = len(probe) // 2
+                stack += [(probe[s], node[s], overlap[s]) for s in (slice(0, half), slice(half, None))]
+                continue
+            probe, overlap = np.repeat(probe, many), np.repeat(overlap, many)
+            node = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            need = needed(size[probe], self.least[node], percent)
+            able = (self.high[node] > group[probe]) if ascending else (self.low[node] != group[probe]) | (self.high[node] != group[probe])
+            able &= (core[probe] >= need) & (self.most[node] >= need)
+            probe, node, overlap, need = probe[able], node[able], overlap[able], need[able]
+            cut = np.searchsorted(np.cumsum(self.length[node]), np.arange(STEP, self.length[node].sum() + STEP, STEP))
+            for part in np.split(np.arange(len(node)), np.unique(cut)):
+                p, v, m, least = probe[part], node[part], overlap[part], need[part]
+                if not len(p):
+                    continue
+                long = self.length[v]
+                where = np.repeat(self.at[v] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+                wanted = np.repeat(p * wide, long) + self.flat[where]
+                at = np.searchsorted(keys, wanted)
+                hit = keys[np.minimum(at, len(keys) - 1)] == wanted
+                ends = np.cumsum(long)
+                m = m + np.add.reduceat(hit, ends - long, dtype=np.int64)
+                passed = at[ends - 1] + hit[ends - 1] - start[p]
+                go = (self.depth[v] - m <= self.most[v] - least) & (passed - m <= core[p] - least)
+                p, v, m = p[go], v[go], m[go]
+                a, b = self.leaf[v].T
+                here = np.repeat(np.arange(len(v)), b - a)
+                leaf = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange(len(here))
+                q = p[here]
+                link = (m[here] >= needed(size[q], self.size[leaf], percent)) & ((self.group[leaf] > group[q]) if ascending else (self.group[leaf] != group[q]))
+                left.append(q[link])
+                right.append(self.member[leaf[link]])
+                stack.append((p, v, m))
+        return np.concatenate(left), np.concatenate(right)
+
+
+def _ranked(table: pa.Table) -> list[np.ndarray]:
+    """The sets of the rows as ranks in the global order of all shingles here."""
+    tokens = [np.frombuffer(x, np.int64) for x in table.column("tokens").to_pylist()]
+    if not tokens:
+        return []
+    often = np.concatenate([unpack_values(x) for x in table.column("often").to_pylist()]).astype(np.int64)
+    flat, cut = np.concatenate(tokens), np.cumsum([len(x) for x in tokens])
+    each, back = np.unique(flat, return_inverse=True)
+    count = np.zeros(len(each), np.int64)
+    count[back] = often
+    rank = np.empty(len(each), np.int64)
+    rank[np.lexsort((each.view(np.uint64), count))] = np.arange(len(each))
+    return np.split(rank[back], cut[:-1])
+
+
+def _groups(*columns: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of equal values in all columns."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(max(len(order) - 1, 0), bool)
+    for c in columns:
+        new |= np.diff(c[order]) != 0
+    return np.split(order, np.flatnonzero(new) + 1) if len(order) else []
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sets link; many pairs may share their a."""
+    spark = sets.sparkSession
+    pairs = stored(pairs, "pairs")
+    near = F.broadcast if 2 * pairs.count() <= BROADCAST_ROWS else lambda d: d  # no more leaders than pairs
     blocks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
-    members = stored(wanted.mapInArrow(sets, "id long, set binary"), "sets")
     number = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     of = F.pmod(F.xxhash64("a", "part"), F.lit(blocks)).alias("block")
     some = pairs.join(near(number), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", F.col("b").alias("id"))
-    rows = some.join(members, "id").select(of, "a", "part", "id", "set")
     probes = number.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("id", F.col("a"))
-    rows = rows.union(probes.join(members, "id").select(of, "a", "part", "id", "set"))
+    rows = some.union(probes).join(sets, "id").select(of, "a", "part", "id", "n", "tokens", "often")
 
     def join(table: pa.Table) -> pa.Table:
-        a, part, ids = (table.column(c).to_numpy() for c in ("a", "part", "id"))
-        raw = table.column("set").combine_chunks() if table.num_rows else table.column("set")
-        order = np.lexsort((part, a))
-        cut = np.flatnonzero((np.diff(a[order]) != 0) | (np.diff(part[order]) != 0)) + 1
+        a, part, ids, n = (table.column(c).to_numpy() for c in ("a", "part", "id", "n"))
+        ranked = _ranked(table)
         left, right = [], []
-        for group in np.split(order, cut):
-            sets = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in group]
-            own = [k for k, i in enumerate(group) if ids[i] == a[i]]
-            rest = [k for k, i in enumerate(group) if ids[i] != a[i]]
-            for p in own:
-                if len(sets[p]):
-                    for k in tree_join(sets[p], [sets[r] for r in rest], percent):
-                        left.append(a[group[p]])
-                        right.append(ids[group[rest[k]]])
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        for rows in _groups(a, part):
+            own, rest = rows[ids[rows] == a[rows]], rows[ids[rows] != a[rows]]
+            tree = PrefixTree([ranked[i] for i in rest], n[rest], np.zeros(len(rest), np.int64))
+            _, found = tree.join([ranked[i] for i in own], n[own], np.ones(len(own), np.int64), percent)
+            right.append(ids[rest[np.unique(found)]])
+            left.append(np.full(len(right[-1]), a[rows[0]]))
+        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *left]), "b": np.concatenate([np.zeros(0, np.int64), *right])})
 
     return stored(rows.groupBy("block").applyInArrow(join, "a long, b long").distinct(), "links")
 
 
-def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, percent: int) -> DataFrame:
-    """(id, n, core, k): of each document the first shingles in global order that another one may share.
+def _units(open_keys: DataFrame) -> DataFrame:
+    """(unit, lo, hi, part, id, component): each id in every unit of two parts of its cluster, or of its keys."""
+    nearest = open_keys.groupBy("k").agg(F.min("id").alias("b"))
+    cluster = connected_components(open_keys.join(nearest, "k").select(F.col("id").alias("a"), "b"))
+    named = open_keys.join(cluster.select("id", F.col("component").alias("cluster")), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    named = stored(named.select("k", "id", "component", "cluster").distinct(), "clusters")
+    parts = F.ceil(F.count("*") / UNIT)
+    whole = named.select("cluster", "id").distinct().groupBy("cluster").agg(parts.alias("parts"), (F.count("*") * parts).alias("sent"))
+    key = named.select("cluster", "k", "id").distinct().groupBy("cluster", "k").agg(parts.alias("parts"), (F.count("*") * parts).alias("sent"))
+    by_key = key.groupBy("cluster").agg(F.sum("sent").alias("by_key"))
+    less = whole.join(by_key, "cluster").withColumn("whole", F.col("sent") <= F.col("by_key")).select("cluster", "parts", "whole")
+    rows = named.join(less, "cluster")
+    one = rows.where("whole").select(F.col("cluster").alias("unit"), F.lit(0).alias("k"), "parts", "id", "component").distinct()
+    two = rows.where("not whole").drop("parts").join(key.select("cluster", "k", "parts"), ["cluster", "k"]).select(F.col("cluster").alias("unit"), "k", "parts", "id", "component").distinct()
+    dealt = one.union(two).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select(F.xxhash64("unit", "k").alias("unit"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "component")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the links (a, b) join what the earlier ones haven't."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append(i)
+    return out
 
-    core: how many of its shingles another one may share at all, which bounds every overlap.
+
+def _rest_links(open_keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of the open keys as far as all links do."""
+    spark = sets.sparkSession
+    units = stored(_units(open_keys), "units")
+    blocks = max(spark.sparkContext.defaultParallelism, units.count() // UNIT)
+    of = F.pmod(F.xxhash64("unit", "lo", "hi"), F.lit(blocks)).alias("block")
+    rows = units.join(sets, "id").select(of, "unit", "lo", "hi", "part", "id", "component", "n", "tokens", "often")
+
+    def join(table: pa.Table) -> pa.Table:
+        unit, lo, hi, part, ids, component, n = (table.column(c).to_numpy() for c in ("unit", "lo", "hi", "part", "id", "component", "n"))
+        ranked = _ranked(table)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in _groups(unit, lo, hi):
+            one = lo[rows[0]] == hi[rows[0]]
+            _, group, count = np.unique(component[rows], return_inverse=True, return_counts=True)
+            if len(count) < 2:
+                continue
+            place = np.empty(len(count), np.int64)  # the largest component comes last and is never a probe in its own part
+            place[np.argsort(count, kind="stable")] = np.arange(len(count))
+            group = place[group]
+            probes = np.flatnonzero(group < len(count) - 1) if one else np.flatnonzero(part[rows] == lo[rows[0]])
+            among = np.arange(len(rows)) if one else np.flatnonzero(part[rows] == hi[rows[0]])
+            pick = lambda x: [ranked[i] for i in rows[x]]
+            tree = PrefixTree(pick(among), n[rows[among]], group[among])
+            x, y = tree.join(pick(probes), n[rows[probes]], group[probes], percent, one)
+            x, y = rows[probes[x]], rows[among[y]]
+            keep = _forest(component[x], component[y])
+            left.append(ids[x[keep]])
+            right.append(ids[y[keep]])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return stored(rows.groupBy("block").applyInArrow(join, "a long, b long"), "more-links")
+
+
+def _ordered_sets(docs: DataFrame, total_bytes: int, total: int, n: int, percent: int) -> DataFrame:
+    """(id, n, core, keys, tokens, often) of each document that may link with another one.
+
+    tokens, often: its shingles that another one may share, in global order, and their frequencies; core: their number,
+    which bounds every overlap; keys: those in the prefix.
     """
     spark = docs.sparkSession
     cuts = spark.sparkContext.broadcast(key_ranges(docs, total_bytes, BLOCK_BYTES))
@@ -191,7 +341,7 @@ def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(block_of(b.column("key")), pa.int64()), b.column("key"), b.column("text")], names=["block", "key", "text"])
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, int, int]] = []
+        out: list[tuple] = []
         if left.num_rows and right.num_rows:
             known = np.concatenate([unpack_sorted(p) for p in right.column("packed").to_pylist()])
             count = np.concatenate([unpack_values(p) for p in right.column("counts").to_pylist()])
@@ -205,16 +355,16 @@ def _first_shingles(docs: DataFrame, total_bytes: int, total: int, n: int, perce
                     more = np.flatnonzero(often[x:y] > 1)
                     take = prefix_length(y - x, percent) - (y - x - len(more)) if y > x else 0
                     if take > 0:
-                        v = values[x:y][more]
-                        out.append((key, v[np.lexsort((v, often[x:y][more]))][:take], y - x, len(more)))
-        size = [len(x[1]) for x in out]
-        k = np.concatenate([x[1] for x in out]).view(np.int64) if out else np.zeros(0, np.int64)
-        spread = lambda i: pa.array(np.repeat(np.array([x[i] for x in out], np.int64), size))
-        return pa.table({"id": spread(0), "n": spread(2), "core": spread(3), "k": k})
+                        v, c = values[x:y][more], often[x:y][more]
+                        order = np.lexsort((v, c))
+                        v = v[order].view(np.int64)
+                        out.append((key, y - x, len(more), v[:take], v.tobytes(), pack_values(c[order])))
+        return pa.table({f.name: pa.array([x[i] for x in out], f.type) for i, f in enumerate(ordered)})
 
+    ordered = [pa.field("id", pa.int64()), pa.field("n", pa.int64()), pa.field("core", pa.int64()), pa.field("keys", pa.list_(pa.int64())), pa.field("tokens", pa.binary()), pa.field("often", pa.binary())]
     told = docs.mapInArrow(names, "shard long, block long, packed binary").groupBy("shard").applyInArrow(add_up, "block long, packed binary, counts binary")
     blocks = docs.mapInArrow(by_block, "block long, key long, text string")
-    return stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(first, "id long, n long, core long, k long"), "first-shingles")
+    return stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(first, "id long, n long, core long, keys array<long>, tokens binary, often binary"), "ordered-sets")
 
 
 def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -238,34 +388,26 @@ def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ke
     groups = stored(real.groupBy("n", "s1", "s2").agg(F.min("key").alias("id")), "groups")
     # a document of several texts joins their groups
     twins = real.groupBy("key").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").select("key")
-    copies = real.join(groups, ["n", "s1", "s2"]).where("key <> id").select("key").distinct()
+    copies = real.join(groups, ["n", "s1", "s2"]).where("key <> id").select("key").distinct().join(small(twins), "key", "left_anti")
     alone = docs.where("key is not null").join(small(copies), "key", "left_anti")
     totals = seen.agg(F.sum("bytes"), F.sum("n")).first()
-    tokens = _first_shingles(alone, totals[0] or 0, totals[1] or 0, n, percent)
+    sets = _ordered_sets(alone, totals[0] or 0, totals[1] or 0, n, percent)
+    tokens = sets.select("id", "n", "core", F.posexplode("keys").alias("at", "k"))
     shared = tokens.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     tokens = stored(tokens.join(shared, "k"), "shared-keys")  # only keys of two or more sets
     weighed = tokens.join(tokens.groupBy("id").agg(F.avg("c").alias("w")), "id").withColumn("down", -F.col("id"))
-    leader = weighed.groupBy("k").agg(F.max(F.struct("w", "down", "n", "core")).alias("l")).select("k", (-F.col("l.down")).alias("a"), F.col("l.n").alias("an"), F.col("l.core").alias("acore"))
-    fits = f"100 * least(n, an) >= {percent} * greatest(n, an) and {100 + percent} * least(core, acore) >= {percent} * (n + an)"
-    stars = tokens.join(leader, "k").where(f"id <> a and {fits}").select("a", F.col("id").alias("b")).distinct()
-    found = _compare(stars, docs, n, percent)
+    leader = weighed.groupBy("k").agg(F.max(F.struct("w", "down", "n", "core", "at")).alias("l"))
+    leader = leader.select("k", (-F.col("l.down")).alias("a"), F.col("l.n").alias("an"), F.col("l.core").alias("acore"), F.col("l.at").alias("aat"))
+    # two sets share no more than what follows the first shingle that they share
+    fits = f"100 * least(n, an) >= {percent} * greatest(n, an) and {100 + percent} * least(core - at, acore - aat) >= {percent} * (n + an)"
+    found = _star_links(tokens.join(leader, "k").where(f"id <> a and {fits}").select("a", F.col("id").alias("b")).distinct(), sets, percent)
     again = real.join(twins, "key", "left_semi").join(groups, ["n", "s1", "s2"]).select(F.col("key").alias("a"), F.col("id").alias("b")).where("a <> b")
     found = found.union(again)
     component = stored(connected_components(found), "components")
 
-    labelled = tokens.join(component, "id", "left").select("k", "id", "n", "core", F.coalesce("component", "id").alias("component"))
+    labelled = tokens.join(component, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
-    open_keys = stored(labelled.join(mixed, "k"), "open-keys")
-    kinds = open_keys.groupBy("k", "component").agg(F.min("n").alias("n"), F.max("core").alias("core"))
-    between = kinds.alias("x").join(kinds.alias("y"), F.expr(f"x.k = y.k and x.component < y.component and {100 + percent} * least(x.core, y.core) >= {percent} * (x.n + y.n)")).select(F.col("x.k").alias("k"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
-    left = between.join(open_keys, ["k", "component"]).select("k", "other", F.col("id").alias("a"), F.col("n").alias("an"), F.col("core").alias("acore"))
-    right = open_keys.select("k", F.col("component").alias("other"), F.col("id").alias("b"), "n", "core")
-    p = lambda c: f"({c} - ceil({percent} * {c} / 100) + 1)"
-    most = f"shared + greatest(an - {p('an')}, n - {p('n')})"  # common keys are among the first ones of both or past those of one
-    pairs = left.join(right, ["k", "other"]).where(fits).groupBy("a", "b", "an", "n").agg(F.count("*").alias("shared")).where(f"{100 + percent} * ({most}) >= {percent} * (an + n)")
-    done = stars.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    fresh = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(done, ["u", "v"], "left_anti").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    more = _compare(fresh, docs, n, percent)
+    more = _rest_links(stored(labelled.join(mixed, "k"), "open-keys"), sets, percent)
     if not more.isEmpty():
         component = stored(connected_components(found.union(more)), "components")
     whole = groups.join(component, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))

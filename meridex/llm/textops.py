@@ -1,12 +1,13 @@
 """Vectorised text helpers that run inside Arrow batches on the executors.
 
 All of them work on the UTF-8 bytes of a whole batch at once: one uint8 array and the offsets of its texts.
-Hashes are 64-bit polynomial hashes modulo 2**64 passed through a finaliser, so they are the same on every
-executor and in every run.
+Hashes are 64 bits wide and the same on every executor and in every run. Words are hashed eight bytes at a time, each
+step mixing the whole state, so words of up to eight bytes and one length never share a hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,28 @@ def window_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * _power("inverse", len(sums))[start])
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 512
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 64-bit hashes of the words from each start up to its end."""
+    size = end - start
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at, left, step = np.flatnonzero(size <= LONG_WORD), size[size <= LONG_WORD], 0
+    while len(at):
+        lane = lanes[start[at] + step]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix(out[at] ^ lane)
+        more = left > 8
+        at, left, step = at[more], left[more] - 8, step + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased unless `lower` is false.
 
@@ -99,7 +122,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     cut = offsets[1:][np.diff(offsets) > 0] - 1
     last[cut] = inside[cut]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, end, window_hash(prefix_sums(low), start, end), np.searchsorted(start, offsets)
+    return start, end, word_hash(low, start, end), np.searchsorted(start, offsets)
 
 
 def shingles(hashes: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import pytest
 from oracle import SF, check
 from pyspark.sql import functions as F
 
-from meridex.llm import decontam, lm, media, ngrams, packing, pii, quality, suffixes, urls
+from meridex.llm import decontam, lm, media, ngrams, packing, pii, quality, suffixes, textops, urls
 from meridex.llm import queries as q
 
 ODD = [
@@ -198,13 +198,58 @@ def test_ngram_join_against_all_pairs(spark, docs, n, percent):
     assert got == {k: (len(sets[k]), find(k)) for k in keys}
 
 
-def test_tree_join_against_sets():
+def test_prefix_tree_against_sets():
     rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 1 << 62, 200, dtype=np.uint64))
-    members = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(100, 200)], rng.integers(0, 1 << 62, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(300)]
-    for percent in (60, 80, 90):
-        want = [i for i, m in enumerate(members) if (100 + percent) * len(np.intersect1d(base, m)) >= percent * (len(base) + len(m))]
-        assert sorted(ngrams.tree_join(base, members, percent)) == want
+    base = np.unique(rng.integers(0, 5000, 200))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(100, len(base))], rng.integers(5000, 9000, rng.integers(0, 60))])) for _ in range(200)]
+    sets += [base[:3], base[:4], base[:5], base, base[1:]]
+    size = np.array([len(x) for x in sets]) + rng.integers(0, 3, len(sets))
+    group = rng.integers(0, 40, len(sets))
+    common = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    for percent in (50, 60, 80, 90):
+        tree = ngrams.PrefixTree(sets, size, group)
+        link = (100 + percent) * common >= percent * (size[:, None] + size[None, :])
+        for ascending in (False, True):
+            a, b = tree.join(sets, size, group, percent, ascending)
+            want = np.argwhere(link & ((group[:, None] < group[None, :]) if ascending else (group[:, None] != group[None, :])))
+            assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+    assert [len(x) for x in ngrams.PrefixTree([], np.zeros(0), np.zeros(0)).join([], np.zeros(0), np.zeros(0), 80)] == [0, 0]
+
+
+@pytest.mark.parametrize("unit", [7, 1000])
+def test_ngram_join_on_a_group_of_mutual_non_links(spark, monkeypatch, unit):
+    """Texts that share two thirds of their shingles with all others, among them a few that link."""
+    monkeypatch.setattr(ngrams, "UNIT", unit)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for at in rng.integers(0, 60, 5).tolist():
+            w[at] = f"v{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    texts += [t + " end" for t in texts[::6]] + [t + " end of it" for t in texts[::9]]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 100 * len(x & y) >= 90 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = ngrams.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root)) and len(set(root)) < len(root)
+
+
+def test_word_hash_tells_words_apart():
+    swap = lambda x: bytes(195 - c for c in x)
+    thue = bytes(97 + bin(i).count("1") % 2 for i in range(2048))
+    some = [thue, swap(thue), b"a" * 8, b"a" * 9, b"a" * 16, b"ab", b"b" * 600, b"b" * 601, b"caf\xc3\xa9", b"a\x00", b"a"]
+    data = b" ".join(some)
+    _, _, hashes, _ = textops.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(set(hashes.tolist())) == len(some)
+    twice = np.frombuffer(data + b"\n" + data, np.uint8)
+    _, _, again, _ = textops.words(twice, np.array([0, len(twice)]))
+    assert again.tolist() == hashes.tolist() * 2
 
 
 def test_language_model_counts(spark, docs):
