@@ -1,21 +1,21 @@
 r"""Removing recurring lines by a log-template tree (operator 6), in DataFrame operations only.
 
 A line's words are its runs of characters other than blanks; a word with a digit is variable and becomes `<*>`.
-The tree has a fixed depth: the number of words, then the leading `LEAD` words. Each leaf has one template. Where a
-leaf has different lines, the template holds at each place the word that at least half of the leaf's documents have
-there, and `<*>` elsewhere; a line belongs to it if at least half of its words are the template's. Any other line
-is a template of its own.
+The tree has a fixed depth: the number of words, the leading `LEAD` words, and, where lines of a leaf differ, the anchor:
+of a line's further words the one (word and place) that most documents of the leaf have. So a leaf has a template for
+each anchor. A template holds at each further place the word that at least half of the documents have there, and `<*>`
+elsewhere; a line belongs to it if more than half of its further words are the template's. Any other line is a template
+of its own.
 
 A template recurs if at least `MIN_DOCS` documents have a line of it and it has a word that isn't variable. Lines of
-recurring templates are dropped, except in a document more than half of whose words they would take: that is a copy
-of other documents as a whole and a matter of document deduplication. The SQL of `op6_lines` has this rule.
+recurring templates are dropped whatever their share of a document; a document of nothing else becomes empty.
 
-The pipeline's stage has no such exception. There, documents more than half of whose words recur are compared over
-their shingles as in the join that follows, those that link count as one document, and the lines that still recur are
-dropped whatever their share. So groups of copies neither make lines recur nor become empty.
+The pipeline's stage, which comes before copies are dropped, sets `copies`: all documents of which at least that share of
+words recur count as one document for each template. So what copies and near copies have in common stays for the join
+that follows, and what other documents repeat goes from all of them.
 
-Only keys, hashes and counts of lines are shuffled until the last join; counting is partial before each shuffle.
-Lines of leaves with several different lines are read a second time for their words.
+Each line is normalised once; further steps use its position in the text. Keys, hashes, positions and counts of lines are
+shuffled until the last join; counting is partial before each shuffle, and joins on lines are broadcast or salted.
 
 Defined results: null and empty texts have one empty line, which stays; blank lines always stay and aren't counted
 as lines with words; rows that repeat a key count as one document; null keys count as one document, too; the other
@@ -27,89 +27,88 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngrams import classes
-from .shared import small, stored
+from .shared import salted, small, stored
 
 LEAD = 3
 MIN_DOCS = 3
+#: The join that follows in the pipeline takes documents of this similarity.
+COPIES = 0.8
 _BLANKS = r"[\\x20\\x09\\x0B\\x0C\\x0D]+"
 _MASK = r"if({0} rlike '[0-9]', regexp_replace({0}, '[^\\x20\\x09\\x0B\\x0C\\x0D]*[0-9][^\\x20\\x09\\x0B\\x0C\\x0D]*', '<*>'), {0})"
-_WORDS = f"array_remove(split({{0}}, '{_BLANKS}'), '')"
-#: The same words with single blanks between them: what a line's hash is taken from.
-_NORMAL = f"array_join({_WORDS.format(_MASK)}, ' ')"
+_WORDS = f"array_remove(split({_MASK}, '{_BLANKS}'), '')"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, words, leaf, line) for each line that has words; leaf and line are hashes."""
-    one = docs.select("doc", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("raw"))
-    words = one.select("doc", F.expr(_WORDS.format(_MASK.format("raw"))).alias("w")).where("size(w) > 0")
+def _lines(rows: DataFrame) -> DataFrame:
+    """(doc, print, pos, n, leaf, line, fixed) for each line that has words; leaf and line are hashes."""
+    one = rows.select("doc", "print", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    words = one.select("doc", "print", "pos", F.expr(_WORDS.format("raw")).alias("w")).where("size(w) > 0")
     leaf = f"xxhash64(size(w), array_join(slice(w, 1, {LEAD}), ' '))"
-    return words.select("doc", "w", F.expr("cast(size(w) as int)").alias("n"), F.expr(leaf).alias("leaf"), F.expr("xxhash64(array_join(w, ' '))").alias("line"))
+    return words.select(
+        "doc", "print", "pos", F.expr("cast(size(w) as int)").alias("n"), F.expr(leaf).alias("leaf"), F.expr("xxhash64(array_join(w, ' '))").alias("line"), F.expr("exists(w, x -> x <> '<*>')").alias("fixed")
+    )
+
 
+def _words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(leaf, line, docs, w) of `lines` (leaf, line, docs, at: doc, print and pos of one of each)."""
+    per = lines.groupBy(F.col("at.doc").alias("own"), F.col("at.print").alias("own_print")).agg(F.collect_list(F.struct("at.pos", "leaf", "line", "docs")).alias("wanted"))
+    found = rows.join(per, F.col("doc").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))).select("wanted", F.split("text", "\n").alias("all"))
+    one = found.select(F.explode(F.expr("transform(wanted, x -> struct(x.leaf, x.line, x.docs, all[x.pos] as raw))")).alias("x"))
+    words = one.select("x.leaf", "x.line", "x.docs", F.expr(_WORDS.format("x.raw")).alias("w"))
+    return words.dropDuplicates(["leaf", "line"])
 
-def recurring_lines(docs: DataFrame, seen: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(line): hashes of the lines of recurring templates. `seen`: (doc, n, leaf, line, fixed) of all lines."""
-    each = stored(seen.where("fixed").select("leaf", "line", "doc").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs")), "line-counts")
-    alone = each.where(F.col("docs") >= min_docs).select("line")
+
+def templates(rows: DataFrame, seen: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(line, template): the lines of templates that recur. `rows`: (doc, print, text); `seen`: their lines."""
+    once = seen.where("fixed").groupBy("leaf", "line", "doc").agg(F.min(F.struct("print", "pos")).alias("at"))
+    each = stored(once.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at.print", "at.pos")).alias("at")), "line-counts")
+    alone = each.where(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"))
     mixed = each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
-    mixed = stored(mixed.select("leaf"), "mixed-leaves")
-    kinds = _lines(docs).join(small(mixed), "leaf", "left_semi").select("leaf", "line", "w").dropDuplicates(["leaf", "line"]).join(each, ["leaf", "line"])
-    kinds = stored(kinds, "mixed-lines")
-    words = kinds.select("leaf", "line", "docs", F.posexplode("w").alias("place", "word"))
-    counted = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("docs"))
-    top = counted.groupBy("leaf", "place").agg(F.max(F.struct("docs", "word")).alias("top"), F.sum("docs").alias("total"))
-    template = top.where("top.docs * 2 >= total").select("leaf", "place", F.col("top.word").alias("word"))
-    fits = words.where("word <> '<*>'").join(template, ["leaf", "place", "word"]).groupBy("leaf", "line").agg(F.count("*").alias("same"))
-    members = stored(kinds.join(fits, ["leaf", "line"]).where("2 * same >= size(w)").select("leaf", "line"), "members")
-    support = seen.join(small(members), ["leaf", "line"]).select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    return stored(alone.union(members.join(support, "leaf").select("line")).distinct(), "recurring")
-
-
-def _marked(seen: DataFrame, recurring: DataFrame) -> DataFrame:
-    return seen.join(small(recurring.withColumn("again", F.lit(True))), "line", "left")
-
-
-def _apart_from_copies(docs: DataFrame, seen: DataFrame, recurring: DataFrame, min_docs: int) -> DataFrame:
-    """`recurring` again, where documents that mostly recur and link with each other count as one."""
-    gone = _marked(seen, recurring).groupBy("doc").agg(F.sum("n").alias("words"), F.sum(F.expr("if(again, n, 0)")).alias("gone"))
-    mostly = stored(gone.where("2 * gone > words and doc is not null").select("doc"), "mostly-recurring")
-    if mostly.isEmpty():
-        return recurring
-    linked = classes(docs.join(small(mostly), "doc", "left_semi"), key="doc").where("component_id <> doc").groupBy("doc").agg(F.min("component_id").alias("one"))
-    linked = stored(linked, "linked")
-    if linked.isEmpty():
-        return recurring
-    as_one = seen.join(small(linked), "doc", "left").withColumn("doc", F.coalesce("one", "doc")).drop("one")
-    return recurring_lines(docs, as_one, min_docs)
-
-
-def drop_recurring(df: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS, counts: bool = False, spare: bool = True) -> DataFrame:
-    """`df` with recurring lines taken out of `text`; `counts` adds n_lines (with words) and n_dropped.
-
-    `spare` leaves documents alone that would lose more than half of their words; without it, keys must be integers.
-    """
-    docs = df.select(F.col(key).alias("doc"), "text")
-    fixed = F.expr("exists(w, x -> x <> '<*>')")
-    seen = stored(_lines(docs).select("doc", "n", "leaf", "line", fixed.alias("fixed")), "lines")
-    recurring = recurring_lines(docs, seen, min_docs)
-    if not spare:
-        recurring = _apart_from_copies(docs, seen, recurring, min_docs)
-    per = _marked(seen, recurring).groupBy("doc").agg(
-        F.count("*").alias("__lines"), F.sum("n").alias("__words"), F.sum(F.expr("if(again, n, 0)")).alias("__gone"), F.collect_set(F.expr("if(again, line, null)")).alias("__drop")
-    )
-    if spare:
-        per = per.withColumn("__drop", F.expr("if(2 * __gone > __words, array(), __drop)"))
-    per = per.withColumnRenamed("doc", "__doc")
-    if not counts:
-        per = per.where("size(__drop) > 0")
-    joined = df.join(per, F.col(key).eqNullSafe(F.col("__doc")), "left")
-    stay = f"filter(split(text, '\\n'), x -> not array_contains(__drop, xxhash64({_NORMAL.format('x')})))"
-    kept = F.expr(f"if(size(__drop) > 0, {stay}, null)")
-    out = joined.withColumn("__kept", kept).withColumn("__dropped", F.expr("if(__kept is null, 0, size(split(text, '\\n')) - size(__kept))")).withColumn("text", F.expr("if(__kept is null, text, array_join(__kept, '\\n'))"))
-    made = {c: F.col(c) for c in df.columns}
+    kinds = stored(_words_of(rows, each.join(small(stored(mixed.select("leaf"), "mixed-leaves")), "leaf", "left_semi")), "mixed-lines")
+    words = kinds.select("leaf", "line", "docs", F.expr("size(w)").alias("n"), F.posexplode("w").alias("place", "word")).where(F.col("place") >= LEAD)
+    held = stored(words.where("word <> '<*>'").groupBy("leaf", "place", "word").agg(F.sum("docs").alias("held")), "held")
+    best = F.max(F.struct("held", (-F.col("place")).alias("place"), "word"))
+    anchor = words.join(small(held), ["leaf", "place", "word"]).groupBy("leaf", "line").agg(best.alias("a"))
+    anchor = stored(anchor.select("leaf", "line", F.xxhash64("leaf", "a.place", "a.word").alias("template")), "anchors")
+    words = stored(words.join(small(anchor), ["leaf", "line"]).select("template", "line", "docs", "n", "place", "word"), "anchored-words")
+    counted = words.groupBy("template", "place", "word").agg(F.sum("docs").alias("docs"))
+    top = counted.groupBy("template", "place").agg(F.max(F.struct("docs", "word")).alias("top"), F.sum("docs").alias("total"))
+    shape = top.where("top.docs * 2 >= total and top.word <> '<*>'").select("template", "place", F.col("top.word").alias("word"))
+    same = words.join(small(stored(shape, "shapes")), ["template", "place", "word"]).groupBy("template", "line").agg(F.count("*").alias("same"), F.first("n").alias("n"))
+    members = stored(same.where(f"2 * same > n - {LEAD}").select("line", "template"), "members")
+    support = salted(seen.select("line", "doc"), members, "line", "doc").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    recurring = members.join(support.where(F.col("docs") >= min_docs), "template").select("line", "template")
+    return stored(alone.union(recurring).distinct(), "templates")
+
+
+def _without_copies(seen: DataFrame, found: DataFrame, copies: float, min_docs: int) -> DataFrame:
+    """`found` again, where the documents of which so large a share recurs count as one for each template."""
+    gone = salted(seen, found.select("line").distinct(), "line", "doc").groupBy(F.col("doc").alias("copy")).agg(F.sum("n").alias("gone"))
+    mostly = seen.groupBy("doc").agg(F.sum("n").alias("words")).join(gone, F.col("doc").eqNullSafe(F.col("copy"))).where(F.col("gone") >= copies * F.col("words"))
+    mostly = stored(mostly.select("copy"), "mostly-recurring")
+    having = salted(seen.select("line", "doc"), found, "line", "doc").select("template", "doc").distinct()
+    having = having.join(small(mostly.withColumn("one", F.lit(True))), F.col("doc").eqNullSafe(F.col("copy")), "left")
+    having = having.groupBy("template").agg(F.count(F.when(F.col("one").isNull(), 1)).alias("docs"), F.max(F.coalesce("one", F.lit(False))).cast("int").alias("more"))
+    return stored(found.join(having.where(F.col("docs") + F.col("more") >= min_docs).select("template"), "template", "left_semi"), "templates")
+
+
+def drop_recurring(df: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS, counts: bool = False, copies: float | None = None) -> DataFrame:
+    """`df` with recurring lines taken out of `text`; `counts` adds n_lines (with words) and n_dropped."""
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = df.select(F.struct(*map(name, df.columns)).alias("row"), name(key).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
+    seen = stored(_lines(rows), "lines")
+    found = templates(rows, seen, min_docs)
+    if copies is not None:
+        found = _without_copies(seen, found, copies, min_docs)
+    lost = salted(seen.select("doc", "print", "pos", "line"), found.select("line").distinct(), "line", "doc")
+    per = lost.groupBy(F.col("doc").alias("own"), F.col("print").alias("own_print")).agg(F.collect_set("pos").alias("lost"))
+    out = rows.join(per, F.col("doc").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print")), "left").withColumn("all", F.split("text", "\n"))
+    kept = "array_join(transform(array_except(sequence(0, size(all) - 1), lost), i -> all[i]), '\n')"
+    out = out.withColumn("new", F.expr(f"if(lost is null, row.text, {kept})"))
+    made = {c: F.col("row").getField(c).alias(c) for c in df.columns} | {"text": F.col("new").alias("text")}
     if "n_chars" in made:
-        made["n_chars"] = F.expr("if(__kept is null, n_chars, cast(length(text) as bigint))").alias("n_chars")
-    extra = [F.coalesce("__lines", F.lit(0)).alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped")] if counts else []
+        made["n_chars"] = F.expr("if(lost is null, row.n_chars, cast(length(new) as bigint))").alias("n_chars")
+    with_words = r"cast(size(filter(all, x -> x rlike '[^\\x20\\x09\\x0B\\x0C\\x0D]')) as bigint)"
+    extra = [F.expr(with_words).alias("n_lines"), F.expr("if(lost is null, 0L, cast(size(lost) as bigint))").alias("n_dropped")] if counts else []
     return out.select(*made.values(), *extra)
 
 
@@ -120,8 +119,11 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without the lines that recur across documents."""
-    return drop_recurring(docs, spare=False)
+    """Pipeline stage: documents without the lines that recur across documents; copies are left to the join.
+
+    Every document stays, an emptied one with an empty text; null and empty texts stay as they are.
+    """
+    return drop_recurring(docs, copies=COPIES)
 
 
 OP6_SQL = r"""
@@ -143,26 +145,30 @@ WITH raw AS (
 ), kinds AS (
   SELECT leaf, norm, docs, string_split(norm, ' ') AS w FROM each WHERE leaf IN (SELECT leaf FROM mixed)
 ), words AS (
-  SELECT leaf, norm, docs, i AS place, w[i] AS word FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM kinds)
+  SELECT leaf, norm, docs, len(w) AS n, i AS place, w[i] AS word FROM (SELECT *, unnest(generate_series(4, len(w))) AS i FROM kinds WHERE len(w) > 3)
+), held AS (
+  SELECT leaf, place, word, sum(docs) AS held FROM words WHERE word <> '<*>' GROUP BY ALL
+), anchor AS (
+  SELECT leaf, norm, arg_max(concat(place, ' ', word), (held, -place, word)) AS a FROM words JOIN held USING (leaf, place, word) GROUP BY leaf, norm
+), anchored AS (
+  SELECT * FROM words JOIN anchor USING (leaf, norm)
 ), counted AS (
-  SELECT leaf, place, word, sum(docs) AS docs FROM words GROUP BY ALL
+  SELECT leaf, a, place, word, sum(docs) AS docs FROM anchored GROUP BY ALL
 ), top AS (
-  SELECT leaf, place, sum(docs) AS total, max({'docs': docs, 'word': word}) AS t FROM counted GROUP BY leaf, place
-), template AS (
-  SELECT leaf, place, t.word AS word FROM top WHERE t.docs * 2 >= total
-), fits AS (
-  SELECT leaf, norm, count(*) AS same FROM words JOIN template USING (leaf, place, word) WHERE word <> '<*>' GROUP BY leaf, norm
+  SELECT leaf, a, place, sum(docs) AS total, max({'docs': docs, 'word': word}) AS t FROM counted GROUP BY leaf, a, place
+), shape AS (
+  SELECT leaf, a, place, t.word AS word FROM top WHERE t.docs * 2 >= total AND t.word <> '<*>'
 ), members AS (
-  SELECT leaf, norm FROM kinds JOIN fits USING (leaf, norm) WHERE 2 * same >= len(w)
+  SELECT leaf, a, norm FROM anchored JOIN shape USING (leaf, a, place, word) GROUP BY leaf, a, norm, n HAVING 2 * count(*) > n - 3
 ), support AS (
-  SELECT leaf FROM seen JOIN members USING (leaf, norm) GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3
+  SELECT leaf, a FROM seen JOIN members USING (leaf, norm) GROUP BY leaf, a HAVING count(DISTINCT doc_id) >= 3
 ), recurring AS (
-  SELECT norm FROM each WHERE docs >= 3 UNION SELECT norm FROM members WHERE leaf IN (SELECT leaf FROM support)
+  SELECT norm FROM each WHERE docs >= 3 UNION SELECT norm FROM members JOIN support USING (leaf, a)
 ), per AS (
-  SELECT doc_id, count(*) AS n_lines, sum(n) AS words, coalesce(sum(n) FILTER (norm IN (SELECT norm FROM recurring)), 0) AS gone FROM seen GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines FROM seen GROUP BY doc_id
 ), kept AS (
-  SELECT l.doc_id, l.pos, l.line, coalesce(s.norm IN (SELECT norm FROM recurring), false) AND 2 * p.gone <= p.words AS dropped
-  FROM raw l LEFT JOIN seen s ON s.doc_id = l.doc_id AND s.pos = l.pos LEFT JOIN per p ON p.doc_id = l.doc_id
+  SELECT l.doc_id, l.pos, l.line, coalesce(s.norm IN (SELECT norm FROM recurring), false) AS dropped
+  FROM raw l LEFT JOIN seen s ON s.doc_id = l.doc_id AND s.pos = l.pos
 )
 SELECT k.doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS text,
        coalesce(max(p.n_lines), 0) AS n_lines, count(*) FILTER (dropped) AS n_dropped

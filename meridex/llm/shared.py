@@ -30,6 +30,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, salts: int = 32) -> DataFrame:
+    """`left` joined with `right` on columns of which one value may be very frequent in `left`.
+
+    `right` is broadcast if it is small, and else sent `salts` times, so a frequent value is dealt over as many tasks.
+    """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on)
+    many = right.withColumn("salt_number", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = [on] if isinstance(on, str) else on
+    return left.withColumn("salt_number", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(many, [*on, "salt_number"]).drop("salt_number")
+
+
 def key_ranges(docs: DataFrame, total: int, block_bytes: int) -> np.ndarray:
     """Cuts of the integer column `key` into ranges of about `block_bytes` of `total` bytes of text each.
 
