@@ -5,16 +5,19 @@ is shorter) has a weighted similarity of at least `SIMILARITY` with the item: ov
 counts over sum of the greater counts.
 
 1. A window that similar shares at least one shingle with the item, so only windows around shared shingles count.
-2. Every such window gets a 64-bit SimHash. A multi-index cuts fingerprints into eight blocks of eight bits; two
-   fingerprints within `RADIUS` = 24 bits agree in some block to 3 bits (24 / 8), so the index misses none of them.
-   At the threshold two fingerprints differ in about 10 bits, 24 being five standard deviations above that.
+2. Every such window gets a 64-bit SimHash, which is looked up in a multi-index of the items of that length. It cuts
+   fingerprints into eight blocks of eight bits; two fingerprints within `RADIUS` = 24 bits agree in some block to 3
+   bits (24 / 8). For each block and each of its 256 values a table holds the items that near, so eight look-ups give
+   all fingerprints within the radius; their distance is checked. At the threshold two fingerprints differ in about 10
+   bits, 24 being five standard deviations above that.
 3. The exact weighted similarity decides.
 
 Items are read in blocks of at most `ITEM_BLOCK_BYTES` of text, a proven bound for what is sent to the executors;
-more items mean more passes over the documents.
+more items mean more passes over the documents, each written before the next. Memory of a task follows its longest text.
 
 Defined results: null and empty texts and items match nothing; a text or item of fewer than five words has its whole
-sequence as its one shingle; of equally similar windows the first is reported; repeated rows get repeated results.
+sequence as its one shingle; of equally similar windows the first is reported; repeated rows get repeated results; items
+of equal keys are items of their own; a null key is reported as null.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from .shared import stored
 from .textops import chunks, mix, shingles, text_buffers, words
 
 SHINGLE = 5
@@ -34,18 +39,38 @@ SIMILARITY = 0.8
 RADIUS = 24
 BLOCKS = 8
 ITEM_BLOCK_BYTES = 16 << 20
-_BITS = np.arange(64, dtype=np.uint64)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def signs(values: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of 64 bits of each shingle's hash."""
-    return (((mix(values ^ np.uint64(0x5851F42D4C957F2D))[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1
+def fingerprints(values: np.ndarray, starts: np.ndarray, wide: int, hashes: np.ndarray | None = None) -> np.ndarray:
+    """SimHashes, as eight bytes each, of the windows of `wide` shingles: a bit is set where most hashes have it."""
+    hashes = mix(values ^ np.uint64(0x5851F42D4C957F2D)) if hashes is None else hashes
+    out = np.zeros((len(starts), 8), np.uint8)
+    sums = np.zeros((len(values) + 1, 8), np.int32)
+    for block in range(8):
+        byte = (hashes >> np.uint64(8 * block)).astype(np.uint8)
+        np.cumsum((np.unpackbits(byte[:, None], axis=1).astype(np.int32) << 1) - 1, axis=0, out=sums[1:])
+        out[:, block] = np.packbits(sums[starts + wide] - sums[starts] > 0, axis=1)[:, 0] if len(starts) else 0
+    return out
 
 
-def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """Bit k is set where the k-th sum is positive; as eight bytes each."""
-    return np.packbits(sums > 0, axis=1)
+class BlockTables:
+    """Multi-index of fingerprints: for each block and value, which of them are within RADIUS / BLOCKS bits there."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        values = np.arange(256, dtype=np.uint8)
+        near = [_POP[values[:, None] ^ prints[None, :, b]] <= RADIUS // BLOCKS for b in range(BLOCKS)]
+        self.tables = np.packbits(np.stack(near), axis=2)
+
+    def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) of all pairs within RADIUS."""
+        some = self.tables[0][prints[:, 0]]
+        for b in range(1, BLOCKS):
+            some = some | self.tables[b][prints[:, b]]
+        query, place = np.nonzero(np.unpackbits(some, axis=1, count=len(self.prints)))
+        near = _POP[prints[query] ^ self.prints[place]].sum(1) <= RADIUS
+        return query[near], place[near]
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -69,7 +94,11 @@ class ItemIndex:
         self.keys = [keys[i] for i in used]
         self.length = count[used]
         self.bag = [values[starts[i] : starts[i + 1]] for i in used]
-        self.print = np.concatenate([fingerprints(signs(b).sum(0, keepdims=True)) for b in self.bag]) if len(used) else np.zeros((0, 8), np.uint8)
+        self.index: dict[int, tuple[np.ndarray, BlockTables]] = {}
+        for length in np.unique(self.length).tolist():
+            items = np.flatnonzero(self.length == length)
+            prints = [fingerprints(self.bag[i], np.zeros(1, np.int64), len(self.bag[i])) for i in items]
+            self.index[length] = (items, BlockTables(np.concatenate(prints)))
         owner = np.repeat(np.arange(len(used)), [len(b) for b in self.bag]) if len(used) else np.zeros(0, np.int64)
         flat = np.concatenate(self.bag) if len(used) else np.zeros(0, np.uint64)
         pairs = np.unique(np.stack([flat, owner.astype(np.uint64)], 1), axis=0) if len(flat) else np.zeros((0, 2), np.uint64)
@@ -87,35 +116,31 @@ class ItemIndex:
         where = np.minimum(np.searchsorted(self.shingle, values[at]), len(self.shingle) - 1)
         return at[self.shingle[where] == values[at]]
 
-    def within_radius(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of fingerprints within RADIUS, found through the blocks."""
-        apart = _POP[prints[:, None, :] ^ self.print[items][None, :, :]]
-        w, i = np.nonzero((apart <= RADIUS // BLOCKS).any(2))
-        near = apart[w, i].sum(1) <= RADIUS
-        return w[near], i[near]
-
     def matches(self, values: np.ndarray, hits: np.ndarray, n_words: int) -> list[tuple]:
         """(item, similarity, first word, words) of the best window for each item that contaminates the text."""
         at = np.searchsorted(self.shingle, values[hits])
         number = self.first[at + 1] - self.first[at]
         position = np.repeat(hits, number)
         owner = self.owner[np.repeat(self.first[at] - (np.cumsum(number) - number), number) + np.arange(number.sum())]
+        hashes = mix(values ^ np.uint64(0x5851F42D4C957F2D))
         best: dict[int, tuple] = {}
-        sums = None
         for length in np.unique(self.length[owner]).tolist():
-            of = self.length[owner] == length
-            items, spots = np.unique(owner[of]), np.unique(position[of])
+            spots = np.unique(position[self.length[owner] == length])
             size = min(length, n_words)
             wide = max(size - SHINGLE + 1, 1)  # shingles of a window
             last = len(values) - wide
-            steps = np.unique(np.clip((spots[:, None] - np.arange(wide)[None, :]).ravel(), 0, last)) if last >= 0 else np.zeros(0, np.int64)
-            if sums is None:
-                sums = np.zeros((len(values) + 1, 64), np.int32)
-                np.cumsum(signs(values), axis=0, out=sums[1:])
-            for lo in range(0, len(steps), 4096):
-                part = steps[lo : lo + 4096]
-                found = self.within_radius(fingerprints(sums[part + wide] - sums[part]), items)
-                for s, i in zip(part[found[0]].tolist(), items[found[1]].tolist(), strict=True):
+            edge = np.zeros(last + 2, np.int32)  # windows that hold one of the spots
+            np.add.at(edge, np.clip(spots - wide + 1, 0, last), 1)
+            np.add.at(edge, np.clip(spots, 0, last) + 1, -1)
+            steps = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            prints = fingerprints(values, steps, wide, hashes)
+            items, tables = self.index[length]
+            many = max(1, (1 << 22) // len(items))
+            for lo in range(0, len(steps), many):
+                found = tables.within_radius(prints[lo : lo + many])
+                for s, i in zip(steps[lo:][found[0]].tolist(), items[found[1]].tolist(), strict=True):
+                    if i in best and best[i][1] == 1.0:
+                        continue
                     got = weighted_similarity(values[s : s + wide], self.bag[i])
                     if got >= SIMILARITY and (i not in best or got > best[i][1]):
                         best[i] = (self.keys[i], got, s, size)
@@ -137,8 +162,10 @@ def _blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[ItemIndex]:
 
 def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "contamination", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """Adds to all columns of `df` an array of (item_id, similarity, start_word, n_words), empty if clean."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())]))
+    key_type = benchmark.schema[item_key].dataType
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(key_type)), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())]))
     names = ("item_id", "similarity", "start_word", "n_words")
+    one = StructType([StructField(n, t) for n, t in zip(names, (key_type, DoubleType(), LongType(), LongType()), strict=True)])
 
     def one_pass(df: DataFrame, index: ItemIndex) -> DataFrame:
         sent = df.sparkSession.sparkContext.broadcast(index)
@@ -160,13 +187,13 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", column: str =
                     yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, kind)], names=[*kept, column])
 
         kept = [f for f in df.schema.fields if f.name != column]
-        schema = StructType([*kept, StructField(column, ArrayType(StructType.fromDDL("item_id long, similarity double, start_word long, n_words long")))])
+        schema = StructType([*kept, StructField(column, ArrayType(one))])
         return df.mapInArrow(run, schema)
 
     if column in df.columns:
         df = df.drop(column)
-    for index in _blocks(benchmark, item_text, item_key):
-        df = one_pass(df, index)
+    for k, index in enumerate(_blocks(benchmark, item_text, item_key)):
+        df = one_pass(stored(df, "marked") if k else df, index)
     return df
 
 
