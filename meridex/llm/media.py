@@ -9,8 +9,9 @@ in scan order (a byte b is the coefficient 256 + b, of 9 magnitude bits, so one
 one block to each restart interval, blocks in a nearly square grid. The number of payload bytes stands in a
 comment segment.
 
-Defined results: a null or empty text is one block of zero bytes; a picture that isn't baseline JPEG gives null
-features (`media_features`), never an error; repeated rows give repeated, equal results.
+Defined results: a null or empty text is one block of zero bytes; a picture that isn't baseline JPEG or lacks a table
+gives null features (`media_features`), never an error; one that another writer made gives a null payload; repeated rows
+give repeated, equal results.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BLOCK = 64
 #: Code lengths (one code of one bit) and the symbol: run 0, nine magnitude bits.
 _ONE_CODE = bytes([1] + [0] * 15) + bytes([9])
 _NOTE = b"payload "
+#: What reading a picture that breaks the rules may raise.
+BROKEN = (ValueError, LookupError, ArithmeticError, struct.error)
 
 
 @dataclass
@@ -151,6 +154,8 @@ def decode_scans(pictures: list[Picture]) -> list[np.ndarray]:
             data, starts = _intervals(np.frombuffer(p.scan, np.uint8))
             across, down = p.grid()
             mcus = across * down
+            if mcus * len(plan) > 4 * len(p.scan):  # a block takes two bits at least
+                raise ValueError("the scan is too short for its blocks")
             each = p.restart or mcus
             number = -(-mcus // each)
             if len(starts) < number:
@@ -281,10 +286,11 @@ def write_pictures(payloads: list[bytes]) -> list[bytes]:
 
 def read_payload(p: Picture, coefficients: np.ndarray) -> bytes | None:
     """The bytes that `write_pictures` stored, or None if it didn't write this picture."""
-    if not p.comment.startswith(_NOTE):
+    number = p.comment[len(_NOTE) :]
+    if not p.comment.startswith(_NOTE) or not number.isdigit() or int(number) > coefficients.size:
         return None
-    n = int(p.comment[len(_NOTE) :])
-    return (coefficients.ravel()[:n] - 256).astype(np.uint8).tobytes()
+    values = coefficients.ravel()[: int(number)] - 256
+    return values.astype(np.uint8).tobytes() if ((values >= 0) & (values < 256)).all() else None
 
 
 def store_payload(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -325,16 +331,19 @@ def media_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
         for i, raw in enumerate(raws):
             try:
                 good.append((i, parse(raw or b"")))
-            except (ValueError, IndexError, KeyError, struct.error):
+            except BROKEN:
                 continue
         try:
             found = decode_scans([p for _, p in good])
-        except (ValueError, IndexError):
+        except BROKEN:
             if len(raws) > 1:  # one of them is broken: each alone
                 return [x for raw in raws for x in decoded([raw])]
             return out
         for (i, p), coefficients in zip(good, found, strict=True):
-            out[i] = features(raws[i], p, coefficients)
+            try:
+                out[i] = features(raws[i], p, coefficients)
+            except BROKEN:
+                continue
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
