@@ -1,7 +1,8 @@
 """Surrogates for personal data and secrets (operator 3).
 
 Found entities are e-mail addresses, phone numbers, IPv4 addresses, card numbers (with a right check digit), access
-keys, passwords, tokens, and names after a title. Each is replaced by a keyed permutation of its own kind:
+keys, passwords, tokens, and names after a title, whose words are names wherever else they stand in that text. Each is
+replaced by a keyed permutation of its own kind:
 
 * characters of one class (digits, small or capital Latin letters, consonants and vowels in names, Cyrillic letters)
   become characters of that class, so the format stays; the classes of a text make a mixed-radix number, which a
@@ -15,6 +16,8 @@ are given to the next attempt (another permutation), `ATTEMPTS` times at most. W
 list, a secret without letters) gets a longer made-up form of its kind by its rank, checked in the same way; kinds of
 fixed length (addresses, numbers, access keys) raise an error instead. These exceptions are joined to documents.
 
+The key is a secret: who has it can undo the permutations. The query takes it from `spark.meridex.pii.key`.
+
 Defined results: null texts stay null, empty ones empty; texts without entities stay the same byte for byte; repeated
 rows get equal results; the other columns stay.
 """
@@ -35,8 +38,10 @@ from ..operators.records import global_rank
 from .shared import small, stored
 
 #: Permutations that are tried for an entity before it gets a longer form.
-ATTEMPTS = 64
-KEY = "surrogate-key"
+ATTEMPTS = 4
+KEY_SETTING = "spark.meridex.pii.key"
+#: For made-up data and tests, where the setting is absent.
+DEMO_KEY = "no-secret"
 # Given names by script and gender.
 NAMES = {
     ("latin", "f"): "anna maria laura julia sarah emma clara elena sofia nina alice jane mary susan linda karen lisa nancy helen marie claire sophie camille petra sabine monika carmen lucia isabel pilar".split(),
@@ -56,6 +61,7 @@ PATTERN = re.compile(
     r"|(?:(?i:password|passwd|secret|token|api_key|apikey)\s?[=:]\s?\"?)(?P<secret>[A-Za-z0-9+/_-]{8,})"
     rf"|(?<!\w)(?:(?P<male>{TITLES['m']})|(?P<female>{TITLES['f']})|{TITLES['']})\.? (?P<name>{_WORD}(?: {_WORD})?)(?!\w)"
 )
+_NAME = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 #: A text without any of these has no entity.
 QUICK = re.compile(rf"@|AKIA|\+[0-9]|\([0-9]{{3}}\)|[0-9]\.[0-9]+\.[0-9]|[0-9]{{4}}|(?i:passw|secret|token|api_?key)|(?:{'|'.join(TITLES.values())})\.? [A-ZÀ-ÞА-ЯЁ]")
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "àâäæçéèêëîïíìñóòôöœúùûüýÿß"]
@@ -106,7 +112,7 @@ def by_class(text: str, key: bytes, classes: list[str], fixed: set[int] = frozen
     return "".join(out)
 
 
-def surrogate(kind: str, value: str, key: str = KEY, attempt: int = 0) -> str:
+def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     """The replacement of an entity; each attempt is another permutation."""
     k = hashlib.sha256(f"{key}|{kind.split(':')[0]}|{attempt}".encode()).digest()
     if kind == "ip":
@@ -146,7 +152,7 @@ def surrogate(kind: str, value: str, key: str = KEY, attempt: int = 0) -> str:
     return " ".join(out)
 
 
-def longer(kind: str, value: str, number: int, count: int, extra: int, key: str = KEY) -> str:
+def longer(kind: str, value: str, number: int, count: int, extra: int, key: str) -> str:
     """Replacement `number` of `count` in a form longer than `value`; different numbers give different ones."""
     script = "cyrillic" if re.match("[А-Яа-яЁё]", value) else "latin"
     head, at, _ = value.partition("@")
@@ -166,7 +172,7 @@ def entities(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, in order."""
     if not text or not QUICK.search(text):
         return []
-    out = []
+    out, names = [], {}
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if kind == "card":
@@ -174,9 +180,20 @@ def entities(text: str | None) -> list[tuple[str, int, int]]:
             if not 13 <= len(digits) <= 19 or luhn(digits):
                 continue
         if kind == "name":
-            out += [("name:" + ("m" if m["male"] else "f" if m["female"] else ""), m.start("name") + w.start(), m.start("name") + w.end()) for w in re.finditer(r"\S+", m["name"])]
+            of = "name:" + ("m" if m["male"] else "f" if m["female"] else "")
+            for w in re.finditer(r"\S+", m["name"]):
+                out.append((names.setdefault(w[0], of), m.start("name") + w.start(), m.start("name") + w.end()))
             continue
         out.append((kind, m.start(kind), m.end(kind)))
+    if names:  # the same words without a title
+        taken = iter([*out, (None, len(text) + 1, 0)])
+        (_, begin, end), again = next(taken), []
+        for w in _NAME.finditer(text):
+            while end and end <= w.start():
+                _, begin, end = next(taken)
+            if w[0] in names and w.end() <= begin:
+                again.append((names[w[0]], w.start(), w.end()))
+        out = sorted(out + again, key=lambda e: e[1])
     return out
 
 
@@ -184,7 +201,7 @@ def _norm(kind: str, value: str) -> str:
     return value.lower() if kind == "email" or kind.startswith("name") else value
 
 
-def exceptions(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def exceptions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(kind, value, surrogate) of the entities whose first surrogate collides with an entity or another surrogate."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +272,7 @@ def _longer_forms(open_: DataFrame, taken: DataFrame, key: str) -> DataFrame:
             return done.select("kind", "value", "surrogate")
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key_column: str = "doc_id", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text", key_column: str = "doc_id") -> DataFrame:
     """`df` with surrogates in `text` and a column `replaced` of (kind, start, end) in the new text."""
     df = df.drop("replaced")
     moved = exceptions(df, key, text)
@@ -306,5 +323,5 @@ def _document_entities(df: DataFrame, text: str, key_column: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates, and how many entities were replaced."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = pseudonymise(docs)
+    done = pseudonymise(docs, spark.conf.get(KEY_SETTING, DEMO_KEY))
     return done.select("doc_id", "text", F.size("replaced").alias("n_entities"), F.array_sort(F.array_distinct("replaced.kind")).alias("kinds"))
