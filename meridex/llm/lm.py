@@ -1,16 +1,23 @@
 """Language-model scores from an Elias-Fano n-gram trie (operator 7).
 
-Bigram model: p(w | v) = c(vw) / (c(v) + MU) + MU / (c(v) + MU) * p(w), with p(w) = (c(w) + 1) / (N + V + 1).
-Counts come from all training documents; nothing is pruned, capped or sampled.
+Bigram model with absolute discounting: p(w | v) = (c(vw) - D) / c(v) + D k(v) / c(v) * p(w), with k(v) the number of
+different successors of v, the first term 0 for pairs that never occur, and p(w | v) = p(w) = (c(w) + 1) / (N + V + 1)
+where v was never seen. Counts come from all training documents; nothing is pruned, capped or sampled.
 
 The trie is cut in shards by the hash of the context word. Each shard is one compact, memory-mapped file: a level of
 words, monotone pointers from each to its successors, a level of successors relative to their context (all three
-Elias-Fano coded) and one byte for each successor, its share of the context's count quantised on a log scale.
+Elias-Fano coded) and one byte for each successor, its discounted share of the context's count quantised on a log scale.
+A look-up finds the word, takes its range from two pointers, and searches the successor by its value relative to the
+context: entries of equal upper bits are found by the bits' counts, the lower bits decide. Levels stay as they are coded.
 
-Documents lie in blocks of about BLOCK_BYTES of text. A block asks each shard once for its distinct words and word
+Documents lie in blocks by hash. A block asks each shard once for its distinct words and word
 pairs, sorted, and gets the counts and codes in the same order. So what is shuffled grows with the distinct pairs of
 blocks, and a very common word or pair is one entry for each block. Contexts in buckets that hold more than a small
-part of all words are spread over all shards by their successors; the 2**16 bucket counts are a fixed size.
+part of all words are spread over all shards by their successors; the 2**16 bucket counts are a fixed size. Blocks and
+shards grow with the square root of the input up to `BLOCK_MOST` bytes and `SHARD_MOST` words, so the rows that pass
+between them grow with the input up to there; beyond, rows get shorter, down to one pair each.
+
+A shard's file lies in the task's own temporary folder and ends with the task; it is built again if the task is lost.
 
 Defined results: a null or empty text has the end token alone; a null key counts as training; rows that repeat a key
 are documents of their own; without training text every known count is 0 and p(w) = 1 / (V + 1) with V = 0.
@@ -29,18 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packed import EliasFano, pack_sorted, pack_values, unpack_sorted, unpack_values
-from .shared import key_ranges
 from .textops import chunks, mix, text_buffers, words
 
-MU = 100.0
-BLOCK_BYTES = 4 << 20
-#: Words of text whose pairs one shard of the trie holds, about.
-SHARD_WORDS = 1_000_000
+DISCOUNT = 0.75
+#: Bytes of text of a block, and words of text whose pairs one shard of the trie holds, about: up to 1 GB of text, and at most.
+BLOCK_BYTES, BLOCK_MOST = 4 << 20, 16 << 20
+SHARD_WORDS, SHARD_MOST = 1_000_000, 4_000_000
 BUCKETS = 1 << 16
 _END = np.uint64(0x3C6EF372FE94F82B)
 _BEGIN = np.uint64(0xA54FF53A5F1D36F1)
 _STEP = 32  # codes per power of ten
 _ABSENT = 255
+_ASK = 1 << 18  # pairs of one look-up
 
 
 class Trie:
@@ -54,12 +61,12 @@ class Trie:
         self.codes = data[at:]
 
     @staticmethod
-    def write(path: str, context: np.ndarray, successor: np.ndarray, count: np.ndarray) -> None:
+    def write(path: str, context: np.ndarray, successor: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> None:
         """Pairs must be distinct and sorted by context, then successor."""
         heads, first = np.unique(context, return_index=True)
         ends = np.append(first, len(context))
         total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
-        share = count / np.repeat(total, np.diff(ends))
+        share = (count - discount) / np.repeat(total, np.diff(ends))
         codes = np.minimum(np.rint(-np.log10(share) * _STEP), _ABSENT - 1).astype(np.uint8)
         names, relative = np.unique(successor, return_inverse=True)
         row = np.repeat(np.arange(len(heads), dtype=np.uint64), np.diff(ends))
@@ -70,23 +77,18 @@ class Trie:
                     out.write(part.tobytes())
             out.write(codes.tobytes())
 
-    def finder(self):
-        """Bulk look-up: (contexts, successors) -> codes, by search among each context's successors."""
-        heads, names, sequence, codes = self.words.decode(), self.names.decode(), self.successors.decode(), np.asarray(self.codes)
-
-        def find(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-            out = np.full(len(context), _ABSENT, np.uint8)
-            if not len(sequence):
-                return out
-            row = np.minimum(np.searchsorted(heads, context), len(heads) - 1)
-            name = np.minimum(np.searchsorted(names, successor), len(names) - 1)
-            known = (heads[row] == context) & (names[name] == successor)
-            wanted = row[known].astype(np.uint64) * np.uint64(len(names)) + name[known].astype(np.uint64)
-            at = np.minimum(np.searchsorted(sequence, wanted), len(sequence) - 1)
-            out[known] = np.where(sequence[at] == wanted, codes[at], _ABSENT)
-            return out
-
-        return find
+    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of the pairs, `_ABSENT` for those that aren't there."""
+        row, seen = self.words.successor(context)
+        name, known = self.names.successor(successor)
+        ask = np.flatnonzero(seen & known)
+        row, name = row[ask], name[ask]
+        begin, end = self.pointers.at(row).astype(np.int64), self.pointers.at(row + 1).astype(np.int64)
+        at, found = self.successors.successor(row.astype(np.uint64) * np.uint64(max(self.names.number, 1)) + name.astype(np.uint64))
+        found &= (at >= begin) & (at < end)
+        out = np.full(len(context), _ABSENT, np.uint8)
+        out[ask[found]] = self.codes[at[found]]
+        return out
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +131,11 @@ class Request:
         """(shard, its words, its pairs), as positions."""
         w, p = np.argsort(self.word_shard, kind="stable"), np.argsort(self.pair_shard, kind="stable")
         we, pe = (np.searchsorted(x, np.arange(shards + 1)) for x in (self.word_shard[w], self.pair_shard[p]))
-        for s in range(shards):
+        for s in np.flatnonzero((np.diff(we) > 0) | (np.diff(pe) > 0)).tolist():
             yield s, w[we[s] : we[s + 1]], p[pe[s] : pe[s + 1]]
 
 
-def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", mu: float = MU) -> DataFrame:
+def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discount: float = DISCOUNT) -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) for each row; keys must be integers.
 
     `train` is a boolean column: the rows that the model learns from.
@@ -143,7 +145,9 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", mu: flo
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_bits = min(60, 2 * max(total, 1).bit_length())
     next_bits = min(62 - 22, max(total, 1).bit_length() + 10)
-    shards = max(spark.sparkContext.defaultParallelism, total // 6 // SHARD_WORDS + 1)
+    grown = max(1.0, (total / (1 << 30)) ** 0.5)
+    shards = max(spark.sparkContext.defaultParallelism, int(total / 6 / min(SHARD_WORDS * grown, SHARD_MOST)) + 1)
+    number_of_blocks = int(total / min(BLOCK_BYTES * grown, BLOCK_MOST)) + 1
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a task: how many training tokens there are, in which buckets tokens are, and the distinct training words."""
@@ -176,16 +180,10 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", mu: flo
     sums = unpack_values(surveyed.packed or b"").astype(np.int64) if surveyed.packed else np.zeros(BUCKETS + 1, np.int64)
     vocabulary, number = surveyed.v or 0, int(sums[-1])
     hot = spark.sparkContext.broadcast(sums[:-1] * 8 * shards > max(int(sums[:-1].sum()), 1) if surveyed.packed else np.zeros(BUCKETS, bool))
-    edges = spark.sparkContext.broadcast(key_ranges(docs, total, BLOCK_BYTES))
     n_train = docs.where("train").count()
     floor = float(number + vocabulary + 1)
     wide = -(-next_bits // 8)
 
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.searchsorted(edges.value, b.column("key").fill_null(-(1 << 63)).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], names=["block", *b.schema.names])
-
     def block_request(table: pa.Table) -> tuple[pa.Table, Request, np.ndarray]:
         order = pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending"), ("train", "ascending")], null_placement="at_start")
         table = table.take(order)
@@ -198,8 +196,6 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", mu: flo
         _, r, _ = block_request(table)
         rows = []
         for s, w, p in r.parts(shards):
-            if not len(w) and not len(p):
-                continue
             head, first = np.unique(r.context[p], return_index=True)
             owned = np.isin(head, w)
             near = np.searchsorted(w, head[owned])
@@ -230,35 +226,40 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", mu: flo
         every, back = np.unique(np.concatenate(word), return_inverse=True)
         totals = np.bincount(back, np.concatenate(count), len(every)).astype(np.int64)
         cs, ss, ms = (np.concatenate(x) for x in (context, successor, many))
-        seen = ms > 0
-        order = np.lexsort((ss[seen], cs[seen]))
-        c, s, m = cs[seen][order], ss[seen][order], ms[seen][order]
+        order = np.lexsort((ss, cs))
+        c, s = cs[order], ss[order]
         new = np.ones(len(c), bool)
         new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
         first = np.flatnonzero(new)
-        m = np.add.reduceat(m, first) if len(first) else m[:0]
-        heads, at = np.unique(c[first], return_index=True)
-        sums = np.add.reduceat(m, at) if len(at) else m[:0]
+        c, s, m = c[first], s[first], np.add.reduceat(ms[order], first) if len(first) else ms[:0]  # each pair once
+        seen = m > 0
+        heads, at = np.unique(c[seen], return_index=True)
+        sums = np.add.reduceat(m[seen], at) if len(at) else m[:0]
+        kinds = np.diff(np.append(at, seen.sum()))
         with tempfile.TemporaryDirectory() as folder:
             path = os.path.join(folder, "trie")
-            Trie.write(path, c[first], s[first], m)
-            find = Trie(np.memmap(path, np.uint8, "r")).finder()
-            codes = find(cs, ss)
+            Trie.write(path, c[seen], s[seen], m[seen], discount)
+            trie = Trie(np.memmap(path, np.uint8, "r"))
+            found = np.concatenate([np.zeros(0, np.uint8), *(trie.find(c[lo : lo + _ASK], s[lo : lo + _ASK]) for lo in range(0, len(c), _ASK))])
+            del trie
+        codes = np.empty(len(cs), np.uint8)
+        codes[order] = found[np.cumsum(new) - 1]
         out, w0, p0 = [], 0, 0
         for n_words, head, n_pairs in sizes:
             row = np.minimum(np.searchsorted(heads, head), max(len(heads) - 1, 0))
-            part = np.where(heads[row] == head, sums[row], 0) if len(heads) else np.zeros(len(head), np.int64)
-            out.append((pack_values(totals[back[w0 : w0 + n_words]].astype(np.uint64)), pack_values(part.astype(np.uint64)), codes[p0 : p0 + n_pairs].tobytes()))
+            own = heads[row] == head if len(heads) else np.zeros(len(head), bool)
+            of = lambda x: pack_values(np.where(own, x[row], 0).astype(np.uint64) if len(heads) else np.zeros(len(head), np.uint64))  # noqa: B023, E731
+            out.append((pack_values(totals[back[w0 : w0 + n_words]].astype(np.uint64)), of(sums), of(kinds), codes[p0 : p0 + n_pairs].tobytes()))
             w0, p0 = w0 + n_words, p0 + n_pairs
         columns = list(zip(*out, strict=True))
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), **{n: pa.array(x, pa.binary()) for n, x in zip(("counts", "parts", "codes"), columns, strict=True)}})
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), **{n: pa.array(x, pa.binary()) for n, x in zip(("counts", "parts", "kinds", "codes"), columns, strict=True)}})
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in result})
         table, r, starts = block_request(left)
         got = {row["shard"]: row for row in right.to_pylist()}
-        known, seen = np.zeros(len(r.word) + 1, np.int64), np.zeros(len(r.context))
+        known, kinds, seen = np.zeros(len(r.word) + 1, np.int64), np.zeros(len(r.word) + 1, np.int64), np.zeros(len(r.context))
         known[-1] = n_train
         for s, w, p in r.parts(shards):
             if s not in got:
@@ -270,10 +271,11 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", mu: flo
             size = np.diff(np.append(first, len(p)))[seq]
             entry = p[np.repeat(first[seq] - (np.cumsum(size) - size), size) + np.arange(len(p))]
             part, code = unpack_values(got[s]["parts"]), np.frombuffer(got[s]["codes"], np.uint8)
+            kinds[head[seq]] += unpack_values(got[s]["kinds"]).astype(np.int64)
             seen[entry] = np.where(code == _ABSENT, 0, np.repeat(part, size) * 10.0 ** (code.astype(np.float64) / -_STEP))
         lower = (known[r.which] + 1) / floor
         above = known[r.context[r.pair_of]]
-        p = (seen[r.pair_of] + mu * lower) / (above + mu)
+        p = np.where(above > 0, (seen[r.pair_of] + discount * kinds[r.context[r.pair_of]] * lower) / np.maximum(above, 1), lower)
         text = np.repeat(np.arange(table.num_rows), np.diff(starts))
         sums = lambda x: np.bincount(text, x, table.num_rows)
         n = np.diff(starts)
@@ -283,14 +285,15 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", mu: flo
     binary = ("words", "counts", "near", "far", "sizes", "next", "pairs")
     asked = [pa.field("shard", pa.int64()), pa.field("block", pa.int64()), *(pa.field(c, pa.binary()) for c in binary)]
     result = [pa.field("key", pa.int64()), pa.field("train", pa.bool_()), *(pa.field(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), pa.field("base_score", pa.float64()), pa.field("score", pa.float64())]
-    blocks = docs.mapInArrow(by_block, "block long, key long, text string, train boolean")
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(number_of_blocks))).select("block", "key", "text", "train")
     requests = blocks.groupBy("block").applyInArrow(ask, "shard long, block long, " + ", ".join(f"{c} binary" for c in binary))
-    answers = requests.groupBy("shard").applyInArrow(answer, "block long, shard long, counts binary, parts binary, codes binary")
+    answers = requests.groupBy("shard").applyInArrow(answer, "block long, shard long, counts binary, parts binary, kinds binary, codes binary")
     rated = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "key long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rated.withColumnRenamed("key", key)
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model of the documents whose crc32 of doc_id modulo 7 isn't 2."""
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     rated = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~held)
     return rated.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

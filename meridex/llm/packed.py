@@ -43,31 +43,77 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack_values(raw), dtype=np.uint64)
 
 
+_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: For each byte and r: the place of its bit number r that is set.
+_PLACE = np.array([[*(k for k in range(8) if i >> k & 1), *([8] * (8 - bin(i).count("1")))] for i in range(256)], np.uint8)
+
+
 class EliasFano:
-    """A monotone sequence: `low` bits of each value in a row, the rest as gaps of a bit array (about 2 + low bits each)."""
+    """A monotone sequence: `low` bits of each value in a row, the rest as gaps of a bit array (about 2 + low bits each).
+
+    Values are read and searched where they are, through counts of the bits before each 64 of them; nothing is decoded.
+    """
 
     def __init__(self, number: int, low: int, lower: np.ndarray, upper: np.ndarray):
         self.number, self.low, self.lower, self.upper = number, low, lower, upper
+        self.words = np.asarray(upper).reshape(-1, 8)
+        ones = _POP[self.words].sum(1, dtype=np.int64)
+        self.before = [np.concatenate([[0], np.cumsum(x)]) for x in (64 - ones, ones)]
+        self.lanes = np.ndarray((len(lower) - 7,), "<u8", lower, strides=(1,))
+        self.zeros = 64 * len(self.words) - number
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
-        low = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        low = min(max(0, (int(values[-1]) // n).bit_length() - 1), 56) if n else 0
         high = (values >> np.uint64(low)).astype(np.int64)
-        bits = np.zeros(int(high[-1]) + n + 1 if n else 1, np.uint8)
+        size = int(high[-1]) + n + 1 if n else 1
+        bits = np.zeros(size + -size % 64, np.uint8)
         bits[high + np.arange(n)] = 1
         each = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
-        return cls(n, low, np.packbits(each.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"))
-
-    def decode(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.upper), bitorder="little"))[: self.number]
-        out = (ones - np.arange(self.number)).astype(np.uint64) << np.uint64(self.low)
-        if self.low:
-            bits = np.unpackbits(np.asarray(self.lower), count=self.number * self.low, bitorder="little").reshape(self.number, self.low)
-            for k in range(self.low):
-                out |= bits[:, k].astype(np.uint64) << np.uint64(k)
-        return out
+        lower = np.concatenate([np.packbits(each.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
+        return cls(n, low, lower, np.packbits(bits, bitorder="little"))
+
+    def _select(self, bit: int, i: np.ndarray) -> np.ndarray:
+        """Where in the upper bits the i-th of this value stands, counted from 0."""
+        word = np.searchsorted(self.before[bit], i, "right") - 1
+        left = i - self.before[bit][word]
+        rows = self.words[word] if bit else ~self.words[word]
+        sums = np.cumsum(_POP[rows], axis=1, dtype=np.uint8)
+        byte = (sums <= left[:, None]).sum(1)
+        line = np.arange(len(i))
+        left = left - np.where(byte > 0, sums[line, np.maximum(byte - 1, 0)], 0)
+        return 64 * word + 8 * byte + _PLACE[rows[line, byte], left]
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i * self.low
+        return (self.lanes[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values of these numbers."""
+        return ((self._select(1, i) - i).astype(np.uint64) << np.uint64(self.low)) | self._low(i)
+
+    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the first entry that is not less than each value (or the length), and whether it is equal.
+
+        Entries of the same upper part lie between two zeros of the upper bits; among them the lower bits decide.
+        """
+        high, rest = (values >> np.uint64(self.low)).astype(np.int64), values & np.uint64((1 << self.low) - 1)
+        inside = high < self.zeros
+        h = np.where(inside, high, self.zeros - 1)
+        lo = np.where(h > 0, self._select(0, np.maximum(h - 1, 0)) - h + 1, 0)
+        hi = np.where(inside, self._select(0, h) - h, self.number)
+        lo = np.where(inside, lo, self.number)
+        end = hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(mid) < rest[open_]
+            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        equal = lo < end
+        equal[equal] = self._low(lo[equal]) == rest[equal]
+        return lo, equal
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.number, self.low, len(self.lower), len(self.upper)], "<i8").view(np.uint8), self.lower, self.upper]
