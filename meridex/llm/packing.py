@@ -2,11 +2,13 @@
 
 Best-fit decreasing: a document longer than a window is first cut into full windows; what remains of each document
 is placed, longest first, into the open window with the least room that still holds it. A segment tree over the
-remaining capacities finds that window. Every Spark partition packs its own documents, so no stage needs all of
-them at once and a lost executor's work is simply done again; the price is one loose end for each partition.
+remaining capacities finds that window. Every Spark partition packs its own documents, `GROUP_TOKENS` or a
+few more at a time, so memory is bounded, no stage needs all of them at once and a lost executor's work is simply done
+again; the price is one loose end for each group.
 
-Token ids come from a tokenizer file whose path is a parameter. Its pre-tokenizer drops white space and never joins
-across it, so a batch tokenises each distinct word once.
+Token ids come from a tokenizer file whose path is a parameter. Its pre-tokenizer must drop white space and never join
+across it, and it must not tell capital letters from small ones (a file that does is refused), so a batch tokenises each
+distinct word once.
 
 Defined results: a null or empty text has the end token alone; repeated rows are packed once each; an empty table
 gives no rows; a sequence of exactly a power of two tokens isn't padded, others are padded to the window.
@@ -29,6 +31,8 @@ WINDOW = 4096
 END = 2
 #: Words whose ids a task keeps; when there are more it starts afresh. Affects speed only.
 CACHED_WORDS = 1_000_000
+#: Tokens that are packed together, up to the end of the batch that reaches them.
+GROUP_TOKENS = 1 << 23
 
 
 class CapacityTree:
@@ -101,6 +105,9 @@ class WordIds:
     def __init__(self, path: str):
         self.model = tokenizer(path)
         vocabulary = self.model.get_vocab()
+        whole, apart = self._alone(["Some  words\n\tHERE,now ? "]), self._alone(["some", "words", "here,now", "?"])
+        if whole[0] != b"".join(apart):
+            raise ValueError(f"{path}: words can't be tokenised one by one")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
@@ -168,13 +175,29 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
 
         base = TaskContext.get().partitionId() << 36
         encoder = WordIds(path)
-        keys, start, length, crc, total, ids = [], [], [], [], [], []
+        keys, start, length, crc, total, ids, tokens_held = [], [], [], [], [], [], 0
+
+        def placed() -> Iterator[pa.RecordBatch]:
+            """The pieces at hand with their places; they are let go of."""
+            nonlocal base, tokens_held
+            place, offset, number = best_fit_decreasing(length, window)
+            used = np.bincount(np.array(place, np.int64), np.array(length, np.float64), number).astype(np.int64)
+            padded = [int(u) if u & (u - 1) == 0 else window for u in used.tolist()]
+            for a in range(0, len(keys), 20_000):
+                s = slice(a, a + 20_000)
+                columns = [pa.array(keys[s], kind), *(pa.array(v, pa.int64()) for v in (start[s], length[s], crc[s], total[s], [base + p for p in place[s]], offset[s], [padded[p] for p in place[s]]))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids[s], pa.list_(pa.int64()))] * with_ids, names=names)
+            for x in (keys, start, length, crc, total, ids):
+                x.clear()
+            base, tokens_held = base + number, 0
+
         for whole in batches:
             for batch in chunks(whole):
                 tokens, at = encoder.encode(*text_buffers(batch.column("text")))
                 for name, a, b in zip(batch.column("key").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     raw = tokens[a:b].tobytes() + end.to_bytes(4, "little")
                     n = len(raw) // 4
+                    tokens_held += n
                     for a in range(0, n, window):
                         piece = raw[4 * a : 4 * (a + window)]
                         keys.append(name)
@@ -184,13 +207,9 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
                         total.append(n)
                         if with_ids:
                             ids.append(np.frombuffer(piece, "<u4").astype(np.int64))
-        place, offset, number = best_fit_decreasing(length, window)
-        used = np.bincount(np.array(place, np.int64), np.array(length, np.float64), number).astype(np.int64)
-        padded = [int(u) if u & (u - 1) == 0 else window for u in used.tolist()]
-        for a in range(0, len(keys), 20_000):
-            s = slice(a, a + 20_000)
-            columns = [pa.array(keys[s], kind), *(pa.array(v, pa.int64()) for v in (start[s], length[s], crc[s], total[s], [base + p for p in place[s]], offset[s], [padded[p] for p in place[s]]))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids[s], pa.list_(pa.int64()))] * with_ids, names=names)
+                if tokens_held > GROUP_TOKENS:
+                    yield from placed()
+        yield from placed()
 
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"] + ["ids"] * with_ids
     named = df.schema[key].dataType.simpleString()
@@ -206,4 +225,5 @@ def default_tokenizer() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences; null and empty texts are their end token alone."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
