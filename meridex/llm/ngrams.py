@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packed import pack_sorted, pack_values, unpack_sorted, unpack_values
-from .shared import BROADCAST_ROWS, connected_components, key_ranges, small, stored
+from .shared import BROADCAST_ROWS, connected_components, key_ranges, salted, small, stored
 from .textops import chunks, distinct_per_text, mix, shingles, text_buffers, words
 
 BLOCK_BYTES = 4 << 20
@@ -218,7 +218,7 @@ def _units(open_keys: DataFrame) -> DataFrame:
     key = named.select("cluster", "k", "id").distinct().groupBy("cluster", "k").agg(parts.alias("parts"), (F.count("*") * parts).alias("sent"))
     by_key = key.groupBy("cluster").agg(F.sum("sent").alias("by_key"))
     less = whole.join(by_key, "cluster").withColumn("whole", F.col("sent") <= F.col("by_key")).select("cluster", "parts", "whole")
-    rows = named.join(less, "cluster")
+    rows = salted(named, stored(less, "cluster-sizes"), "cluster", "id")
     one = rows.where("whole").select(F.col("cluster").alias("unit"), F.lit(0).alias("k"), "parts", "id", "component").distinct()
     two = rows.where("not whole").drop("parts").join(key.select("cluster", "k", "parts"), ["cluster", "k"]).select(F.col("cluster").alias("unit"), "k", "parts", "id", "component").distinct()
     dealt = one.union(two).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -416,6 +416,7 @@ def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ke
 
 
 def op5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class over three-word shingles at a similarity of 0.9."""
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
 
 
