@@ -147,6 +147,7 @@ def train(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Mo
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; labels of held-out documents are never learnt from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs.select("doc_id", "text"), train(spark, sf_dir, docs))
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))

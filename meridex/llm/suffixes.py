@@ -137,7 +137,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
     cuts = key_ranges(docs, total, BLOCK_BYTES)
     samples = max(1, total * len(RESIDUES) // MODULUS)
     name_bits = min(60, samples.bit_length() + 8)
-    string_bits = min(64, 2 * max(1, total).bit_length() + 4)
+    string_bits = 64  # what decides that two strings are equal
     shards = max(spark.sparkContext.defaultParallelism, -(-samples // SHARD_NAMES))
     edges = spark.sparkContext.broadcast(cuts)  # one number for each BLOCK_BYTES of text
 
@@ -314,6 +314,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes but those that repeat a string of 100 earlier ones."""
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
