@@ -31,7 +31,7 @@ WINDOW = 4096
 END = 2
 #: Words whose ids a task keeps; when there are more it starts afresh. Affects speed only.
 CACHED_WORDS = 1_000_000
-#: Tokens that are packed together, up to the end of the batch that reaches them.
+#: Tokens that are packed together, up to the end of the document that reaches them.
 GROUP_TOKENS = 1 << 23
 
 
@@ -207,8 +207,8 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
                         total.append(n)
                         if with_ids:
                             ids.append(np.frombuffer(piece, "<u4").astype(np.int64))
-                if tokens_held > GROUP_TOKENS:
-                    yield from placed()
+                    if tokens_held > GROUP_TOKENS:
+                        yield from placed()
         yield from placed()
 
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"] + ["ids"] * with_ids
