@@ -45,7 +45,7 @@ SHARD_WORDS, SHARD_MOST = 1_000_000, 4_000_000
 BUCKETS = 1 << 16
 _END = np.uint64(0x3C6EF372FE94F82B)
 _BEGIN = np.uint64(0xA54FF53A5F1D36F1)
-_STEP = 32  # codes per power of ten
+_STEP = 85.0  # code k stands for the share 10 ** -(k / _STEP) ** 2, so shares near 1 are finest
 _ABSENT = 255
 _ASK = 1 << 18  # pairs of one look-up
 
@@ -67,7 +67,7 @@ class Trie:
         ends = np.append(first, len(context))
         total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
         share = (count - discount) / np.repeat(total, np.diff(ends))
-        codes = np.minimum(np.rint(-np.log10(share) * _STEP), _ABSENT - 1).astype(np.uint8)
+        codes = np.minimum(np.rint(np.sqrt(np.maximum(-np.log10(share), 0)) * _STEP), _ABSENT - 1).astype(np.uint8)
         names, relative = np.unique(successor, return_inverse=True)
         row = np.repeat(np.arange(len(heads), dtype=np.uint64), np.diff(ends))
         sequence = row * np.uint64(max(len(names), 1)) + relative.astype(np.uint64)
@@ -272,7 +272,7 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discoun
             entry = p[np.repeat(first[seq] - (np.cumsum(size) - size), size) + np.arange(len(p))]
             part, code = unpack_values(got[s]["parts"]), np.frombuffer(got[s]["codes"], np.uint8)
             kinds[head[seq]] += unpack_values(got[s]["kinds"]).astype(np.int64)
-            seen[entry] = np.where(code == _ABSENT, 0, np.repeat(part, size) * 10.0 ** (code.astype(np.float64) / -_STEP))
+            seen[entry] = np.where(code == _ABSENT, 0, np.repeat(part, size) * 10.0 ** -((code / _STEP) ** 2))
         lower = (known[r.which] + 1) / floor
         above = known[r.context[r.pair_of]]
         p = np.where(above > 0, (seen[r.pair_of] + discount * kinds[r.context[r.pair_of]] * lower) / np.maximum(above, 1), lower)

@@ -391,7 +391,7 @@ def test_trie_round_trip(tmp_path):
     trie = lm.Trie(np.memmap(tmp_path / "t", np.uint8, "r"))
     codes = trie.find(pair[:, 0], pair[:, 1])
     share = (count - lm.DISCOUNT) / np.bincount(pair[:, 0].astype(int), count)[pair[:, 0].astype(int)]
-    assert np.abs(codes / 32 + np.log10(share)).max() <= 1 / 64 + 1e-9
+    assert np.abs(codes / 85 - np.sqrt(-np.log10(share))).max() <= 0.5 / 85 + 1e-9
     assert (trie.find(pair[:, 0], pair[:, 1] + np.uint64(2000)) == 255).all() and (trie.find(pair[:, 0] + np.uint64(50), pair[:, 1]) == 255).all()
     there = {tuple(x) for x in pair.tolist()}
     every = np.array([(v, w) for v in range(50) for w in range(997)], np.uint64)
