@@ -38,29 +38,65 @@ def alias_lookup(df: DataFrame, key: str, text: Column, directory: DataFrame, al
     return hits.groupBy(key).agg(F.min_by(code, priority).alias(code))
 
 
-def name_match(left: DataFrame, right: DataFrame, a: str, b: str, prefix: int) -> DataFrame:
-    """Pairs of names of which one contains the other, among those that share a prefix."""
-    l = left.withColumn("_p", F.substring(a, 1, prefix))
-    r = right.withColumn("_p", F.substring(b, 1, prefix))
-    return l.join(r, "_p").where(F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a))).drop("_p")
+def name_match(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of names of which one contains the other; null and empty names match nothing.
 
+    A contained name shares all its runs of three characters with the longer one, so the one that fewest names have is
+    its key (a shorter name's key is the name), and the longer name is sent to each of its runs of up to three.
+    """
+    l, r = (d.where((F.length(c) > 0)).withColumn("_row", F.monotonically_increasing_id()) for d, c in ((left, a), (right, b)))
+    runs = lambda c, n: F.expr(f"array_distinct(transform(sequence(1, greatest(length({c}) - {n} + 1, 1)), i -> substring({c}, i, {n})))")
+    every = lambda c: F.array_distinct(F.concat(runs(c, 1), runs(c, 2), runs(c, 3)))
+
+    def contained(whole: DataFrame, w: str, part: DataFrame, p: str) -> DataFrame:
+        """(_whole, _part): names of `whole` that contain one of `part`."""
+        sent = whole.select(F.col(w).alias("_w")).distinct().withColumn("_k", F.explode(every("_w")))
+        keys = part.select(F.col(p).alias("_p")).distinct().withColumn("_k", F.explode(F.when(F.length("_p") < 3, F.array("_p")).otherwise(runs("_p", 3))))
+        rarest = keys.join(sent.groupBy("_k").agg(F.count("*").alias("_n")), "_k").groupBy("_p").agg(F.min(F.struct("_n", "_k"))["_k"].alias("_k"))
+        return sent.join(rarest, "_k").where(F.contains("_w", "_p")).select("_w", "_p")
+
+    pairs = contained(l, a, r, b).union(contained(r, b, l, a).select("_p", "_w")).distinct()
+    return l.join(pairs, F.col(a) == F.col("_w")).join(r.drop("_row"), F.col(b) == F.col("_p")).drop("_row", "_w", "_p")
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, rounds: int = 30, keep: int = 5) -> DataFrame:
-    """(request, cost): least cost from `source` to `target` over undirected edges (a, b, cost), in at most `rounds` hops.
 
-    A frontier table keyed by (request, node) is relaxed with the edges; it is written every few rounds, so its
-    lineage stays short. Ends when no cost falls any more.
+def shortest_paths(edges: DataFrame, requests: DataFrame, keep: int = 5) -> DataFrame:
+    """(request, cost, path): least cost from `source` to `target` over undirected edges (a, b, cost), and its nodes.
+
+    Of paths of equal cost that with the fewest nodes counts, then the one whose nodes come first. A table keyed by
+    (request, node) is relaxed with the edges until no cost falls any more, however long the paths are; it is written
+    every few rounds, so its lineage stays short. Costs must not be negative. No path gives nulls.
     """
     both = edges.select("a", "b", F.col("cost").alias("step")).union(edges.select("b", "a", "cost"))
-    state = requests.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"))
-    last = None
-    for i in range(rounds):
-        step = state.join(both, F.col("node") == F.col("a")).select("request", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
-        state = state.union(step).groupBy("request", "node").agg(F.min("cost").alias("cost"))
-        if i % keep == keep - 1:
-            state = cut(state)
-            now = state.agg(F.count("*"), F.round(F.sum("cost"), 9)).first()
-            if now == last:
-                break
-            last = now
-    return requests.join(state.withColumnRenamed("node", "target"), ["request", "target"], "left").select("request", "cost")
+    if not both.where("step < 0 or step is null").isEmpty():
+        raise ValueError("costs must be known and not negative")
+    start = requests.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"))
+    state, last = cut(start), None
+    while True:
+        for _ in range(keep):
+            step = state.join(both, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b")))
+            step = step.select("request", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
+            best = F.min(F.struct(F.round("cost", 9).alias("r"), F.size("path").alias("n"), "path", "cost")).alias("m")
+            state = state.union(step).groupBy("request", "node").agg(best).select("request", "node", "m.cost", "m.path")
+        state = cut(state)
+        now = state.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("request", "node", "path").cast("decimal(38,0)")), F.lit(0))).first()
+        if now == last:
+            return requests.join(state.withColumnRenamed("node", "target"), ["request", "target"], "left").select("request", "cost", "path")
+        last = now
+
+
+def section_path(edges: DataFrame, sections: DataFrame) -> DataFrame:
+    """(section, cost, path): the part of a road between two boundary streets, as nodes.
+
+    `edges`: (road, a, b, cost), undirected. `sections`: (section, road, from_street, to_street). A boundary's nodes are
+    those that its street shares with the road. Of all ways between a node of one and a node of the other boundary the
+    cheapest along the road counts; null where a boundary doesn't touch the road or nothing connects them.
+    """
+    ends = edges.select("road", F.explode(F.array("a", "b")).alias("node")).distinct()
+    touch = lambda street, name: sections.select("section", "road", F.col(street).alias("_s")).join(ends, "road").join(ends.withColumnRenamed("road", "_s"), ["_s", "node"]).select("section", F.col("node").alias(name))
+    asked = touch("from_street", "source").join(touch("to_street", "target"), "section").join(sections.select("section", "road"), "section")
+    named = asked.withColumn("request", F.struct("section", "source", "target"))
+    at = lambda c: F.struct("road", F.col(c).alias("node"))
+    own = edges.join(asked.select("road").distinct(), "road", "left_semi").select(at("a").alias("a"), at("b").alias("b"), "cost")
+    found = shortest_paths(own, named.select("request", at("source").alias("source"), at("target").alias("target"))).where("cost is not null")
+    best = found.groupBy(F.col("request.section").alias("section")).agg(F.min(F.struct(F.round("cost", 9).alias("r"), F.size("path"), F.col("path.node").alias("path"), "cost")).alias("m"))
+    return sections.select("section").join(best, "section", "left").select("section", "m.cost", "m.path")

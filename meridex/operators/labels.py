@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .records import global_rank
+from .tables import cut
+
 
 def hash_number(*parts: Column, digits: int = 8) -> Column:
     """A number from the md5 of the parts as text: the same in any engine."""
@@ -23,37 +26,45 @@ def positives_window(counts: DataFrame, horizon: int) -> DataFrame:
     return shifted.crossJoin(F.broadcast(span)).where("hour between lo and hi").select("entity", "hour")  # one row
 
 
-def _draw(asked: DataFrame, positives: DataFrame, members: DataFrame, ratio: int, attempts: int, seed: int) -> DataFrame:
-    """(hour, entity, positive, k): clean candidates of each asked (entity, hour, stratum), one owner for each."""
-    ranked = members.withColumn("pos", F.row_number().over(Window.partitionBy("stratum").orderBy("entity")) - 1)
-    sized = ranked.groupBy("stratum").agg(F.count("*").alias("size"))
-    tries = asked.join(sized, "stratum").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(attempts * ratio - 1))))
-    at = F.pmod(hash_number(F.lit(seed), F.col("entity"), F.col("hour"), F.col("k")), F.col("size")).cast("int")
-    found = tries.withColumn("pos", at).withColumnRenamed("entity", "positive").join(ranked, ["stratum", "pos"]).select("positive", "hour", "k", "entity")
-    clean = found.join(positives, ["entity", "hour"], "left_anti")
-    owner = clean.groupBy("hour", "entity").agg(F.min(F.struct("positive", "k")).alias("o"))
-    return owner.select("hour", "entity", F.col("o.positive").alias("positive"), F.col("o.k").alias("k"))
-
-
-def sample_negatives(positives: DataFrame, members: DataFrame, ratio: int, attempts: int = 4, seed: int = 42, fallback: bool = False) -> DataFrame:
-    """(hour, entity): for each positive up to `ratio` entities of its stratum at its hour, never a positive, never twice.
+def sample_negatives(positives: DataFrame, members: DataFrame, ratio: int, seed: int = 42, fallback: bool = True) -> DataFrame:
+    """(hour, entity): for each positive exactly `ratio` entities of its stratum at its hour, never a positive, never twice.
 
-    `members`: (entity, stratum). Attempt k of a positive looks at member hash(seed, entity, hour, k) modulo the
-    stratum's size. A candidate that several positives draw goes to the smallest positive. With `fallback`, positives
-    that are short of negatives draw the rest from all members in a second round.
+    `members`: (entity, stratum), each entity once. A stratum's members stand in a fixed order by hash, as a ring. At each
+    hour the draw begins at a place given by the hash of (seed, hour, stratum) and goes round: among the next
+    `ratio` * p + p members at most p are positives, p being the hour's positives, so what is needed is among them and
+    nothing is drawn again. Where a stratum has too few members, `fallback` takes the rest from the ring of all
+    members in the same way. Raises ValueError if the ratio can't be met. Positives of no member count to the fallback.
     """
-    nth = F.row_number().over(Window.partitionBy("positive", "hour").orderBy("k", "entity"))
-    asked = positives.join(members, "entity")
-    first = _draw(asked, positives, members, ratio, attempts, seed).withColumn("nth", nth).where(F.col("nth") <= ratio).select("hour", "entity", "positive")
-    if not fallback:
-        return first
-    got = first.groupBy(F.col("positive").alias("entity"), "hour").agg(F.count("*").alias("got"))
-    short = asked.join(got, ["entity", "hour"], "left").withColumn("need", ratio - F.coalesce("got", F.lit(0))).where("need > 0")
-    everyone = members.withColumn("stratum", F.lit("all"))
-    taken = positives.union(first.select("entity", "hour"))
-    more = _draw(short.select("entity", "hour", F.lit("all").alias("stratum")), taken, everyone, ratio, attempts, seed + 1).withColumn("nth", nth)
-    more = more.join(short.select(F.col("entity").alias("positive"), "hour", "need"), ["positive", "hour"]).where("nth <= need")
-    return first.union(more.select("hour", "entity", "positive"))
+    spot = hash_number(F.lit(seed), F.col("entity"))
+    known = positives.select("entity", "hour").distinct().join(members, "entity", "left")
+
+    def draw(asked: DataFrame, ring: DataFrame, taken: DataFrame) -> DataFrame:
+        """(hour, stratum, entity) of `need` free members for each row (hour, stratum, need, busy) of `asked`."""
+        placed = global_rank(ring, [spot, F.col("entity")], "place", ["stratum"]).withColumn("place", F.col("place") - 1)
+        sizes = ring.groupBy("stratum").agg(F.count("*").alias("size"))
+        tries = asked.join(sizes, "stratum").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("size"), F.col("need") + F.col("busy")) - 1)))
+        at = F.pmod(hash_number(F.lit(seed), F.col("hour"), F.col("stratum")) + F.col("k"), F.col("size"))
+        found = tries.withColumn("place", at).join(placed, ["stratum", "place"]).join(taken, ["entity", "hour"], "left_anti")
+        nth = F.row_number().over(Window.partitionBy("hour", "stratum").orderBy("k"))  # what an hour needs
+        return found.withColumn("nth", nth).where("nth <= need").select("hour", "stratum", "entity")
+
+    asked = known.where("stratum is not null").groupBy("hour", "stratum").agg((F.count("*") * ratio).alias("need"), F.count("*").alias("busy"))
+    first = cut(draw(asked, members, known.select("entity", "hour")))
+    wanted = known.groupBy("hour").agg((F.count("*") * ratio).alias("wanted"), F.count("*").alias("p"))
+    got = first.groupBy("hour").agg(F.count("*").alias("got"))
+    short = cut(wanted.join(got, "hour", "left").withColumn("need", F.col("wanted") - F.coalesce("got", F.lit(0))).where("need > 0"))
+    out = first.select("hour", "entity")
+    if short.isEmpty():
+        return out
+    if fallback:
+        busy = short.select("hour", F.lit("all").alias("stratum"), "need", (F.col("p") + F.coalesce("got", F.lit(0))).alias("busy"))
+        more = cut(draw(busy, members.select("entity", F.lit("all").alias("stratum")), known.select("entity", "hour").union(first.select("entity", "hour"))))
+        short = short.join(more.groupBy("hour").agg(F.count("*").alias("more")), "hour", "left").where("need > coalesce(more, 0)")
+        out = out.union(more.select("hour", "entity"))
+    lacking = short.select("hour").limit(1).collect()
+    if lacking:
+        raise ValueError(f"there aren't {ratio} free members for each positive at hour {lacking[0][0]}")
+    return out
 
 
 def chronological_split(df: DataFrame, hour: str, train: int = 70, validation: int = 85, purge: int = 0) -> DataFrame:
@@ -76,8 +87,8 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], n: int) -> Dat
     share = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = df.count()
     quota = share.withColumn("_q", F.round(F.col("_n") * n / F.lit(max(total, 1))).cast("long"))
-    by = Window.partitionBy(label).orderBy(hash_number(*[F.col(k) for k in keys]), *keys)
-    return df.withColumn("_r", F.row_number().over(by)).join(F.broadcast(quota), label).where("_r <= _q").drop("_r", "_q", "_n")  # one row for each class
+    ranked = global_rank(df, [hash_number(*[F.col(k) for k in keys]), *map(F.col, keys)], "_r", [label])
+    return ranked.join(F.broadcast(quota), label).where("_r <= _q").drop("_r", "_q", "_n")  # one row for each class
 
 
 def first_active_window(days: DataFrame, months: list[int], horizon: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Ranking, threshold and calibration metrics on scored rows, all through aggregates per distinct score.
 
-Rows are reduced to (group, score, positives, rows) by a partial aggregate before anything is ordered, so a window
-sees distinct scores and never the rows. Ties are in the formulas, not in the order of rows.
+Rows are reduced to (group, score, positives, rows) by a partial aggregate before anything is ordered. Continuous scores
+are nearly as many as rows, so running counts go over ranges of scores (`records.prefix_sums`), never over all of them
+in one task. Ties are in the formulas, not in the order of rows.
 """
 
 from __future__ import annotations
@@ -11,16 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNBOUNDED = Window.unboundedPreceding
+from .records import global_rank, prefix_sums
 
 
 def per_score(df: DataFrame, score: str, target: str, groups: list[str]) -> DataFrame:
     """(groups, score, pos, n) and the groups' totals all_pos, all_n, with running counts from the highest score."""
     one = df.groupBy(*groups, F.col(score).alias("score")).agg(F.sum(F.col(target).cast("long")).alias("pos"), F.count("*").alias("n"))
-    whole = Window.partitionBy(*groups)
-    down = whole.orderBy(F.desc("score"))
-    frame = down.rowsBetween(UNBOUNDED, 0)
-    return one.withColumns({"all_pos": F.sum("pos").over(whole), "all_n": F.sum("n").over(whole), "tp": F.sum("pos").over(frame), "seen": F.sum("n").over(frame)})
+    sums = prefix_sums(one, groups, [F.desc("score")], {"tp": F.col("pos"), "seen": F.col("n")})
+    return sums.withColumnsRenamed({"all_tp": "all_pos", "all_seen": "all_n"})
 
 
 def roc_auc(df: DataFrame, score: str, target: str, groups: list[str] | None = None) -> DataFrame:
@@ -78,6 +77,14 @@ def rank_pct_average(score: str, groups: list[str]) -> Column:
     return (F.rank().over(by.orderBy(score)) + (F.count("*").over(Window.partitionBy(*groups, score)) - 1) / 2) / F.count("*").over(by)
 
 
+def add_pct_average(df: DataFrame, score: str, name: str) -> DataFrame:
+    """Adds the ascending percentile among all rows, with average ranks of ties: ranks of distinct scores, joined back."""
+    one = df.groupBy(F.col(score).alias("__at")).agg(F.count("*").alias("__n"))
+    ranks = prefix_sums(one, [], [F.col("__at")], {"__upto": F.col("__n")})
+    pct = (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("all___upto")
+    return df.join(ranks.select("__at", pct.alias(name)), F.col(score).eqNullSafe(F.col("__at"))).drop("__at")
+
+
 def rank_pct_max(score: str, groups: list[str]) -> Column:
     """Descending rank with the maximum method, as a share."""
     by = Window.partitionBy(*groups)
@@ -87,8 +94,7 @@ def rank_pct_max(score: str, groups: list[str]) -> Column:
 def top_fraction(df: DataFrame, score: str, target: str, ids: list[str], share: float) -> DataFrame:
     """Recall and lift of the ceil(share * n) best rows; ties by ids.
 
-    Two steps keep the order off one task: whole scores above the cut are counted by aggregates, only the rows of the
-    score at the cut are ranked.
+    Whole scores above the cut are counted by aggregates, only the rows of the score at the cut are ranked.
     """
     s = per_score(df, score, target, [])
     k = F.ceil(F.col("all_n") * F.lit(share).cast("decimal(9,4)")).cast("long")
@@ -96,7 +102,7 @@ def top_fraction(df: DataFrame, score: str, target: str, ids: list[str], share:
     cut = s.where("seen >= k").agg(F.max("score").alias("cut"), F.max("k").alias("k"), F.max("all_n").alias("n"), F.max("all_pos").alias("p"))
     above = s.crossJoin(F.broadcast(cut.select("cut"))).where("score > cut").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n0"), F.coalesce(F.sum("pos"), F.lit(0)).alias("p0"))
     both = cut.crossJoin(above)
-    at = df.join(F.broadcast(both), F.col(score) == F.col("cut")).withColumn("r", F.row_number().over(Window.orderBy(*ids))).where("r <= k - n0")
+    at = global_rank(df.join(F.broadcast(both), F.col(score) == F.col("cut")), [F.col(c) for c in ids], "r").where("r <= k - n0")  # one row
     got = both.join(at.agg(F.coalesce(F.sum(F.col(target).cast("long")), F.lit(0)).alias("p1")))
     hits = F.col("p0") + F.col("p1")
     return got.select(F.col("k").alias("selected"), hits.alias("positives"), F.round(hits / F.nullif(F.col("p"), F.lit(0)), 6).alias("recall"), F.round((hits / F.col("k")) / F.nullif(F.col("p") / F.col("n"), F.lit(0)), 6).alias("lift"))
@@ -153,7 +159,9 @@ def percentile_blend(df: DataFrame, group: str, weights: dict[str, float], ids:
 
 def blend_search(df: DataFrame, scores: list[str], target: str, fold: str, step: int = 5) -> DataFrame:
     """(weight, fold, pr_auc, roc_auc) of two-score blends on a grid of weights in steps of 1 / step; `all` is every row."""
-    pct = df.withColumns({f"_{s}": rank_pct_average(s, []) for s in scores})
+    pct = df
+    for c in scores:
+        pct = add_pct_average(pct, c, f"_{c}")
     grid = F.array(*[F.lit(i) for i in range(step + 1)])
     long = pct.withColumn("weight", F.explode(grid)).withColumn("blend", F.round((F.col(f"_{scores[0]}") * F.col("weight") + F.col(f"_{scores[1]}") * (step - F.col("weight"))) / step, 6))
     both = long.withColumn("part", F.explode(F.array(F.lit("all"), F.col(fold).cast("string"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
@@ -46,14 +48,29 @@ def lookup_ordered(df: DataFrame, key: str, ids: list) -> DataFrame:
     return df.join(F.broadcast(asked), key).orderBy("position")  # the request's ids
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Ranks 1..n in a total order without one task for all rows: range partitions, their sizes, and ranks within."""
+def prefix_sums(df: DataFrame, groups: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums in a total order of each group's rows, the row's own value included, and totals `all_<name>`.
+
+    No task holds a whole group: rows are dealt in ranges of (groups, order), and what stands before a range is the sum
+    of a few numbers for each earlier range of the group. The ranges are written once, so all steps see the same ones.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = parts.groupBy("_p").agg(F.max("_i").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")  # a row for each partition
+    parts = cut(df.repartitionByRange(n, *groups, *order).withColumn("_p", F.spark_partition_id()))
+    own = Window.partitionBy(*groups, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    per = parts.groupBy(*groups, "_p").agg(*[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()])  # a row for each range of a group
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    made = {f"_b_{k}": F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)) for k in sums} | {f"all_{k}": F.sum(f"_s_{k}").over(whole) for k in sums}
+    offsets = per.withColumns(made).drop(*[f"_s_{k}" for k in sums])
+    named = offsets.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_p").alias("_q"), *[c for c in offsets.columns if c not in (*groups, "_p")])
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col("_p") == F.col("_q")]
+    out = parts.withColumns({f"_r_{k}": F.sum(c).over(own) for k, c in sums.items()}).join(named, same)
+    return out.withColumns({k: F.col(f"_r_{k}") + F.col(f"_b_{k}") for k in sums}).drop("_p", "_q", *[f"_g_{g}" for g in groups], *[f"_{x}_{k}" for k in sums for x in "rb"])
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str, groups: list[str] | None = None) -> DataFrame:
+    """Ranks 1..n in a total order, within groups if given, without one task for all rows of a group."""
+    return prefix_sums(df, groups or [], order, {name: F.lit(1).cast("long")}).drop(f"all_{name}")
 
 
 def even_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -1,95 +1,176 @@
-"""Rules as data: evidence-gated recommendations, reason codes, priorities and action plans."""
+"""Evidence-gated recommendations, reason codes, priorities and action plans, as column expressions and grouped jobs."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .context import reasons
+from .records import global_rank
+
+# Thresholds of the recommendation rules.
+MIN_CONTRIBUTION = 0.000001
+MIN_POI = 3
+HIGH_SPEED = 60
+MIN_HISTORY = 2
+SPATIAL_SHARE = 0.10
+STRUCTURAL = ("speed_infra_mismatch", "pedestrian_exposure_gap", "narrow_fast_road", "junction_complexity_unregulated", "visibility_risk")
+WEATHER_TOKENS = "precip|snow|freezing|ice|risk_adverse"
+SPATIAL = ("road_length", "segment_latitude", "segment_longitude", "road_highway")
+CALENDAR = ("calendar_is_rush_hour", "calendar_is_holiday")
+# Order of priorities, plans by reason, and what counts as a strong signal.
+PRIORITIES = ("critical", "high", "medium", "low", "monitor_only")
+STRONG = ("severe_weather", "heavy_traffic", "road_repair", "major_event")
+PLANS = {
+    "patrol": ("DYNAMIC_TOP_1PCT", "DYNAMIC_TOP_5PCT"), "speed": ("DYNAMIC_TOP_1PCT", "DYNAMIC_TOP_5PCT"), "engineering": ("HOTSPOT_TOP_20", "HOTSPOT_TOP_50"), "weather": ("SEVERE_WEATHER",),
+    "repair": ("ROAD_REPAIR",), "event": ("MAJOR_EVENT", "HEAVY_TRAFFIC"), "monitor": ("PROVIDER_DEGRADED",),
+}
+# Worth of priorities and the actions that each reason calls for.
+WORTH = {"critical": 1.0, "high": 0.75, "medium": 0.5, "low": 0.25, "monitor_only": 0.1}
+ACTIONS = {
+    "DYNAMIC_TOP_1PCT": ("INCREASE_PATROL", "SPEED_MONITORING"), "DYNAMIC_TOP_5PCT": ("INCREASE_PATROL", "SPEED_MONITORING"), "HOTSPOT_TOP_20": ("ENGINEERING_INSPECTION",),
+    "HOTSPOT_TOP_50": ("ENGINEERING_INSPECTION",), "ROAD_REPAIR": ("REPAIR_ZONE_SAFETY_REVIEW",), "MAJOR_EVENT": ("EVENT_TRAFFIC_CONTROL", "PEDESTRIAN_FLOW_MONITORING"), "HEAVY_TRAFFIC": ("CONGESTION_MONITORING",),
+}
+PERIODS = {"event": ("EVENT_TRAFFIC_CONTROL", "PEDESTRIAN_FLOW_MONITORING"), "repair": ("REPAIR_ZONE_SAFETY_REVIEW",), "weather": ("SPEED_MONITORING", "ROAD_SURFACE_CHECK", "DRIVER_WARNING"), "traffic": ("CONGESTION_MONITORING",)}
 
 
-@dataclass(frozen=True)
-class Rule:
-    """`condition` is on values; the rule also needs a positive contribution of one of `evidence` (none: structural)."""
+def truth(value: Column) -> Column:
+    return F.coalesce(F.lower(value).isin("1", "true", "yes", "да"), F.lit(False))
 
-    name: str
-    condition: Column
-    evidence: tuple[str, ...] = ()
 
+def _rank_pairs(pairs: Column, k: int, positive: bool) -> Column:
+    """Names of the k largest positive, or the k most negative, of (value, name) pairs, the first name of equals first."""
+    sign = -1 if positive else 1
+    some = F.filter(pairs, lambda x: (x["value"] * sign) < 0)
+    return F.transform(F.slice(F.array_sort(F.transform(some, lambda x: F.struct((x["value"] * sign).alias("value"), x["name"].alias("name")))), 1, k), lambda x: x["name"])
 
-def local_rules(df: DataFrame, rules: list[Rule], contributions: str, probability: str, limit: int = 5) -> DataFrame:
-    """Adds `rules_fired` (in order, at most `limit`) and `priority` by probability."""
 
-    def gate(r: Rule) -> Column:
-        if not r.evidence:
-            return r.condition
-        positive = [F.coalesce(F.try_element_at(F.col(contributions), F.lit(e)) > 0, F.lit(False)) for e in r.evidence]
-        return r.condition & F.greatest(*positive) if len(positive) > 1 else r.condition & positive[0]
+def recommendations(contributions: str, values: str, probability: str) -> dict[str, Column]:
+    """Nine rules on a row's contributions (map of name to number) and values (map of name to text).
 
-    fired = F.slice(reasons({r.name: gate(r) for r in rules}), 1, limit)
-    p = F.col(probability)
-    return df.withColumns({"rules_fired": fired, "priority": F.when(p >= 0.75, "high").when(p >= 0.4, "medium").otherwise("low")})
+    `recommendations`: array of (rule, category, priority, features), in the rules' order. A rule that looks at the
+    model needs a positive contribution of its feature besides its condition; the structural one needs neither history
+    nor contributions. Missing names and values that are no numbers are 0 or false; among several features that qualify
+    the first by name counts, or for points of interest the one that contributes most. `raising` and `lowering`: the
+    five features that contribute most to either side.
+    """
+    shap, value, p = F.col(contributions), F.col(values), F.col(probability)
+    text = lambda n: F.try_element_at(value, F.lit(n) if isinstance(n, str) else n)
+    number = lambda n: F.coalesce(text(n).try_cast("double"), F.lit(0.0))
+    gain = lambda n: F.coalesce(F.try_element_at(shap, F.lit(n)), F.lit(0.0))
+    has = lambda n: gain(n) > MIN_CONTRIBUTION
+    priority = F.when(p >= 0.35, "critical").when(p >= 0.20, "high").otherwise("medium")
+    names = F.array_sort(F.coalesce(F.map_keys(F.map_filter(shap, lambda _, v: v > MIN_CONTRIBUTION)), F.array().cast("array<string>")))
+    weather = F.filter(names, lambda n: n.startswith("weather_") & n.rlike(WEATHER_TOKENS) & (truth(text(n)) | (number(n) > 0)))
+    near = F.filter(names, lambda n: n.startswith("poi_") & (number(n) >= MIN_POI))
+    best_poi = F.array_sort(F.transform(near, lambda n: F.struct((-F.try_element_at(shap, n)).alias("g"), n.alias("n"))))[0]["n"]
+    most = F.coalesce(F.array_max(F.map_values(shap)), F.lit(0.0))
+    spatial = F.array_compact(F.array(*[F.when(has(n) & (gain(n) >= F.greatest(most, F.lit(0.0)) * SPATIAL_SHARE), F.lit(n)) for n in SPATIAL]))
+    calendar = F.array_compact(F.array(*[F.when(has(n) & truth(text(n)), F.lit(n)) for n in CALENDAR]))
+    flaws = F.array_compact(F.array(*[F.when(truth(text(n)), F.lit(n)) for n in STRUCTURAL]))
+    history = number("segment_accidents_total_prior") >= MIN_HISTORY
+    speed, unknown = "road_maxspeed_kmh", "road_maxspeed_missing"
+    one = lambda n: F.array(F.lit(n) if isinstance(n, str) else n)
+    rules = [
+        ("historical_accidents", "inspection", has("segment_accidents_total_prior") & history, one("segment_accidents_total_prior")),
+        ("structural_risk_flag", "inspection", ~history & (F.size(flaws) > 0), flaws),
+        ("weather_hazard", "operational", F.size(weather) > 0, one(F.get(weather, F.lit(0)))),
+        ("confirmed_high_speed", "long_term", has(speed) & (number(speed) >= HIGH_SPEED) & ~truth(text(unknown)), one(speed)),
+        ("missing_speed_limit", "inspection", has(unknown) & truth(text(unknown)), one(unknown)),
+        ("nearby_poi", "inspection", F.size(near) > 0, one(best_poi)),
+        ("oneway", "inspection", has("road_oneway") & truth(text("road_oneway")), one("road_oneway")),
+        ("road_spatial", "long_term", F.size(spatial) > 0, one(F.get(spatial, F.lit(0)))),
+        ("positive_rush_holiday", "operational", F.size(calendar) > 0, one(F.get(calendar, F.lit(0)))),
+    ]
+    each = [
+        F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(c).alias("category"), (F.lit("medium") if n == "structural_risk_flag" else priority).alias("priority"), f.alias("features")))
+        for n, c, holds, f in rules
+    ]
+    pairs = F.transform(F.coalesce(F.map_entries(shap), F.array().cast("array<struct<key:string,value:double>>")), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("name")))
+    return {"recommendations": F.array_compact(F.array(*each)), "raising": _rank_pairs(pairs, 5, True), "lowering": _rank_pairs(pairs, 5, False)}
 
 
-def reason_codes(percentile: Column, hotspot: Column, flags: Column, degraded: Column) -> Column:
-    """Ordered reasons from the score's percentile, the hotspot's percentile, context flags and data state."""
-    context = F.size(F.array_intersect(flags, F.array(*map(F.lit, ("severe_weather", "heavy_traffic", "active_repair", "active_event")))))
-    signals = (percentile >= 0.95).cast("int") + (hotspot >= 0.95).cast("int") + context
-    return reasons({
-        "DYNAMIC_TOP_1PCT": percentile >= 0.99, "DYNAMIC_TOP_5PCT": (percentile >= 0.95) & (percentile < 0.99), "HISTORICAL_HOTSPOT": hotspot >= 0.95,
-        "SEVERE_WEATHER": F.array_contains(flags, "severe_weather"), "HEAVY_TRAFFIC": F.array_contains(flags, "heavy_traffic"), "ACTIVE_REPAIR": F.array_contains(flags, "active_repair"), "ACTIVE_EVENT": F.array_contains(flags, "active_event"),
-        "MODEL_DISAGREEMENT": F.abs(percentile - hotspot) >= 0.5, "MULTI_SIGNAL_AGREEMENT": signals >= 3, "DATA_DEGRADED": degraded,
-    })
+def context_flags(weather: Column, traffic: Column, repairs: Column, events: Column) -> dict[str, Column]:
+    """Flags of signals above their thresholds; a missing provider is no flag but makes the row degraded."""
+    flags = reasons({"severe_weather": weather >= 0.60, "heavy_traffic": traffic >= 0.70, "road_repair": repairs > 0, "major_event": events > 0})
+    return {"flags": flags, "degraded": weather.isNull() | traffic.isNull() | repairs.isNull() | events.isNull()}
 
 
-def operational_priority(percentile: Column, hotspot: Column, codes: Column, degraded: Column) -> dict[str, Column]:
-    """priority and uncertainty by a ladder: the first step that holds."""
-    agree = F.array_contains(codes, "MULTI_SIGNAL_AGREEMENT")
-    priority = F.when((percentile >= 0.99) & agree, "critical").when((percentile >= 0.99) | ((percentile >= 0.95) & agree), "high").when((percentile >= 0.95) | (hotspot >= 0.95), "elevated").when((percentile >= 0.80) | (F.size(codes) >= 2) & ~degraded, "watch").otherwise("monitor_only")
-    uncertainty = F.when(degraded, "high").when(F.array_contains(codes, "MODEL_DISAGREEMENT"), "medium").otherwise("low")
-    return {"priority": priority, "uncertainty": uncertainty}
+def reason_codes(percentile: Column, hotspot_rank: Column, hotspot_percentile: Column, flags: Column, degraded: Column) -> Column:
+    """Ordered reasons of a row; null signals don't hold."""
+    top1, top5, hot20, hot50 = percentile >= 0.99, percentile >= 0.95, hotspot_rank <= 20, hotspot_rank <= 50
+    number = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    signals = number(top5) + number(hot50) + F.size(F.array_intersect(flags, F.array(*map(F.lit, STRONG))))
+    return reasons({
+        "DYNAMIC_TOP_1PCT": top1, "DYNAMIC_TOP_5PCT": top5 & ~top1, "HOTSPOT_TOP_20": hot20, "HOTSPOT_TOP_50": hot50 & ~hot20,
+        **{f.upper(): F.array_contains(flags, f) for f in STRONG},
+        "MODEL_DISAGREEMENT": top5 & (hotspot_percentile < 0.50), "MULTI_SIGNAL_AGREEMENT": signals >= 3, "PROVIDER_DEGRADED": degraded,
+    })
 
 
-PRIORITIES = ("critical", "high", "elevated", "watch", "monitor_only")
+def operational_priority(codes: Column, degraded: Column) -> dict[str, Column]:
+    """priority, uncertainty and plans by a row's reasons."""
+    has = lambda *names: reduce(lambda a, b: a | b, [F.array_contains(codes, n) for n in names])
+    strong = has(*[f.upper() for f in STRONG])
+    priority = (
+        F.when(has("DYNAMIC_TOP_1PCT") & ((has("HOTSPOT_TOP_20") & strong) | has("MULTI_SIGNAL_AGREEMENT")), "critical").when(has("DYNAMIC_TOP_1PCT", "DYNAMIC_TOP_5PCT") | strong, "high")
+        .when(has("HOTSPOT_TOP_20", "HOTSPOT_TOP_50", "MODEL_DISAGREEMENT"), "medium").when(degraded, "monitor_only").otherwise("low")
+    )
+    uncertainty = F.when(degraded, "high").when(has("MODEL_DISAGREEMENT"), "medium").otherwise("low")
+    return {"priority": priority, "uncertainty": uncertainty, "plans": reasons({k: has(*v) for k, v in PLANS.items()})}
 
 
 def priority_rank(df: DataFrame, priority: str, order: list[Column]) -> DataFrame:
     """Adds `place`: by the order of priorities, then `order`."""
     level = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col(priority))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(level, *order)))
-
-
-def context_flags(weather: Column, traffic: Column, repairs: Column, events: Column) -> dict[str, Column]:
-    """Flags of signals above their thresholds; a missing provider is no flag but makes the row degraded."""
-    flags = reasons({"severe_weather": weather >= 0.60, "heavy_traffic": traffic >= 0.70, "active_repair": repairs > 0, "active_event": events > 0})
-    return {"flags": flags, "degraded": weather.isNull() | traffic.isNull() | repairs.isNull() | events.isNull()}
-
-
-# The actions that each reason calls for.
-ACTIONS = {
-    "DYNAMIC_TOP_1PCT": ("INCREASE_PATROL", "REVIEW_SIGNALS"), "DYNAMIC_TOP_5PCT": ("INCREASE_PATROL",), "HISTORICAL_HOTSPOT": ("INSPECT_SEGMENT",),
-    "SEVERE_WEATHER": ("WARN_DRIVERS",), "HEAVY_TRAFFIC": ("ADJUST_SIGNALS",), "ACTIVE_REPAIR": ("CHECK_SIGNAGE",), "ACTIVE_EVENT": ("MANAGE_CROWD",),
-}
+    return global_rank(df, [level, *order], "place")
 
 
-def action_plan(df: DataFrame, segment: str, codes: str, group: Column, score: Column, top: int) -> DataFrame:
-    """(action, group_key, segments, best, score, reasons, place): actions of all rows, grouped, best first.
+def action_plan(df: DataFrame, at: Column, horizon: Column, top: int = 10, least: str = "medium") -> DataFrame:
+    """(action, kind, label, segments, n, score, priority, reasons, uncertainty, start, end, basis, place): the best actions.
 
-    Each group keeps its number of segments, its best row and the sorted set of its reasons; sets are merged per
-    group by partial aggregation and hold at most the number of reason codes.
+    `df` has a row for each segment: segment, codes, priority, uncertainty, percentile, hotspot, weather, road_name,
+    road_ref, event_id, event_start, event_end, repair_id, repair_start, repair_end, weather_start, weather_end. Rows of
+    at least the priority `least` count, of medium ones those with a strong signal, and degraded monitor-only ones. Each
+    reason calls for actions; one event or repair is one group, other segments group by road name, reference or their
+    own id. A group's score is that of its row of the highest percentile (the smallest segment of equals), with its
+    worst weather, size and uncertainty. Groups are aggregated partially; `segments` grows with a road, not with the data.
     """
+    codes, priority = F.col("codes"), F.col("priority")
+    worth = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WORTH.items() for x in kv]), priority), F.lit(0.0))
+    strong = F.arrays_overlap(codes, F.array(*[F.lit(f.upper()) for f in STRONG], F.lit("MULTI_SIGNAL_AGREEMENT")))
+    degraded = F.array_contains(codes, "PROVIDER_DEGRADED")
+    rows = df.where(((worth >= WORTH[least]) | ((priority == "monitor_only") & degraded)) & ((priority != "medium") | strong))
     catalogue = F.create_map(*[x for r, a in ACTIONS.items() for x in (F.lit(r), F.array(*map(F.lit, a)))])
-    one = df.select(F.col(segment).alias("segment"), F.col(codes).alias("codes"), group.alias("group_key"), score.alias("score"))
-    each = one.select("segment", "group_key", "score", F.explode("codes").alias("reason"))
-    acts = each.select("segment", "group_key", "score", "reason", F.explode(F.coalesce(F.try_element_at(catalogue, F.col("reason")), F.array().cast("array<string>"))).alias("action"))
-    per = acts.groupBy("action", "group_key").agg(F.count_distinct("segment").alias("segments"), F.max(F.struct("score", -F.col("segment"))).alias("b"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    out = per.select("action", "group_key", "segments", (-F.col("b.col2")).alias("best"), F.col("b.score").alias("score"), "reasons")
-    return out.orderBy(F.desc("score"), "action", "group_key").limit(top).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "action", "group_key")))
-
-
-def citywide_warning(df: DataFrame, codes: str, code: str, share: float) -> DataFrame:
-    """One row: how many rows have the code, their share, and whether it reaches the given share."""
-    n = F.sum(F.array_contains(codes, code).cast("long"))
-    return df.agg(n.alias("rows_with_code"), F.round(n / F.count("*"), 6).alias("share"), (n / F.count("*") >= share).alias("warning"))
+    called = F.array_distinct(F.flatten(F.transform(codes, lambda c: F.coalesce(F.try_element_at(catalogue, c), F.array().cast("array<string>")))))
+    acts = F.when(F.size(called) > 0, called).when(degraded, F.array(F.lit("CONTINUE_MONITORING"))).otherwise(called)
+    each = rows.withColumns({"_worth": worth, "action": F.explode(acts)})
+    of = lambda k: F.col("action").isin(*PERIODS[k])
+    event, repair = of("event") & F.col("event_id").isNotNull(), of("repair") & F.col("repair_id").isNotNull()
+    road = F.lower(F.trim(F.coalesce(F.nullif("road_name", F.lit("")), F.nullif("road_ref", F.lit("")), F.col("segment").cast("string"))))
+    kind = F.when(event, "event").when(repair, "repair").otherwise("road")
+    label = F.when(event, F.col("event_id").cast("string")).when(repair, F.col("repair_id").cast("string")).otherwise(road)
+    level = F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("uncertainty"))
+    per = each.groupBy("action", kind.alias("kind"), label.alias("label")).agg(
+        F.max_by(F.struct("percentile", "hotspot", "_worth", *[f"{k}_{x}" for k in ("event", "repair", "weather") for x in ("start", "end")]), F.struct(F.coalesce("percentile", F.lit(0.0)), -F.col("segment"))).alias("b"),
+        F.array_sort(F.collect_set("segment")).alias("segments"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes")))).alias("reasons"), F.max(F.coalesce("weather", F.lit(0.0))).alias("weather"), F.max(level).alias("level"),
+    )
+    n = F.size("segments")
+    off = F.when(F.col("level") <= 1, 0.0).when(F.col("level") == 2, 0.05).otherwise(0.1)
+    raw = 0.4 * F.coalesce("b.percentile", F.lit(0.0)) + 0.25 * F.coalesce("b.hotspot", F.lit(0.0)) + 0.2 * F.greatest("weather", F.lit(0.0)) + 0.1 * F.col("b._worth") + 0.05 * F.least(n / 5, F.lit(1.0)) - off
+    score = F.round(F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0)), 6)
+    start = lambda x, z: F.when(of("event"), F.coalesce(F.col(f"b.event_{x}"), z)).when(of("repair"), F.coalesce(F.col(f"b.repair_{x}"), z)).when(of("weather"), F.coalesce(F.col(f"b.weather_{x}"), z)).when(of("traffic"), z)
+    basis = reduce(lambda a, k: a.when(of(k), f"{k}_period"), PERIODS, F.when(F.lit(False), F.lit(""))).otherwise("prediction_horizon")
+    out = per.select("action", "kind", "label", "segments", n.alias("n"), score.alias("score"), "reasons", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level").cast("int")).alias("uncertainty"),
+        F.coalesce(start("start", at), at).alias("start"), F.coalesce(start("end", at), at + horizon).alias("end"), basis.alias("basis"))
+    best = out.orderBy(F.desc("score"), "action", "kind", "label").limit(top)
+    level = F.when(F.col("score") >= 0.8, "critical").when(F.col("score") >= 0.6, "high").when(F.col("score") >= 0.4, "medium").otherwise("monitor")
+    return best.withColumns({"priority": level, "place": F.row_number().over(Window.orderBy(F.desc("score"), "action", "kind", "label"))})  # at most `top` rows
+
+
+def citywide_warning(df: DataFrame, codes: str, code: str, segment: str) -> DataFrame:
+    """One row for a code that any row has: (warning_code, affected segments); no row else."""
+    hit = df.where(F.array_contains(codes, code)).agg(F.count_distinct(segment).alias("affected"))
+    return hit.where("affected > 0").select(F.lit(code).alias("warning_code"), "affected")

@@ -19,7 +19,7 @@ def counts(spark, sf):
 
 
 def observations(spark, sf):
-    """Every third hour of the customers that events have, from the events' first hour on: rows with and without events."""
+    """Every sixth hour of the customers that events have, from the events' first hour on: rows with and without events."""
     ev = table(spark, sf, "events")
     span = ev.agg(F.min(hour_index("ts")).alias("lo"), F.max(hour_index("ts")).alias("hi"))
     hours = span.select(F.explode(F.sequence("lo", "hi", F.lit(6).cast("long"))).alias("hour"))
@@ -154,14 +154,17 @@ def positive_windows(spark, sf):
 
 
 NEG = f"""WITH {C}, pos AS (SELECT entity, hour - 1 AS hour FROM counts), mem AS (SELECT c_custkey AS entity, c_mktsegment AS stratum FROM customer),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY entity) - 1 AS p, count(*) OVER (PARTITION BY stratum) AS size FROM mem),
- draw AS (SELECT pos.entity AS positive, hour, k, r.stratum, ('0x' || substr(md5(concat_ws('|', 42, pos.entity, hour, k)), 1, 8))::BIGINT % r.size AS p FROM pos JOIN ranked r USING (entity), generate_series(0, 11) t(k)),
- found AS (SELECT positive, d.hour, k, r.entity FROM draw d JOIN ranked r ON r.stratum = d.stratum AND r.p = d.p WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.entity = r.entity AND pos.hour = d.hour)),
- own AS (SELECT hour, entity, min({{'positive': positive, 'k': k}}) AS o FROM found GROUP BY 1, 2),
- nth AS (SELECT hour, entity, o.positive AS positive, row_number() OVER (PARTITION BY o.positive, hour ORDER BY o.k, entity) AS r FROM own)"""
+ known AS (SELECT pos.*, stratum FROM pos LEFT JOIN mem USING (entity)),
+ ring AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || substr(md5(concat_ws('|', 42, entity)), 1, 8))::BIGINT, entity) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS size FROM (SELECT * FROM mem UNION ALL SELECT entity, 'all' FROM mem)),
+ asked AS (SELECT hour, stratum, count(*) * 3 AS need FROM known WHERE stratum IS NOT NULL GROUP BY 1, 2),
+ free AS (SELECT a.*, r.entity, ((place - ('0x' || substr(md5(concat_ws('|', 42, hour, stratum)), 1, 8))::BIGINT) % size + size) % size AS k FROM asked a JOIN ring r USING (stratum) WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.entity = r.entity AND pos.hour = a.hour)),
+ first AS (SELECT hour, entity FROM (SELECT *, row_number() OVER (PARTITION BY hour, stratum ORDER BY k) AS nth FROM free) WHERE nth <= need),
+ short AS (SELECT w.hour, wanted - coalesce(got, 0) AS need FROM (SELECT hour, count(*) * 3 AS wanted FROM known GROUP BY 1) w LEFT JOIN (SELECT hour, count(*) AS got FROM first GROUP BY 1) g USING (hour) WHERE wanted > coalesce(got, 0)),
+ rest AS (SELECT s.*, r.entity, ((place - ('0x' || substr(md5(concat_ws('|', 42, hour, 'all')), 1, 8))::BIGINT) % size + size) % size AS k FROM short s JOIN ring r ON stratum = 'all' WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.entity = r.entity AND pos.hour = s.hour) AND NOT EXISTS (SELECT 1 FROM first f WHERE f.entity = r.entity AND f.hour = s.hour)),
+ more AS (SELECT hour, entity FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY k) AS nth FROM rest) WHERE nth <= need)"""
 
 
-@query(NEG + " SELECT hour, entity, positive FROM nth WHERE r <= 3")
+@query(NEG + " SELECT hour, entity FROM first UNION ALL SELECT hour, entity FROM more")
 def negative_sample(spark, sf):
     members = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("stratum"))
     return L.sample_negatives(L.positives_next(counts(spark, sf)), members, ratio=3)

@@ -133,10 +133,10 @@ def rare_to_other(spark, sf):
     return MO.rare_to_other(p.where("p_partkey % 3 <> 0"), p.where("p_partkey % 3 = 0"), "p_type", 200).select("p_partkey", "p_type")
 
 
-@query("WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey), p_brand) - 1 AS c FROM part WHERE p_partkey < 20 GROUP BY 1) SELECT p_partkey, coalesce(c, -1)::INT AS p_brand_code FROM part LEFT JOIN b USING (p_brand) WHERE p_partkey >= 20")
+@query("WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey), p_brand) - 1 AS c FROM part WHERE p_size < 20 GROUP BY 1) SELECT p_partkey, coalesce(c, -1)::INT AS p_brand_code FROM part LEFT JOIN b USING (p_brand) WHERE p_size >= 20")
 def ordinal_codes(spark, sf):
     p = table(spark, sf, "part")
-    return MO.ordinal_codes(p.where("p_partkey < 20"), p.where("p_partkey >= 20"), "p_brand", "p_partkey").select("p_partkey", "p_brand_code")
+    return MO.ordinal_codes(p.where("p_size < 20"), p.where("p_size >= 20"), "p_brand", "p_partkey").select("p_partkey", "p_brand_code")
 
 
 @query(f"WITH {NULLED}, m AS (SELECT p_type, median(p_size) AS a, median(p_retailprice) AS b FROM p GROUP BY 1) SELECT p_partkey, coalesce(p_size > a, false)::INT AS p_size_high, coalesce(p_retailprice > b, false)::INT AS p_retailprice_high, coalesce(p_size > a, false)::INT + coalesce(p_retailprice > b, false)::INT AS high_count FROM p JOIN m USING (p_type)")
@@ -237,9 +237,9 @@ def time_format_check(spark, sf):
     return c.select("conv_id", "turn", T.is_clock_time(t).alias("good"))
 
 
-@query("SELECT event_id, (make_timestamp(epoch_us(ts) - epoch_us(ts) % 86400000000 + ((event_id * 37) % 1440) * 60000000)) AS local_ts, hour(make_timestamp(((event_id * 37) % 1440) * 60000000))::INT AS hour FROM events WHERE event_id % 97 <> 0")
+@query("SELECT event_id, (make_timestamp(epoch_us(ts) - epoch_us(ts) % 86400000000 + ((event_id * 37) % 1440) * 60000000)) AS local_ts, hour(make_timestamp(((event_id * 37) % 1440) * 60000000))::INT AS hour FROM events")
 def local_datetime(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 97 <> 0")
+    e = table(spark, sf, "events")
     clock = F.concat(F.lpad(F.floor((F.col("event_id") * 37) % 1440 / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad(((F.col("event_id") * 37) % 60).cast("string"), 2, "0"))
     at = T.date_and_clock(F.unix_millis(F.col("ts").cast("timestamp")), clock, "UTC")
     return e.select("event_id", at.alias("local_ts"), F.hour(at).alias("hour"))
@@ -313,9 +313,34 @@ def alias_lookup(spark, sf):
     return find(table(spark, sf, "documents"), "doc_id", F.lower("text"), directory, "alias", "p", "code")
 
 
-@query("WITH n AS (SELECT source, lang, lower(translate(source || ' ' || lang, 'srcSRC', 'zzzzzz')) AS k FROM documents GROUP BY 1, 2) SELECT a.source AS source, a.lang AS lang, count(*) AS matches FROM n a JOIN n b ON left(a.k, 3) = left(b.k, 3) AND (contains(a.k, b.k) OR contains(b.k, a.k)) GROUP BY 1, 2")
+NAMES = """SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT lower(p_type) FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT lower(r_name) FROM region UNION SELECT lower(n_name || ' ' || r_name) FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT DISTINCT lower(r_name || ' ' || p_type) FROM region, part"""
+
+
+@query(f"WITH n AS ({NAMES}) SELECT a.name, count(*) AS matches, min(b.name) AS first FROM n a JOIN n b ON contains(a.name, b.name) OR contains(b.name, a.name) GROUP BY 1")
 def road_name_match(spark, sf):
     from ..operators.joins import name_match
 
-    n = table(spark, sf, "documents").select("source", "lang").distinct().withColumn("k", F.lower(F.translate(F.concat_ws(" ", "source", "lang"), "srcSRC", "zzzzzz")))
-    return name_match(n, n.select(F.col("k").alias("other")), "k", "other", 3).groupBy("source", "lang").agg(F.count("*").alias("matches"))
+    p, n, r = (table(spark, sf, x) for x in ("part", "nation", "region"))
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    types = p.select(F.lower("p_type").alias("t")).distinct()
+    names = p.select(F.col("p_brand").alias("name")).union(types).union(n.select(F.lower("n_name"))).union(r.select(F.lower("r_name"))).union(both.select(F.lower(F.concat_ws(" ", "n_name", "r_name"))))
+    names = names.union(r.crossJoin(types).select(F.concat_ws(" ", F.lower("r_name"), "t"))).distinct()  # five regions
+    return name_match(names, names.select(F.col("name").alias("other")), "name", "other").groupBy("name").agg(F.count("*").alias("matches"), F.min("other").alias("first"))
+
+
+# a road for each customer nation: its suppliers' keys in a chain, crossed by streets at some of them
+ROAD = """e AS (SELECT 'N' || s_nationkey AS road, s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b, 1 + s_suppkey % 7 AS cost FROM supplier),
+ x AS (SELECT s_nationkey, min(s_suppkey) AS lo, max(s_suppkey) AS hi FROM supplier GROUP BY 1)"""
+
+
+@query(f"""WITH {ROAD}, s AS (SELECT 'N' || s_nationkey AS section, s_nationkey, lo, hi FROM x WHERE lo < hi) SELECT section, (SELECT sum(1 + s_suppkey % 7) FROM supplier p WHERE p.s_nationkey = s.s_nationkey AND s_suppkey < hi)::DOUBLE AS cost, (SELECT list(s_suppkey ORDER BY s_suppkey) FROM supplier p WHERE p.s_nationkey = s.s_nationkey) AS path FROM s""")
+def section_path(spark, sf):
+    from ..operators.joins import section_path as find
+
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey")
+    nxt = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    chain = s.withColumn("b", nxt).where("b is not null").select(F.concat(F.lit("N"), "s_nationkey").alias("road"), F.col("s_suppkey").alias("a"), "b", (1 + F.col("s_suppkey") % 7).cast("double").alias("cost"))
+    ends = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("lo"), F.max("s_suppkey").alias("hi")).where("lo < hi")
+    name = lambda x: F.concat(F.lit(x), "s_nationkey")
+    cross = ends.select(name("A").alias("road"), F.col("lo").alias("a"), (-F.col("lo")).alias("b"), F.lit(1.0)).union(ends.select(name("B"), "hi", -F.col("hi"), F.lit(1.0)))
+    return find(chain.union(cross), ends.select(name("N").alias("section"), name("N").alias("road"), name("A").alias("from_street"), name("B").alias("to_street")))

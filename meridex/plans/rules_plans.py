@@ -134,23 +134,25 @@ def provider_coverage(spark, sf):
 
 
 RISK = f"""{H}, r AS (SELECT seg, round((rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2) / count(*) OVER (), 6) AS pct, round((rank() OVER (ORDER BY all_time) + (count(*) OVER (PARTITION BY all_time) - 1) / 2) / count(*) OVER (), 6) AS hot,
- CASE WHEN seg % 13 = 0 THEN NULL ELSE (seg % 100) / 100.0 END AS weather, (seg % 37) / 37.0 AS traffic, seg % 17 = 0 AS rep, seg % 19 = 0 AS ev, c_nationkey FROM h JOIN customer ON c_custkey = seg),
- f AS (SELECT *, list_filter([CASE WHEN weather >= 0.60 THEN 'severe_weather' END, CASE WHEN traffic >= 0.70 THEN 'heavy_traffic' END, CASE WHEN rep THEN 'active_repair' END, CASE WHEN ev THEN 'active_event' END], lambda x: x IS NOT NULL) AS flags, weather IS NULL AS degraded FROM r),
- c2 AS (SELECT *, list_filter([CASE WHEN pct >= 0.99 THEN 'DYNAMIC_TOP_1PCT' END, CASE WHEN pct >= 0.95 AND pct < 0.99 THEN 'DYNAMIC_TOP_5PCT' END, CASE WHEN hot >= 0.95 THEN 'HISTORICAL_HOTSPOT' END,
- CASE WHEN list_contains(flags, 'severe_weather') THEN 'SEVERE_WEATHER' END, CASE WHEN list_contains(flags, 'heavy_traffic') THEN 'HEAVY_TRAFFIC' END, CASE WHEN rep THEN 'ACTIVE_REPAIR' END, CASE WHEN ev THEN 'ACTIVE_EVENT' END,
- CASE WHEN abs(pct - hot) >= 0.5 THEN 'MODEL_DISAGREEMENT' END, CASE WHEN (pct >= 0.95)::INT + (hot >= 0.95)::INT + len(flags) >= 3 THEN 'MULTI_SIGNAL_AGREEMENT' END, CASE WHEN degraded THEN 'DATA_DEGRADED' END], lambda x: x IS NOT NULL) AS codes FROM f),
- o AS (SELECT *, CASE WHEN pct >= 0.99 AND list_contains(codes, 'MULTI_SIGNAL_AGREEMENT') THEN 'critical' WHEN pct >= 0.99 OR (pct >= 0.95 AND list_contains(codes, 'MULTI_SIGNAL_AGREEMENT')) THEN 'high' WHEN pct >= 0.95 OR hot >= 0.95 THEN 'elevated' WHEN pct >= 0.80 OR (len(codes) >= 2 AND NOT degraded) THEN 'watch' ELSE 'monitor_only' END AS priority,
+ row_number() OVER (ORDER BY all_time DESC, seg) AS hot_rank, CASE WHEN seg % 13 = 0 THEN NULL ELSE (seg % 100) / 100.0 END AS weather, (seg % 37) / 37.0 AS traffic, seg % 17 = 0 AS rep, seg % 19 = 0 AS ev, c_nationkey FROM h JOIN customer ON c_custkey = seg),
+ f AS (SELECT *, list_filter([CASE WHEN weather >= 0.60 THEN 'severe_weather' END, CASE WHEN traffic >= 0.70 THEN 'heavy_traffic' END, CASE WHEN rep THEN 'road_repair' END, CASE WHEN ev THEN 'major_event' END], lambda x: x IS NOT NULL) AS flags, weather IS NULL AS degraded FROM r),
+ c2 AS (SELECT *, list_filter([CASE WHEN pct >= 0.99 THEN 'DYNAMIC_TOP_1PCT' END, CASE WHEN pct >= 0.95 AND pct < 0.99 THEN 'DYNAMIC_TOP_5PCT' END, CASE WHEN hot_rank <= 20 THEN 'HOTSPOT_TOP_20' END, CASE WHEN hot_rank BETWEEN 21 AND 50 THEN 'HOTSPOT_TOP_50' END,
+ CASE WHEN list_contains(flags, 'severe_weather') THEN 'SEVERE_WEATHER' END, CASE WHEN list_contains(flags, 'heavy_traffic') THEN 'HEAVY_TRAFFIC' END, CASE WHEN rep THEN 'ROAD_REPAIR' END, CASE WHEN ev THEN 'MAJOR_EVENT' END,
+ CASE WHEN pct >= 0.95 AND hot < 0.5 THEN 'MODEL_DISAGREEMENT' END, CASE WHEN (pct >= 0.95)::INT + (hot_rank <= 50)::INT + len(flags) >= 3 THEN 'MULTI_SIGNAL_AGREEMENT' END, CASE WHEN degraded THEN 'PROVIDER_DEGRADED' END], lambda x: x IS NOT NULL) AS codes FROM f),
+ o AS (SELECT *, CASE WHEN pct >= 0.99 AND ((hot_rank <= 20 AND len(flags) > 0) OR list_contains(codes, 'MULTI_SIGNAL_AGREEMENT')) THEN 'critical' WHEN pct >= 0.95 OR len(flags) > 0 THEN 'high' WHEN hot_rank <= 50 THEN 'medium' WHEN degraded THEN 'monitor_only' ELSE 'low' END AS priority,
  CASE WHEN degraded THEN 'high' WHEN list_contains(codes, 'MODEL_DISAGREEMENT') THEN 'medium' ELSE 'low' END AS uncertainty FROM c2)"""
 
 
 def risk(spark, sf):
-    from ..operators.metrics import rank_pct_average
+    from ..operators.metrics import add_pct_average
+    from ..operators.records import global_rank
 
     c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "seg").join(hot(spark, sf), "seg")
-    r = c.select("seg", F.round(rank_pct_average("c_acctbal", []), 6).alias("pct"), F.round(rank_pct_average("all_time", []), 6).alias("hot"), "c_nationkey", F.when(F.col("seg") % 13 != 0, (F.col("seg") % 100) / 100.0).alias("weather"), ((F.col("seg") % 37) / 37.0).alias("traffic"), (F.col("seg") % 17 == 0).cast("int").alias("rep"), (F.col("seg") % 19 == 0).cast("int").alias("ev"))
+    c = global_rank(add_pct_average(add_pct_average(c, "c_acctbal", "pct"), "all_time", "hot"), [F.desc("all_time"), F.col("seg")], "hot_rank")
+    r = c.select("seg", F.round("pct", 6).alias("pct"), F.round("hot", 6).alias("hot"), "hot_rank", "c_nationkey", F.when(F.col("seg") % 13 != 0, (F.col("seg") % 100) / 100.0).alias("weather"), ((F.col("seg") % 37) / 37.0).alias("traffic"), (F.col("seg") % 17 == 0).cast("int").alias("rep"), (F.col("seg") % 19 == 0).cast("int").alias("ev"))
     r = r.withColumns(R.context_flags(F.col("weather"), F.col("traffic"), F.col("rep"), F.col("ev")))
-    r = r.withColumn("codes", R.reason_codes(F.col("pct"), F.col("hot"), F.col("flags"), F.col("degraded")))
-    return r.withColumns(R.operational_priority(F.col("pct"), F.col("hot"), F.col("codes"), F.col("degraded")))
+    r = r.withColumn("codes", R.reason_codes(F.col("pct"), F.col("hot_rank"), F.col("hot"), F.col("flags"), F.col("degraded")))
+    return r.withColumns(R.operational_priority(F.col("codes"), F.col("degraded")))
 
 
 @query(f"WITH {RISK} SELECT seg, flags, degraded FROM o")
@@ -163,33 +165,71 @@ def reason_codes(spark, sf):
     return risk(spark, sf).select("seg", "codes")
 
 
-@query(f"WITH {RISK} SELECT seg, priority, uncertainty FROM o")
+@query(f"""WITH {RISK} SELECT seg, priority, uncertainty, list_filter([CASE WHEN pct >= 0.95 THEN 'patrol' END, CASE WHEN pct >= 0.95 THEN 'speed' END, CASE WHEN hot_rank <= 50 THEN 'engineering' END, CASE WHEN list_contains(flags, 'severe_weather') THEN 'weather' END, CASE WHEN rep THEN 'repair' END, CASE WHEN ev OR list_contains(flags, 'heavy_traffic') THEN 'event' END, CASE WHEN degraded THEN 'monitor' END], lambda x: x IS NOT NULL) AS plans FROM o""")
 def operational_priority(spark, sf):
-    return risk(spark, sf).select("seg", "priority", "uncertainty")
+    return risk(spark, sf).select("seg", "priority", "uncertainty", "plans")
 
 
-@query(f"WITH {RISK} SELECT seg, priority, row_number() OVER (ORDER BY list_position(['critical', 'high', 'elevated', 'watch', 'monitor_only'], priority), pct DESC, seg) AS place FROM o")
+@query(f"WITH {RISK} SELECT seg, priority, row_number() OVER (ORDER BY list_position(['critical', 'high', 'medium', 'low', 'monitor_only'], priority), pct DESC, hot_rank, seg) AS place FROM o")
 def priority_rank(spark, sf):
-    return R.priority_rank(risk(spark, sf), "priority", [F.desc("pct"), F.col("seg")]).select("seg", "priority", "place")
-
-
-@query(f"""WITH {RISK}, a AS (SELECT * FROM (VALUES ('DYNAMIC_TOP_1PCT', 'INCREASE_PATROL'), ('DYNAMIC_TOP_1PCT', 'REVIEW_SIGNALS'), ('DYNAMIC_TOP_5PCT', 'INCREASE_PATROL'), ('HISTORICAL_HOTSPOT', 'INSPECT_SEGMENT'), ('SEVERE_WEATHER', 'WARN_DRIVERS'), ('HEAVY_TRAFFIC', 'ADJUST_SIGNALS'), ('ACTIVE_REPAIR', 'CHECK_SIGNAGE'), ('ACTIVE_EVENT', 'MANAGE_CROWD')) t(reason, action)),
- e AS (SELECT seg, c_nationkey AS group_key, pct AS score, unnest(codes) AS reason FROM o WHERE priority <> 'monitor_only'), g AS (SELECT action, group_key, count(DISTINCT seg) AS segments, arg_max(seg, (score, -seg)) AS best, max(score) AS score, list_sort(list(DISTINCT reason)) AS reasons FROM e JOIN a USING (reason) GROUP BY 1, 2)
- SELECT action, group_key, segments, best, score, reasons, row_number() OVER (ORDER BY score DESC, action, group_key) AS place FROM g ORDER BY score DESC, action, group_key LIMIT 20""")
+    return R.priority_rank(risk(spark, sf), "priority", [F.desc("pct"), F.col("hot_rank"), F.col("seg")]).select("seg", "priority", "place")
+
+
+# roads by nation, written in different cases; every fifth segment has only a reference, every tenth neither
+ROADS = """CASE WHEN seg % 5 = 0 THEN NULL WHEN seg % 2 = 0 THEN ' ' || upper(n_name) ELSE n_name END AS road_name, CASE WHEN seg % 10 = 0 THEN NULL ELSE 'R' || (c_nationkey % 6) END AS road_ref,
+ CASE WHEN ev AND seg % 2 = 0 THEN 'E' || (seg % 7) END AS event_id, CASE WHEN ev THEN 100 + seg % 5 END AS event_start, CASE WHEN ev AND seg % 3 > 0 THEN 110 + seg % 5 END AS event_end, CASE WHEN rep THEN 'P' || (seg % 5) END AS repair_id, CASE WHEN rep THEN 90 END AS repair_start, CASE WHEN rep AND seg % 3 = 0 THEN 130 END AS repair_end, 104 AS weather_start, 107 AS weather_end"""
+
+
+@query(f"""WITH {RISK}, s AS (SELECT o.*, {ROADS} FROM o JOIN nation ON n_nationkey = c_nationkey),
+ a AS (SELECT unnest(['DYNAMIC_TOP_1PCT', 'DYNAMIC_TOP_1PCT', 'DYNAMIC_TOP_5PCT', 'DYNAMIC_TOP_5PCT', 'HOTSPOT_TOP_20', 'HOTSPOT_TOP_50', 'ROAD_REPAIR', 'MAJOR_EVENT', 'MAJOR_EVENT', 'HEAVY_TRAFFIC']) AS reason, unnest(['INCREASE_PATROL', 'SPEED_MONITORING', 'INCREASE_PATROL', 'SPEED_MONITORING', 'ENGINEERING_INSPECTION', 'ENGINEERING_INSPECTION', 'REPAIR_ZONE_SAFETY_REVIEW', 'EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING', 'CONGESTION_MONITORING']) AS action),
+ k AS (SELECT * FROM s WHERE priority IN ('critical', 'high') OR (priority = 'medium' AND (len(flags) > 0 OR list_contains(codes, 'MULTI_SIGNAL_AGREEMENT'))) OR (priority = 'monitor_only' AND degraded)),
+ e AS (SELECT DISTINCT k.*, action FROM (SELECT *, unnest(codes) AS reason FROM k) k JOIN a USING (reason)),
+ m AS (SELECT * EXCLUDE (reason) FROM e UNION ALL SELECT k.*, 'CONTINUE_MONITORING' FROM k WHERE degraded AND NOT list_has_any(codes, (SELECT list(reason) FROM a))),
+ g AS (SELECT *, CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') AND event_id IS NOT NULL THEN 'event' WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' AND repair_id IS NOT NULL THEN 'repair' ELSE 'road' END AS kind FROM m),
+ l AS (SELECT *, CASE kind WHEN 'event' THEN event_id WHEN 'repair' THEN repair_id ELSE lower(trim(coalesce(road_name, road_ref, seg::VARCHAR))) END AS label, row_number() OVER (PARTITION BY action, kind, CASE kind WHEN 'event' THEN event_id WHEN 'repair' THEN repair_id ELSE lower(trim(coalesce(road_name, road_ref, seg::VARCHAR))) END ORDER BY pct DESC, seg) AS best FROM g),
+ q AS (SELECT action, kind, label, list_sort(list(seg)) AS segments, count(*)::INT AS n, list_sort(list_distinct(flatten(list(codes)))) AS reasons, max(coalesce(weather, 0)) AS w, max(CASE uncertainty WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS u FROM l GROUP BY 1, 2, 3),
+ z AS (SELECT q.*, round(greatest(least(0.4 * pct + 0.25 * hot + 0.2 * w + 0.1 * CASE b.priority WHEN 'critical' THEN 1 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0.1 END + 0.05 * least(n / 5, 1) - 0.05 * u, 1), 0), 6)::DOUBLE AS score,
+ CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN coalesce(event_start, 100) WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN coalesce(repair_start, 100) WHEN action = 'SPEED_MONITORING' THEN weather_start ELSE 100 END AS start,
+ CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN coalesce(event_end, 100) WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN coalesce(repair_end, 100) WHEN action = 'SPEED_MONITORING' THEN weather_end WHEN action = 'CONGESTION_MONITORING' THEN 100 ELSE 124 END AS "end",
+ CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN 'event_period' WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN 'repair_period' WHEN action = 'SPEED_MONITORING' THEN 'weather_period' WHEN action = 'CONGESTION_MONITORING' THEN 'traffic_period' ELSE 'prediction_horizon' END AS basis
+ FROM q JOIN l b USING (action, kind, label) WHERE b.best = 1)
+ SELECT action, kind, label, segments, n, score, reasons, ['low', 'medium', 'high'][u + 1] AS uncertainty, start, "end", basis, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'monitor' END AS priority, row_number() OVER (ORDER BY score DESC, action, kind, label) AS place FROM z ORDER BY place LIMIT 20""")
 def action_plan(spark, sf):
-    return R.action_plan(risk(spark, sf).where("priority <> 'monitor_only'"), "seg", "codes", F.col("c_nationkey"), F.col("pct"), 20)
-
-
-@query(f"WITH {RISK} SELECT count(*) FILTER (list_contains(codes, 'SEVERE_WEATHER')) AS rows_with_code, round(count(*) FILTER (list_contains(codes, 'SEVERE_WEATHER')) / count(*), 6) AS share, count(*) FILTER (list_contains(codes, 'SEVERE_WEATHER')) / count(*) >= 0.3 AS warning FROM o")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    seg, ev, rep = F.col("seg"), F.col("ev") == 1, F.col("rep") == 1
+    made = {
+        "road_name": F.when(seg % 5 != 0, F.when(seg % 2 == 0, F.concat(F.lit(" "), F.upper("n_name"))).otherwise(F.col("n_name"))), "road_ref": F.when(seg % 10 != 0, F.concat(F.lit("R"), F.col("c_nationkey") % 6)),
+        "event_id": F.when(ev & (seg % 2 == 0), F.concat(F.lit("E"), seg % 7)), "event_start": F.when(ev, 100 + seg % 5), "event_end": F.when(ev & (seg % 3 > 0), 110 + seg % 5),
+        "repair_id": F.when(rep, F.concat(F.lit("P"), seg % 5)), "repair_start": F.when(rep, 90), "repair_end": F.when(rep & (seg % 3 == 0), 130), "weather_start": F.lit(104), "weather_end": F.lit(107),
+    }
+    rows = risk(spark, sf).join(n, "c_nationkey").withColumns(made).withColumnsRenamed({"seg": "segment", "pct": "percentile", "hot": "hotspot"})
+    return R.action_plan(rows, F.lit(100), F.lit(24), 20)
+
+
+@query(f"WITH {RISK} SELECT 'SEVERE_WEATHER' AS warning_code, count(DISTINCT seg) AS affected FROM o WHERE list_contains(codes, 'SEVERE_WEATHER') HAVING count(*) > 0")
 def citywide_warning(spark, sf):
-    return R.citywide_warning(risk(spark, sf), "codes", "SEVERE_WEATHER", 0.3)
+    return R.citywide_warning(risk(spark, sf), "codes", "SEVERE_WEATHER", "seg")
 
 
-@query("""SELECT p_partkey, list_filter([CASE WHEN p_size >= 30 AND (p_size - 25) / 25.0 > 0 THEN 'BIG' END, CASE WHEN p_retailprice >= 1300 AND (p_size - 40) / 10.0 > 0 THEN 'DEAR_BIG' END, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY' END], lambda x: x IS NOT NULL) AS rules_fired, CASE WHEN p_size / 50.0 >= 0.75 THEN 'high' WHEN p_size / 50.0 >= 0.4 THEN 'medium' ELSE 'low' END AS priority FROM part""")
+@query("""WITH v AS (SELECT p_partkey, p_size / 100.0 AS p, p_partkey % 4 AS hist, (p_size - 20) / 50.0 AS g_hist, p_size % 5 = 0 AS narrow, (p_partkey % 7 - 3) / 10.0 AS g_snow, p_partkey % 2 AS snow, 20 + p_partkey % 9 * 10 AS speed, (p_retailprice - 1200) / 500 AS g_speed, p_partkey % 6 = 0 AS unknown, (p_partkey % 5 - 1) / 10.0 AS g_unknown, p_partkey % 8 AS schools, p_partkey % 11 / 20.0 AS g_schools, p_partkey % 9 AS stops, p_partkey % 13 / 20.0 AS g_stops, p_partkey % 3 = 0 AS oneway, (p_partkey % 10 - 4) / 10.0 AS g_oneway, (p_partkey % 12 - 2) / 40.0 AS g_length, p_partkey % 10 = 1 AS rush, (p_size - 10) / 80.0 AS g_rush FROM part),
+ x AS (SELECT *, greatest(g_hist, g_snow, g_speed, g_unknown, g_schools, g_stops, g_oneway, g_length, g_rush) AS most, CASE WHEN p >= 0.35 THEN 'critical' WHEN p >= 0.20 THEN 'high' ELSE 'medium' END AS pr FROM v),
+ u AS (SELECT p_partkey, unnest(['segment_accidents_total_prior', 'weather_snow_now', 'road_maxspeed_kmh', 'road_maxspeed_missing', 'poi_education_250m', 'poi_transit_stop_250m', 'road_oneway', 'road_length', 'calendar_is_rush_hour']) AS name, unnest([g_hist, g_snow, g_speed, g_unknown, g_schools, g_stops, g_oneway, g_length, g_rush]) AS g FROM x),
+ w AS (SELECT p_partkey, list(name ORDER BY g DESC, name) FILTER (g > 0) AS up, list(name ORDER BY g, name) FILTER (g < 0) AS down FROM u GROUP BY 1)
+ SELECT x.p_partkey, list_filter([CASE WHEN g_hist > 1e-6 AND hist >= 2 THEN 'historical_accidents/' || pr || '/segment_accidents_total_prior' END, CASE WHEN hist < 2 AND narrow THEN 'structural_risk_flag/medium/narrow_fast_road' END, CASE WHEN g_snow > 1e-6 AND snow > 0 THEN 'weather_hazard/' || pr || '/weather_snow_now' END, CASE WHEN g_speed > 1e-6 AND speed >= 60 AND NOT unknown THEN 'confirmed_high_speed/' || pr || '/road_maxspeed_kmh' END,
+ CASE WHEN g_unknown > 1e-6 AND unknown THEN 'missing_speed_limit/' || pr || '/road_maxspeed_missing' END, CASE WHEN (g_schools > 1e-6 AND schools >= 3) OR (g_stops > 1e-6 AND stops >= 3) THEN 'nearby_poi/' || pr || CASE WHEN g_schools > 1e-6 AND schools >= 3 AND NOT (g_stops > g_schools AND stops >= 3) THEN '/poi_education_250m' ELSE '/poi_transit_stop_250m' END END,
+ CASE WHEN g_oneway > 1e-6 AND oneway THEN 'oneway/' || pr || '/road_oneway' END, CASE WHEN g_length > 1e-6 AND g_length >= most * 0.1 THEN 'road_spatial/' || pr || '/road_length' END, CASE WHEN g_rush > 1e-6 AND rush THEN 'positive_rush_holiday/' || pr || '/calendar_is_rush_hour' END], lambda r: r IS NOT NULL) AS fired, coalesce(up[1:5], []) AS raising, coalesce(down[1:5], []) AS lowering FROM x JOIN w USING (p_partkey)""")
 def local_rules(spark, sf):
-    p = table(spark, sf, "part").withColumn("c", F.create_map(F.lit("size"), (F.col("p_size") - 25) / 25.0, F.lit("over"), (F.col("p_size") - 40) / 10.0)).withColumn("prob", F.col("p_size") / 50.0)
-    rules = [R.Rule("BIG", F.col("p_size") >= 30, ("size",)), R.Rule("DEAR_BIG", F.col("p_retailprice") >= 1300, ("over",)), R.Rule("ECONOMY", F.col("p_type") == "ECONOMY")]
-    return R.local_rules(p, rules, "c", "prob").select("p_partkey", "rules_fired", "priority")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = {
+        "segment_accidents_total_prior": (k % 4, (size - 20) / 50), "narrow_fast_road": (size % 5 == 0, None), "weather_snow_now": (k % 2, (k % 7 - 3) / 10), "road_maxspeed_kmh": (20 + k % 9 * 10, (F.col("p_retailprice") - 1200) / 500),
+        "road_maxspeed_missing": (k % 6 == 0, (k % 5 - 1) / 10), "poi_education_250m": (k % 8, k % 11 / 20), "poi_transit_stop_250m": (k % 9, k % 13 / 20), "road_oneway": (k % 3 == 0, (k % 10 - 4) / 10), "road_length": (F.lit("120.5"), (k % 12 - 2) / 40), "calendar_is_rush_hour": (k % 10 == 1, (size - 10) / 80),
+    }
+    values = F.create_map(*[x for n, (v, _) in rows.items() for x in (F.lit(n), v.cast("string"))])
+    gains = F.create_map(*[x for n, (_, g) in rows.items() if g is not None for x in (F.lit(n), g.cast("double"))])
+    p = table(spark, sf, "part").select("p_partkey", values.alias("v"), gains.alias("g"), (size / 100).alias("p"))
+    got = p.withColumns(R.recommendations("g", "v", "p"))
+    fired = F.transform("recommendations", lambda r: F.concat_ws("/", r["rule"], r["priority"], F.concat_ws(",", r["features"])))
+    return got.select("p_partkey", fired.alias("fired"), "raising", "lowering")
 
 
 @query("WITH t AS (SELECT s_suppkey, 0.25 + s_acctbal / 100000 AS v, 0.2 + s_acctbal / 90000 AS te FROM supplier) SELECT s_suppkey, v >= 0.25 * 1.03 AND te >= 0.2 AND s_suppkey % 3 <> 0 AS accepted FROM t")

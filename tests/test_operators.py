@@ -53,15 +53,21 @@ def test_bracket_needs_both_sides(spark):
     assert got == {0: (10.0, "a"), 1: (20.0, "a"), 2: (30.0, "b"), 10: (None, None), 30: (None, None)}
 
 
-def test_negatives_are_disjoint_and_repeatable(spark):
-    pos = spark.createDataFrame([(e, h) for e in range(10) for h in range(5)], "entity long, hour long")
+def test_negatives_are_exact_disjoint_and_repeatable(spark):
+    taken = {(e, h) for e in range(10) for h in range(5)}
+    pos = spark.createDataFrame(sorted(taken), "entity long, hour long")
     mem = spark.createDataFrame([(e, "s" if e % 2 else "t") for e in range(200)], "entity long, stratum string")
-    one = {tuple(r) for r in L.sample_negatives(pos, mem, 3).collect()}
-    assert one == {tuple(r) for r in L.sample_negatives(pos.orderBy(F.rand()), mem, 3).collect()}
-    assert len({(h, e) for h, e, _ in one}) == len(one) and not {(e, h) for h, e, _ in one} & {(e, h) for e in range(10) for h in range(5)}
-    assert all((e % 2) == (p % 2) for _, e, p in one)
-    few = spark.createDataFrame([(e, "s" if e < 10 else "t") for e in range(60)], "entity long, stratum string")
-    assert L.sample_negatives(pos, few, 3).count() == 0 and L.sample_negatives(pos, few, 3, fallback=True).count() > 100
+    one = [tuple(r) for r in L.sample_negatives(pos, mem, 3).collect()]
+    assert sorted(one) == sorted(tuple(r) for r in L.sample_negatives(pos.orderBy(F.rand()), mem, 3).collect())
+    assert len(set(one)) == len(one) == 150 and not {(e, h) for h, e in one} & taken
+    assert all(sum(e % 2 for h, e in one if h == k) == 15 for k in range(5))
+    few = spark.createDataFrame([(e, "s" if e < 12 else "t") for e in range(60)], "entity long, stratum string")
+    more = {tuple(r) for r in L.sample_negatives(pos, few, 3).collect()}
+    assert len(more) == 150 and {(h, e) for h in range(5) for e in (10, 11)} <= more and not {(e, h) for h, e in more} & taken
+    with pytest.raises(ValueError, match="free members"):
+        L.sample_negatives(pos, few, 3, fallback=False)
+    with pytest.raises(ValueError, match="free members"):
+        L.sample_negatives(pos, few, 6)
 
 
 def test_metrics_and_ties(spark):
@@ -130,7 +136,22 @@ def test_geometry(spark):
 def test_shortest_paths(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (8, 9, 1.0)], "a int, b int, cost double")
     q = spark.createDataFrame([("p", 1, 3), ("none", 1, 9)], "request string, source int, target int")
-    assert {r.request: r.cost for r in J.shortest_paths(e, q, rounds=5).collect()} == {"p": 2.0, "none": None}
+    assert {r.request: (r.cost, r.path) for r in J.shortest_paths(e, q).collect()} == {"p": (2.0, [1, 2, 3]), "none": (None, None)}
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(0, 40, 100.0)], "a int, b int, cost double")
+    assert J.shortest_paths(chain, spark.createDataFrame([("far", 0, 40)], "request string, source int, target int")).first().cost == 40.0
+
+
+def test_section_between_boundary_streets(spark):
+    edges = spark.createDataFrame([("turan", 1, 2, 1.0), ("turan", 2, 3, 1.0), ("turan", 3, 4, 1.0), ("a", 1, 10, 1.0), ("b", 3, 11, 1.0), ("c", 20, 21, 1.0)], "road string, a int, b int, cost double")
+    asked = spark.createDataFrame([("x", "turan", "a", "b"), ("y", "turan", "a", "c")], "section string, road string, from_street string, to_street string")
+    assert {r.section: r.path for r in J.section_path(edges, asked).collect()} == {"x": [1, 2, 3], "y": None}
+
+
+def test_names_match_wherever_one_contains_the_other(spark):
+    a = spark.createDataFrame([("turan avenue",), ("ab",), ("xaby",), ("",), (None,)], "a string")
+    b = spark.createDataFrame([("north turan avenue",), ("ave",), ("b",), ("zzz",), (None,)], "b string")
+    got = {tuple(r) for r in J.name_match(a, b, "a", "b").collect()}
+    assert got == {("turan avenue", "north turan avenue"), ("turan avenue", "ave"), ("ab", "b"), ("xaby", "b")}
 
 
 def test_enrich_refuses_repeats(spark):
@@ -140,11 +161,51 @@ def test_enrich_refuses_repeats(spark):
 
 
 def test_rules_and_priorities(spark):
-    df = spark.createDataFrame([(0.995, 0.98, ["severe_weather", "heavy_traffic"], False), (0.20, 0.1, [], True)], "p double, h double, f array<string>, d boolean")
-    c = df.withColumn("c", RU.reason_codes(*map(F.col, "phfd")))
-    got = c.withColumns(RU.operational_priority(F.col("p"), F.col("h"), F.col("c"), F.col("d"))).collect()
-    assert got[0].priority == "critical" and {"DYNAMIC_TOP_1PCT", "MULTI_SIGNAL_AGREEMENT"} <= set(got[0].c)
-    assert (got[1].priority, got[1].uncertainty) == ("monitor_only", "high")
+    rows = [(0.995, 10, 0.98, ["severe_weather", "heavy_traffic"], False), (0.20, 300, 0.1, [], True), (0.96, 400, 0.3, [], False), (0.5, 40, 0.9, [], False), (0.5, 40, 0.9, ["road_repair"], False), (0.5, 90, 0.9, [], False)]
+    df = spark.createDataFrame(rows, "p double, r int, h double, f array<string>, d boolean")
+    c = df.withColumn("c", RU.reason_codes(*map(F.col, "prhfd")))
+    got = c.withColumns(RU.operational_priority(F.col("c"), F.col("d"))).collect()
+    assert got[0].priority == "critical" and {"DYNAMIC_TOP_1PCT", "HOTSPOT_TOP_20", "MULTI_SIGNAL_AGREEMENT"} <= set(got[0].c) and got[0].plans == ["patrol", "speed", "engineering", "weather", "event"]
+    assert (got[1].priority, got[1].uncertainty, got[1].c, got[1].plans) == ("monitor_only", "high", ["PROVIDER_DEGRADED"], ["monitor"])
+    assert (got[2].priority, got[2].uncertainty, got[2].c) == ("high", "medium", ["DYNAMIC_TOP_5PCT", "MODEL_DISAGREEMENT"])
+    assert [(r.priority, r.c) for r in got[3:]] == [("medium", ["HOTSPOT_TOP_50"]), ("high", ["HOTSPOT_TOP_50", "ROAD_REPAIR"]), ("low", [])]
+
+
+def test_action_plan_groups_and_score(spark):
+    columns = "segment int, codes array<string>, priority string, uncertainty string, percentile double, hotspot double, weather double, road_name string, road_ref string, event_id string, event_start int, event_end int, repair_id string, repair_start int, repair_end int, weather_start int, weather_end int"
+    quiet = [None] * 8
+    rows = [
+        (0, ["DYNAMIC_TOP_1PCT", "SEVERE_WEATHER"], "critical", "low", 0.99, 0.9, 1.0, "Main", "R1", *quiet),
+        (1, ["DYNAMIC_TOP_1PCT"], "critical", "low", 0.98, 0.9, 1.0, " main ", None, *quiet),
+        (2, ["MAJOR_EVENT"], "high", "low", 0.5, 0.1, None, "Main", None, "e1", 5, 9, None, None, None, None, None),
+        (3, ["MAJOR_EVENT"], "high", "medium", 0.6, 0.1, None, "Other", None, "e1", 5, 9, None, None, None, None, None),
+        (4, ["HOTSPOT_TOP_50"], "medium", "low", 0.6, 0.9, None, "Third", None, *quiet),
+        (5, ["PROVIDER_DEGRADED"], "monitor_only", "high", 0.1, 0.1, None, None, "R9", *quiet),
+    ]
+    got = {(r.action, r.label): r for r in RU.action_plan(spark.createDataFrame(rows, columns), F.lit(1), F.lit(24), 20).collect()}
+    patrol = got["INCREASE_PATROL", "main"]
+    assert patrol.segments == [0, 1] and abs(patrol.score - (0.4 * 0.99 + 0.25 * 0.9 + 0.2 + 0.1 + 0.05 * 0.4)) < 1e-6 and (patrol.start, patrol.end, patrol.basis, patrol.priority) == (1, 25, "prediction_horizon", "critical")
+    event = got["EVENT_TRAFFIC_CONTROL", "e1"]
+    assert (event.segments, event.start, event.end, event.basis, event.uncertainty) == ([2, 3], 5, 9, "event_period", "medium")
+    assert set(got) == {("INCREASE_PATROL", "main"), ("SPEED_MONITORING", "main"), ("EVENT_TRAFFIC_CONTROL", "e1"), ("PEDESTRIAN_FLOW_MONITORING", "e1"), ("CONTINUE_MONITORING", "r9")}
+    assert RU.citywide_warning(spark.createDataFrame(rows, columns), "codes", "SEVERE_WEATHER", "segment").collect()[0].affected == 1
+    assert RU.citywide_warning(spark.createDataFrame(rows[1:], columns), "codes", "SEVERE_WEATHER", "segment").collect() == []
+
+
+def test_recommendations_need_evidence(spark):
+    cases = [
+        ({"segment_accidents_total_prior": 0.1}, {"segment_accidents_total_prior": "3"}, ["historical_accidents"]), ({"segment_accidents_total_prior": -0.1}, {"segment_accidents_total_prior": "3"}, []),
+        ({}, {"narrow_fast_road": "true"}, ["structural_risk_flag"]), ({"weather_snow_now": 0.2}, {"weather_snow_now": "1"}, ["weather_hazard"]), ({"weather_snow_now": 0.2}, {"weather_snow_now": "0"}, []),
+        ({"road_maxspeed_kmh": 0.1}, {"road_maxspeed_kmh": "60"}, ["confirmed_high_speed"]), ({"road_maxspeed_kmh": 0.1}, {"road_maxspeed_kmh": "90", "road_maxspeed_missing": "1"}, []), ({"road_maxspeed_missing": 0.1}, {"road_maxspeed_missing": "1"}, ["missing_speed_limit"]),
+        ({"poi_a_100m": -0.5, "poi_b_100m": 0.1}, {"poi_a_100m": "9", "poi_b_100m": "3"}, ["nearby_poi"]), ({"poi_b_100m": 0.1}, {"poi_b_100m": "2"}, []), ({"road_oneway": 0.1}, {"road_oneway": "да"}, ["oneway"]),
+        ({"road_length": 0.1, "x": 0.9}, {}, ["road_spatial"]), ({"road_length": 0.05, "x": 0.9}, {}, []), ({"calendar_is_holiday": 0.1}, {"calendar_is_holiday": "True"}, ["positive_rush_holiday"]), (None, None, []),
+    ]
+    df = spark.createDataFrame([(i, g, v, 0.36) for i, (g, v, _) in enumerate(cases)], "i int, g map<string,double>, v map<string,string>, p double")
+    got = {r.i: r for r in df.withColumns(RU.recommendations("g", "v", "p")).collect()}
+    for i, (_, _, want) in enumerate(cases):
+        assert [x.rule for x in got[i].recommendations or []] == want, i
+    assert got[0].recommendations[0].priority == "critical" and got[2].recommendations[0].priority == "medium" and got[8].recommendations[0].features == ["poi_b_100m"]
+    assert (got[8].raising, got[8].lowering) == (["poi_b_100m"], ["poi_a_100m"])
 
 
 def test_audits(spark):
