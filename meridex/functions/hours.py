@@ -57,3 +57,17 @@ def daylight(day_of_year: Column, latitude: float) -> Column:
     decl = F.radians(F.lit(-23.44)) * F.cos(F.lit(6.283185307179586 / 365) * (day_of_year + 10))
     x = -F.tan(F.radians(F.lit(latitude))) * F.tan(decl)
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))) * 24 / 3.141592653589793
+
+
+def sun_times(at: Column, sunrise: Column, sunset: Column) -> dict[str, Column]:
+    """Day length, dark hours and hours until sunrise and sunset (0 when past) of epoch seconds; nulls stay null."""
+    length = (sunset - sunrise) / 3600
+    until = lambda x: F.when(x.isNotNull(), F.greatest((x - at) / 3600, F.lit(0.0)))
+    return {"day_length": length, "dark_hours": F.when(length.isNotNull(), F.greatest(24 - length, F.lit(0.0))), "until_sunrise": until(sunrise), "until_sunset": until(sunset)}
+
+
+def dew_point(celsius: Column, humidity: Column) -> Column:
+    """Dew point by the Magnus formula; humidity in percent, 0.1 at least."""
+    a, b = 17.62, 243.12  # fixed values of the formula
+    gamma = F.log(F.greatest(humidity, F.lit(0.1)) / 100) + a * celsius / (b + celsius)
+    return b * gamma / (a - gamma)

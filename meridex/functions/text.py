@@ -116,3 +116,9 @@ def period(c: Column, year: Column) -> dict[str, Column]:
     first = F.coalesce(F.when(both != "", day(rf"(?i)\bс ([0-9]{{1,2}}) (?:по|до) [0-9]{{1,2}} ({names})")), day(rf"(?i)\bс ([0-9]{{1,2}}) ({names})"))
     last = day(rf"(?i)\b(?:по|до) ([0-9]{{1,2}}) ({names})")
     return {"start": first, "end": last, "open_end": first.isNotNull() & last.isNull()}
+
+
+def json_list(c: Column) -> Column:
+    """The items of a JSON list as texts; empty for nulls, other JSON and what isn't JSON."""
+    items = F.from_json(c, "array<string>")
+    return F.when(F.ltrim(c).startswith("["), F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))

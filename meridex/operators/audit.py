@@ -68,3 +68,72 @@ def rank_contract(df: DataFrame, key: list[str], score: str, rank: str) -> DataF
     ranks = df.groupBy(rank).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.sum("n").alias("rows"))
     keys = per.agg((F.max("n") == 1).alias("unique_keys"), (F.sum("odd") == 0).alias("finite_scores"))
     return keys.crossJoin(ranks).select("unique_keys", "finite_scores", ((F.col("most") == 1) & (F.col("lo") == 1) & (F.col("hi") == F.col("rows"))).alias("ranks_exact"), "rows")
+
+
+def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int, ratio: int) -> DataFrame:
+    """(check_name, failures, status) of a training table (entity, hour, target, prior), recounted from hourly events.
+
+    Positive keys are rebuilt from `counts` (entity, hour, n) within the table's hours and entities; `prior` is compared
+    with a self-join over the `window` hours before. Joins are on the entity and the day, so no entity meets all of its
+    hours at once.
+    """
+    spans = data.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
+    ahead = counts.select("entity", F.explode(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: F.col("hour") - k)).alias("hour")).distinct()
+    known = data.select("entity").distinct()
+    expected = ahead.join(known, "entity", "left_semi").crossJoin(F.broadcast(spans)).where("hour between lo and hi").select("entity", "hour")  # one row
+    keys = data.select("entity", "hour", "target").withColumn("rows", F.lit(1)).groupBy("entity", "hour").agg(F.sum("rows").alias("rows"), F.max("target").alias("target"), F.min("target").alias("least"))
+    both = keys.join(expected.withColumn("due", F.lit(True)), ["entity", "hour"], "full")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    due, have = F.coalesce("due", F.lit(False)), F.coalesce(F.col("target") == 1, F.lit(False))
+    labels = both.agg(
+        n(due & F.col("rows").isNotNull() & ~have).alias("positive_missed"), n(have & ~due).alias("positive_unfounded"), n(F.col("least").isNotNull() & (F.col("least") == 0) & due).alias("negative_not_free"),
+        n(F.col("rows") > 1).alias("duplicate_keys"),
+    )
+    day = lambda c: F.floor(F.col(c) / 24).cast("long")
+    asked = data.select("entity", "hour", "prior").withColumn("day", F.explode(F.sequence(F.floor((F.col("hour") - window) / 24).cast("long"), F.floor((F.col("hour") - 1) / 24).cast("long"))))
+    seen = asked.join(counts.select("entity", F.col("hour").alias("at"), "n").withColumn("day", day("at")), ["entity", "day"]).where(f"at >= hour - {window} and at < hour")
+    again = seen.groupBy("entity", "hour").agg(F.sum("n").alias("again"))
+    history = data.join(again, ["entity", "hour"], "left").agg(n(F.col("prior") != F.coalesce("again", F.lit(0))).alias("history_mismatches"))
+    rest = data.agg(
+        F.abs(n(F.col("target") == 0) - ratio * n(F.col("target") == 1)).alias("class_balance"), n(F.col("entity").isNull() | F.col("hour").isNull() | F.col("target").isNull() | F.col("prior").isNull()).alias("missing_values"),
+    )
+    one = labels.crossJoin(history).crossJoin(rest)  # one row each
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("failures"), F.when(F.col(c) == 0, "pass").otherwise("fail").alias("status")) for c in one.columns])))
+
+
+def feature_contract(df: DataFrame, keys: list[str], known: DataFrame, rows: int, windows: tuple[str, str, int], counts: list[str], shares: list[str], distances: list[str], columns: list[str]) -> DataFrame:
+    """One row of booleans about a feature table; `known` holds the first key, `windows`: start, end and their distance."""
+    no = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)) == 0
+    numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    either = lambda some: reduce(lambda a, b: a | b, some, F.lit(False))
+    start, end, apart = windows
+    flat = df.agg(
+        (F.count("*") == rows).alias("row_count"), (F.count_distinct(keys[0]) == F.count("*")).alias("unique_entities"), no(either([F.abs(c) == float("inf") for c in numbers])).alias("no_infinite_numeric"),
+        no(either([F.col(c) < 0 for c in counts])).alias("nonnegative_counts"), no(either([~F.col(c).between(0, 1) for c in shares])).alias("shares_in_range"), no(either([F.col(c) < 0 for c in distances])).alias("nonnegative_distances"),
+        no(F.col(end) - F.col(start) != apart).alias("window_length"), no(either([F.col(k).isNull() for k in keys])).alias("keys_known"),
+    )
+    twice = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(no(F.col("n") > 1).alias("unique_keys"))
+    foreign = df.select(keys[0]).distinct().join(known, keys[0], "left_anti").agg((F.count("*") == 0).alias("all_known"))
+    return flat.crossJoin(twice).crossJoin(foreign).withColumn("stable_schema", F.lit(df.columns == columns))  # one row each
+
+
+def external_audit(calendar: DataFrame, weather: DataFrame, points: DataFrame, hour: str, values: list[str], coordinates: list[str], category: str) -> DataFrame:
+    """(source, measure, value) about external tables: rows, range and repeats of hours, missing values, classes, alignment."""
+
+    def measures(df: DataFrame, source: str, made: dict[str, Column]) -> DataFrame:
+        one = df.agg(*[c.cast("long").alias(n) for n, c in made.items()])
+        return one.select(F.lit(source).alias("source"), F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.coalesce(F.col(n), F.lit(0)).alias("value")) for n in made])))
+
+    nulls = lambda c: F.sum(F.col(c).isNull().cast("long"))
+    spans = lambda df, source, more: measures(df, source, {"rows": F.count("*"), "first_hour": F.min(hour), "last_hour": F.max(hour), "duplicate_hours": F.count(hour) - F.count_distinct(hour), **more})
+    classes = points.groupBy(F.coalesce(F.col(category).cast("string"), F.lit("null")).alias("c")).agg(F.count("*").alias("value")).select(F.lit("points").alias("source"), F.concat(F.lit("category_"), "c").alias("measure"), "value")
+    gap = reconcile(calendar.select(hour).distinct(), weather.select(hour).distinct(), [hour]).select(F.lit("alignment").alias("source"), F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(c).alias("value")) for n, c in (("calendar_only", "only_expected"), ("weather_only", "only_actual"), ("common_hours", "both_sides"))])))
+    parts = [spans(calendar, "calendar", {}), spans(weather, "weather", {f"missing_{v}": nulls(v) for v in values}), measures(points, "points", {"rows": F.count("*"), "missing_coordinates": reduce(lambda a, b: a + b, map(nulls, coordinates))}), classes, gap]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reconstruction_audit(stored: DataFrame, rebuilt: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many rows of these columns are only in one of the frames, repeats counted."""
+    left, right = stored.select(*columns), rebuilt.select(*columns)
+    a, b = left.exceptAll(right).agg(F.count("*").alias("only_stored")), right.exceptAll(left).agg(F.count("*").alias("only_rebuilt"))
+    return a.crossJoin(b).withColumn("equal", (F.col("only_stored") == 0) & (F.col("only_rebuilt") == 0))  # one row each

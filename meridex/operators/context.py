@@ -94,3 +94,92 @@ def hotspots(entities: DataFrame, counts: DataFrame, key: str, time: str, at: in
 
 def provider_coverage(log: DataFrame, provider: str, at: Column, ok: Column) -> DataFrame:
     return log.groupBy(provider).agg(F.count("*").alias("runs"), F.round(F.avg(ok.cast("double")), 6).alias("availability"), F.max(at).alias("last"), F.sum((~ok).cast("long")).alias("warnings"), F.max(~ok).alias("any_degraded"))
+
+
+# Weights of severities and restrictions, and thresholds of the weather rules.
+SEVERITY_WEIGHT = {"critical": 4.0, "high": 3.0, "medium": 2.0, "low": 1.0}
+RESTRICTION_WEIGHT = {"full_closure": 2.0, "partial_closure": 1.5, "intersection_closure": 1.5, "single_lane_closure": 1.25, "lane_narrowing": 1.25}
+FOG_M, HEAVY_RAIN, STRONG_WIND, FREEZING, DROP = 1000, 2.5, 10, 0, 5
+STORM_IDS = (200, 201, 202, 210, 211, 212, 221, 230, 231, 232)
+
+
+def _weight(c: Column, weights: dict[str, float], other: float) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.lower(c)), F.lit(other))
+
+
+def _nearest(m: DataFrame, fields: list[str]) -> Column:
+    """The record of the least distance, null ones last, then the smallest id."""
+    return F.min_by(F.struct("id", *fields), F.struct(F.coalesce("distance", F.lit(float("inf"))), "id"))
+
+
+def repair_features(matched: DataFrame, start: Column) -> DataFrame:
+    """The repairs matched to each segment within a window that begins at `start` (epoch seconds), as one row.
+
+    `matched`: segment, id, distance, confidence, valid_from, valid_to, event_type, severity, restriction, open_end.
+    """
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    weight, r = _weight(F.col("severity"), SEVERITY_WEIGHT, 0.0), F.col("restriction")
+    out = matched.groupBy("segment").agg(
+        F.count_distinct("id").alias("repairs"), n(r == "full_closure").alias("full_closures"), n(r == "partial_closure").alias("partial_closures"), n(r.isin("single_lane_closure", "lane_narrowing")).alias("lane_closures"),
+        n(r == "intersection_closure").alias("intersection_closures"), n(F.col("event_type") == "bridge_repair").alias("bridges"), n(weight >= 3).alias("high_severity"),
+        F.round(F.sum(weight * F.col("confidence") * _weight(r, RESTRICTION_WEIGHT, 1.0)), 4).alias("disruption"), F.min("distance").alias("nearest"), F.max("confidence").alias("confidence"), n(F.col("open_end")).alias("open_ends"),
+        F.min(F.greatest((F.col("valid_from") - start) / 3600, F.lit(0.0))).alias("hours_until_start"), _nearest(matched, ["valid_from", "valid_to"]).alias("p"),
+    )
+    return out.select("*", F.col("p.id").alias("source_id"), F.col("p.valid_from").alias("repair_start"), F.col("p.valid_to").alias("repair_end")).drop("p")
+
+
+def event_features(matched: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The venue events matched to each segment within [start, end) (epoch seconds), as one row; an event counts once.
+
+    `matched`: segment, id, distance, confidence, valid_from, valid_to, event_type, severity, intensity, venue. Of rows
+    that repeat an event at a segment the nearest counts.
+    """
+    best = F.min_by(F.struct("distance", "confidence", "valid_from", "valid_to", "event_type", "severity", "intensity", "venue"), F.struct(F.coalesce("distance", F.lit(float("inf"))), "valid_from"))
+    m = matched.groupBy("segment", "id").agg(best.alias("b")).select("segment", "id", "b.*")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    major, kind, v = F.col("severity") >= 4, F.col("event_type"), F.coalesce("intensity", F.lit(0.0))
+    out = m.groupBy("segment").agg(
+        F.count("*").alias("events"), *[n(F.col("distance") <= r).alias(f"within_{r}") for r in (500, 1000, 2000)], n(major).alias("major"), n(F.lower("venue").rlike("arena|stadium")).alias("stadium"),
+        n(kind == "large_concert").alias("concerts"), n(kind.isin("football_match", "hockey_match", "sports_event")).alias("sports"), F.round(F.sum(v), 4).alias("intensity_sum"), F.max(v).alias("intensity_max"), F.min("distance").alias("nearest"),
+        F.min(F.greatest((F.col("valid_from") - start) / 3600, F.lit(0.0))).alias("hours_until_start"), F.max(F.coalesce((F.col("valid_to") >= start) & (F.col("valid_to") < end) & major, F.lit(False)).cast("int")).alias("outflow_risk"),
+        F.max("confidence").alias("confidence"), _nearest(m, ["venue", "valid_from", "valid_to"]).alias("p"),
+    )
+    return out.select("*", F.col("p.id").alias("source_id"), F.col("p.venue").alias("venue"), F.col("p.valid_from").alias("event_start"), F.col("p.valid_to").alias("event_end")).drop("p")
+
+
+def forecast_features(points: DataFrame, key: str, order: str, step: int = 3) -> DataFrame:
+    """Weather of each key's forecast points, as one row: summaries, hours of conditions, changes and scores.
+
+    `points`: key, order, temperature, humidity, pressure, wind_speed, wind_gust, rain, snow, visibility, clouds, weather_id.
+    """
+    by = Window.partitionBy(key).orderBy(order)
+    known = F.last("temperature", True).over(by.rowsBetween(Window.unboundedPreceding, -1))  # the one before that is known
+    p = points.withColumns({"_t": known, "_w": F.lag("weather_id").over(by), "_n": F.row_number().over(by)})
+    hours = lambda c: (F.sum(F.coalesce(c, F.lit(False)).cast("long")) * step)
+    one = [f(c).alias(f"{c}_{n}") for c in ("temperature", "humidity", "pressure", "wind_speed", "visibility", "clouds") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_pop))]
+    t = F.col("temperature")
+    got = p.groupBy(key).agg(
+        *one, (F.max(t) - F.min(t)).alias("temperature_range"), F.max("wind_gust").alias("wind_gust_max"), F.coalesce(F.sum("rain"), F.lit(0.0)).alias("rain_sum"), F.coalesce(F.sum("snow"), F.lit(0.0)).alias("snow_sum"),
+        hours(F.col("rain") > 0).alias("rain_hours"), hours(F.col("snow") > 0).alias("snow_hours"), hours(F.col("visibility") < FOG_M).alias("fog_hours"), hours(F.col("rain") >= HEAVY_RAIN).alias("heavy_rain_hours"),
+        hours(F.col("wind_speed") >= STRONG_WIND).alias("strong_wind_hours"), hours(t <= FREEZING).alias("freezing_hours"), hours(F.col("weather_id").isin(*STORM_IDS)).alias("storm_hours"),
+        F.sum(((F.col("_n") > 1) & ~F.col("weather_id").eqNullSafe(F.col("_w"))).cast("long")).alias("changes"), F.max(F.coalesce(F.col("_t") - t >= DROP, F.lit(False))).alias("rapid_drop"),
+        F.coalesce((F.min(t) <= 0) & (F.max(t) > 0), F.lit(False)).alias("freeze_thaw"),
+    )
+    is_ = lambda c: (F.col(f"{c}_hours") > 0).cast("int")
+    i = lambda c: F.col(c).cast("int")
+    bad, surface = is_("rain") + is_("snow") + is_("fog") + is_("strong_wind") + is_("storm"), is_("rain") + 2 * is_("snow") + is_("freezing")
+    unstable = F.col("changes") + i("rapid_drop") + i("freeze_thaw")
+    driving = bad + surface + is_("fog")
+    return got.withColumns({"instability": unstable, "bad_weather": bad, "road_surface": surface, "winter": is_("snow") + is_("freezing") + i("freeze_thaw"), "driving": driving, "severity": driving + unstable})
+
+
+def day_summary(points: DataFrame, key: str, at: str, start: Column, step_hours: int = 3, expected: int = 9) -> DataFrame:
+    """The forecast points of [start, start + 24 h] (`at` in epoch seconds) of each key: worst point, completeness, extremes."""
+    signals = F.when(F.col("rain") > 0, 1).otherwise(0) + F.when(F.col("snow") > 0, 2).otherwise(0) + F.when(F.col("visibility") < FOG_M, 1).otherwise(0) + F.when(F.col("wind_speed") >= STRONG_WIND, 1).otherwise(0)
+    p = points.where((F.col(at) >= start) & (F.col(at) <= start + 86400)).withColumn("_s", F.least(signals / 5, F.lit(1.0)))
+    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    got = p.groupBy(key).agg(
+        F.count("*").alias("points"), F.max("_s").alias("severity"), F.max(F.struct("_s", (-F.col(at)).alias("t"))).alias("w"), any_(F.col("rain") > 0).alias("rain_expected"), any_(F.col("snow") > 0).alias("snow_expected"),
+        any_(F.col("rain") >= HEAVY_RAIN).alias("heavy_rain_expected"), F.min("visibility").alias("visibility_min"), F.max("wind_speed").alias("wind_max"), F.min("temperature").alias("temperature_min"), F.max("temperature").alias("temperature_max"),
+    )
+    return got.withColumns({"complete": F.col("points") >= expected, "severe": F.col("severity") >= 0.6, "worst_start": -F.col("w.t"), "worst_end": -F.col("w.t") + step_hours * 3600}).drop("w")

@@ -125,3 +125,41 @@ def frame_checksum(df: DataFrame, columns: list[str]) -> DataFrame:
     value = lambda c: F.conv(F.substring(F.md5(F.coalesce(F.col(c).cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("decimal(38,0)")
     one = df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(value(c)), F.lit(0)).alias(c) for c in columns])
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(c).cast("long").alias("checksum")) for c in columns])))
+
+
+def project_contract(df: DataFrame, keep: list[str], key: list[str], required: list[str]) -> DataFrame:
+    """Only the columns of `keep`; raises ValueError if one is missing, a key repeats or a required value is null."""
+    missing = [c for c in keep if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    out = df.select(*keep)
+    found = out.agg(*[F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias(c) for c in required]).first() if required else ()
+    empty = [c for c, n in zip(required, found, strict=True) if n]
+    if empty:
+        raise ValueError(f"missing values in {empty}")
+    if not out.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} repeat")
+    return out
+
+
+def prefix_columns(df: DataFrame, prefix: str, but: list[str]) -> DataFrame:
+    """All columns but those named get the prefix."""
+    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in but})
+
+
+def with_city_row(df: DataFrame, row: DataFrame, zero: list[str]) -> DataFrame:
+    """Every row with the columns of a one-row frame; no row leaves them null, and those of `zero` 0."""
+    one = row.limit(1).withColumn("_on", F.lit(1))
+    out = df.withColumn("_on", F.lit(1)).join(F.broadcast(one), "_on", "left").drop("_on")  # one row
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)) for c in zero})
+
+
+def mask_imputed(df: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """Null in a column where its flag (column -> flag) says that the value was filled in."""
+    return df.withColumns({c: F.when(~F.coalesce(F.col(f).cast("boolean"), F.lit(False)), F.col(c)) for c, f in flags.items()})
+
+
+def history_hash(df: DataFrame, identity: list[str], run_times: list[str]) -> DataFrame:
+    """Adds identity_key, a text of the identity's columns, and content_hash of all columns but the run's times, by name."""
+    content = sorted(c for c in df.columns if c not in run_times)
+    return df.withColumns({"identity_key": F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]), "content_hash": content_hash(content)})
