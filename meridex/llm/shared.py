@@ -25,17 +25,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, to be broadcast if it has no more than `rows` rows, and else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df`, to be broadcast if it has no more than `rows` rows (and `BROADCAST_ROWS`), and else as it is."""
+    most = min(BROADCAST_ROWS if rows is None else rows, BROADCAST_ROWS)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, salts: int = 32) -> DataFrame:
+def salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, salts: int = 8, rows: int = 250_000) -> DataFrame:
     """`left` joined with `right` on columns of which one value may be very frequent in `left`.
 
     `right` is broadcast if it is small, and else sent `salts` times, so a frequent value is dealt over as many tasks.
     """
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    most = min(rows, BROADCAST_ROWS)
+    if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), on)
     many = right.withColumn("salt_number", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = [on] if isinstance(on, str) else on
