@@ -86,17 +86,25 @@ def prefilter(c: Column, strong: list[str], weak: list[str], context: list[str],
 
 
 def jsonld_events(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, name, venue, start): Event nodes of JSON-LD blocks, at the top, in @graph and in itemListElement; repeats once."""
-    place = "location struct<name:string>, startDate string, name string, `@type` string"
-    node = f"struct<{place.replace('location struct', 'location:struct').replace('startDate string', 'startDate:string').replace(', name string', ', name:string').replace('`@type` string', '`@type`:string')}>"
-    schema = f"{place}, `@graph` array<{node}>, itemListElement array<struct<item:{node}>>, subEvent array<{node}>"
-    raw = F.regexp_extract_all(F.col(html), F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), 1)
-    one = df.select(key, F.explode(raw).alias("j")).select(key, F.from_json(F.regexp_replace(F.replace(F.col("j"), F.lit("&quot;"), F.lit('"')), "[\n\r\t]+", " "), schema).alias("j"))
-    shape = F.struct(F.col("j.@type").alias("type"), F.col("j.name").alias("name"), F.col("j.location.name").alias("venue"), F.col("j.startDate").alias("start"))
+    """(key, name, venue, start): Event nodes of JSON-LD blocks, repeats once.
+
+    Nodes at the top, in a list, in @graph and in itemListElement count, each with its sub-events of one level; a node of
+    several types is an event if one of them is. Entities for quotes and ampersands and raw line ends are read.
+    """
+    plain = "`@type`:string,name:string,startDate:string,location:struct<name:string>"
+    node = f"struct<{plain},subEvent:array<struct<{plain}>>>"
+    top = f"array<struct<{plain},subEvent:array<struct<{plain}>>,`@graph`:array<{node}>,itemListElement:array<struct<{plain},item:{node}>>>>"
+    raw = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("j"), "&quot;|&#34;", '"'), "&amp;", "&"), "[\n\r\t]+", " ")
+    one = df.select(key, F.explode(raw).alias("j")).select(key, F.trim(text).alias("j"))
+    one = one.select(key, F.explode(F.from_json(F.when(F.col("j").startswith("["), F.col("j")).otherwise(F.concat(F.lit("["), "j", F.lit("]"))), top)).alias("n"))
     pick = lambda x: F.struct(x["@type"].alias("type"), x["name"].alias("name"), x["location"]["name"].alias("venue"), x["startDate"].alias("start"))
-    empty = F.array().cast("array<struct<type:string,name:string,venue:string,start:string>>")
-    nodes = F.concat(F.array(shape), F.coalesce(F.transform("j.@graph", pick), empty), F.coalesce(F.transform("j.itemListElement", lambda x: pick(x["item"])), empty), F.coalesce(F.transform("j.subEvent", pick), empty))
-    return one.select(key, F.inline(nodes)).where(F.col("type").endswith("Event")).select(key, "name", "venue", "start").dropDuplicates([key, "name", "venue", "start"])
+    none = F.array().cast("array<struct<type:string,name:string,venue:string,start:string>>")
+    some = lambda xs: F.coalesce(F.transform(xs, pick), none)
+    with_sub = lambda xs: F.concat(some(xs), F.coalesce(F.flatten(F.transform(xs, lambda x: some(x["subEvent"]))), none))
+    n = F.col("n")
+    nodes = F.concat(F.array(pick(n)), some(n["subEvent"]), with_sub(n["@graph"]), some(n["itemListElement"]), with_sub(F.transform(n["itemListElement"], lambda x: x["item"])))
+    return one.select(key, F.inline(nodes)).where(F.lower("type").rlike(r'event"?\s*(,|\]|$)')).select(key, "name", "venue", "start").dropDuplicates([key, "name", "venue", "start"])
 
 
 # Month names of two languages in the form used after a day.

@@ -16,13 +16,14 @@ def reconcile(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFr
     return per.agg(n("e = 1 and a = 0").alias("only_expected"), n("e = 0 and a = 1").alias("only_actual"), n("e = 1 and a = 1").alias("both_sides"))
 
 
-def column_profile(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """(column_name, non_null, missing, missing_pct, distinct_values) by one aggregate, then turned to rows."""
+def column_profile(df: DataFrame, columns: list[str], approximate: bool = False, samples: int = 5) -> DataFrame:
+    """(column_name, non_null, missing, missing_pct, distinct_values, samples); samples are the smallest values as texts."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     made = [x for c in columns for x in (F.count(c).alias(f"{c}__n"), distinct(c).alias(f"{c}__d"))]
     one = df.agg(F.count("*").alias("__all"), *made)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("non_null"), (F.col("__all") - F.col(f"{c}__n")).alias("missing"), F.round(100 * (F.col("__all") - F.col(f"{c}__n")) / F.col("__all"), 6).alias("missing_pct"), F.col(f"{c}__d").alias("distinct_values")) for c in columns])
-    return one.select(F.inline(rows))
+    few = [df.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(samples).agg(F.lit(c).alias("column_name"), F.array_sort(F.collect_list("v")).alias("samples")) for c in columns]
+    return one.select(F.inline(rows)).join(reduce(DataFrame.unionByName, few), "column_name")
 
 
 def missing_rates(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -31,15 +32,20 @@ def missing_rates(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(n).alias("missing_rate")) for n in columns])))
 
 
-def duplicate_report(df: DataFrame, identifiers: dict[str, list[str]]) -> DataFrame:
-    """(identifier, duplicated_rows, duplicated_keys); rows with a null or blank part are ignored."""
+def duplicate_report(df: DataFrame, identifiers: dict[str, list[str]], samples: int = 3) -> DataFrame:
+    """(identifier, duplicated_rows, duplicated_keys, samples): for each identifier, and `full_row` for all columns.
 
-    def one(name: str, keys: list[str]) -> DataFrame:
-        clean = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "") for k in keys]))
-        per = clean.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-        return per.agg(F.lit(name).alias("identifier"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicated_rows"), F.count("*").alias("duplicated_keys"))
+    Rows with a null or blank part of an identifier are ignored; samples are the first repeated keys as texts.
+    """
+
+    def one(name: str, keys: list[str], whole: bool = False) -> DataFrame:
+        clean = df if whole else df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "") for k in keys]))
+        key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("k")
+        per = clean.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("n", key)
+        first = per.orderBy("k").limit(samples).agg(F.array_sort(F.collect_list("k")).alias("samples"))
+        return per.agg(F.lit(name).alias("identifier"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicated_rows"), F.count("*").alias("duplicated_keys")).crossJoin(first)  # one row each
 
-    return reduce(DataFrame.unionByName, [one(n, k) for n, k in identifiers.items()])
+    return reduce(DataFrame.unionByName, [one(n, k) for n, k in identifiers.items()] + [one("full_row", df.columns, True)])
 
 
 def frequent_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:

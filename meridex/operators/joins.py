@@ -22,6 +22,13 @@ def enrich(left: DataFrame, dim: DataFrame, on: list[str], check: bool = True) -
     return left.join(dim, on, "left")
 
 
+def enrich_inner(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """One-to-one inner join: the key must be unique on both sides."""
+    assert_unique(left, on)
+    assert_unique(right, on)
+    return left.join(right, on)
+
+
 def unmatched(left: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     return left.join(dim, on, "left_anti")
 

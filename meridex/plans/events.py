@@ -182,11 +182,11 @@ SPLIT = f"""WITH {C}, d AS (SELECT DISTINCT hour FROM counts), i AS (SELECT hour
  s AS (SELECT entity, hour, n, CASE WHEN hour < a - 24 THEN 'train' WHEN hour < a THEN 'purged' WHEN hour < b - 24 THEN 'validation' WHEN hour < b THEN 'purged' ELSE 'test' END AS split FROM counts, c)"""
 
 
-@query(SPLIT + ", h AS (SELECT split, hour, count(*) AS r, count(*) FILTER (n > 1) AS p FROM s GROUP BY 1, 2) SELECT split, sum(r)::BIGINT AS rows, sum(p)::BIGINT AS positives, round(sum(p) / sum(r), 6) AS prevalence, count(*) AS hours, min(r) AS min_rows, max(r) AS max_rows FROM h GROUP BY 1")
+@query(SPLIT + ", h AS (SELECT split, hour, count(*) AS r, count(*) FILTER (n > 1) AS p FROM s GROUP BY 1, 2) SELECT split, sum(r)::BIGINT AS rows, sum(p)::BIGINT AS positives, round(sum(p) / sum(r), 6) AS prevalence, count(*) AS hours, min(r) AS min_rows, max(r) AS max_rows, (SELECT count(DISTINCT entity) FROM s WHERE s.split = h.split) AS entities FROM h GROUP BY 1")
 def split_distribution(spark, sf):
     s = L.chronological_split(counts(spark, sf), "hour", purge=24)
     per = s.groupBy("split", "hour").agg(F.count("*").alias("r"), F.sum((F.col("n") > 1).cast("long")).alias("p"))
-    return per.groupBy("split").agg(F.sum("r").alias("rows"), F.sum("p").alias("positives"), F.round(F.sum("p") / F.sum("r"), 6).alias("prevalence"), F.count("*").alias("hours"), F.min("r").alias("min_rows"), F.max("r").alias("max_rows"))
+    return per.groupBy("split").agg(F.sum("r").alias("rows"), F.sum("p").alias("positives"), F.round(F.sum("p") / F.sum("r"), 6).alias("prevalence"), F.count("*").alias("hours"), F.min("r").alias("min_rows"), F.max("r").alias("max_rows")).join(s.groupBy("split").agg(F.count_distinct("entity").alias("entities")), "split")
 
 
 @query(SPLIT + ", b AS (SELECT max(hour) FILTER (split = 'train') AS t, max(hour) FILTER (split = 'validation') AS v, min(hour) FILTER (split = 'validation') AS v0, min(hour) FILTER (split = 'test') AS e0 FROM s) SELECT t + 24 < v0 AS train_clean, v + 24 < e0 AS validation_clean FROM b")

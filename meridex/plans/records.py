@@ -72,9 +72,9 @@ def dedupe_first(spark, sf):
 
 
 @query(f"""WITH {NULLED}, q AS (SELECT count(*) AS a, count(p_size) AS s, count(DISTINCT p_size) AS sd, count(p_retailprice) AS r, count(DISTINCT p_retailprice) AS rd, count(p_brand) AS b, count(DISTINCT p_brand) AS bd FROM p),
- u AS (SELECT 'p_size' AS column_name, s AS non_null, a, sd AS distinct_values FROM q UNION ALL SELECT 'p_retailprice', r, a, rd FROM q UNION ALL SELECT 'p_brand', b, a, bd FROM q) SELECT column_name, non_null, a - non_null AS missing, round(100 * (a - non_null) / a, 6) AS missing_pct, distinct_values FROM u""")
+ u AS (SELECT 'p_size' AS column_name, s AS non_null, a, sd AS distinct_values FROM q UNION ALL SELECT 'p_retailprice', r, a, rd FROM q UNION ALL SELECT 'p_brand', b, a, bd FROM q) SELECT column_name, non_null, a - non_null AS missing, round(100 * (a - non_null) / a, 6) AS missing_pct, distinct_values, CASE column_name WHEN 'p_size' THEN (SELECT list(v) FROM (SELECT DISTINCT p_size::VARCHAR AS v FROM p WHERE p_size IS NOT NULL ORDER BY 1 LIMIT 5)) WHEN 'p_brand' THEN (SELECT list(v) FROM (SELECT DISTINCT p_brand AS v FROM p WHERE p_brand IS NOT NULL ORDER BY 1 LIMIT 5)) END AS samples FROM u WHERE column_name <> 'p_retailprice'""")
 def column_profile(spark, sf):
-    return A.column_profile(parts(spark, sf), ["p_size", "p_retailprice", "p_brand"])
+    return A.column_profile(parts(spark, sf), ["p_size", "p_brand"])
 
 
 @query(f"WITH {NULLED} SELECT 'p_size' AS column_name, round(avg((p_size IS NULL)::INT), 6) AS missing_rate FROM p UNION ALL SELECT 'p_retailprice', round(avg((p_retailprice IS NULL)::INT), 6) FROM p")
@@ -82,11 +82,10 @@ def missing_rates(spark, sf):
     return A.missing_rates(parts(spark, sf), {"p_size": F.col("p_size"), "p_retailprice": F.col("p_retailprice")})
 
 
-@query("""WITH a AS (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1), b AS (SELECT count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1), c AS (SELECT count(*) AS n FROM documents GROUP BY lang, source, n_chars HAVING count(*) > 1)
- SELECT 'text' AS identifier, coalesce(sum(n), 0)::BIGINT AS duplicated_rows, count(*) AS duplicated_keys FROM (SELECT d.n FROM (SELECT text, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) > 1) d) UNION ALL
- SELECT 'lang_source_size', coalesce(sum(n), 0)::BIGINT, count(*) FROM c""")
+@query("""WITH d AS (SELECT text, lang, source, n_chars FROM documents), t AS (SELECT text AS k, count(*) AS n FROM d WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) > 1), c AS (SELECT lang || '|' || source || '|' || n_chars AS k, count(*) AS n FROM d GROUP BY lang, source, n_chars HAVING count(*) > 1), f AS (SELECT coalesce(text, '') || '|' || lang || '|' || source || '|' || n_chars AS k, count(*) AS n FROM d GROUP BY text, lang, source, n_chars HAVING count(*) > 1)
+ SELECT 'text' AS identifier, coalesce(sum(n), 0)::BIGINT AS duplicated_rows, count(*) AS duplicated_keys, (SELECT coalesce(list(k), []) FROM (SELECT k FROM t ORDER BY k LIMIT 3)) AS samples FROM t UNION ALL SELECT 'lang_source_size', coalesce(sum(n), 0)::BIGINT, count(*), (SELECT coalesce(list(k), []) FROM (SELECT k FROM c ORDER BY k LIMIT 3)) FROM c UNION ALL SELECT 'full_row', coalesce(sum(n), 0)::BIGINT, count(*), (SELECT coalesce(list(k), []) FROM (SELECT k FROM f ORDER BY k LIMIT 3)) FROM f""")
 def duplicate_report(spark, sf):
-    return A.duplicate_report(table(spark, sf, "documents"), {"text": ["text"], "lang_source_size": ["lang", "source", "n_chars"]})
+    return A.duplicate_report(table(spark, sf, "documents").select("text", "lang", "source", "n_chars"), {"text": ["text"], "lang_source_size": ["lang", "source", "n_chars"]})
 
 
 @query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(*) AS n FROM orders GROUP BY 1, 2")

@@ -19,7 +19,7 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 def read_events(spark: SparkSession, path: str, required: list[str], schema: str | None = None) -> DataFrame:
     """CSV (with header) or Parquet by the path's ending."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return require(reader.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else reader.parquet(path), required)
+    return require(reader.option("header", True).csv(path) if path.rstrip("/").endswith("csv") else reader.parquet(path), required)
 
 
 def read_edges(spark: SparkSession, path: str, geometry: str = "geometry") -> DataFrame:
@@ -28,13 +28,13 @@ def read_edges(spark: SparkSession, path: str, geometry: str = "geometry") -> Da
     return df.withColumns({"segment_id": F.concat_ws("_", "u", "v", "key"), "line": wkt_points(F.col(geometry))}).where("line is not null")
 
 
-def read_poi_elements(spark: SparkSession, path: str, categories: dict[str, tuple[str, str]]) -> DataFrame:
-    """Elements of a JSON document with `lat`/`lon` or a `center`; one row for each (type, id).
+def read_poi_elements(spark: SparkSession, path: str, categories: dict[str, tuple[str, str]], whole_file: bool = True) -> DataFrame:
+    """Elements of JSON documents (one in a file, or in a line) with `lat`/`lon` or a `center`; one row for each (type, id).
 
     categories: name -> (tag, value); the first that an element's tags have is its category.
     """
     schema = "elements array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
-    e = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("elements"))
+    e = spark.read.schema(schema).option("multiLine", whole_file).json(path).select(F.inline("elements"))
     kind = None
     for name, (tag, value) in categories.items():
         hit = F.try_element_at("tags", F.lit(tag)) == value
@@ -43,11 +43,11 @@ def read_poi_elements(spark: SparkSession, path: str, categories: dict[str, tupl
     return got.where("lat is not null and lon is not null and category is not null").dropDuplicates(["type", "id"])
 
 
-def read_columnar_json(spark: SparkSession, paths: list[str], variables: list[str], time: str = "time") -> DataFrame:
-    """Hourly structs of arrays to one row for each hour, chunks united, repeated hours once."""
+def read_columnar_json(spark: SparkSession, paths: list[str], variables: list[str], time: str = "time", whole_file: bool = True) -> DataFrame:
+    """Hourly structs of arrays (a document in a file, or in a line) to one row for each hour, chunks united, repeated hours once."""
     schema = f"hourly struct<{time}:array<string>, {', '.join(f'{v}:array<double>' for v in variables)}>"
     zipped = F.arrays_zip(*[F.col(f"hourly.{c}").alias(c) for c in (time, *variables)])
-    rows = spark.read.schema(schema).option("multiLine", True).json(paths).select(F.inline(zipped))
+    rows = spark.read.schema(schema).option("multiLine", whole_file).json(paths).select(F.inline(zipped))
     return rows.withColumn(time, F.try_to_timestamp(F.regexp_replace(time, "T", " "), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")).where(F.col(time).isNotNull()).dropDuplicates([time])
 
 

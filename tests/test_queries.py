@@ -13,3 +13,15 @@ def test_entry_module_lists_all(spark):
 
     assert set(q.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_models_fit_their_tables(spark):
+    """No SQL for fitted models: held-out ranks and sums instead."""
+    from meridex.operators.metrics import roc_auc
+    from oracle import SF
+    from pyspark.sql import functions as F
+
+    scored = q.QUERIES["fitted_classifier"](spark, SF)
+    assert roc_auc(scored, "score", "y").first().roc_auc > 0.95
+    got = q.QUERIES["fitted_counts"](spark, SF).agg(F.sum("n").alias("n"), F.sum("expected").alias("expected"), F.count("*").alias("rows")).first()
+    assert got.rows > 100 and abs(got.expected - got.n) < 0.05 * got.n
