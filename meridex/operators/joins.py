@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,29 +68,26 @@ def name_match(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return l.join(pairs, F.col(a) == F.col("_w")).join(r.drop("_row"), F.col(b) == F.col("_p")).drop("_row", "_w", "_p")
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, keep: int = 5) -> DataFrame:
+def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, cost, path): least cost from `source` to `target` over undirected edges (a, b, cost), and its nodes.
 
     Of paths of equal cost that with the fewest nodes counts, then the one whose nodes come first. A table keyed by
-    (request, node) is relaxed with the edges until no cost falls any more, however long the paths are; it is written
-    every few rounds, so its lineage stays short. Costs must not be negative. No path gives nulls.
+    (request, node) is relaxed until nothing gets better, however long the paths are; a round goes on only from nodes
+    that the last one has reached in a better way, and its table is written, so lineage stays short. Costs must not be
+    negative. No path gives nulls.
     """
     both = edges.select("a", "b", F.col("cost").alias("step")).union(edges.select("b", "a", "cost"))
     if not both.where("step < 0 or step is null").isEmpty():
         raise ValueError("costs must be known and not negative")
-    start = requests.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"))
-    state, last = cut(start), None
-    while True:
-        for _ in range(keep):
-            step = state.join(both, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b")))
-            step = step.select("request", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
-            best = F.min(F.struct(F.round("cost", 9).alias("r"), F.size("path").alias("n"), "path", "cost")).alias("m")
-            state = state.union(step).groupBy("request", "node").agg(best).select("request", "node", "m.cost", "m.path")
-        state = cut(state)
-        now = state.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("request", "node", "path").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == last:
+    state = cut(requests.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"), F.lit(0).alias("round")))
+    for number in count(1):
+        last = state.where(F.col("round") == number - 1)
+        if last.isEmpty():
             return requests.join(state.withColumnRenamed("node", "target"), ["request", "target"], "left").select("request", "cost", "path")
-        last = now
+        step = last.join(both, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b")))
+        step = step.select("request", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path"), F.lit(number).alias("round"))
+        best = F.min(F.struct(F.round("cost", 9).alias("r"), F.size("path").alias("n"), "path", "round", "cost")).alias("m")
+        state = cut(state.union(step).groupBy("request", "node").agg(best).select("request", "node", "m.cost", "m.path", "m.round"))
 
 
 def section_path(edges: DataFrame, sections: DataFrame) -> DataFrame:
