@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
     "op10_decontam": decontam.op10_decontam,
 }
-ORACLE_SQL: dict[str, str] = {"op4_urls": urls.OP4_SQL, "op5_ngrams": ngrams.OP5_SQL, "op6_lines": lines.OP6_SQL, "op10_decontam": decontam.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_urls": urls.OP4_SQL, "op5_ngrams": ngrams.OP5_SQL, "op6_lines": lines.OP6_SQL, "op8_suffixes": suffixes.OP8_SQL, "op10_decontam": decontam.OP10_SQL}
