@@ -412,7 +412,8 @@ def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ke
         component = stored(connected_components(found.union(more)), "components")
     whole = groups.join(component, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     out = seen.join(whole, ["n", "s1", "s2"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    own = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,8 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ self.weight + self.bias, -30, 30)))
+        margin = (x.astype(np.float64) * self.weight).sum(1) + self.bias  # row by row, so equal rows have equal sums
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
