@@ -45,12 +45,16 @@ def salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, sa
 
 
 def key_ranges(docs: DataFrame, total: int, block_bytes: int) -> np.ndarray:
-    """Cuts of the integer column `key` into ranges of about `block_bytes` of `total` bytes of text each.
+    """Cuts of the integer column `key` into ranges of about `block_bytes` of the `total` bytes of the column `text`.
 
     One number for each block of text; block k holds keys above cut k - 1 and up to cut k, null keys are in the first.
+    Keys count once for each 8 kB of their text, so long texts make short ranges; a single text stays whole.
     """
     number = max(1, -(-total // block_bytes))
-    cuts = docs.select("key").approxQuantile("key", [k / number for k in range(1, number)], 0.1 / number) if number > 1 else []
+    if number == 1:
+        return np.zeros(0, np.float64)
+    weighed = docs.select(F.explode(F.array_repeat("key", F.greatest(F.ceil(F.octet_length("text") / 8192), F.lit(1)).cast("int"))).alias("key"))
+    cuts = weighed.approxQuantile("key", [k / number for k in range(1, number)], 0.1 / number)
     return np.array(sorted(set(cuts)), np.float64)
 
 
