@@ -77,34 +77,43 @@ def write_if_changed(df: DataFrame, path: str) -> bool:
     return True
 
 
+#: Parts of an upserted table; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], hash_column: str, scope: list[str] | None = None) -> dict[str, int]:
     """Applies an upsert to a table of versions and returns how many rows were new, updated, unchanged, deleted.
 
-    Each version is written whole beside the last, and a one-row pointer names the current one, so readers and
-    failed writers never meet a half-written table.
+    Rows lie in buckets by the hash of their scope, or else of their keys. The buckets that the batch touches are written
+    anew beside the old ones, and one row for each names its current version, so readers and failed writers never meet a
+    half-written table. `kept` counts rows of touched buckets only.
     """
-    current = current_version(spark, path)
+    bucket = F.pmod(F.xxhash64(*(scope or keys)), F.lit(BUCKETS)).cast("int")
+    touched = {r[0] for r in incoming.select(bucket).distinct().collect()}  # at most BUCKETS numbers
+    current = _read_buckets(spark, path, touched)
     if current is None:
         current = incoming.limit(0)
     done = upsert_scoped(current, incoming, keys, scope, hash_column) if scope else upsert(current, incoming, keys, hash_column)
-    at = f"{path}/v-{uuid.uuid4().hex}"
-    done.write.parquet(at)
-    written = spark.read.parquet(at)
-    counts = {r.status: r["count"] for r in written.groupBy("status").count().collect()}
-    pointer = spark.createDataFrame([(at,)], "at string").withColumn("n", F.lit(_versions(spark, path) + 1))
-    pointer.write.mode("append").parquet(f"{path}/pointer")
+    at, number = f"{path}/v-{uuid.uuid4().hex}", max((n for _, _, n in _latest(spark, path)), default=0) + 1
+    done.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(at)
+    counts = {r.status: r["count"] for r in spark.read.parquet(at).groupBy("status").count().collect()} if touched else {}
+    rows = [(b, f"{at}/_bucket={b}", number) for b in sorted(touched)]
+    spark.createDataFrame(rows, "bucket int, at string, n long").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
     return counts
 
 
-def _versions(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/pointer").agg(F.max("n")).first()[0] if exists(spark, f"{path}/pointer") else 0
+def _latest(spark: SparkSession, path: str) -> list[tuple]:
+    """(bucket, folder, number) of the current version of each bucket, at most BUCKETS of them."""
+    if not exists(spark, f"{path}/pointer"):
+        return []
+    return [tuple(r) for r in spark.read.parquet(f"{path}/pointer").groupBy("bucket").agg(F.max_by("at", "n"), F.max("n")).collect()]
 
 
-def current_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The rows of an upserted table, or None before the first write."""
-    if not exists(spark, f"{path}/pointer"):
-        return None
-    at = spark.read.parquet(f"{path}/pointer").agg(F.max_by("at", "n")).first()[0]
-    return spark.read.parquet(at).where("status <> 'deleted'").drop("status")
+def _read_buckets(spark: SparkSession, path: str, wanted: set[int] | None = None) -> DataFrame | None:
+    folders = [at for b, at, _ in _latest(spark, path) if wanted is None or b in wanted]
+    return spark.read.parquet(*folders).where("status <> 'deleted'").drop("status") if folders else None
 
 
+def current_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of an upserted table, or None before the first write."""
+    return _read_buckets(spark, path)

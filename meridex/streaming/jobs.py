@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.sinks import upsert_table
 
@@ -104,6 +105,32 @@ def freshness(stream: DataFrame, provider: str, ts: str, ttl_seconds: int, clock
     return last.select("provider", "last", age.alias("age_seconds"), (age > ttl_seconds).alias("degraded"))
 
 
+WATCHED = "provider string, last timestamp, degraded boolean"
+
+
+def freshness_watch(stream: DataFrame, provider: str, ts: str, ttl_seconds: int) -> DataFrame:
+    """(provider, last, degraded) whenever a provider reads or has been silent for `ttl_seconds` of processing time.
+
+    The timer starts anew with each reading; a provider that stays silent is reported once. To be run with a
+    processing-time trigger: one that ends with its input would wait for timers.
+    """
+
+    def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            yield pd.DataFrame({"provider": [key[0]], "last": [pd.Timestamp(last, unit="us")], "degraded": [True]})
+            state.update((last,))
+            return
+        seen = max([int(p["us"].max()) for p in parts], default=None)
+        last = max(x for x in (seen, state.get[0] if state.exists else None) if x is not None)
+        state.update((last,))
+        state.setTimeoutDuration(ttl_seconds * 1000)
+        yield pd.DataFrame({"provider": [key[0]], "last": [pd.Timestamp(last, unit="us")], "degraded": [False]})
+
+    rows = stream.select(F.col(provider).cast("string").alias("provider"), F.unix_micros(ts).alias("us")).where("us is not null")
+    return rows.groupBy("provider").applyInPandasWithState(watch, WATCHED, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def append_chunks(stream: DataFrame, path: str, by: str, checkpoint: str) -> StreamingQuery:
     """Scored chunks as partitions; the checkpoint and dynamic overwrite make a repeated batch harmless."""
 

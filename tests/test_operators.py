@@ -220,8 +220,8 @@ def test_models(spark):
     for kind in ("gbt", "logistic", "forest"):
         out = MO.fit_classifier(df, ["x"], ["c"], "y", kind, maxIter=5) if kind != "forest" else MO.fit_classifier(df, ["x"], ["c"], "y", kind, numTrees=5)
         assert out.transform(df).where("prediction = y").count() > 380
-    best = MO.tune(df.where("not v"), df.where("v"), ["x"], [], "y", [{"maxIter": 2}, {"maxIter": 4}]).first()
-    assert best.pr_auc > 0.95
+    trials = MO.tune(df.where("not v"), df.where("v"), ["x"], [], "y", [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 3}], seeds=(1, 2)).collect()
+    assert trials[0].pr_auc > 0.95 and trials[0].pr_auc >= trials[1].pr_auc and abs(trials[0].gap) < 0.05 and trials[0].lift > 1.5 and trials[0].seed_std < 0.01 and trials[1].seed_std is None
     assert MO.count_model(df, ["x"], "y").transform(df).where("prediction < 0").count() == 0
     r = MO.linear_contributions(df, {"x": 2.0}, {"x": 8.0}, 1.0).agg(F.max(F.abs("residual"))).first()[0]
     assert r < 1e-9

@@ -50,6 +50,16 @@ def test_upsert_table(spark, tmp_path):
     assert SK.upsert_table(spark, at, make([("a", "1"), ("b", "2")], 1), ["k"], "h") == {"new": 2}
     assert SK.upsert_table(spark, at, make([("a", "1"), ("b", "3")], 2), ["k"], "h") == {"unchanged": 1, "updated": 1}
     assert {(r.k, r.v, r.created_at) for r in SK.current_version(spark, at).collect()} == {("a", "1", 1), ("b", "3", 1)}
+    many = make([(str(i), "1") for i in range(200)], 3)
+    assert SK.upsert_table(spark, at, many, ["k"], "h")["new"] == 200
+    before = {b: v for b, v, _ in SK._latest(spark, at)}
+    assert SK.upsert_table(spark, at, make([("7", "2")], 4), ["k"], "h")["updated"] == 1
+    assert sum(before[b] != v for b, v, _ in SK._latest(spark, at)) == 1 and SK.current_version(spark, at).count() == 202
+    scoped = str(tmp_path / "scoped")
+    SK.upsert_table(spark, scoped, make([("x1", "1"), ("x2", "1"), ("y1", "1")], 1).withColumn("s", F.substring("k", 1, 1)), ["s", "k"], "h", ["s"])
+    done = SK.upsert_table(spark, scoped, make([("x1", "1")], 2).withColumn("s", F.lit("x")), ["s", "k"], "h", ["s"])
+    assert (done["unchanged"], done["deleted"]) == (1, 1) and {r.k for r in SK.current_version(spark, scoped).collect()} == {"x1", "y1"}
+    assert SK.upsert_table(spark, scoped, make([], 3).withColumn("s", F.lit("x")), ["s", "k"], "h", ["s"]) == {}
 
 
 def run_stream(spark, df, at, name, mode="append"):
@@ -97,3 +107,19 @@ def test_upsert_stream(spark, tmp_path):
     q = ST.append_chunks(spark.readStream.schema(df.schema).parquet(f"{at}/in"), f"{at}/chunks", "k", f"{at}/c2")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{at}/chunks").count() == 1
+
+
+def test_silent_providers_degrade(spark, tmp_path):
+    import time
+
+    at = str(tmp_path)
+    spark.createDataFrame([("quiet", "2024-01-01 00:00:00")], "p string, t string").select("p", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(f"{at}/in")
+    stream = ST.freshness_watch(spark.readStream.schema("p string, ts timestamp").parquet(f"{at}/in"), "p", "ts", 1)
+    q = stream.writeStream.format("memory").queryName("silent").option("checkpointLocation", f"{at}/c").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("silent").where("degraded").isEmpty():
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert sorted((r.provider, r.degraded) for r in spark.table("silent").collect()) == [("quiet", False), ("quiet", True)]
