@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, lm, media, ngrams, packing, pii, quality, suffixes, urls
+from . import decontam, licenses, lines, lm, media, ngrams, packing, pii, quality, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_packing": packing.op9_packing,
     "op10_decontam": decontam.op10_decontam,
+    "op11_licenses": licenses.op11_licenses,
 }
-ORACLE_SQL: dict[str, str] = {"op4_urls": urls.OP4_SQL, "op5_ngrams": ngrams.OP5_SQL, "op6_lines": lines.OP6_SQL, "op8_suffixes": suffixes.OP8_SQL, "op10_decontam": decontam.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_urls": urls.OP4_SQL, "op5_ngrams": ngrams.OP5_SQL, "op6_lines": lines.OP6_SQL, "op8_suffixes": suffixes.OP8_SQL, "op10_decontam": decontam.OP10_SQL, "op11_licenses": licenses.OP11_SQL}

@@ -125,6 +125,27 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return start, end, word_hash(low, start, end), np.searchsorted(start, offsets)
 
 
+def word_strings(data: np.ndarray, offsets: np.ndarray, digits: bool = True) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Runs of letters, digits (unless `digits` is false) and bytes from 0x80, with A-Z lower-cased, as strings.
+
+    Returns all of them in order, and for each text the number of words before it (one entry more than texts).
+    """
+    low = _LOWER[data]
+    inside = ((low >= 0x61) & (low <= 0x7A)) | (low >= 0x80)
+    if digits:
+        inside |= (low >= 0x30) & (low <= 0x39)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cut = offsets[:-1][np.diff(offsets) > 0]
+    first[cut] = inside[cut]
+    starts = np.flatnonzero(first)
+    letters = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(inside, out=letters[1:])
+    ends = np.append(letters[starts], letters[-1])
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(low[inside]))
+    return found, np.searchsorted(starts, offsets)
+
+
 def shingles(hashes: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words of each text, in order, and for each text the number of shingles before it.
 
