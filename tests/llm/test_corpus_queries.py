@@ -40,13 +40,15 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(1, 1, 0), (None, 1, 0), (4, 0, None), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, None, None), (2, "nothing", ""), (None, "http://A.Com/en/1?x", "h"), (4, "https://x.net/de/", "h"), (4, "https://x.net/de/", "h")], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     spark.createDataFrame([(1, None), (2, ""), (3, "Word"), (None, "one two")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    vectors = [(1, [0.5, 1.0]), (1, [0.5, 1.0]), (None, [2.0, -3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0]), (9, [1e9, -1e9])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id long, text string")):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id long, text string"), ("embeddings", "vec_id long, embedding array<float>")):
         spark.createDataFrame([], schema).write.parquet(f"{at}/{name}.parquet")
     return at
 
