@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir; on one machine, where that is unset, one beside the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that all executors see."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a checkpoint in the shared folder; sets one only where none is set, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

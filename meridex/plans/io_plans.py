@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import history as H
 from ..operators import models as MO
 from ..operators import records as R
 from ..operators.joins import enrich_inner
+from ..operators.tables import folder
+from ..sources import commits as CM
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from ..streaming import jobs as ST
 from .registry import query, table
 
 
-def folder(spark, name: str) -> str:
-    """A new folder in the place that all executors see."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey FROM customer")
 def read_events(spark, sf):
     """Two formats written side by side; the CSV one is read with checked columns."""
@@ -78,13 +73,15 @@ def geojson_features(spark, sf):
     return back.select("v.id", F.col("v.geometry.type").alias("kind"), F.col("v.geometry.coordinates").alias("line"), F.col("v.properties.n_name").alias("name"))
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS rows FROM orders GROUP BY 1")
+@query("SELECT nullif(o_orderstatus, 'P') AS status, count(*) AS rows, count(*) AS rows_read FROM orders GROUP BY 1")
 def write_chunks(spark, sf):
-    """Chunks by status, the first of them written beforehand: a second run writes only the others."""
-    at, o = folder(spark, "chunks"), table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    SK.write_chunks(o.where("status = 'F'"), at, "status")
-    return SK.write_chunks(o, at, "status").select("status", "rows")
-
+    """Chunks by status, some of them (that of null too) written beforehand: later runs write only the others."""
+    at, o = folder(spark, "chunks"), table(spark, sf, "orders").select("o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("status"))
+    SK.write_chunks(o.where("status = 'F' OR status IS NULL"), at, "status")
+    for _ in range(2):  # the second run finds all of them
+        done = SK.write_chunks(o, at, "status")
+    found = SK.read_chunks(spark, at).groupBy(F.col("status").alias("read")).agg(F.count("*").alias("rows_read"))
+    return done.join(found, F.col("status").eqNullSafe(F.col("read")), "full").select("status", "rows", "rows_read")
 
 @query("SELECT n_name, t AS collected_at FROM nation, (SELECT unnest([TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-02 00:00:00']) AS t)")
 def append_snapshot(spark, sf):
@@ -131,6 +128,14 @@ def streamed(spark, sf, name):
     return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"})
 
 
+def in_batches(spark, df, name, number=4):
+    """A table, dealt over `number` files by its first column, as a stream of so many micro-batches."""
+    at = folder(spark, name)
+    for k in range(number):
+        df.where(F.pmod(F.xxhash64(df.columns[0]), F.lit(number)) == k).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def landed(spark, stream, name):
     """What a stream has written when all its input is read."""
     at = folder(spark, name)
@@ -185,29 +190,47 @@ def stream_freshness(spark, sf):
     return got.groupBy("provider").agg(F.max_by("last", "last").alias("last"), F.max_by("degraded", "last").alias("degraded")).select("provider", *plain("last"), "degraded")
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("""WITH c AS (SELECT user_id AS entity, epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events GROUP BY 1, 2) SELECT a.entity, a.hour, any_value(a.n) AS n, coalesce(sum(b.n), 0)::BIGINT AS prior_total,
+ coalesce(sum(b.n) FILTER (b.hour >= a.hour - 24), 0)::BIGINT AS prior_24h, coalesce(sum(b.n) FILTER (b.hour >= a.hour - 168), 0)::BIGINT AS prior_7d,
+ coalesce(sum(b.n) FILTER (b.hour >= a.hour - 720), 0)::BIGINT AS prior_30d, coalesce((a.hour - max(b.hour))::DOUBLE, -1.0) AS hours_since_prev
+ FROM c a LEFT JOIN c b ON a.entity = b.entity AND b.hour < a.hour GROUP BY 1, 2""")
+def stream_prior_counters(spark, sf):
+    """Counters at arrival over five micro-batches, each a part of the time; they equal those of the batch."""
+    at, c = folder(spark, "counted"), H.event_counts(table(spark, sf, "events"), "user_id", "ts")
+    span = c.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).first()
+    for k in range(5 if span.lo is not None else 0):
+        edge = lambda i: span.lo + (span.hi + 1 - span.lo) * i // 5
+        c.where((F.col("hour") >= edge(k)) & (F.col("hour") < edge(k + 1))).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    return landed(spark, ST.prior_counters(stream), "counters")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS c_name, 1 AS created_at, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS updated_at FROM customer")
 def stream_upsert(spark, sf):
-    at = folder(spark, "upserts")
-    s = streamed(spark, sf, "customer").select("c_custkey", "c_name", R.content_hash(["c_name"]).alias("hash"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
-    for _ in range(2):  # the second run finds nothing new
-        ST.upsert_stream(s, f"{at}/table", ["c_custkey"], "hash", f"{at}/checkpoint").awaitTermination()
-    return SK.current_version(spark, f"{at}/table").select("c_custkey", "c_name")
+    """Three micro-batches of new rows, then one that changes half of them, then all once more, which changes nothing."""
+    at, c = folder(spark, "upserts"), table(spark, sf, "customer").select("c_custkey", "c_name")
+    dated = lambda d, t: d.withColumns({"hash": R.content_hash(["c_name"]), "created_at": F.lit(t), "updated_at": F.lit(t)})
+    changed = c.select("c_custkey", F.expr("if(c_custkey % 2 = 0, concat(c_name, '!'), c_name)").alias("c_name"))
+    for k, (d, t, parts) in enumerate(((c, 1, 3), (changed, 2, 1), (changed, 3, 1))):
+        ST.upsert_stream(in_batches(spark, dated(d, t), "customers", parts), f"{at}/table", ["c_custkey"], "hash", f"{at}/checkpoint-{k}").awaitTermination()
+    return SK.current_version(spark, f"{at}/table").select("c_custkey", "c_name", "created_at", "updated_at")
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
 def stream_chunks(spark, sf):
-    at = folder(spark, "appended")
-    s = streamed(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    ST.append_chunks(s, f"{at}/rows", "status", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/rows").groupBy("status").agg(F.count("*").alias("n"))
+    """Four micro-batches that all have rows of each chunk; the last is then written once more, as after a failure."""
+    at, o = folder(spark, "appended"), table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    ST.append_chunks(in_batches(spark, o, "orders"), f"{at}/rows", "status", f"{at}/checkpoint", "orders").awaitTermination()
+    CM.write_batch_chunks(o, f"{at}/rows", "status", "orders:3")
+    return SK.read_chunks(spark, f"{at}/rows").groupBy("status").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query()
 def fitted_classifier(spark, sf):
     """Held-out scores of boosted trees; tests hold them against their labels."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipmode", (F.col("l_quantity") * (1 + F.col("l_discount")) > 26).cast("double").alias("y"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", (F.col("l_quantity") * (1 + F.col("l_discount")) > 26).cast("double").alias("y"))
     held = F.crc32(F.col("l_orderkey").cast("string")) % 3 == 1
-    model = MO.fit_classifier(li.where(~held), ["l_quantity", "l_discount", "l_tax"], ["l_shipmode"], "y", "gbt", maxIter=5)
+    model = MO.fit_classifier(li.where(~held), ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"], "y", "gbt", maxIter=5)
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(li.where(held)).select("l_orderkey", "l_linenumber", "y", vector_to_array("probability")[1].alias("score"))
@@ -224,7 +247,5 @@ def fitted_counts(spark, sf):
 @query("WITH c AS (SELECT user_id AS entity, epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT entity, hour, row_number() OVER (ORDER BY hour, entity) AS r FROM c) SELECT a.entity, a.hour, coalesce(sum(b.n), 0)::BIGINT AS score FROM c a LEFT JOIN c b ON b.entity = a.entity AND b.hour < a.hour GROUP BY 1, 2")
 def hotspot_baseline(spark, sf):
     """The number of earlier events as a score."""
-    from ..operators import history as H
-
     c = H.event_counts(table(spark, sf, "events"), "user_id", "ts")
     return H.own_prior_counts(c, {"score": None}).select("entity", "hour", "score")

@@ -9,6 +9,9 @@ from ..functions import text as T
 from ..operators import audit as A
 from ..operators import models as MO
 from ..operators import records as R
+from ..operators.tables import folder
+from ..sources import commits as CM
+from ..sources import sinks as SK
 from .registry import query, table
 
 NULLED = "p AS (SELECT p_partkey, p_name, p_brand, p_type, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice FROM part)"
@@ -193,13 +196,16 @@ def upsert_scoped(spark, sf):
     return R.upsert_scoped(t, n.where("c_nationkey % 4 <> 0"), ["c_custkey"], ["c_nationkey"], "hash").select("c_custkey", "status")
 
 
-@query("SELECT o_orderkey % 10 AS batch, o_orderkey AS id, o_totalprice AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_orderkey % 10 = (SELECT o_orderkey % 10 FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey % 10 DESC LIMIT 1)) WHERE rank <= 20")
+@query("SELECT 'b' || (o_orderkey % 3) AS batch, o_orderkey AS id, o_totalprice AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_orderkey % 3 = 1) WHERE rank <= 20")
 def latest_batch_top(spark, sf):
-    """The 20 best rows of the latest completed batch."""
-    o = table(spark, sf, "orders").withColumn("batch", F.col("o_orderkey") % 10)
-    last = o.where("o_orderstatus = 'F'").agg(F.max(F.struct("o_orderdate", "batch")).alias("m")).select(F.col("m.batch").alias("batch"))
-    rows = o.join(F.broadcast(last), "batch").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)  # one row
-    return rows.select("batch", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    """The 20 best rows of the latest complete batch of a store, one batch being written twice and another never finished."""
+    at = folder(spark, "batches")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    for k, day in ((0, "2024-01-01"), (1, "2024-01-03"), (1, "2024-01-03"), (2, "2024-01-02")):
+        SK.write_batch(o.where(F.col("id") % 3 == k), at, f"b{k}", day)
+    CM.write_attempt(o, at, None, "b9", "2024-01-09")
+    rows = SK.top_of_batch(SK.read_batch(spark, at), "score", "id", 20)
+    return rows.select(F.col("batch_id").alias("batch"), "id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))  # 20 rows
 
 
 @query("SELECT 'c_name' AS column_name, count(*) AS n, sum(('0x' || substr(md5(coalesce(c_name, 'null')), 1, 8))::BIGINT)::BIGINT AS checksum FROM customer UNION ALL SELECT 'c_custkey', count(*), sum(('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT)::BIGINT FROM customer")

@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import frame_checksum, upsert, upsert_scoped
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from . import commits as C
+from .commits import exists
 
 
 def write_dual(df: DataFrame, path: str) -> None:
@@ -33,15 +30,19 @@ def geojson_features(df: DataFrame, geometry: DataFrame, key: str, properties: l
 
 
 def write_chunks(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Writes only the partitions of `by` that aren't there yet; returns a manifest of all: rows, checksum."""
-    spark = df.sparkSession
-    new = df
-    if exists(spark, path):
-        new = df.join(spark.read.parquet(path).select(by).distinct(), by, "left_anti")
-    new.write.mode("append").partitionBy(by).parquet(path)
-    done = spark.read.parquet(path)
-    others = sorted(c for c in done.columns if c != by)
-    return done.groupBy(by).agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*others)).alias("checksum"))
+    """Writes only the chunks, by the values of `by`, that aren't committed yet; returns a manifest of all: rows, checksum.
+
+    A null value is a chunk of its own. What a failed run left doesn't count, and a chunk that two runs wrote counts once.
+    """
+    C.write_batch_chunks(df, path, by, "chunks")
+    done = C.commits(df.sparkSession, path)
+    value = F.when(F.col("chunk") != "null", F.expr("substring(chunk, 2)")).cast(df.schema[by].dataType)
+    return done.select(value.alias(by), "rows", "checksum")
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed chunks."""
+    return C.read_committed(spark, path)
 
 
 def append_snapshot(df: DataFrame, path: str, at: str) -> None:
@@ -49,18 +50,24 @@ def append_snapshot(df: DataFrame, path: str, at: str) -> None:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: str, completed_at: str) -> None:
-    """A scored batch in a partition of its own; it counts once its row is in the log."""
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(f"{path}/rows")
-    log = df.sparkSession.createDataFrame([(batch_id, completed_at)], "batch_id string, completed_at string")
-    log.write.mode("append").parquet(f"{path}/log")
+    """A scored batch; it counts once it is complete, and once only, however often it is written."""
+    C.write_batch_chunks(df, path, None, batch_id, completed_at)
+
+
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """(batch_id, completed_at, rows, checksum) of all complete batches."""
+    return C.commits(spark, path).select("batch_id", "completed_at", "rows", "checksum")
 
 
 def read_batch(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
-    """Rows of a batch, or of the latest completed one."""
+    """Rows of a batch, or of the latest complete one (of several at one time the greatest id), with `batch_id`."""
+    done = C.commits(spark, path)
     if batch_id is None:
-        row = spark.read.parquet(f"{path}/log").agg(F.max_by("batch_id", F.struct("completed_at", "batch_id"))).first()
-        batch_id = row[0]
-    return spark.read.parquet(f"{path}/rows").where(F.col("batch_id") == batch_id)
+        batch_id = done.agg(F.max_by("batch_id", F.struct("completed_at", "batch_id"))).first()[0]
+    which = done.where(F.col("batch_id") == batch_id)
+    if which.isEmpty():
+        raise ValueError(f"no complete batch {batch_id}")
+    return C.read_committed(spark, path, which, "batch_id")
 
 
 def top_of_batch(batch: DataFrame, score: str, key: str, n: int) -> DataFrame:
@@ -114,6 +121,20 @@ def _read_buckets(spark: SparkSession, path: str, wanted: set[int] | None = None
     return spark.read.parquet(*folders).where("status <> 'deleted'").drop("status") if folders else None
 
 
+def drop_old_versions(spark: SparkSession, path: str, before_ms: int) -> int:
+    """Deletes folders of an upserted table that hold no current version of a bucket and are older than a time."""
+    if not exists(spark, path):
+        return 0
+    live = {at.rsplit("/", 2)[-2] for _, at, _ in _latest(spark, path)}
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, gone = root.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in live and status.getModificationTime() < before_ms:
+            gone += bool(files.delete(status.getPath(), True))
+    return gone
+
+
 def current_version(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of an upserted table, or None before the first write."""
     return _read_buckets(spark, path)

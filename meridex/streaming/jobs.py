@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.commits import write_batch_chunks
 from ..sources.sinks import upsert_table
 
 HOUR = 3600
@@ -54,48 +55,141 @@ def interval_join(events: DataFrame, forecasts: DataFrame, key: str, ts: str, is
 
 
 class PriorCounters(StatefulProcessor):
-    """Strictly prior counts at the arrival of each hour's events: in all, in 24 h, 7 d and 30 d, and the hours since the last.
+    """Strictly prior counts at the arrival of each hour's events: in all and in windows, and the hours since the last.
 
-    State of an entity: its total and its counts of the last 30 days by hour. Input rows (entity, hour, n) come in
-    ascending hours per entity; older hours than the last one seen are counted for later rows only.
+    State of an entity: its hours with events as a list in time order (a map: hour -> count, next hour), and one row with
+    the total, the last hour, and for each window its sum and first hour. A new hour moves the windows on: it reads the
+    hours that leave one, each once, and writes its own and the one before; hours older than the largest window and the
+    allowed delay are removed on the way. A timer clears the hours of an entity that has been silent for that long.
+
+    Late hours (not after the last one seen) get counts of what has arrived of before them, and count for later rows only;
+    that walks the list. What is later than the watermark Spark drops before it comes here.
     """
 
-    KEEP = 720
+    def __init__(self, windows: dict[str, int], late_hours: int):
+        self.windows = windows
+        self.spans = [*windows.values(), max(windows.values()) + late_hours]  # the last one: how long hours are kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n long, last long")
-        self.hours = handle.getMapState("hours", "hour long", "n long")
+        self.handle = handle
+        spans = ", ".join(f"sum{k} long, first{k} long" for k in range(len(self.spans)))
+        self.row = handle.getValueState("row", f"total long, last long, gone long, timer long, {spans}")
+        self.hours = handle.getMapState("hours", "hour long", "n long, next long")
+
+    def _load(self) -> None:
+        got = self.row.get() if self.row.exists() else (0, None, None, None, *(0, None) * len(self.spans))
+        (self.total, self.last, self.gone, self.timer), rest = got[:4], got[4:]
+        self.sums, self.firsts = list(rest[::2]), list(rest[1::2])
+        self.known: dict[int, list] = {}
+        self.changed: set[int] = set()
+
+    def _hour(self, hour: int) -> list:
+        if hour not in self.known:
+            self.known[hour] = list(self.hours.getValue((hour,)))
+        return self.known[hour]
+
+    def _put(self, hour: int, n: int, following: int | None) -> None:
+        self.known[hour] = [n, following]
+        self.changed.add(hour)
+
+    def _advance(self, hour: int) -> None:
+        """Moves all windows on to end before `hour`; hours that leave the last one are removed."""
+        for k, span in enumerate(self.spans):
+            while self.firsts[k] is not None and self.firsts[k] < hour - span:
+                at = self.firsts[k]
+                n, following = self._hour(at)
+                self.sums[k] -= n
+                self.firsts[k] = following
+                if k == len(self.spans) - 1:
+                    self.gone = at
+                    self.changed.discard(at)
+                    del self.known[at]
+                    if self.hours.containsKey((at,)):
+                        self.hours.removeKey((at,))
+
+    def _append(self, hour: int, n: int) -> tuple:
+        self._advance(hour)
+        out = (self.total, *self.sums[:-1], float(hour - self.last) if self.last is not None else -1.0)
+        if self.firsts[-1] is not None:
+            self._put(self.last, self._hour(self.last)[0], hour)
+        self._put(hour, n, None)
+        for k in range(len(self.spans)):
+            self.sums[k] += n
+            self.firsts[k] = hour if self.firsts[k] is None else self.firsts[k]
+        self.total, self.last = self.total + n, hour
+        return out
+
+    def _insert(self, hour: int, n: int) -> tuple | None:
+        """A late hour; None if it is older than all that is kept."""
+        if hour < self.last - self.spans[-1]:
+            return None
+        kept, at = [], self.firsts[-1]
+        while at is not None:
+            kept.append(at)
+            at = self._hour(at)[1]
+        before = [h for h in kept if h < hour]
+        counted = lambda hours: sum(self._hour(h)[0] for h in hours)
+        previous = before[-1] if before else self.gone
+        out = (self.total - counted(h for h in kept if h >= hour), *(counted(h for h in before if h >= hour - w) for w in self.windows.values()), float(hour - previous) if previous is not None else -1.0)
+        if hour in kept:
+            self._put(hour, self._hour(hour)[0] + n, self._hour(hour)[1])
+        else:
+            self._put(hour, n, next((h for h in kept if h > hour), None))
+            if before:
+                self._put(before[-1], self._hour(before[-1])[0], hour)
+        for k, span in enumerate(self.spans):
+            if hour >= self.last - span:
+                self.sums[k] += n
+                self.firsts[k] = hour if self.firsts[k] is None else min(hour, self.firsts[k])
+        self.total += n
+        return out
+
+    def _save(self) -> None:
+        for hour in self.changed:
+            self.hours.updateValue((hour,), tuple(self.known[hour]))
+        spans = (x for pair in zip(self.sums, self.firsts, strict=True) for x in pair)
+        self.row.update((self.total, self.last, self.gone, self.timer, *spans))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(rows).groupby("hour", as_index=False)["n"].sum().sort_values("hour")
-        kept = {k[0]: v[0] for k, v in self.hours.iterator()}
-        total, last = self.total.get() if self.total.exists() else (0, None)
+        self._load()
         out = []
         for hour, n in zip(got["hour"].tolist(), got["n"].tolist(), strict=True):
-            back = lambda w, h=hour: sum(c for t, c in kept.items() if h - w <= t < h)
-            before = max((t for t in kept if t < hour), default=last if last is not None and last < hour else None)
-            out.append((key[0], hour, n, total, back(24), back(168), back(720), float(hour - before) if before is not None else -1.0))
-            kept[hour] = kept.get(hour, 0) + n
-            total, last = total + n, max(hour, last) if last is not None else hour
-        for t in [t for t in kept if t < (last or 0) - self.KEEP]:
-            del kept[t]
-            if self.hours.containsKey((t,)):
-                self.hours.removeKey((t,))
-        for t, c in kept.items():
-            self.hours.updateValue((t,), (c,))
-        self.total.update((total, last))
-        yield pd.DataFrame(out, columns=["entity", "hour", "n", "prior_total", "prior_24h", "prior_7d", "prior_30d", "hours_since_prev"])
+            made = self._append(hour, n) if self.last is None or hour > self.last else self._insert(hour, n)
+            if made is not None:
+                out.append((key[0], hour, n, *made))
+        until = (self.last + self.spans[-1] + 1) * HOUR * 1000
+        if until != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            self.handle.registerTimer(until)
+            self.timer = until
+        self._save()
+        yield pd.DataFrame(out, columns=["entity", "hour", "n", "prior_total", *self.windows, "hours_since_prev"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        self.hours.clear()
+        self.sums, self.firsts, self.gone, self.timer = [0] * len(self.spans), [None] * len(self.spans), self.last, None
+        self._save()
+        yield pd.DataFrame(columns=["entity", "hour", "n", "prior_total", *self.windows, "hours_since_prev"])
 
     def close(self) -> None:
         pass
 
 
-COUNTERS = "entity long, hour long, n long, prior_total long, prior_24h long, prior_7d long, prior_30d long, hours_since_prev double"
+COUNTER_WINDOWS = {"prior_24h": 24, "prior_7d": 168, "prior_30d": 720}
+
 
+def prior_counters(hourly: DataFrame, windows: dict[str, int] | None = None, late_hours: int = 24) -> DataFrame:
+    """The stateful twin of the batch counters over a stream of (entity, hour, n), hours being counted from 1970.
 
-def prior_counters(hourly: DataFrame) -> DataFrame:
-    """The stateful twin of the batch counters over a stream of (entity long, hour long, n long)."""
-    return hourly.groupBy("entity").transformWithStateInPandas(PriorCounters(), COUNTERS, "append", "None")
+    Rows more than `late_hours` behind the latest hour of all entities are dropped; see `PriorCounters` for late ones.
+    """
+    windows = COUNTER_WINDOWS if windows is None else windows
+    out = f"entity {hourly.schema['entity'].dataType.simpleString()}, hour long, n long, prior_total long, {', '.join(f'{w} long' for w in windows)}, hours_since_prev double"
+    timed = hourly.select("entity", F.col("hour").cast("long").alias("hour"), F.col("n").cast("long").alias("n"), F.timestamp_seconds(F.col("hour") * HOUR).alias("at"))
+    return timed.withWatermark("at", f"{late_hours} hours").groupBy("entity").transformWithStateInPandas(PriorCounters(windows, late_hours), out, "append", "EventTime")
 
 
 def freshness(stream: DataFrame, provider: str, ts: str, ttl_seconds: int, clock: str = "current_timestamp()") -> DataFrame:
@@ -131,10 +225,14 @@ def freshness_watch(stream: DataFrame, provider: str, ts: str, ttl_seconds: int)
     return rows.groupBy("provider").applyInPandasWithState(watch, WATCHED, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def append_chunks(stream: DataFrame, path: str, by: str, checkpoint: str) -> StreamingQuery:
-    """Scored chunks as partitions; the checkpoint and dynamic overwrite make a repeated batch harmless."""
+def append_chunks(stream: DataFrame, path: str, by: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Scored chunks, committed by micro-batch: all batches keep their rows, and one that is run again adds none.
+
+    Streams that write to one path need names of their own; the checkpoint's path is the default.
+    """
+    known = name or checkpoint
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        write_batch_chunks(batch, path, by, f"{known}:{number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
