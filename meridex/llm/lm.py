@@ -13,9 +13,10 @@ context: entries of equal upper bits are found by the bits' counts, the lower bi
 Documents lie in blocks by hash. A block asks each shard once for its distinct words and word
 pairs, sorted, and gets the counts and codes in the same order. So what is shuffled grows with the distinct pairs of
 blocks, and a very common word or pair is one entry for each block. Contexts in buckets that hold more than a small
-part of all words are spread over all shards by their successors; the 2**16 bucket counts are a fixed size. Blocks and
-shards grow with the square root of the input up to `BLOCK_MOST` bytes and `SHARD_MOST` words, so the rows that pass
-between them grow with the input up to there; beyond, rows get shorter, down to one pair each.
+part of all words are spread by their successors over as many shards as they hold such parts, and a block asks all of
+these for the number of successors, so scores don't depend on how documents are dealt; the 2**16 bucket counts are a
+fixed size. Blocks and shards grow with the square root of the input up to `BLOCK_MOST` bytes and `SHARD_MOST` words, so
+the rows that pass between them grow with the input up to there; beyond, rows get shorter, down to one pair each.
 
 A shard's file lies in the task's own temporary folder and ends with the task; it is built again if the task is lost.
 
@@ -105,34 +106,52 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 class Request:
     """What a block asks: its distinct words, and its distinct pairs by shard, in a fixed order."""
 
-    def __init__(self, tokens: np.ndarray, starts: np.ndarray, train: np.ndarray, shards: int, hot: np.ndarray, word_bits: int, next_bits: int):
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, train: np.ndarray, shards: int, spread: np.ndarray, word_bits: int, next_bits: int):
+        """`spread`: over how many shards the contexts of each bucket lie, and the beginning of texts after the last."""
         shift = np.uint64(64 - word_bits)
         weight = np.repeat(train, np.diff(starts)).astype(np.int64)
         self.word, self.which = np.unique(tokens >> shift, return_inverse=True)
         self.count = np.bincount(self.which, weight, len(self.word)).astype(np.uint64)
-        begin = _BEGIN >> shift
-        distinct = np.append(self.word, begin)
+        self.hash = np.append(self.word, _BEGIN >> shift)
         place = np.concatenate([[0], self.which[:-1]]) if len(tokens) else self.which
         place[starts[:-1]] = len(self.word)
         # a pair is named by its context's place and its successor's hash
         successor = mix(tokens) >> np.uint64(64 - next_bits)
         key = (place.astype(np.uint64) << np.uint64(next_bits)) | successor
-        pair, first, self.pair_of = np.unique(key, return_index=True, return_inverse=True)
+        pair, self.pair_of = np.unique(key, return_inverse=True)
         self.pair_count = np.bincount(self.pair_of, weight, len(pair)).astype(np.uint64)
-        self.context = (pair >> np.uint64(next_bits)).astype(np.int64)  # a place in `distinct`
+        self.context = (pair >> np.uint64(next_bits)).astype(np.int64)  # a place in `hash`
         self.successor = pair & ((np.uint64(1) << np.uint64(next_bits)) - np.uint64(1))
-        self.hash = distinct
-        self.word_shard = (mix(self.word) >> np.uint64(33)).astype(np.int64) % shards
-        spread = np.append(hot[(mix(self.word) & np.uint64(BUCKETS - 1)).astype(np.int64)], True)[self.context]
-        own = (mix(distinct) >> np.uint64(33)).astype(np.int64)[self.context]
-        self.pair_shard = np.where(spread, (mix(distinct[self.context] ^ self.successor) >> np.uint64(33)).astype(np.int64), own) % shards
-
-    def parts(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, its words, its pairs), as positions."""
-        w, p = np.argsort(self.word_shard, kind="stable"), np.argsort(self.pair_shard, kind="stable")
-        we, pe = (np.searchsorted(x, np.arange(shards + 1)) for x in (self.word_shard[w], self.pair_shard[p]))
-        for s in np.flatnonzero((np.diff(we) > 0) | (np.diff(pe) > 0)).tolist():
-            yield s, w[we[s] : we[s + 1]], p[pe[s] : pe[s + 1]]
+        own = (mix(self.hash) >> np.uint64(33)).astype(np.int64)
+        self.word_shard = own[:-1] % shards
+        over = np.append(spread[(mix(self.word) & np.uint64(BUCKETS - 1)).astype(np.int64)], spread[-1])
+        piece = (mix(self.hash[self.context] ^ self.successor) >> np.uint64(33)).astype(np.int64) % over[self.context]
+        self.pair_shard = (own[self.context] + piece) % shards
+        # spread contexts, once for each of their shards
+        wide = np.flatnonzero(over > 1)
+        self.wide = np.repeat(wide, over[wide])
+        step = np.arange(len(self.wide)) - np.repeat(np.cumsum(over[wide]) - over[wide], over[wide])
+        self.wide_shard = (own[self.wide] + step) % shards
+
+    def parts(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shard, its words, contexts, how many of them are the shard's words, pairs of each, pairs), as positions.
+
+        Contexts that the shard owns come first, then spread ones by hash; those without a pair are asked for all the same.
+        """
+        orders = [np.argsort(x, kind="stable") for x in (self.word_shard, self.pair_shard, self.wide_shard)]
+        edges = [np.searchsorted(x[o], np.arange(shards + 1)) for x, o in zip((self.word_shard, self.pair_shard, self.wide_shard), orders, strict=True)]
+        for s in range(shards):
+            w, p, x = (o[e[s] : e[s + 1]] for o, e in zip(orders, edges, strict=True))
+            if not len(w) + len(p) + len(x):
+                continue
+            heads = np.union1d(self.context[p], self.wide[x])
+            owned = np.isin(heads, w)
+            far = heads[~owned]
+            heads = np.concatenate([heads[owned], far[np.argsort(self.hash[far], kind="stable")]])
+            first = np.searchsorted(self.context[p], heads)
+            size = np.searchsorted(self.context[p], heads, "right") - first
+            entry = p[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(p))]
+            yield s, w, heads, int(owned.sum()), size, entry
 
 
 def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discount: float = DISCOUNT) -> DataFrame:
@@ -179,8 +198,10 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discoun
     surveyed = found.agg(F.sum("number").alias("v"), F.max("packed").alias("packed")).first()  # one row of a fixed size
     sums = unpack_values(surveyed.packed or b"").astype(np.int64) if surveyed.packed else np.zeros(BUCKETS + 1, np.int64)
     vocabulary, number = surveyed.v or 0, int(sums[-1])
-    hot = spark.sparkContext.broadcast(sums[:-1] * 8 * shards > max(int(sums[:-1].sum()), 1) if surveyed.packed else np.zeros(BUCKETS, bool))
-    n_train = docs.where("train").count()
+    counted = docs.agg(F.count("*").alias("n"), F.count_if("train").alias("train")).first()
+    n_train = counted.train
+    held = np.append(sums[:-1], counted.n)  # begins of texts are a context too
+    spread = spark.sparkContext.broadcast(np.clip(-(-held * 8 * shards // max(int(sums[:-1].sum()), 1)), 1, shards))
     floor = float(number + vocabulary + 1)
     wide = -(-next_bits // 8)
 
@@ -189,24 +210,16 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discoun
         table = table.take(order)
         tokens, starts = tokens_of(*text_buffers(table.column("text")))
         flags = table.column("train").to_numpy().astype(bool)
-        return table, Request(tokens, starts, flags, shards, hot.value, word_bits, next_bits), starts
+        return table, Request(tokens, starts, flags, shards, spread.value, word_bits, next_bits), starts
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         _, r, _ = block_request(table)
         rows = []
-        for s, w, p in r.parts(shards):
-            head, first = np.unique(r.context[p], return_index=True)
-            owned = np.isin(head, w)
-            near = np.searchsorted(w, head[owned])
-            far = r.hash[head[~owned]]
-            order = np.argsort(far, kind="stable")
-            # contexts that the shard owns come first, then the spread ones by hash
-            seq = np.concatenate([np.flatnonzero(owned), np.flatnonzero(~owned)[order]])
-            size = np.diff(np.append(first, len(p)))[seq]
-            entry = p[np.repeat(first[seq] - (np.cumsum(size) - size), size) + np.arange(len(p))]
-            raw = r.successor[entry].view(np.uint8).reshape(-1, 8)[:, :wide] if len(p) else np.zeros((0, wide), np.uint8)
-            rows.append((s, block, pack_sorted(r.word[w]), pack_values(r.count[w]), pack_sorted(near.astype(np.uint64)), pack_sorted(far[order]), pack_values(size.astype(np.uint64)), raw.tobytes(), pack_values(r.pair_count[entry])))
+        for s, w, heads, near, size, entry in r.parts(shards):
+            raw = r.successor[entry].view(np.uint8).reshape(-1, 8)[:, :wide] if len(entry) else np.zeros((0, wide), np.uint8)
+            places = np.searchsorted(w, heads[:near]).astype(np.uint64)
+            rows.append((s, block, pack_sorted(r.word[w]), pack_values(r.count[w]), pack_sorted(places), pack_sorted(r.hash[heads[near:]]), pack_values(size.astype(np.uint64)), raw.tobytes(), pack_values(r.pair_count[entry])))
         columns = zip(*rows, strict=True)
         return pa.table({f.name: pa.array(c, f.type) for f, c in zip(asked, columns, strict=True)})
 
@@ -261,17 +274,10 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discoun
         got = {row["shard"]: row for row in right.to_pylist()}
         known, kinds, seen = np.zeros(len(r.word) + 1, np.int64), np.zeros(len(r.word) + 1, np.int64), np.zeros(len(r.context))
         known[-1] = n_train
-        for s, w, p in r.parts(shards):
-            if s not in got:
-                continue
+        for s, w, heads, _, size, entry in r.parts(shards):
             known[w] = unpack_values(got[s]["counts"]).astype(np.int64)
-            head, first = np.unique(r.context[p], return_index=True)
-            owned = np.isin(head, w)
-            seq = np.concatenate([np.flatnonzero(owned), np.flatnonzero(~owned)[np.argsort(r.hash[head[~owned]], kind="stable")]])
-            size = np.diff(np.append(first, len(p)))[seq]
-            entry = p[np.repeat(first[seq] - (np.cumsum(size) - size), size) + np.arange(len(p))]
             part, code = unpack_values(got[s]["parts"]), np.frombuffer(got[s]["codes"], np.uint8)
-            kinds[head[seq]] += unpack_values(got[s]["kinds"]).astype(np.int64)
+            kinds[heads] += unpack_values(got[s]["kinds"]).astype(np.int64)
             seen[entry] = np.where(code == _ABSENT, 0, np.repeat(part, size) * 10.0 ** -((code / _STEP) ** 2))
         lower = (known[r.which] + 1) / floor
         above = known[r.context[r.pair_of]]
