@@ -1,7 +1,7 @@
 """Strict-prior counters and forward labels on entities x hours.
 
 Features look at [t - w, t) and never at hour t itself; labels look at (t, t + h]. Events are counted per entity and
-hour first, so a window's partition is bounded by the hours of one entity, not by its events.
+hour first, and an entity with more hours than a task should hold is dealt in ranges of time (`segments`).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hours import hour_index
+from .segments import Frame, with_frames
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -31,6 +32,17 @@ def _with_events(obs: DataFrame, counts: DataFrame, keys: list[str]) -> DataFram
     )
 
 
+def _prior(windows: dict[str, int | None], last: Column) -> dict[str, Frame]:
+    return {**{name: Frame("sum", F.col("n"), None if w is None else -w, -1) for name, w in windows.items()}, "_last": Frame("max", last, None, -1)}
+
+
+def _counted(df: DataFrame, windows: dict[str, int | None]) -> DataFrame:
+    made = {name: F.coalesce(name, F.lit(0)) for name in windows}
+    made["hours_since_prev"] = F.coalesce((F.col("hour") - F.col("_last")).cast("double"), F.lit(-1.0))
+    made["has_history"] = F.col("_last").isNotNull()
+    return df.withColumns(made).drop("_last")
+
+
 def prior_counts(obs: DataFrame, counts: DataFrame, windows: dict[str, int | None], keys: list[str] | None = None) -> DataFrame:
     """Adds to each observation the events strictly before it: in the last w hours, or all for None.
 
@@ -38,22 +50,21 @@ def prior_counts(obs: DataFrame, counts: DataFrame, windows: dict[str, int | Non
     """
     keys = ["entity"] if keys is None else keys
     both = _with_events(obs, counts, keys)
-    by = Window.partitionBy(*keys).orderBy("hour")
-    made = {name: F.coalesce(F.sum("n").over(by.rangeBetween(UNBOUNDED if w is None else -w, -1)), F.lit(0)) for name, w in windows.items()}
-    last = F.max(F.when(F.col("n") > 0, F.col("hour"))).over(by.rangeBetween(UNBOUNDED, -1))
-    made["hours_since_prev"] = F.coalesce((F.col("hour") - last).cast("double"), F.lit(-1.0))
-    made["has_history"] = last.isNotNull()
-    return both.withColumns(made).where("is_obs").select(*obs.columns, *made)
+    got = _counted(with_frames(both, "hour", (keys, _prior(windows, F.when(F.col("n") > 0, F.col("hour"))))), windows)
+    return got.where("is_obs").select(*obs.columns, *windows, "hours_since_prev", "has_history")
 
 
 def own_prior_counts(counts: DataFrame, windows: dict[str, int | None], keys: list[str] | None = None) -> DataFrame:
-    """As `prior_counts` where the observations are the hours with events: one window, no union."""
-    by = Window.partitionBy(*(["entity"] if keys is None else keys)).orderBy("hour")
-    made = {name: F.coalesce(F.sum("n").over(by.rangeBetween(UNBOUNDED if w is None else -w, -1)), F.lit(0)) for name, w in windows.items()}
-    last = F.max("hour").over(by.rangeBetween(UNBOUNDED, -1))
-    made["hours_since_prev"] = F.coalesce((F.col("hour") - last).cast("double"), F.lit(-1.0))
-    made["has_history"] = last.isNotNull()
-    return counts.withColumns(made)
+    """As `prior_counts` where the observations are the hours with events: no union."""
+    return _counted(with_frames(counts, "hour", (["entity"] if keys is None else keys, _prior(windows, F.col("hour")))), windows)
+
+
+def seasonal_prior(counts: DataFrame, kinds: dict[str, list[str]], where: dict[str, Column] | None = None) -> DataFrame:
+    """Adds for each kind the events strictly before in hours that agree in its columns, or of its condition in `where`."""
+    sets = [(["entity", *columns], {name: Frame("sum", F.col("n"), None, -1)}) for name, columns in kinds.items()]
+    sets += [(["entity"], {name: Frame("sum", F.when(c, F.col("n")), None, -1)}) for name, c in (where or {}).items()]
+    names = [*kinds, *(where or {})]
+    return with_frames(counts, "hour", *sets).withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
 
 
 def city_prior(hours: DataFrame, windows: dict[str, int | None]) -> DataFrame:
@@ -63,24 +74,23 @@ def city_prior(hours: DataFrame, windows: dict[str, int | None]) -> DataFrame:
 
 def forward_label(obs: DataFrame, counts: DataFrame, horizon: int) -> DataFrame:
     """Events in (t, t + horizon]: count, first and last hour, and the target 0/1."""
-    both = _with_events(obs, counts, ["entity"])
-    by = Window.partitionBy("entity").orderBy("hour").rangeBetween(1, horizon)
     when = F.when(F.col("n") > 0, F.col("hour"))
-    made = {"future_count": F.coalesce(F.sum("n").over(by), F.lit(0)), "first_hour": F.min(when).over(by), "last_hour": F.max(when).over(by)}
-    out = both.withColumns(made).where("is_obs")
-    return out.select(*obs.columns, *made, (F.col("future_count") > 0).cast("int").alias("target"))
+    frames = {name: Frame(kind, value, 1, horizon) for name, kind, value in (("future_count", "sum", F.col("n")), ("first_hour", "min", when), ("last_hour", "max", when))}
+    out = with_frames(_with_events(obs, counts, ["entity"]), "hour", (["entity"], frames)).where("is_obs")
+    out = out.withColumn("future_count", F.coalesce("future_count", F.lit(0)))
+    return out.select(*obs.columns, *frames, (F.col("future_count") > 0).cast("int").alias("target"))
 
 
 def asof_strict(left: DataFrame, right: DataFrame, on: str, value: str, order: str) -> DataFrame:
     """Adds the right side's last `value` strictly before each left row; null where there is none.
 
-    One union and one window on the key; ties of right rows at one time take the greatest value.
+    One union and one pass by key and time; ties of right rows at one time take the greatest value.
     """
     r = right.groupBy(on, order).agg(F.max(value).alias("_v")).withColumn("_left", F.lit(False))
     l = left.withColumn("_left", F.lit(True))
-    by = Window.partitionBy(on).orderBy(order).rangeBetween(UNBOUNDED, -1)
     both = l.unionByName(r, allowMissingColumns=True)
-    return both.withColumn(value + "_asof", F.last("_v", ignorenulls=True).over(by)).where("_left").drop("_left", "_v")
+    got = with_frames(both, order, ([on], {value + "_asof": Frame("last", F.col("_v"), None, -1)}))
+    return got.where("_left").drop("_left", "_v")
 
 
 def asof_bracket(points: DataFrame, wanted: DataFrame, on: list[str], order: str, value: str, category: str, max_gap: int) -> DataFrame:
@@ -90,11 +100,8 @@ def asof_bracket(points: DataFrame, wanted: DataFrame, on: list[str], order: str
     """
     p = points.groupBy(*on, order).agg(F.max(value).alias("_v"), F.max(category).alias("_c")).withColumn("_t", F.col(order)).withColumn("_w", F.lit(False))
     both = wanted.withColumn("_w", F.lit(True)).unionByName(p, allowMissingColumns=True)
-    back = Window.partitionBy(*on).orderBy(order).rangeBetween(UNBOUNDED, 0)
-    ahead = Window.partitionBy(*on).orderBy(order).rangeBetween(0, Window.unboundedFollowing)
-    got = both
-    for name, frame, pick in (("b", back, F.last), ("a", ahead, F.first)):
-        got = got.withColumn(name, pick(F.when(F.col("_t").isNotNull(), F.struct("_t", "_v", "_c")), ignorenulls=True).over(frame))
+    point = F.when(F.col("_t").isNotNull(), F.struct("_t", "_v", "_c"))
+    got = with_frames(both, order, (on, {"b": Frame("last", point, None, 0), "a": Frame("first", point, 0, None)}))
     gap = F.col("a._t") - F.col("b._t")
     share = F.when(gap > 0, (F.col(order) - F.col("b._t")) / gap).otherwise(F.lit(0.0))
     fine = F.col("a").isNotNull() & F.col("b").isNotNull() & (gap <= max_gap)

@@ -72,9 +72,8 @@ def city_prior(spark, sf):
  FROM k a LEFT JOIN k b ON a.entity = b.entity AND b.hour < a.hour GROUP BY 1, 2""")
 def seasonal_prior(spark, sf):
     k = counts(spark, sf).withColumn("hod", F.col("hour") % 24).withColumn("wd", (F.floor(F.col("hour") / 24) + 3) % 7)
-    strict = lambda *keys: Window.partitionBy("entity", *keys).orderBy("hour").rangeBetween(H.UNBOUNDED, -1)
-    got = {"same_hour": F.sum("n").over(strict("hod")), "same_weekday": F.sum("n").over(strict("wd")), "same_both": F.sum("n").over(strict("hod", "wd")), "on_weekends": F.sum(F.when(F.col("wd") >= 5, F.col("n"))).over(strict())}
-    return k.select("entity", "hour", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in got.items()])
+    got = H.seasonal_prior(k, {"same_hour": ["hod"], "same_weekday": ["wd"], "same_both": ["hod", "wd"]}, {"on_weekends": F.col("wd") >= 5})
+    return got.select("entity", "hour", "same_hour", "same_weekday", "same_both", "on_weekends")
 
 
 @query(f"""WITH {C}, {OBS} SELECT a.entity, a.hour, coalesce(sum(b.n), 0)::BIGINT AS future_count, min(b.hour) AS first_hour, max(b.hour) AS last_hour, (count(b.n) > 0)::INT AS target

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import audit as A
 from ..operators import models as MO
 from ..operators import records as R
+from ..operators.segments import quantiles
 from ..operators.tables import folder
 from ..sources import commits as CM
 from ..sources import sinks as SK
@@ -111,10 +112,10 @@ def numeric_sanity(spark, sf):
 @query("SELECT round(min(v), 6) AS lo, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS hi, count(*) FILTER (v > 100000) AS over_100k, count(*) FILTER (v > 300000) AS over_300k FROM (SELECT o_totalprice AS v FROM orders)")
 def distance_quantiles(spark, sf):
     o = table(spark, sf, "orders").withColumn("v", F.col("o_totalprice"))
-    q = F.expr("percentile(v, array(0.5, 0.9, 0.95))")
     n = lambda x: F.sum((F.col("v") > x).cast("long"))
-    got = o.agg(F.min("v").alias("lo"), q.alias("q"), F.max("v").alias("hi"), n(100000).alias("over_100k"), n(300000).alias("over_300k"))
-    return got.select(F.round("lo", 6).alias("lo"), *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p50", "p90", "p95"))], F.round("hi", 6).alias("hi"), "over_100k", "over_300k")
+    got = o.agg(n(100000).alias("over_100k"), n(300000).alias("over_300k"))
+    named = [F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate(("lo", "p50", "p90", "p95", "hi"))]
+    return quantiles(o, ["v"], [0.0, 0.5, 0.9, 0.95, 1.0]).select(*named).join(F.broadcast(got))  # one row each
 
 
 @query(f"WITH {NULLED} SELECT p_type, round(median(p_size), 6) AS p_size_median, round(median(p_retailprice), 6) AS p_retailprice_median FROM p GROUP BY 1")
