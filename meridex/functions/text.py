@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
+from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..operators.tables import cut
+
+# Texts that tell a page which is filled in by scripts.
+SHELL_MARKERS = ('<div id="root"', "You need to enable JavaScript", "/static/js/main")
+_BLANKS = "(?U)[\\s\\x1c-\\x1f]+"
 
 def squeeze(c: Column) -> Column:
     """Runs of blanks become one, ends are trimmed."""
@@ -14,7 +24,32 @@ def squeeze(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    """Without blanks at its ends; null if nothing is left."""
+    return F.nullif(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
+
+
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(str.casefold, na_action="ignore")
+
+
+def _beyond_ascii(c: Column, change) -> Column:
+    return F.when(c.rlike("[^\\x00-\\x7f]"), change(c)).otherwise(c)
+
+
+def normalised(c: Column) -> Column:
+    """Compatible forms of characters (NFKC), runs of blanks as one, no blanks at the ends, lower case; null is empty."""
+    return F.lower(F.trim(F.regexp_replace(_beyond_ascii(F.coalesce(c, F.lit("")), _compatible), _BLANKS, " ")))
+
+
+def casefolded(c: Column) -> Column:
+    """Case folded, as for comparison: ß as ss, final sigma as sigma."""
+    return F.when(c.rlike("[^\\x00-\\x7f]"), _folded(c)).otherwise(F.lower(c))
 
 
 def list_items(c: Column) -> Column:
@@ -39,24 +74,60 @@ def date_and_clock(epoch_ms: Column, clock: Column, zone: str) -> Column:
     return F.try_to_timestamp(F.when(is_clock_time(clock), F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd"), clock)), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
 
 
+_PIECES = r"(?s)(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&)"
+#: Names of entities that are read without a semicolon too, longest first.
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_APART = "\ue000"  # a private character between names, and between what they stand for
+
+
+def _book(pairs: dict[str, str]) -> Column:
+    names, values = (F.lit(_APART.join(x)) for x in (pairs.keys(), pairs.values()))
+    return F.map_from_arrays(F.split(names, _APART), F.split(values, _APART))
+
+
+def _character(code: Column) -> Column:
+    """The character of a number, as browsers read it: Windows' for 128 to 159, U+FFFD for what is none."""
+    western = {str(n): bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(128, 160)}
+    control = (code < 9) | (code == 11) | ((code > 13) & (code < 32)) | (code == 127) | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) > 0xFFFD)
+    none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(none | code.isNull(), "\ufffd").when(code.between(128, 159), F.try_element_at(_book(western), code.cast("string"))).when(code == 13, "\r").when(control, "").otherwise(text)
+
+
+def unescape(c: Column) -> Column:
+    """Reads all entities: by name (the longest known one), by number and by hexadecimal number, with or without semicolon."""
+    names = _book({k: v for k, v in html5.items()})
+
+    def piece(p: Column) -> Column:
+        number = F.regexp_extract(p, "^&#0*([0-9]+)", 1)
+        hexed = F.regexp_extract(p, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+        code = F.when(F.length(number) > 7, F.lit(0x110000)).otherwise(number.try_cast("long"))
+        from_hex = F.when(F.length(hexed) > 6, F.lit(0x110000)).otherwise(F.conv(hexed, 16, 10).cast("long"))
+        known = F.try_element_at(names, F.substr(p, F.lit(2)))
+        bare = F.regexp_extract(p, f"^&({_BARE})", 1)
+        named = F.coalesce(known, F.when(bare != "", F.concat(F.try_element_at(names, bare), F.substr(p, F.length(bare) + 2))), p)
+        return F.when(~p.startswith("&") | (p == "&"), p).when(number != "", _character(code)).when(hexed != "", _character(from_hex)).otherwise(named)
+
+    read = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECES), 1), piece), "")
+    return F.when(F.contains(c, F.lit("&")), read).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
-    """Without scripts, styles, comments and tags; the common entities read, blanks squeezed."""
-    c = F.regexp_replace(c, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    c = F.regexp_replace(F.regexp_replace(c, "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(c, "[ \t\n\r]+", " "))
+    """Without scripts, styles and tags; entities read, blanks squeezed."""
+    c = F.regexp_replace(c, r"(?i)<script[\s\S]*?</script>|<style[\s\S]*?</style>", " ")
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", " ")), _BLANKS, " "))
 
 
 def tag_text(c: Column, tag: str) -> Column:
-    """The text of the first element of a tag; empty if there is none."""
-    return F.trim(F.regexp_replace(F.regexp_extract(c, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", " "))
+    """The text of the first element of a tag, as `html_to_text` reads it; null if there is none."""
+    pattern = rf"(?i)<{re.escape(tag)}[^>]*>([\s\S]*?)</{re.escape(tag)}>"
+    return F.when(c.rlike(pattern), html_to_text(F.regexp_extract(c, pattern, 1)))
 
 
-def is_shell(c: Column, least: int = 400, marker: str | None = None) -> Column:
-    """A page without a heading, with little text, or with a marker of a script-only page."""
-    bad = ~c.rlike("(?i)<h1") | (F.length(html_to_text(c)) < least)
-    return bad | F.contains(c, F.lit(marker)) if marker else bad
+def is_shell(c: Column, least: int = 400, markers: tuple[str, ...] = SHELL_MARKERS) -> Column:
+    """A page without text in its first heading, with little text, or with a marker of a page that scripts fill in."""
+    bad = (F.coalesce(tag_text(c, "h1"), F.lit("")) == "") | (F.length(html_to_text(c)) < least)
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(m.lower())) for m in markers], bad)
 
 
 def links(df: DataFrame, key: str, html: str, pattern: str, base: str) -> DataFrame:
@@ -79,51 +150,62 @@ def group_score(c: Column, groups: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [c.rlike(g).cast("int") for g in groups])
 
 
-def prefilter(c: Column, strong: list[str], weak: list[str], context: list[str], whole_words: bool = False) -> Column:
-    """A strong word, or a weak one with one of context; substrings unless `whole_words`."""
-    has = lambda words: reduce(lambda a, b: a | b, [c.rlike(rf"\b{w}\b") if whole_words else F.contains(c, F.lit(w)) for w in words], F.lit(False))
-    return has(strong) | (has(weak) & has(context))
+def matched(c: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """Those of the words that the text contains, in their order."""
+    return F.array_compact(F.array(*[F.when(F.contains(c, F.lit(w)), w) for w in words]).cast("array<string>"))
+
+
+def prefilter_card(title: Column, snippet: Column, strong: tuple[str, ...], weak: tuple[str, ...], context: tuple[str, ...]) -> Column:
+    """A struct: matched words of each kind, score, selected, and why not.
+
+    A card is selected for a strong word, or for a weak one with one of context. Strong words count twice.
+    """
+    text = normalised(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))))
+    found = {k: matched(text, w) for k, w in (("strong", strong), ("weak", weak), ("context", context))}
+    n = {k: F.size(v) for k, v in found.items()}
+    selected = (n["strong"] > 0) | ((n["weak"] > 0) & (n["context"] > 0))
+    reason = F.when(~selected, "no_strong_road_event_term_or_weak_term_with_road_context")
+    return F.struct(*[v.alias(k) for k, v in found.items()], (2 * n["strong"] + n["weak"] + n["context"]).alias("score"), selected.alias("selected"), reason.alias("rejection_reason"))
+
+
+#: Members of a JSON-LD node that hold more nodes, in the order in which these count.
+_INNER = ("@graph", "itemListElement", "item", "subEvent")
+_LAST = 1 << 30
 
 
 def jsonld_events(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, name, venue, start): Event nodes of JSON-LD blocks, repeats once.
+    """(key, name, venue, start, end, category, address, city, url): events of JSON-LD blocks at any depth.
 
-    Nodes at the top, in a list, in @graph and in itemListElement count, each with its sub-events of one level; a node of
-    several types is an event if one of them is. Entities for quotes and ampersands and raw line ends are read.
+    Nodes are taken from lists, @graph, itemListElement, item and subEvent, level by level until none is left (a job for
+    each level of the data). A node is an event if one of its types ends with "event" in any case; events without a name
+    or start are dropped. Of events with one name, venue and start the first counts, inner ones before the one around
+    them. Blocks that aren't JSON give nothing; entities are read before JSON is.
     """
-    plain = "`@type`:string,name:string,startDate:string,location:struct<name:string>"
-    node = f"struct<{plain},subEvent:array<struct<{plain}>>>"
-    top = f"array<struct<{plain},subEvent:array<struct<{plain}>>,`@graph`:array<{node}>,itemListElement:array<struct<{plain},item:{node}>>>>"
-    raw = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("j"), "&quot;|&#34;", '"'), "&amp;", "&"), "[\n\r\t]+", " ")
-    one = df.select(key, F.explode(raw).alias("j")).select(key, F.trim(text).alias("j"))
-    one = one.select(key, F.explode(F.from_json(F.when(F.col("j").startswith("["), F.col("j")).otherwise(F.concat(F.lit("["), "j", F.lit("]"))), top)).alias("n"))
-    pick = lambda x: F.struct(x["@type"].alias("type"), x["name"].alias("name"), x["location"]["name"].alias("venue"), x["startDate"].alias("start"))
-    none = F.array().cast("array<struct<type:string,name:string,venue:string,start:string>>")
-    some = lambda xs: F.coalesce(F.transform(xs, pick), none)
-    with_sub = lambda xs: F.concat(some(xs), F.coalesce(F.flatten(F.transform(xs, lambda x: some(x["subEvent"]))), none))
-    n = F.col("n")
-    nodes = F.concat(F.array(pick(n)), some(n["subEvent"]), with_sub(n["@graph"]), some(n["itemListElement"]), with_sub(F.transform(n["itemListElement"], lambda x: x["item"])))
-    return one.select(key, F.inline(nodes)).where(F.lower("type").rlike(r'event"?\s*(,|\]|$)')).select(key, "name", "venue", "start").dropDuplicates([key, "name", "venue", "start"])
-
-
-# Month names of two languages in the form used after a day.
-MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
-
-
-def period(c: Column, year: Column) -> dict[str, Column]:
-    """start, end and open_end of "с 4 июля [до 20:00] по 6 июля"-like texts in the given year."""
-    month = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
-    names = "|".join(MONTHS)
-
-    def day(pattern: str) -> Column:
-        d, m = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
-        return F.when(d != "", F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(F.try_element_at(month, m).cast("string"), 2, "0"), F.lpad(d, 2, "0"))))
-
-    both = F.regexp_extract(c, rf"(?i)\bс ([0-9]{{1,2}}) (?:по|до) [0-9]{{1,2}} ({names})", 1)
-    first = F.coalesce(F.when(both != "", day(rf"(?i)\bс ([0-9]{{1,2}}) (?:по|до) [0-9]{{1,2}} ({names})")), day(rf"(?i)\bс ([0-9]{{1,2}}) ({names})"))
-    last = day(rf"(?i)\b(?:по|до) ([0-9]{{1,2}}) ({names})")
-    return {"start": first, "end": last, "open_end": first.isNotNull() & last.isNull()}
+    raw = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<script[^>]*application/ld\+json[^>]*>([\s\S]*?)</script>"), 1)
+    blocks = df.select(F.col(key).alias("_key"), F.posexplode(raw).alias("_b", "j"))
+    level = cut(blocks.select("_key", F.array("_b").alias("_at"), F.try_parse_json(F.trim(F.regexp_replace(unescape(F.col("j")), "[\n\r\t]+", " "))).alias("v")).where("v is not null"))
+    of = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    text = lambda v, *path: F.nullif(F.trim(F.regexp_replace(unescape(of(v, "$" + "".join(f'["{p}"]' for p in path), "string")), _BLANKS, " ")), F.lit(""))
+    found = None
+    while not level.isEmpty():
+        v, at = F.col("v"), F.col("_at")
+        items = of(v, "$", "array<variant>")
+        types = F.coalesce(of(v, '$["@type"]', "array<string>"), F.array(of(v, '$["@type"]', "string")))
+        event = F.exists(types, lambda t: F.coalesce(F.lower(t).endswith("event"), F.lit(False)))
+        place = F.coalesce(of(v, '$["location"][0]', "variant"), of(v, '$["location"]', "variant"))
+        address = of(place, '$["address"]', "variant")
+        nodes = level.where(items.isNull() & event).select(
+            "_key", F.concat("_at", F.array(F.lit(_LAST))).alias("_at"), text(v, "name").alias("name"), text(place, "name").alias("venue"), text(v, "startDate").alias("start"), text(v, "endDate").alias("end"),
+            F.coalesce(text(v, "category"), F.array_join(types, ", ")).alias("category"), F.coalesce(text(address, "streetAddress"), F.when(F.schema_of_variant(address) == "STRING", text(address))).alias("address"), text(address, "addressLocality").alias("city"), text(v, "url").alias("url"),
+        )
+        found = nodes if found is None else found.unionByName(nodes)
+        inner = F.filter(F.array(*[of(v, f'$["{k}"]', "variant") for k in _INNER]), lambda x: x.isNotNull())
+        level = cut(level.select("_key", "_at", F.posexplode(F.coalesce(items, inner)).alias("i", "v")).where("v is not null").select("_key", F.concat("_at", F.array("i")).alias("_at"), "v"))
+    names = ["name", "venue", "start", "end", "category", "address", "city", "url"]
+    if found is None:
+        return df.sparkSession.createDataFrame([], f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"`{n}` string" for n in names))
+    one = found.where("name is not null and start is not null").groupBy("_key", "name", "venue", "start").agg(F.min_by(F.struct(*names), "_at").alias("e"))
+    return one.select(F.col("_key").alias(key), "e.*")
 
 
 def json_list(c: Column) -> Column:

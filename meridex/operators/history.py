@@ -25,7 +25,7 @@ def city_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("hour").agg(F.sum("n").alias("n"))
 
 
-def _with_events(obs: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+def with_events(obs: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """Observations (n null) and events in one frame, for range windows over both."""
     return obs.withColumn("n", F.lit(None).cast("long")).withColumn("is_obs", F.lit(True)).unionByName(
         counts.select(*keys, "hour", "n").withColumn("is_obs", F.lit(False)), allowMissingColumns=True
@@ -49,7 +49,7 @@ def prior_counts(obs: DataFrame, counts: DataFrame, windows: dict[str, int | Non
     Also `hours_since_prev` (-1.0 without a prior event) and `has_history`.
     """
     keys = ["entity"] if keys is None else keys
-    both = _with_events(obs, counts, keys)
+    both = with_events(obs, counts, keys)
     got = _counted(with_frames(both, "hour", (keys, _prior(windows, F.when(F.col("n") > 0, F.col("hour"))))), windows)
     return got.where("is_obs").select(*obs.columns, *windows, "hours_since_prev", "has_history")
 
@@ -76,7 +76,7 @@ def forward_label(obs: DataFrame, counts: DataFrame, horizon: int) -> DataFrame:
     """Events in (t, t + horizon]: count, first and last hour, and the target 0/1."""
     when = F.when(F.col("n") > 0, F.col("hour"))
     frames = {name: Frame(kind, value, 1, horizon) for name, kind, value in (("future_count", "sum", F.col("n")), ("first_hour", "min", when), ("last_hour", "max", when))}
-    out = with_frames(_with_events(obs, counts, ["entity"]), "hour", (["entity"], frames)).where("is_obs")
+    out = with_frames(with_events(obs, counts, ["entity"]), "hour", (["entity"], frames)).where("is_obs")
     out = out.withColumn("future_count", F.coalesce("future_count", F.lit(0)))
     return out.select(*obs.columns, *frames, (F.col("future_count") > 0).cast("int").alias("target"))
 

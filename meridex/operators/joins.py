@@ -35,16 +35,40 @@ def unmatched(left: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     return left.join(dim, on, "left_anti")
 
 
-def alias_lookup(df: DataFrame, key: str, text: Column, directory: DataFrame, alias: str, priority: str, code: str, bound: int = 10_000) -> DataFrame:
-    """(key, code): the first directory alias that each text contains.
+#: A directory of so many keys is looked up in each text where it stands; a larger one by a join.
+INLINE_KEYS = 2_000
+_GRAM = 4
 
-    The directory is a short list of names; one of more than `bound` rows is refused, as a join on containment has no
-    keys to shuffle by.
+
+def alias_lookup(df: DataFrame, key: str, text: Column, directory: DataFrame, alias: str, priority: str, code: str) -> DataFrame:
+    """(key, code): the first directory alias that each text contains, by priority and then by alias.
+
+    An index on runs of four characters: a text that contains an alias has all its runs, so each alias is filed under the
+    one that fewest aliases have (a shorter alias under itself). Distinct runs of texts meet the index by equal keys, and
+    only texts and aliases that met are compared. A small directory (at most `INLINE_KEYS` keys) prunes runs before they
+    become rows. Directories of any size work; null and empty texts and aliases match nothing.
     """
-    if directory.limit(bound + 1).count() > bound:
-        raise ValueError(f"a directory has at most {bound} rows")
-    hits = df.select(key, text.alias("_t")).join(F.broadcast(directory), F.contains(F.col("_t"), F.col(alias)))
-    return hits.groupBy(key).agg(F.min_by(code, priority).alias(code))
+    known = directory.where(F.length(alias) > 0).select(F.col(alias).alias("_alias"), F.col(priority).alias("_priority"), F.col(code).alias("_code"))
+    runs = known.select("_alias").distinct().select("_alias", F.explode(F.array_distinct(_runs(F.col("_alias"), F.least(F.length("_alias"), F.lit(_GRAM))))).alias("_k"))
+    rarest = runs.join(runs.groupBy("_k").agg(F.count("*").alias("_n")), "_k").groupBy("_alias").agg(F.min(F.struct("_n", "_k"))["_k"].alias("_k"))
+    index = cut(known.join(rarest, "_alias"))
+    keys = [r[0] for r in index.select("_k").distinct().limit(INLINE_KEYS + 1).collect()]
+    lengths = sorted({len(k) for k in keys}) if len(keys) <= INLINE_KEYS else range(1, _GRAM + 1)
+    rows = df.select(key, text.alias("_t")).where(F.length("_t") > 0)
+    every = F.array_distinct(F.concat(*[_runs(F.col("_t"), F.lit(n)) for n in lengths])) if keys else F.array().cast("array<string>")
+    if len(keys) <= INLINE_KEYS:
+        met = rows.withColumn("_k", F.explode(F.array_intersect(every, F.array(*map(F.lit, keys)).cast("array<string>")))).join(F.broadcast(index), "_k")
+    else:
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+        pairs = rows.select("_row", F.explode(every).alias("_k")).join(index, "_k").select("_row", "_alias", "_priority", "_code")
+        met = rows.join(pairs, "_row")
+    hits = met.where(F.contains("_t", "_alias"))
+    return hits.groupBy(key).agg(F.min_by("_code", F.struct("_priority", "_alias")).alias(code))
+
+
+def _runs(text: Column, n: Column) -> Column:
+    """All runs of n characters of a text, in one pass over it."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), 1)
 
 
 def name_match(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

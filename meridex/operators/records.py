@@ -48,14 +48,24 @@ def lookup_ordered(df: DataFrame, key: str, ids: list) -> DataFrame:
     return df.join(F.broadcast(asked), key).orderBy("position")  # the request's ids
 
 
+#: So many rows are ordered in one task, more in ranges.
+TASK_ROWS = 200_000
+
+
 def prefix_sums(df: DataFrame, groups: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds running sums in a total order of each group's rows, the row's own value included, and totals `all_<name>`.
 
-    No task holds a whole group: rows are dealt in ranges of (groups, order), and what stands before a range is the sum
-    of a few numbers for each earlier range of the group. The ranges are written once, so all steps see the same ones.
+    No task holds more than `TASK_ROWS` rows of a group or its even share: a larger table is dealt in ranges of (groups,
+    order), and what stands before a range is the sum of a few numbers for each earlier range of the group. The ranges
+    are written once, so all steps see the same ones.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(df.repartitionByRange(n, *groups, *order).withColumn("_p", F.spark_partition_id()))
+    whole = cut(df)
+    if whole.limit(TASK_ROWS + 1).count() <= TASK_ROWS:
+        by = Window.partitionBy(*groups)
+        upto = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return whole.withColumns({k: F.sum(c).over(upto) for k, c in sums.items()} | {f"all_{k}": F.sum(c).over(by) for k, c in sums.items()})
+    parts = cut(whole.repartitionByRange(n, *groups, *order).withColumn("_p", F.spark_partition_id()))
     own = Window.partitionBy(*groups, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     per = parts.groupBy(*groups, "_p").agg(*[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()])  # a row for each range of a group
     before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,3 +173,24 @@ def history_hash(df: DataFrame, identity: list[str], run_times: list[str]) -> Da
     """Adds identity_key, a text of the identity's columns, and content_hash of all columns but the run's times, by name."""
     content = sorted(c for c in df.columns if c not in run_times)
     return df.withColumns({"identity_key": F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]), "content_hash": content_hash(content)})
+
+
+def public_view(df: DataFrame, keep: list[str], nested: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Only what may be shown: the columns of `keep` and, for each struct of `nested`, its fields (name -> column).
+
+    Columns that the table doesn't have are null; numbers that aren't finite are null, also inside arrays and structs.
+    """
+    def safe(c: Column, kind) -> Column:
+        name = kind.typeName()
+        if name in ("double", "float"):
+            return F.when(F.abs(c) < float("inf"), c)
+        if name == "array":
+            return F.transform(c, lambda x: safe(x, kind.elementType))
+        if name == "struct":
+            return F.when(c.isNotNull(), F.struct(*[safe(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        if name == "map":
+            return F.transform_values(c, lambda _, v: safe(v, kind.valueType))
+        return c
+
+    shown = lambda c: safe(F.col(f"`{c}`"), df.schema[c].dataType) if c in df.columns else F.lit(None).cast("string")
+    return df.select(*[shown(c).alias(c) for c in keep], *[F.struct(*[shown(c).alias(n) for n, c in fields.items()]).alias(name) for name, fields in (nested or {}).items()])

@@ -128,16 +128,29 @@ def priority_rank(df: DataFrame, priority: str, order: list[Column]) -> DataFram
     return global_rank(df, [level, *order], "place")
 
 
-def action_plan(df: DataFrame, at: Column, horizon: Column, top: int = 10, least: str = "medium") -> DataFrame:
-    """(action, kind, label, segments, n, score, priority, reasons, uncertainty, start, end, basis, place): the best actions.
-
-    `df` has a row for each segment: segment, codes, priority, uncertainty, percentile, hotspot, weather, road_name,
-    road_ref, event_id, event_start, event_end, repair_id, repair_start, repair_end, weather_start, weather_end. Rows of
-    at least the priority `least` count, of medium ones those with a strong signal, and degraded monitor-only ones. Each
-    reason calls for actions; one event or repair is one group, other segments group by road name, reference or their
-    own id. A group's score is that of its row of the highest percentile (the smallest segment of equals), with its
-    worst weather, size and uncertainty. Groups are aggregated partially; `segments` grows with a road, not with the data.
+# Fixed value: the display name of a road without one.
+NO_ROAD = "участок дороги"
+#: Columns of a plan's input that may be missing; missing ones are null.
+OPTIONAL = {
+    **dict.fromkeys(("road_name", "road_ref", "event_id", "event_name", "event_venue", "repair_id", "repair_title", "repair_road_name"), "string"),
+    **dict.fromkeys(("rank", "hotspot_rank"), "bigint"), **dict.fromkeys(("lon", "lat", "weather"), "double"), "warnings": "array<string>",
+}
+
+
+def action_plan(df: DataFrame, at: Column, horizon: Column, top: int = 10, least: str = "medium", batch_id: str = "") -> DataFrame:
+    """The best actions: (action_id, action, kind, label, display, segments, n, score, priority, reasons, uncertainty,
+    start, end, basis, rank, percentile, hotspot_rank, hotspot, lon, lat, context, warnings, place).
+
+    `df` has a row for each segment: segment, codes, priority, uncertainty, percentile, hotspot, event_start, event_end,
+    repair_start, repair_end, weather_start, weather_end, and those of `OPTIONAL` that it has. Rows of at least the
+    priority `least` count, of medium ones those with a strong signal, and degraded monitor-only ones. Each reason calls
+    for actions; one event or repair is one group, other segments group by road name, reference or their own id. A
+    group's score is that of its row of the highest percentile (the smallest segment of equals), with its worst weather,
+    size and uncertainty; ranks, centre, context and display name are of that row, warnings of all rows. The id is a hash
+    of batch, action, display name and segments; actions of one score go by code and id. Groups are aggregated
+    partially; `segments` grows with a road, not with the data.
     """
+    df = df.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in df.columns})
     codes, priority = F.col("codes"), F.col("priority")
     worth = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WORTH.items() for x in kv]), priority), F.lit(0.0))
     strong = F.arrays_overlap(codes, F.array(*[F.lit(f.upper()) for f in STRONG], F.lit("MULTI_SIGNAL_AGREEMENT")))
@@ -154,8 +167,9 @@ def action_plan(df: DataFrame, at: Column, horizon: Column, top: int = 10, least
     label = F.when(event, F.col("event_id").cast("string")).when(repair, F.col("repair_id").cast("string")).otherwise(road)
     level = F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("uncertainty"))
     per = each.groupBy("action", kind.alias("kind"), label.alias("label")).agg(
-        F.max_by(F.struct("percentile", "hotspot", "_worth", *[f"{k}_{x}" for k in ("event", "repair", "weather") for x in ("start", "end")]), F.struct(F.coalesce("percentile", F.lit(0.0)), -F.col("segment"))).alias("b"),
+        F.max_by(F.struct("percentile", "hotspot", "_worth", *[c for c in OPTIONAL if c not in ("weather", "warnings")], *[f"{k}_{x}" for k in ("event", "repair", "weather") for x in ("start", "end")]), F.struct(F.coalesce("percentile", F.lit(0.0)), -F.col("segment"))).alias("b"),
         F.array_sort(F.collect_set("segment")).alias("segments"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes")))).alias("reasons"), F.max(F.coalesce("weather", F.lit(0.0))).alias("weather"), F.max(level).alias("level"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("warnings", F.array().cast("array<string>")))))).alias("warnings"),
     )
     n = F.size("segments")
     off = F.when(F.col("level") <= 1, 0.0).when(F.col("level") == 2, 0.05).otherwise(0.1)
@@ -163,14 +177,31 @@ def action_plan(df: DataFrame, at: Column, horizon: Column, top: int = 10, least
     score = F.round(F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0)), 6)
     start = lambda x, z: F.when(of("event"), F.coalesce(F.col(f"b.event_{x}"), z)).when(of("repair"), F.coalesce(F.col(f"b.repair_{x}"), z)).when(of("weather"), F.coalesce(F.col(f"b.weather_{x}"), z)).when(of("traffic"), z)
     basis = reduce(lambda a, k: a.when(of(k), f"{k}_period"), PERIODS, F.when(F.lit(False), F.lit(""))).otherwise("prediction_horizon")
-    out = per.select("action", "kind", "label", "segments", n.alias("n"), score.alias("score"), "reasons", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level").cast("int")).alias("uncertainty"),
-        F.coalesce(start("start", at), at).alias("start"), F.coalesce(start("end", at), at + horizon).alias("end"), basis.alias("basis"))
-    best = out.orderBy(F.desc("score"), "action", "kind", "label").limit(top)
+    first = lambda *names: F.coalesce(*[F.nullif(F.trim(f"b.{c}"), F.lit("")) for c in names])
+    display = F.when(of("event"), F.coalesce(first("event_venue", "event_name"), F.lit("event zone"))).when(of("repair"), F.coalesce(first("repair_road_name", "repair_title"), F.lit("repair zone")))
+    display = display.otherwise(F.coalesce(first("road_name", "road_ref"), F.lit(NO_ROAD)))
+    ids = F.array_join(F.array_sort(F.transform("segments", lambda x: x.cast("string"))), "|")
+    named = lambda x: F.struct(F.lit(x).alias("type"), F.col(f"b.{x}_id").alias("source_id"), F.col("b.event_name" if x == "event" else "b.repair_title").alias("name"), F.col("b.event_venue" if x == "event" else "b.repair_road_name").alias("place"), F.col(f"b.{x}_start").alias("start"), F.col(f"b.{x}_end").alias("end"))
+    out = per.select(F.substring(F.sha1(F.concat(F.lit(batch_id), "action", display, ids)), 1, 16).alias("action_id"), "action", "kind", "label", display.alias("display"), "segments", n.alias("n"), score.alias("score"), "reasons",
+        F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level").cast("int")).alias("uncertainty"), F.coalesce(start("start", at), at).alias("start"), F.coalesce(start("end", at), at + horizon).alias("end"), basis.alias("basis"),
+        "b.rank", "b.percentile", "b.hotspot_rank", "b.hotspot", "b.lon", "b.lat", F.when(of("event"), named("event")).when(of("repair"), named("repair")).alias("context"), "warnings")
+    best = out.orderBy(F.desc("score"), "action", "action_id").limit(top)
     level = F.when(F.col("score") >= 0.8, "critical").when(F.col("score") >= 0.6, "high").when(F.col("score") >= 0.4, "medium").otherwise("monitor")
-    return best.withColumns({"priority": level, "place": F.row_number().over(Window.orderBy(F.desc("score"), "action", "kind", "label"))})  # at most `top` rows
+    return best.withColumns({"priority": level, "place": F.row_number().over(Window.orderBy(F.desc("score"), "action", "action_id"))})  # at most `top` rows
+
+
+def citywide_warning(df: DataFrame, codes: str, code: str, segment: str, start: str | None = None, end: str | None = None, at: Column | None = None) -> DataFrame:
+    """One row for a code that any row has: (warning_code, affected, start, end, basis); no row else.
+
+    The period is the first known start and end of the rows that have the code, by segment, and `at` where none is.
+    """
+    hit = df.where(F.array_contains(codes, code))
+    at = F.lit(None) if at is None else at
+    known = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(segment))), at) if c else at
+    one = hit.agg(F.count_distinct(segment).alias("affected"), known(start).alias("start"), known(end).alias("end"))
+    return one.where("affected > 0").select(F.lit(code).alias("warning_code"), "affected", "start", "end", F.lit("weather_period").alias("basis"))
 
 
-def citywide_warning(df: DataFrame, codes: str, code: str, segment: str) -> DataFrame:
-    """One row for a code that any row has: (warning_code, affected segments); no row else."""
-    hit = df.where(F.array_contains(codes, code)).agg(F.count_distinct(segment).alias("affected"))
-    return hit.where("affected > 0").select(F.lit(code).alias("warning_code"), "affected")
+def plan_summary(df: DataFrame, plan: DataFrame, segment: str = "segment") -> DataFrame:
+    """(segments_analyzed, actions_returned): sizes of a plan and its input, as one row."""
+    return df.agg(F.count_distinct(segment).alias("segments_analyzed")).join(F.broadcast(plan.agg(F.count("*").alias("actions_returned"))))  # one row each

@@ -47,6 +47,17 @@ def venue_event(spark, sf):
     return table(spark, sf, "part").select("p_partkey", *[c.alias(n) for n, c in got.items()])
 
 
+@query("""WITH t AS (SELECT s_suppkey AS k, s_suppkey % 7 AS e, CASE s_suppkey % 4 WHEN 0 THEN 'very_high' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'unknown' END AS tier FROM supplier), i AS (SELECT *, CASE WHEN e = 0 THEN 0 WHEN e IN (1, 2) THEN CASE tier WHEN 'very_high' THEN 5 WHEN 'high' THEN 4 ELSE 3 END WHEN e = 3 THEN CASE WHEN tier IN ('high', 'very_high') THEN 4 ELSE 3 END WHEN e = 4 THEN 0 WHEN tier IN ('high', 'very_high') THEN 2 ELSE 1 END AS impact FROM t)
+ SELECT k AS s_suppkey, tier, impact >= 3 AS relevant, impact, ['exclude', 'low', 'medium', 'high', 'high', 'very_high'][impact + 1] AS class, CASE e WHEN 0 THEN 'cinema' WHEN 4 THEN 'online' END AS exclusion FROM i""")
+def transport_impact(spark, sf):
+    """Events of several kinds at venues of all tiers; exclusions go before what draws crowds."""
+    k = F.col("s_suppkey")
+    words = F.array(*map(F.lit, ("Кино-концерт", "МАТЧ", "Concert", "Фестиваль", "Онлайн форум", "Встреча", "")))[(k % 7).cast("int")]
+    venue = F.array(*map(F.lit, ("The Astana ARENA", "Дворец независимости", "EXPO hall", "Somewhere")))[(k % 4).cast("int")]
+    df = A.venue_tier(table(spark, sf, "supplier").select("s_suppkey", words.alias("title"), venue.alias("venue")), "s_suppkey", F.col("venue"))
+    return df.select("s_suppkey", "tier", *[c.alias(n) for n, c in A.transport_impact(F.concat_ws(" ", "title", "venue"), F.col("tier")).items()])
+
+
 @query("SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9_]', '', 'g') AS key FROM nation")
 def road_key(spark, sf):
     k, name = F.col("n_nationkey") % 4, F.col("n_name")

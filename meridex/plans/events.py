@@ -273,3 +273,16 @@ def leakage_audit(spark, sf):
     ev = table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     slow = F.broadcast(fast).join(ev, "entity", "left").groupBy("entity", "hour", "w").agg(F.sum(F.expr("cast(us >= (hour - 24) * 3600000000 and us < hour * 3600000000 as long)")).alias("counted"))  # 100 rows
     return slow.select("entity", "hour", "counted", F.abs(F.col("counted") - F.col("w")).alias("mismatch"))
+
+
+@query(f"WITH {C}, s AS (SELECT *, CASE WHEN hour < 473600 THEN 'train' WHEN hour < 473900 THEN 'validation' ELSE 'test' END AS split FROM counts) SELECT split, count(*) AS rows, min(hour) AS first, max(hour) AS last FROM s GROUP BY 1")
+def fixed_split(spark, sf):
+    got = L.fixed_split(counts(spark, sf), "hour", 473600, 473900)
+    return got.groupBy("split").agg(F.count("*").alias("rows"), F.min("hour").alias("first"), F.max("hour").alias("last"))
+
+
+@query(f"WITH {C} SELECT entity, hour, n, false AS is_obs FROM counts UNION ALL SELECT user_id, epoch_us(ts) // 3600000000, NULL, true FROM events")
+def union_all(spark, sf):
+    """Observations and counts in one frame, repeated rows included."""
+    obs = table(spark, sf, "events").select(F.col("user_id").alias("entity"), hour_index("ts").alias("hour"))
+    return H.with_events(obs, counts(spark, sf), ["entity"])

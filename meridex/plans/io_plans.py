@@ -68,7 +68,8 @@ def geojson_features(spark, sf):
     n = table(spark, sf, "nation")
     spot = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     shapes = n.select("n_nationkey", F.array(spot(F.col("n_nationkey"), F.lit(0)), spot(F.lit(1), F.col("n_regionkey"))).alias("line"))
-    made = SK.geojson_features(n, shapes, "n_nationkey", ["n_name"])
+    n = n.withColumns({"p": F.col("n_nationkey") / 25, "level": F.when(F.col("n_nationkey") < 10, "low").otherwise("high")})
+    made = SK.geojson_features(n, shapes, "n_nationkey", ["n_name"], "level", "p", [(0.0, "low"), (0.4, "high")])
     back = made.select(F.from_json("value", "id string, geometry struct<type:string,coordinates:array<array<double>>>, properties struct<n_name:string>").alias("v"))
     return back.select("v.id", F.col("v.geometry.type").alias("kind"), F.col("v.geometry.coordinates").alias("line"), F.col("v.properties.n_name").alias("name"))
 
@@ -105,14 +106,17 @@ def enrich_one_to_one(spark, sf):
     return enrich_inner(n.join(r.select("n_nationkey"), "n_nationkey", "left_semi"), r, ["n_nationkey"])
 
 
-@query("""SELECT p_partkey, 'P' || p_partkey AS name, p_brand AS venue, '2024-01-02' AS start FROM part WHERE p_partkey % 4 < 2 UNION ALL SELECT p_partkey, 'sub', NULL, '2024-02-02' FROM part WHERE p_partkey % 4 IN (1, 2)""")
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 4 AS k, p_brand FROM part) SELECT p_partkey, 'P' || p_partkey AS name, p_brand AS venue, '2024-01-02' AS start, CASE k WHEN 0 THEN 'Thing, SportsEvent' ELSE 'Event' END AS category, NULL AS city FROM k WHERE k < 2
+ UNION ALL SELECT p_partkey, 'sub', NULL, '2024-02-02', 'MusicEvent', NULL FROM k WHERE k IN (1, 2) UNION ALL SELECT p_partkey, 'deep', p_brand, '2024-03-02', 'x', 'Town' FROM k WHERE k IN (1, 2)""")
 def jsonld_events(spark, sf):
+    """Lists, graphs and lists of items; events in events in events; several types; entities before JSON; broken JSON."""
     k = F.col("p_partkey")
-    node = lambda kind, more="": F.concat(F.lit(f'{{"@type":{kind},"name":"P'), k, F.lit('","startDate":"2024-01-02","location":{"name":"'), "p_brand", F.lit('"}' + more + "}"))
-    sub = ',"subEvent":[{"@type":"MusicEvent","name":"sub","startDate":"2024-02-02"}]'
-    body = F.when(k % 4 == 0, F.concat(F.lit("["), node('["Thing","SportsEvent"]'), F.lit("]"))).when(k % 4 == 1, F.concat(F.lit('{"@graph":['), node('"Event"', sub), F.lit("]}"))).when(k % 4 == 2, F.concat(F.lit('{"itemListElement":[{"item":'), node('"Place"', sub), F.lit("}]}"))).otherwise(node('"Place"'))
+    node = lambda kind, more="": F.concat(F.lit(f'{{"@type":{kind},"name":"P'), k, F.lit('","startDate":"2024-01-02","location":{"name":"'), "p_brand", F.lit('"}'), F.lit(more) if isinstance(more, str) else more, F.lit("}"))
+    deep = F.concat(F.lit(',"subEvent":{"@type":["Place","TheaterEVENT"],"category":"x","name":"deep","startDate":"2024-03-02","location":[{"name":"'), "p_brand", F.lit('","address":{"addressLocality":"Town"}}]}'))
+    sub = F.concat(F.lit(',"subEvent":[{"@type":"MusicEvent","name":"sub","startDate":"2024-02-02"'), deep, F.lit('},{"@type":"Event","name":"no start"}]'))
+    body = F.when(k % 4 == 0, F.concat(F.lit("["), node('["Thing","SportsEvent"]'), F.lit("]"))).when(k % 4 == 1, F.concat(F.lit('{"@graph":['), node('"Event"', sub), F.lit("]}"))).when(k % 4 == 2, F.concat(F.lit('{"itemListElement":[{"item":'), node('"Place"', sub), F.lit("}]}"))).otherwise(F.concat(F.lit("{"), node('"Event"')))
     html = F.concat(F.lit('<p>x</p><script type="application/ld+json">'), F.when(k % 8 < 4, F.replace(body, F.lit('"'), F.lit("&quot;"))).otherwise(body), F.lit("</script>"))
-    return T.jsonld_events(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey", "html")
+    return T.jsonld_events(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey", "html").select("p_partkey", "name", "venue", "start", "category", "city")
 
 
 @query("SELECT p_partkey, round(0.5 * (coalesce(p_size, 25) - 25), 6) AS c_p_size, round(-0.01 * (p_retailprice - 1000), 6) AS c_p_retailprice, 0.0::DOUBLE AS residual FROM part")

@@ -270,22 +270,47 @@ def quality_rates(spark, sf):
     return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 6).alias("done"), F.round(F.avg((F.col("o_totalprice") > 100000).cast("double")), 6).alias("dear"), F.round(1 - F.count_distinct("o_custkey", "o_orderdate") / F.count("*"), 6).alias("duplicate_rate"))
 
 
-PLAIN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<!--(?s:.*?)-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+# the entities that the pages hold, the ampersand last and with or without its semicolon
+READ = "regexp_replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', chr(34)), '&amp;?', '&', 'g')"
 
 
-@query(f"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace({PLAIN}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS plain FROM pages")
+def shown(c: str) -> str:
+    """The text of a piece of HTML in SQL."""
+    return "trim(regexp_replace(" + READ.format(f"regexp_replace(regexp_replace({c}, '(?i)<script(?s:.*?)</script>|<style(?s:.*?)</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + r", '\s+', ' ', 'g'))"
+
+
+def first_of(tag: str) -> str:
+    found = f"regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)"
+    return f"CASE WHEN regexp_matches(html, '(?is)<{tag}[^>]*>.*?</{tag}>') THEN {shown(found)} END"
+
+
+@query(f"SELECT page_id, {shown('html')} AS plain FROM pages")
 def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("plain"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')) AS h1, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')) AS title FROM pages")
+@query(f"SELECT page_id, {first_of('h1')} AS h1, {first_of('title')} AS title, {first_of('h5')} AS none FROM pages")
 def html_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.tag_text(F.col("html"), "h1").alias("h1"), T.tag_text(F.col("html"), "title").alias("title"))
+    return table(spark, sf, "pages").select("page_id", *[T.tag_text(F.col("html"), t).alias(n) for t, n in (("h1", "h1"), ("title", "title"), ("h5", "none"))])
+
+
+SHELLS = """SELECT page_id, CASE page_id % 5 WHEN 1 THEN regexp_replace(html, '(?is)<h1[^>]*>.*?</h1>', '<h1> &nbsp;</h1>') WHEN 2 THEN html || '<DIV id="root"></DIV>' WHEN 3 THEN html[1:700] ELSE html END AS html FROM pages"""
 
 
-@query(f"SELECT page_id, NOT regexp_matches(html, '(?i)<h1') OR length(trim(regexp_replace(replace(replace(replace(replace({PLAIN}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g'))) < 400 AS shell FROM pages")
+@query(f"""SELECT page_id, coalesce({first_of('h1')}, '') = '' OR length({shown('html')}) < 400 OR contains(lower(html), '<div id="root"') OR contains(lower(html), 'you need to enable javascript') OR contains(lower(html), '/static/js/main') AS shell FROM ({SHELLS})""")
 def html_shell(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.is_shell(F.col("html")).alias("shell"))
+    """Pages, some with an empty heading, a marker or little text."""
+    k, html = F.col("page_id") % 5, F.col("html")
+    made = F.when(k == 1, F.regexp_replace(html, "(?is)<h1[^>]*>.*?</h1>", "<h1> &nbsp;</h1>")).when(k == 2, F.concat(html, F.lit('<DIV id="root"></DIV>'))).when(k == 3, F.substring(html, 1, 700)).otherwise(html)
+    return table(spark, sf, "pages").select("page_id", T.is_shell(made).alias("shell"))
+
+
+@query("SELECT page_id, chr((161 + page_id % 700)::INT) || '|' || chr((913 + page_id % 20)::INT) || '|é«' || chr(8734) || '&x&¬it;' AS read FROM pages")
+def html_entities(spark, sf):
+    """Entities by number, hexadecimal number and name, with and without semicolon."""
+    k = F.col("page_id")
+    text = F.concat(F.lit("&#"), 161 + k % 700, F.when(k % 2 == 0, ";|").otherwise("|"), F.lit("&#x"), F.hex(913 + k % 20), F.lit(";|&eacute;&laquo&infin;&x&amp;&notit;"))
+    return table(spark, sf, "pages").select("page_id", T.unescape(text).alias("read"))
 
 
 @query("WITH l AS (SELECT page_id, regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1) AS a FROM pages), u AS (SELECT page_id, a[i] AS link, i FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM l)), d AS (SELECT page_id, link, min(i) AS i FROM u GROUP BY 1, 2) SELECT page_id, 'https://example.org' || link AS link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM d")
@@ -305,17 +330,39 @@ def article_classify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", s.alias("score"), F.when(s >= 2, "strong").when(s == 1, "weak").otherwise("none").alias("class"))
 
 
-@query("SELECT doc_id, contains(lower(text), 'license') OR (contains(lower(text), 'rights') AND contains(lower(text), 'reserved')) AS selected FROM documents")
+@query("""WITH w AS (SELECT doc_id, list_filter(['license', 'copyright'], lambda x: contains(t, x)) AS strong, list_filter(['rights', 'released'], lambda x: contains(t, x)) AS weak, list_filter(['reserved', 'under', 'all'], lambda x: contains(t, x)) AS context FROM (SELECT doc_id, lower(coalesce(source, '') || ' ' || coalesce(text, '')) AS t FROM documents))
+ SELECT *, (2 * len(strong) + len(weak) + len(context))::INT AS score, len(strong) > 0 OR (len(weak) > 0 AND len(context) > 0) AS selected, CASE WHEN len(strong) = 0 AND (len(weak) = 0 OR len(context) = 0) THEN 'no_strong_road_event_term_or_weak_term_with_road_context' END AS rejection_reason FROM w""")
 def text_prefilter(spark, sf):
-    t = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", T.prefilter(t, ["license"], ["rights"], ["reserved"]).alias("selected"))
+    """Matched words, score, decision and reason for each text."""
+    card = T.prefilter_card(F.col("source"), F.col("text"), ("license", "copyright"), ("rights", "released"), ("reserved", "under", "all"))
+    return table(spark, sf, "documents").select("doc_id", card.alias("c")).select("doc_id", "c.*")
+
+
+@query("SELECT p_partkey, ' ' || p_name || ' ' AS spaced, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS kept, lower(p_name) || ' fi x' AS plain, lower(p_brand) || 'ss' AS folded FROM part")
+def clean_strings(spark, sf):
+    """Blanks squeezed, blank to null, compatible characters, case folding."""
+    name, k = F.col("p_name"), F.col("p_partkey")
+    padded = F.concat(F.lit("\t \n"), name, F.lit("   "))
+    return table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit(" "), T.squeeze(F.translate(padded, "\t\n", "  ")), F.lit(" ")).alias("spaced"), T.blank_to_null(F.when(k % 3 > 0, F.concat(F.lit(" "), name, F.lit(" \n"))).otherwise("  \t")).alias("kept"),
+        T.normalised(F.concat(name, F.lit("  ﬁ X "))).alias("plain"), T.casefolded(F.concat("p_brand", F.lit("ß"))).alias("folded"),
+    )
+
+
+@query("SELECT o_orderkey, [o_orderstatus, o_orderpriority, (o_orderkey % 7)::VARCHAR] AS items FROM orders WHERE o_orderkey % 4 < 3 UNION ALL SELECT o_orderkey, [] FROM orders WHERE o_orderkey % 4 = 3")
+def list_like_strings(spark, sf):
+    """Items of lists in three spellings, and of an empty one."""
+    k, parts = F.col("o_orderkey"), ("o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % 7).cast("string"))
+    some = lambda sep: F.concat_ws(sep, *parts)
+    text = F.when(k % 4 == 0, F.concat(F.lit("['"), some("', '"), F.lit("']"))).when(k % 4 == 1, some("; ")).when(k % 4 == 2, some("|")).otherwise("[]")
+    return table(spark, sf, "orders").select("o_orderkey", T.list_items(text).alias("items"))
 
 
-@query("WITH a AS (SELECT unnest(['mit license', 'apache license', 'license']) AS alias, unnest([1, 2, 3]) AS p, unnest(['MIT', 'APACHE', 'ANY']) AS code) SELECT d.doc_id, min_by(code, p) AS code FROM documents d JOIN a ON contains(lower(d.text), alias) GROUP BY 1")
+@query("WITH a AS (SELECT unnest(['mit license', 'apache license', 'license', 'he', 'reserved']) AS alias, unnest([1, 2, 3, 9, 3]) AS p, unnest(['MIT', 'APACHE', 'ANY', 'HE', 'ALL']) AS code) SELECT d.doc_id, min_by(code, (p, alias)) AS code FROM documents d JOIN a ON contains(lower(d.text), alias) GROUP BY 1")
 def alias_lookup(spark, sf):
     from ..operators.joins import alias_lookup as find
 
-    directory = spark.createDataFrame([("mit license", 1, "MIT"), ("apache license", 2, "APACHE"), ("license", 3, "ANY")], "alias string, p int, code string")
+    directory = spark.createDataFrame([("mit license", 1, "MIT"), ("apache license", 2, "APACHE"), ("license", 3, "ANY"), ("he", 9, "HE"), ("reserved", 3, "ALL"), ("", 0, "NONE"), (None, 0, "NONE")], "alias string, p int, code string")
     return find(table(spark, sf, "documents"), "doc_id", F.lower("text"), directory, "alias", "p", "code")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hours import hour_index
 from ..operators import context as X
 from ..operators import models as MO
+from ..operators import records as RC
 from ..operators import rules as R
 from .registry import query, table
 
@@ -177,7 +178,8 @@ def priority_rank(spark, sf):
 
 # roads by nation, written in different cases; every fifth segment has only a reference, every tenth neither
 ROADS = """CASE WHEN seg % 5 = 0 THEN NULL WHEN seg % 2 = 0 THEN ' ' || upper(n_name) ELSE n_name END AS road_name, CASE WHEN seg % 10 = 0 THEN NULL ELSE 'R' || (c_nationkey % 6) END AS road_ref,
- CASE WHEN ev AND seg % 2 = 0 THEN 'E' || (seg % 7) END AS event_id, CASE WHEN ev THEN 100 + seg % 5 END AS event_start, CASE WHEN ev AND seg % 3 > 0 THEN 110 + seg % 5 END AS event_end, CASE WHEN rep THEN 'P' || (seg % 5) END AS repair_id, CASE WHEN rep THEN 90 END AS repair_start, CASE WHEN rep AND seg % 3 = 0 THEN 130 END AS repair_end, 104 AS weather_start, 107 AS weather_end"""
+ CASE WHEN ev AND seg % 2 = 0 THEN 'E' || (seg % 7) END AS event_id, CASE WHEN ev THEN 100 + seg % 5 END AS event_start, CASE WHEN ev AND seg % 3 > 0 THEN 110 + seg % 5 END AS event_end, CASE WHEN rep THEN 'P' || (seg % 5) END AS repair_id, CASE WHEN rep THEN 90 END AS repair_start, CASE WHEN rep AND seg % 3 = 0 THEN 130 END AS repair_end, 104 AS weather_start, 107 AS weather_end,
+ CASE WHEN ev AND seg % 4 = 0 THEN 'Hall ' || (seg % 7) END AS event_venue, CASE WHEN ev THEN 'Gig ' || (seg % 7) END AS event_name, CASE WHEN rep AND seg % 2 = 0 THEN 'Works ' || (seg % 5) END AS repair_title, seg / 10.0 AS lon, seg / 20.0 AS lat, CASE WHEN seg % 3 = 0 THEN ['old', 'far'] WHEN seg % 13 = 0 THEN ['no weather'] END AS warnings"""
 
 
 @query(f"""WITH {RISK}, s AS (SELECT o.*, {ROADS} FROM o JOIN nation ON n_nationkey = c_nationkey),
@@ -187,13 +189,15 @@ ROADS = """CASE WHEN seg % 5 = 0 THEN NULL WHEN seg % 2 = 0 THEN ' ' || upper(n_
  m AS (SELECT * EXCLUDE (reason) FROM e UNION ALL SELECT k.*, 'CONTINUE_MONITORING' FROM k WHERE degraded AND NOT list_has_any(codes, (SELECT list(reason) FROM a))),
  g AS (SELECT *, CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') AND event_id IS NOT NULL THEN 'event' WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' AND repair_id IS NOT NULL THEN 'repair' ELSE 'road' END AS kind FROM m),
  l AS (SELECT *, CASE kind WHEN 'event' THEN event_id WHEN 'repair' THEN repair_id ELSE lower(trim(coalesce(road_name, road_ref, seg::VARCHAR))) END AS label, row_number() OVER (PARTITION BY action, kind, CASE kind WHEN 'event' THEN event_id WHEN 'repair' THEN repair_id ELSE lower(trim(coalesce(road_name, road_ref, seg::VARCHAR))) END ORDER BY pct DESC, seg) AS best FROM g),
- q AS (SELECT action, kind, label, list_sort(list(seg)) AS segments, count(*)::INT AS n, list_sort(list_distinct(flatten(list(codes)))) AS reasons, max(coalesce(weather, 0)) AS w, max(CASE uncertainty WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS u FROM l GROUP BY 1, 2, 3),
- z AS (SELECT q.*, round(greatest(least(0.4 * pct + 0.25 * hot + 0.2 * w + 0.1 * CASE b.priority WHEN 'critical' THEN 1 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0.1 END + 0.05 * least(n / 5, 1) - 0.05 * u, 1), 0), 6)::DOUBLE AS score,
+ q AS (SELECT action, kind, label, list_sort(list(seg)) AS segments, count(*)::INT AS n, list_sort(list_distinct(flatten(list(codes)))) AS reasons, max(coalesce(weather, 0)) AS w, max(CASE uncertainty WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS u, list_sort(list_distinct(flatten(list(coalesce(warnings, []))))) AS warned FROM l GROUP BY 1, 2, 3),
+ z AS (SELECT q.*, b.pct AS percentile, b.hot AS hotspot, b.hot_rank AS hotspot_rank, b.lon::DOUBLE AS lon, b.lat::DOUBLE AS lat, CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN coalesce(event_venue, event_name, 'event zone') WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN coalesce(repair_title, 'repair zone') ELSE coalesce(trim(road_name), road_ref, 'участок дороги') END AS display,
+ CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN concat_ws('/', 'event', b.event_id, event_name, event_venue) WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN concat_ws('/', 'repair', b.repair_id, repair_title) END AS context, round(greatest(least(0.4 * pct + 0.25 * hot + 0.2 * w + 0.1 * CASE b.priority WHEN 'critical' THEN 1 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0.1 END + 0.05 * least(n / 5, 1) - 0.05 * u, 1), 0), 6)::DOUBLE AS score,
  CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN coalesce(event_start, 100) WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN coalesce(repair_start, 100) WHEN action = 'SPEED_MONITORING' THEN weather_start ELSE 100 END AS start,
  CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN coalesce(event_end, 100) WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN coalesce(repair_end, 100) WHEN action = 'SPEED_MONITORING' THEN weather_end WHEN action = 'CONGESTION_MONITORING' THEN 100 ELSE 124 END AS "end",
  CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN 'event_period' WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN 'repair_period' WHEN action = 'SPEED_MONITORING' THEN 'weather_period' WHEN action = 'CONGESTION_MONITORING' THEN 'traffic_period' ELSE 'prediction_horizon' END AS basis
- FROM q JOIN l b USING (action, kind, label) WHERE b.best = 1)
- SELECT action, kind, label, segments, n, score, reasons, ['low', 'medium', 'high'][u + 1] AS uncertainty, start, "end", basis, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'monitor' END AS priority, row_number() OVER (ORDER BY score DESC, action, kind, label) AS place FROM z ORDER BY place LIMIT 20""")
+ FROM q JOIN l b USING (action, kind, label) WHERE b.best = 1),
+ y AS (SELECT *, substr(sha1('b1' || action || display || array_to_string(list_sort(list_transform(segments, lambda x: x::VARCHAR)), '|')), 1, 16) AS action_id FROM z)
+ SELECT action_id, action, kind, label, display, segments, n, score, reasons, ['low', 'medium', 'high'][u + 1] AS uncertainty, start, "end", basis, percentile, hotspot, hotspot_rank, lon, lat, context, warned AS warnings, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'monitor' END AS priority, row_number() OVER (ORDER BY score DESC, action, action_id) AS place FROM y ORDER BY place LIMIT 20""")
 def action_plan(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     seg, ev, rep = F.col("seg"), F.col("ev") == 1, F.col("rep") == 1
@@ -201,14 +205,19 @@ def action_plan(spark, sf):
         "road_name": F.when(seg % 5 != 0, F.when(seg % 2 == 0, F.concat(F.lit(" "), F.upper("n_name"))).otherwise(F.col("n_name"))), "road_ref": F.when(seg % 10 != 0, F.concat(F.lit("R"), F.col("c_nationkey") % 6)),
         "event_id": F.when(ev & (seg % 2 == 0), F.concat(F.lit("E"), seg % 7)), "event_start": F.when(ev, 100 + seg % 5), "event_end": F.when(ev & (seg % 3 > 0), 110 + seg % 5),
         "repair_id": F.when(rep, F.concat(F.lit("P"), seg % 5)), "repair_start": F.when(rep, 90), "repair_end": F.when(rep & (seg % 3 == 0), 130), "weather_start": F.lit(104), "weather_end": F.lit(107),
+        "event_venue": F.when(ev & (seg % 4 == 0), F.concat(F.lit("Hall "), seg % 7)), "event_name": F.when(ev, F.concat(F.lit("Gig "), seg % 7)), "repair_title": F.when(rep & (seg % 2 == 0), F.concat(F.lit("Works "), seg % 5)),
+        "lon": seg / 10, "lat": seg / 20, "warnings": F.when(seg % 3 == 0, F.array(F.lit("old"), F.lit("far"))).when(seg % 13 == 0, F.array(F.lit("no weather"))),
     }
-    rows = risk(spark, sf).join(n, "c_nationkey").withColumns(made).withColumnsRenamed({"seg": "segment", "pct": "percentile", "hot": "hotspot"})
-    return R.action_plan(rows, F.lit(100), F.lit(24), 20)
+    rows = risk(spark, sf).join(n, "c_nationkey").withColumns(made).withColumnsRenamed({"seg": "segment", "pct": "percentile", "hot": "hotspot", "hot_rank": "hotspot_rank"})
+    context = F.when(F.col("context").isNotNull(), F.concat_ws("/", *[f"context.{x}" for x in ("type", "source_id", "name", "place")]))
+    return R.action_plan(rows, F.lit(100), F.lit(24), 20, batch_id="b1").withColumn("context", context).drop("rank")
 
 
-@query(f"WITH {RISK} SELECT 'SEVERE_WEATHER' AS warning_code, count(DISTINCT seg) AS affected FROM o WHERE list_contains(codes, 'SEVERE_WEATHER') HAVING count(*) > 0")
+@query(f"WITH {RISK} SELECT 'SEVERE_WEATHER' AS warning_code, count(DISTINCT seg) AS affected, coalesce(min_by(seg + 1000, seg) FILTER (seg % 4 = 1), 7) AS start, coalesce(min_by(seg + 2000, seg) FILTER (seg % 400 = 399), 7) AS \"end\", 'weather_period' AS basis FROM o WHERE list_contains(codes, 'SEVERE_WEATHER') HAVING count(*) > 0")
 def citywide_warning(spark, sf):
-    return R.citywide_warning(risk(spark, sf), "codes", "SEVERE_WEATHER", "seg")
+    seg = F.col("seg")
+    rows = risk(spark, sf).withColumns({"first": F.when(seg % 4 == 1, seg + 1000), "last": F.when(seg % 400 == 399, seg + 2000)})
+    return R.citywide_warning(rows, "codes", "SEVERE_WEATHER", "seg", "first", "last", F.lit(7))
 
 
 @query("""WITH v AS (SELECT p_partkey, p_size / 100.0 AS p, p_partkey % 4 AS hist, (p_size - 20) / 50.0 AS g_hist, p_size % 5 = 0 AS narrow, (p_partkey % 7 - 3) / 10.0 AS g_snow, p_partkey % 2 AS snow, 20 + p_partkey % 9 * 10 AS speed, (p_retailprice - 1200) / 500 AS g_speed, p_partkey % 6 = 0 AS unknown, (p_partkey % 5 - 1) / 10.0 AS g_unknown, p_partkey % 8 AS schools, p_partkey % 11 / 20.0 AS g_schools, p_partkey % 9 AS stops, p_partkey % 13 / 20.0 AS g_stops, p_partkey % 3 = 0 AS oneway, (p_partkey % 10 - 4) / 10.0 AS g_oneway, (p_partkey % 12 - 2) / 40.0 AS g_length, p_partkey % 10 = 1 AS rush, (p_size - 10) / 80.0 AS g_rush FROM part),
@@ -242,6 +251,11 @@ def accept_rule(spark, sf):
 
 @query(f"WITH {RISK} SELECT seg, {{'percentile': pct, 'hotspot': hot}} AS scores, {{'flags': flags, 'weather': weather::DOUBLE}} AS context FROM o WHERE priority IN ('critical', 'high')")
 def public_view(spark, sf):
-    r = risk(spark, sf).where("priority in ('critical', 'high')")
-    finite = F.when(~F.isnan("weather"), F.col("weather"))
-    return r.select("seg", F.struct(F.col("pct").alias("percentile"), F.col("hot").alias("hotspot")).alias("scores"), F.struct("flags", finite.alias("weather")).alias("context"))
+    rows = risk(spark, sf).where("priority in ('critical', 'high')").withColumn("weather", F.coalesce("weather", F.lit(float("nan"))))
+    return RC.public_view(rows, ["seg"], {"scores": {"percentile": "pct", "hotspot": "hot"}, "context": {"flags": "flags", "weather": "weather"}})
+
+
+@query(f"WITH {I} SELECT id, NOT coalesce(s <= {DAY} AND {DAY} < e, false) AS stale FROM i")
+def snapshot_valid_at(spark, sf):
+    i = intervals(spark, sf)
+    return X.valid_at(i, "s", "e", F.lit(DAY)).select("id", "stale")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import frame_checksum, upsert, upsert_scoped
+from ..operators.records import frame_checksum, risk_level, upsert, upsert_scoped
 from . import commits as C
 from .commits import exists
 
@@ -18,8 +18,15 @@ def write_dual(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
-def geojson_features(df: DataFrame, geometry: DataFrame, key: str, properties: list[str]) -> DataFrame:
-    """(value): one GeoJSON Feature for each row; a row without geometry (key, line) is an error."""
+def geojson_features(df: DataFrame, geometry: DataFrame, key: str, properties: list[str], level: str | None = None, probability: str | None = None, ranges: list[tuple[float, str]] | None = None) -> DataFrame:
+    """(value): one GeoJSON Feature for each row; a row without geometry (key, line) is an error.
+
+    With `level`, so is a row whose level isn't the one that `ranges` (lower bound, level) give its probability.
+    """
+    if level is not None:
+        wrong = df.where(~F.col(level).eqNullSafe(risk_level(F.col(probability), ranges))).select(key, probability, level).limit(5).collect()
+        if wrong:
+            raise ValueError(f"levels that don't match their probability: {[tuple(r) for r in wrong]}")
     lost = df.join(geometry, key, "left_anti").select(key).limit(5).collect()
     if lost:
         raise ValueError(f"no geometry for {[r[0] for r in lost]}")
