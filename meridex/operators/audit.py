@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def reconcile(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """One row: keys only in one side, only in the other, and in both; one shuffle of flagged keys."""
@@ -76,13 +78,16 @@ def rank_contract(df: DataFrame, key: list[str], score: str, rank: str) -> DataF
     return keys.crossJoin(ranks).select("unique_keys", "finite_scores", ((F.col("most") == 1) & (F.col("lo") == 1) & (F.col("hi") == F.col("rows"))).alias("ranks_exact"), "rows")
 
 
-def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int, ratio: int) -> DataFrame:
-    """(check_name, failures, status) of a training table (entity, hour, target, prior), recounted from hourly events.
+def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int, ratio: int, coverage: DataFrame | None = None, joined: dict[str, list[str]] | None = None, forbidden: tuple[str, ...] = ()) -> DataFrame:
+    """(check_name, failures, status) of a training table (entity, hour, target, prior, ...), recounted from hourly events.
 
     Positive keys are rebuilt from `counts` (entity, hour, n) within the table's hours and entities; `prior` is compared
     with a self-join over the `window` hours before. Joins are on the entity and the day, so no entity meets all of its
-    hours at once.
+    hours at once. `coverage` (lo, hi) are the hours for which features exist; `joined` names columns that each feature
+    table brought, none of which may be null; `forbidden` are columns that tell the future. Missing values are looked for
+    in all columns, entities must have events. The last row says READY or FAILED. The table is written once.
     """
+    data = cut(data)
     spans = data.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
     ahead = counts.select("entity", F.explode(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: F.col("hour") - k)).alias("hour")).distinct()
     known = data.select("entity").distinct()
@@ -100,11 +105,18 @@ def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int
     seen = asked.join(counts.select("entity", F.col("hour").alias("at"), "n").withColumn("day", day("at")), ["entity", "day"]).where(f"at >= hour - {window} and at < hour")
     again = seen.groupBy("entity", "hour").agg(F.sum("n").alias("again"))
     history = data.join(again, ["entity", "hour"], "left").agg(n(F.col("prior") != F.coalesce("again", F.lit(0))).alias("history_mismatches"))
-    rest = data.agg(
-        F.abs(n(F.col("target") == 0) - ratio * n(F.col("target") == 1)).alias("class_balance"), n(F.col("entity").isNull() | F.col("hour").isNull() | F.col("target").isNull() | F.col("prior").isNull()).alias("missing_values"),
+    missing = lambda some: reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in some], F.lit(False))
+    edges = data.crossJoin(F.broadcast(coverage.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))) if coverage is not None else data.withColumns({"_lo": F.col("hour"), "_hi": F.col("hour")})  # one row
+    rest = edges.agg(
+        F.abs(n(F.col("target") == 0) - ratio * n(F.col("target") == 1)).alias("class_balance"), n(missing(data.columns)).alias("missing_values"), n(~F.coalesce(F.col("hour").between(F.col("_lo"), F.col("_hi")), F.lit(False))).alias("outside_coverage"),
+        *[n(missing(columns) if columns else F.lit(True)).alias(f"join_{name}") for name, columns in (joined or {}).items()],
     )
-    one = labels.crossJoin(history).crossJoin(rest)  # one row each
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("failures"), F.when(F.col(c) == 0, "pass").otherwise("fail").alias("status")) for c in one.columns])))
+    foreign = data.select("entity").distinct().join(counts.select("entity").distinct(), "entity", "left_anti").agg(F.count("*").alias("foreign_entities"))
+    one = labels.crossJoin(history).crossJoin(rest).crossJoin(foreign).withColumn("leakage", F.lit(len(set(forbidden) & set(data.columns))).cast("long"))  # one row each
+    checks = F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("failures"), F.when(F.col(c) == 0, "pass").otherwise("fail").alias("status")) for c in one.columns])
+    bad = reduce(lambda a, b: a + b, [(F.col(c) > 0).cast("long") for c in one.columns])
+    final = F.array(F.struct(F.lit("final_status").alias("check_name"), bad.alias("failures"), F.when(bad == 0, "READY").otherwise("FAILED").alias("status")))
+    return one.select(F.inline(F.concat(checks, final)))
 
 
 def feature_contract(df: DataFrame, keys: list[str], known: DataFrame, rows: int, windows: tuple[str, str, int], counts: list[str], shares: list[str], distances: list[str], columns: list[str]) -> DataFrame:

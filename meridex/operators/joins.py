@@ -95,23 +95,62 @@ def name_match(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
 def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, cost, path): least cost from `source` to `target` over undirected edges (a, b, cost), and its nodes.
 
-    Of paths of equal cost that with the fewest nodes counts, then the one whose nodes come first. A table keyed by
-    (request, node) is relaxed until nothing gets better, however long the paths are; a round goes on only from nodes
-    that the last one has reached in a better way, and its table is written, so lineage stays short. Costs must not be
-    negative. No path gives nulls.
+    Of paths of equal cost that with the fewest nodes counts, then the one whose nodes come first. Chains of nodes with
+    two neighbours that no request asks for become one edge each (`_chains`), found in rounds that grow with the
+    logarithm of a chain. A table keyed by (request, node) is then relaxed over the other nodes until nothing gets
+    better; a round goes on only from nodes that the last one has reached in a better way, and its table is written, so
+    lineage stays short. Chains are put back at the end. Costs must not be negative. No path gives nulls.
     """
-    both = edges.select("a", "b", F.col("cost").alias("step")).union(edges.select("b", "a", "cost"))
-    if not both.where("step < 0 or step is null").isEmpty():
+    if not edges.where("cost < 0 or cost is null").isEmpty():
         raise ValueError("costs must be known and not negative")
-    state = cut(requests.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"), F.lit(0).alias("round")))
+    one = edges.where("a <> b").select(F.when(F.col("a") <= F.col("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("e"), "cost").groupBy("e").agg(F.min("cost").alias("cost"))
+    darts = cut(one.select("e.a", "e.b", "cost").union(one.select("e.b", "e.a", "cost")))
+    asked = requests.select(F.explode(F.array("source", "target")).alias("a")).distinct()
+    chains = _chains(darts, asked)
+    steps = chains.where("place = 0").select("a", F.col("b").alias("first"), "end", "total", "number")
+    start = F.array(F.struct(F.col("source").alias("first"), F.col("source").alias("end")))
+    state = cut(requests.select("request", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("n"), start.alias("path"), F.lit(0).alias("round")))
     for number in count(1):
         last = state.where(F.col("round") == number - 1)
         if last.isEmpty():
-            return requests.join(state.withColumnRenamed("node", "target"), ["request", "target"], "left").select("request", "cost", "path")
-        step = last.join(both, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b")))
-        step = step.select("request", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path"), F.lit(number).alias("round"))
-        best = F.min(F.struct(F.round("cost", 9).alias("r"), F.size("path").alias("n"), "path", "round", "cost")).alias("m")
-        state = cut(state.union(step).groupBy("request", "node").agg(best).select("request", "node", "m.cost", "m.path", "m.round"))
+            break
+        step = last.join(steps, F.col("node") == F.col("a")).where(~F.exists("path", lambda p: p["end"] == F.col("end")))
+        step = step.select("request", F.col("end").alias("node"), (F.col("cost") + F.col("total")).alias("cost"), (F.col("n") + F.col("number")).alias("n"), F.concat("path", F.array(F.struct("first", "end"))).alias("path"), F.lit(number).alias("round"))
+        best = F.min(F.struct(F.round("cost", 9).alias("r"), "n", "path", "round", "cost")).alias("m")
+        state = cut(state.union(step).groupBy("request", "node").agg(best).select("request", "node", "m.cost", "m.n", "m.path", "m.round"))
+    found = requests.join(state.select("request", F.col("node").alias("target"), "cost", "path"), ["request", "target"])
+    at = found.select("request", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("f"), F.slice("path", 2, F.size("path")).alias("t"))).alias("k", "s"))
+    inner = at.select("request", "k", F.col("s.f.end").alias("a"), F.col("s.t.first").alias("first")).join(chains.select(F.col("from").alias("a"), "first", "place", F.col("b").alias("node")), ["a", "first"])
+    nodes = inner.groupBy("request").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "place", "node"))), lambda x: x["node"]).alias("rest"))  # a path's own nodes
+    whole = found.join(nodes, "request", "left").select("request", "cost", F.concat(F.array("source"), F.coalesce("rest", F.slice(F.array("source"), 1, 0))).alias("path"))
+    return requests.select("request").join(whole, "request", "left")
+
+
+def _chains(darts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Darts (a, b, cost), both directions of each edge, with their chain: (a, b, from, first, place, end, total, number).
+
+    A chain leads from a node through nodes with two neighbours that aren't asked for to the next other node: `from` and
+    `first` name it, `place` is the dart's number in it, `end`, `total` and `number` are its last node, cost and darts.
+    Pointers are doubled in each round, so rounds grow with the logarithm of the longest chain. Circles that nothing
+    leads to drop out, and so do chains that come back to where they began.
+    """
+    inner = darts.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b1"), F.max("b").alias("b2")).where("n = 2").join(asked, "a", "left_anti")
+    through = inner.select(F.col("a").alias("b"), "b1", "b2")
+    state = darts.join(through, "b", "left").select("a", "b", F.when(F.col("b1").isNotNull(), F.col("b")).alias("na"), F.when(F.col("b1") == F.col("a"), F.col("b2")).otherwise(F.col("b1")).alias("nb"), F.col("b").alias("end"), F.col("a").alias("ea"), F.col("cost").alias("total"), F.lit(1).cast("long").alias("number"))
+    state, most = cut(state), None
+    for turn in count():
+        open_ = state.where("na is not null").count()
+        most = open_ if most is None else most
+        if not open_ or (1 << turn) > most:
+            break
+        on = state.select(F.col("a").alias("na"), F.col("b").alias("nb"), *[F.col(c).alias(f"_{c}") for c in ("na", "nb", "end", "ea", "total", "number")])
+        moved = state.where("na is not null").join(on, ["na", "nb"]).select("a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), F.col("_end").alias("end"), F.col("_ea").alias("ea"), (F.col("total") + F.col("_total")).alias("total"), (F.col("number") + F.col("_number")).alias("number"))
+        state = cut(state.where("na is null").union(moved))
+    known = state.where("na is null")
+    # the chain of a dart begins where that of its other direction ends
+    back = known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("end").alias("from"), F.col("ea").alias("first"), (F.col("number") - 1).alias("place"))
+    both = known.join(back, ["a", "b"]).where(F.col("from") != F.col("end"))
+    return cut(both.select("a", "b", "from", "first", "place", "end", "total", "number"))
 
 
 def section_path(edges: DataFrame, sections: DataFrame) -> DataFrame:

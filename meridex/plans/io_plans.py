@@ -240,6 +240,18 @@ def fitted_classifier(spark, sf):
     return model.transform(li.where(held)).select("l_orderkey", "l_linenumber", "y", vector_to_array("probability")[1].alias("score"))
 
 
+@query()
+def tuned(spark, sf):
+    """Trials of boosted trees with early stopping on held-out orders, best first, and whether the best would be accepted."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", (F.col("l_quantity") * (1 + F.col("l_discount")) > 26).cast("double").alias("y"))
+    held = F.crc32(F.col("l_orderkey").cast("string")) % 3 == 1
+    grid = [{"maxIter": 2, "maxDepth": 1}, {"maxIter": 4, "maxDepth": 3}]
+    trials = MO.tune(li.where(~held), li.where(held), ["l_quantity", "l_discount"], ["l_returnflag"], "y", grid, key=["l_orderkey", "l_linenumber"], seeds=(1, 2))
+    base = li.agg(F.avg("y").alias("val_pr"), F.avg("y").alias("test_pr"), F.lit(0.5).alias("ece"))
+    best = MO.accepted_trial(trials, base, 0.9, 0.1).select("trial", "accepted")
+    return trials.join(F.broadcast(best), "trial", "left")  # one row
+
+
 @query()
 def fitted_counts(spark, sf):
     """Expected orders of each customer by a Poisson model of balance; tests hold the sum against the count."""

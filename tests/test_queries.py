@@ -25,3 +25,12 @@ def test_models_fit_their_tables(spark):
     assert roc_auc(scored, "score", "y").first().roc_auc > 0.95
     got = q.QUERIES["fitted_counts"](spark, SF).agg(F.sum("n").alias("n"), F.sum("expected").alias("expected"), F.count("*").alias("rows")).first()
     assert got.rows > 100 and abs(got.expected - got.n) < 0.05 * got.n
+
+
+def test_trials_are_ranked_and_judged(spark):
+    from oracle import SF
+
+    rows = q.QUERIES["tuned"](spark, SF).collect()
+    assert {r.trial for r in rows} == {0, 1} and all(0 <= r.pr_auc <= 1 and 0 <= r.roc_auc <= 1 for r in rows)
+    best = max(rows, key=lambda r: (r.pr_auc, r.recall, r.lift, r.roc_auc, -r.gap))
+    assert best.seed_std is not None and best.accepted is not None and [r.accepted for r in rows if r.trial != best.trial] == [None]
