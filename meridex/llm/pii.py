@@ -1,20 +1,24 @@
 """Surrogates for personal data and secrets (operator 3).
 
-Found entities are e-mail addresses, phone numbers, IPv4 addresses, card numbers (with a right check digit), access
-keys, passwords, tokens, and names after a title, whose words are names wherever else they stand in that text. Each is
-replaced by a keyed permutation of its own kind:
-
-* characters of one class (digits, small or capital Latin letters, consonants and vowels in names, Cyrillic letters)
-  become characters of that class, so the format stays; the classes of a text make a mixed-radix number, which a
-  keyed Feistel network permutes. That is a bijection for each format, so different entities get different surrogates;
+Found entities are e-mail addresses, phone numbers (international, or of ten digits), IPv4 addresses, card numbers (with a
+right check digit), access keys, passwords, tokens, and names: words after a title, and a given name of the lists with
+the word after it. Their words, in either case of letters, are names wherever else they stand capitalised in that text;
+parts of a hyphenated name are words of their own. Each entity is replaced by a keyed surrogate of its own kind:
+
+* characters of one class (digits, small or capital letters) become characters of that class, so the format stays; the
+  classes of a text make a mixed-radix number, which a keyed Feistel network permutes. That is a bijection for each
+  format, so different entities get different surrogates;
 * an address's octets stay octets, a card's check digit stays right, a phone's first area digit stays in its range;
-* a given name in the lists becomes another of the same script and gender (a keyed permutation of the list).
+* a given name in the lists becomes another of the same script and gender (a keyed permutation of the list); any other
+  word of a name becomes a made-up name of the same script and case, with a vowel or a consonant at its end as before,
+  which is what tells a name's gender where no list does.
 
-The surrogate is a function of kind, value and key alone, so an entity reads the same in every document, in either
-case of letters. Collisions: over the whole corpus, surrogates that equal another entity's text or another surrogate
-are given to the next attempt (another permutation), `ATTEMPTS` times at most. What is open then (the names of a full
-list, a secret without letters) gets a longer made-up form of its kind by its rank, checked in the same way; kinds of
-fixed length (addresses, numbers, access keys) raise an error instead. These exceptions are joined to documents.
+The surrogate is a function of kind, value and key alone, so an entity reads the same in every document, whatever title
+it has and in either case of letters. Collisions: over the whole corpus, surrogates that equal another entity's text or
+another surrogate are given to the next attempt (another permutation, names one syllable longer), `ATTEMPTS` times at
+most. What is open then (the names of a full list, a secret without letters) gets a longer made-up form of its kind by
+the rank of its value, checked in the same way; kinds of fixed length (addresses, numbers, access keys) raise an error
+instead. These exceptions are joined to documents; very frequent ones are salted.
 
 The key is a secret: who has it can undo the permutations. The query takes it from `spark.meridex.pii.key`.
 
@@ -27,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,10 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..operators.records import global_rank
-from .shared import small, stored
+from .shared import salted, stored
 
 #: Permutations that are tried for an entity before it gets a longer form.
 ATTEMPTS = 4
+#: Exceptions of documents that are sent to all tasks; more are joined by a shuffle.
+MOST_PAIRS = 100_000
 KEY_SETTING = "spark.meridex.pii.key"
 #: For made-up data and tests, where the setting is absent.
 DEMO_KEY = "no-secret"
@@ -51,19 +58,30 @@ NAMES = {
 }
 # Titles that come before a name, by the gender they tell.
 TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|г-н", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа", "": "Dr|Prof"}
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
+TITLES = {gender: f"{words}|{words.upper()}" for gender, words in TITLES.items()}
+# Capitalised words that are no name after a given name.
+NO_NAMES = set("the a an and or of in on is was he she it der die das und le la les et el los las y i".split())
+_CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+_WORD = rf"(?:[{_CAPITAL}]['’])?[{_CAPITAL}](?:[a-zß-öø-ÿа-яё]+|[{_CAPITAL}]+)"
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?<![A-Za-z0-9])(?P<access>AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"
-    r"|(?P<phone>(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9]))"
+    r"|(?P<phone>(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9]))"
     r"|(?<![0-9.])(?P<ip>(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9]))(?![0-9]|\.[0-9])"
     r"|(?<![0-9])(?P<card>[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7})(?![0-9])"
     r"|(?:(?i:password|passwd|secret|token|api_key|apikey)\s?[=:]\s?\"?)(?P<secret>[A-Za-z0-9+/_-]{8,})"
-    rf"|(?<!\w)(?:(?P<male>{TITLES['m']})|(?P<female>{TITLES['f']})|{TITLES['']})\.? (?P<name>{_WORD}(?: {_WORD})?)(?!\w)"
+    rf"|(?<!\w)(?:(?P<male>{TITLES['m']})|(?P<female>{TITLES['f']})|{TITLES['']})\.? (?P<name>{_WORD}(?:[ -]{_WORD}){{0,3}})(?!\w)"
 )
 _NAME = re.compile(rf"(?<!\w){_WORD}(?!\w)")
+_PAIR = re.compile(rf"(?<!\w)({_WORD}) (?=({_WORD})(?!\w))")
 #: A text without any of these has no entity.
-QUICK = re.compile(rf"@|AKIA|\+[0-9]|\([0-9]{{3}}\)|[0-9]\.[0-9]+\.[0-9]|[0-9]{{4}}|(?i:passw|secret|token|api_?key)|(?:{'|'.join(TITLES.values())})\.? [A-ZÀ-ÞА-ЯЁ]")
+QUICK = re.compile(rf"@|AKIA|\+[0-9]|\([0-9]{{3}}\)|[0-9]\.[0-9]+\.[0-9]|[0-9]{{4}}|(?i:passw|secret|token|api_?key)|(?:{'|'.join(TITLES.values())})\.? [{_CAPITAL}]|[{_CAPITAL}][\w’']+ [{_CAPITAL}]")
+LISTED = {name: gender for (_, gender), names in NAMES.items() for name in names}
+#: Parts of made-up names by script: consonants and vowels of a syllable, ends after a consonant and after a vowel.
+_MADE = {
+    "latin": ("bdfgklmnprstvz", "aeiou", ("lin", "mar", "ros", "ton", "bert", "dan"), ("na", "ria", "lia", "sa", "nda", "vea")),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", ("нов", "рин", "мир", "слав", "тан", "дар"), ("на", "рия", "лова", "са", "нина", "мила")),
+}
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "àâäæçéèêëîïíìñóòôöœúùûüýÿß"]
 _SPEECH = ["bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзйклмнпрстфхцчшщъь", "аеёиоуыэюя", "àâäæéèêëîïíìóòôöœúùûüýÿ", "çñß"]
 
@@ -138,20 +156,37 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     if kind == "secret":
         whole_hex = re.fullmatch(r"[0-9a-f]+", value)
         return by_class(value, k, ["0123456789abcdef"] if whole_hex else _CLASSES[:2])
-    gender = kind.partition(":")[2]
     out = []
     for word in value.split(" "):
-        script = "cyrillic" if re.match("[А-Яа-яЁё]", word) else "latin"
-        genders = [g for g in (gender, "f", "m") if g]
-        of = next((NAMES[script, g] for g in genders if word.lower() in NAMES[script, g]), None)
-        if of:
-            n = of[permute(of.index(word.lower()), len(of), k + script.encode() + of[0].encode())]
-            out.append(n[0].upper() + n[1:])
+        script, low = "cyrillic" if re.search("[А-Яа-яЁё]", word) else "latin", word.lower()
+        if low in LISTED:
+            of = NAMES[script, LISTED[low]]
+            new = of[permute(of.index(low), len(of), k + script.encode() + of[0].encode())]
         else:
-            out.append(by_class(word, k, _SPEECH))
+            new = made_name(low, script, k, 3 + attempt)
+        out.append(cased(new, word))
     return " ".join(out)
 
 
+def cased(new: str, word: str) -> str:
+    """A name in the case of another: all capitals, or the first."""
+    letters = [c for c in word if c.isalpha()]
+    return new.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else new[0].upper() + new[1:]
+
+
+def made_name(word: str, script: str, key: bytes, syllables: int) -> str:
+    """A made-up name of so many syllables, the last of them an end like the word's: after a vowel or a consonant."""
+    consonants, vowels, hard, soft = _MADE[script]
+    ends = soft if word[-1] in "aeiouyàâäéèêëîïíìóòôöúùûüаеёиоуыэюя" else hard
+    n = int.from_bytes(hmac.new(key, word.encode(), hashlib.sha256).digest(), "little")
+    out = ""
+    for _ in range(syllables - 1):
+        n, c = divmod(n, len(consonants))
+        n, v = divmod(n, len(vowels))
+        out += consonants[c] + vowels[v]
+    return out + ends[n % len(ends)]
+
+
 def longer(kind: str, value: str, number: int, count: int, extra: int, key: str) -> str:
     """Replacement `number` of `count` in a form longer than `value`; different numbers give different ones."""
     script = "cyrillic" if re.match("[А-Яа-яЁё]", value) else "latin"
@@ -181,32 +216,44 @@ def entities(text: str | None) -> list[tuple[str, int, int]]:
                 continue
         if kind == "name":
             of = "name:" + ("m" if m["male"] else "f" if m["female"] else "")
-            for w in re.finditer(r"\S+", m["name"]):
-                out.append((names.setdefault(w[0], of), m.start("name") + w.start(), m.start("name") + w.end()))
+            for w in re.finditer(r"[^ -]+", m["name"]):
+                out.append((names.setdefault(w[0].lower(), of), m.start("name") + w.start(), m.start("name") + w.end()))
             continue
         out.append((kind, m.start(kind), m.end(kind)))
+    for m in _PAIR.finditer(text):  # a given name and the word after it
+        if m[1].lower() in LISTED and m[2].lower() not in NO_NAMES:
+            of = "name:" + LISTED[m[1].lower()]
+            names.setdefault(m[1].lower(), of)
+            names.setdefault(m[2].lower(), of)
     if names:  # the same words without a title
         taken = iter([*out, (None, len(text) + 1, 0)])
         (_, begin, end), again = next(taken), []
         for w in _NAME.finditer(text):
             while end and end <= w.start():
                 _, begin, end = next(taken)
-            if w[0] in names and w.end() <= begin:
-                again.append((names[w[0]], w.start(), w.end()))
+            if w[0].lower() in names and w.end() <= begin:
+                again.append((names[w[0].lower()], w.start(), w.end()))
         out = sorted(out + again, key=lambda e: e[1])
     return out
 
 
+def _root(kind: str) -> str:
+    return kind.partition(":")[0]
+
+
 def _norm(kind: str, value: str) -> str:
     return value.lower() if kind == "email" or kind.startswith("name") else value
 
 
 def exceptions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(kind, value, surrogate) of the entities whose first surrogate collides with an entity or another surrogate."""
+    """(kind, value, surrogate) of the entities whose first surrogate collides with an entity or another surrogate.
+
+    Kinds have no gender here: a value of one kind is one entity.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(k, _norm(k, t[a:b])) for t in batch.column("text").to_pylist() for k, a, b in entities(t)}
+            rows = {(_root(k), _norm(k, t[a:b])) for t in batch.column("text").to_pylist() for k, a, b in entities(t)}
             kinds, values = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
@@ -220,16 +267,15 @@ def exceptions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     schema = "kind string, value string, surrogate string"
     known = stored(df.select(F.col(text).alias("text")).mapInArrow(find, "kind string, value string").distinct(), "entities")
-    root = F.substring_index("kind", ":", 1)
-    taken = known.select(root.alias("root"), F.col("value").alias("surrogate")).distinct()
+    taken = known.select("kind", F.col("value").alias("surrogate"))
     settled, open_, moved = None, known, None
     for attempt in range(ATTEMPTS):
-        given = open_.select("kind", "value").mapInArrow(give(attempt), schema).withColumn("root", root)
-        rivals = given.groupBy("root", "surrogate").agg(F.min("value").alias("winner"))
-        used = taken if settled is None else taken.union(settled.select("root", "surrogate"))
-        marked = given.join(rivals, ["root", "surrogate"]).join(used.withColumn("hit", F.lit(True)).distinct(), ["root", "surrogate"], "left")
+        given = open_.select("kind", "value").mapInArrow(give(attempt), schema)
+        rivals = given.groupBy("kind", "surrogate").agg(F.min("value").alias("winner"))
+        used = taken if settled is None else taken.union(settled.select("kind", "surrogate"))
+        marked = given.join(rivals, ["kind", "surrogate"]).join(used.withColumn("hit", F.lit(True)).distinct(), ["kind", "surrogate"], "left")
         marked = stored(marked.withColumn("bad", F.coalesce("hit", F.lit(False)) | (F.col("value") != F.col("winner"))), "surrogates")
-        good = marked.where("not bad").select("kind", "value", "surrogate", "root")
+        good = marked.where("not bad").select("kind", "value", "surrogate")
         settled = good if settled is None else settled.union(good)
         if attempt:
             moved = good if moved is None else moved.union(good)
@@ -237,16 +283,14 @@ def exceptions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        more = _longer_forms(open_.select("kind", "value", "root"), taken.union(settled.select("root", "surrogate")), key)
-        moved = more if moved is None else moved.select(more.columns).union(more)
-    if moved is None:
-        moved = known.select("kind", "value", F.lit("").alias("surrogate")).where("false")
-    return moved.select("kind", "value", "surrogate")
+        more = _longer_forms(open_.select("kind", "value"), taken.union(settled.select("kind", "surrogate")), key)
+        moved = more if moved is None else moved.union(more)
+    return known.select("kind", "value", F.lit("").alias("surrogate")).where("false") if moved is None else moved
 
 
 def _longer_forms(open_: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for each of `open_`: longer forms that differ from each other and from `taken`."""
-    fixed = open_.where("root not in ('name', 'email', 'secret')").first()
+    fixed = open_.where("kind not in ('name', 'email', 'secret')").first()
     if fixed:
         raise ValueError(f"no free surrogate is left for an entity of kind {fixed.kind}")
     open_ = stored(global_rank(open_, [F.col("kind"), F.col("value")], "number"), "open")
@@ -262,57 +306,62 @@ def _longer_forms(open_: DataFrame, taken: DataFrame, key: str) -> DataFrame:
         return run
 
     while True:  # ends: a form longer than the longest of `taken` is free
-        used = taken if done is None else taken.union(done.select("root", "surrogate"))
-        given = open_.select("kind", "value", "root", "number").mapInArrow(give(extra), "kind string, value string, root string, number long, surrogate string")
-        marked = stored(given.join(used.distinct().withColumn("hit", F.lit(True)), ["root", "surrogate"], "left"), "longer")
-        good = marked.where("hit is null").select("kind", "value", "surrogate", "root")
+        used = taken if done is None else taken.union(done.select("kind", "surrogate"))
+        given = open_.select("kind", "value", "number").mapInArrow(give(extra), "kind string, value string, number long, surrogate string")
+        marked = stored(given.join(used.distinct().withColumn("hit", F.lit(True)), ["kind", "surrogate"], "left"), "longer")
+        good = marked.where("hit is null").select("kind", "value", "surrogate")
         done = good if done is None else done.union(good)
         open_, extra = marked.where("hit"), extra + 1
         if open_.isEmpty():
             return done.select("kind", "value", "surrogate")
 
 
-def pseudonymise(df: DataFrame, key: str, text: str = "text", key_column: str = "doc_id") -> DataFrame:
-    """`df` with surrogates in `text` and a column `replaced` of (kind, start, end) in the new text."""
-    df = df.drop("replaced")
+def pseudonymise(df: DataFrame, key: str, text: str = "text", key_column: str = "doc_id", column: str = "replaced") -> DataFrame:
+    """`df` with surrogates in `text` and a `column` of (kind, start, end) in the new text; one of that name is replaced."""
+    df = df.drop(column)
     moved = exceptions(df, key, text)
+    own = "_moved"
+    while own in df.columns:
+        own += "_"
     spans = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
     if not moved.isEmpty():
-        pairs = _document_entities(df, text, key_column).join(small(moved), ["kind", "value"])
-        per = pairs.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias("__moved"))
-        df = df.join(small(per.withColumnRenamed("k", "__k")), F.col(key_column).eqNullSafe(F.col("__k")), "left").drop("__k")
-    names = [c for c in df.columns if c != "__moved"]
+        pairs = stored(salted(_document_entities(df, text, key_column), moved, ["kind", "value"], "k", rows=100_000), "pairs")
+        per = pairs.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias(own))  # a text's own
+        per = F.broadcast(per) if pairs.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS else per
+        k = F.col("_right.k")
+        df = df.alias("_left").join(per.alias("_right"), F.col(f"_left.{key_column}").eqNullSafe(k), "left").select("_left.*", f"_right.{own}")
+    names = [c for c in df.columns if c != own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            given = [dict(m or ()) for m in batch.column("__moved").to_pylist()] if "__moved" in batch.schema.names else [{}] * batch.num_rows
+            given = [dict(m or ()) for m in batch.column(own).to_pylist()] if own in batch.schema.names else [{}] * batch.num_rows
             texts, found = [], []
-            for t, own in zip(batch.column(text).to_pylist(), given, strict=True):
+            for t, others in zip(batch.column(text).to_pylist(), given, strict=True):
                 parts, at, size, spots = [], 0, 0, []
                 for k, a, b in entities(t):
-                    new = own.get(f"{k}|{_norm(k, t[a:b])}")
+                    new = others.get(f"{_root(k)}|{_norm(k, t[a:b])}")
                     if new is None:
                         new = surrogate(k, t[a:b], key)
-                    elif k.startswith("name"):
-                        new = new[0].upper() + new[1:]
+                    elif _root(k) == "name":
+                        new = cased(new, t[a:b])
                     parts += [t[at:a], new]
                     size += a - at
-                    spots.append({"kind": k.partition(":")[0], "start": size, "end": size + len(new)})
+                    spots.append({"kind": _root(k), "start": size, "end": size + len(new)})
                     size, at = size + len(new), b
                 texts.append("".join([*parts, t[at:]]) if spots else t)
                 found.append(spots)
             columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*names, "replaced"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*names, column])
 
-    schema = StructType([df.schema[c] for c in names] + [StructField("replaced", ArrayType(spans))])
+    schema = StructType([df.schema[c] for c in names] + [StructField(column, ArrayType(spans))])
     return df.mapInArrow(run, schema)
 
 
 def _document_entities(df: DataFrame, text: str, key_column: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, _norm(k, t[a:b])) for i, t in enumerate(batch.column("text").to_pylist()) for k, a, b in entities(t)]
+            rows = [(i, _root(k), _norm(k, t[a:b])) for i, t in enumerate(batch.column("text").to_pylist()) for k, a, b in entities(t)]
             at, kinds, values = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["k", "kind", "value"])
 
@@ -323,5 +372,8 @@ def _document_entities(df: DataFrame, text: str, key_column: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates, and how many entities were replaced."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = pseudonymise(docs, spark.conf.get(KEY_SETTING, DEMO_KEY))
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} isn't set: a key that everybody knows is used, so surrogates can be undone", stacklevel=2)
+    done = pseudonymise(docs, key or DEMO_KEY)
     return done.select("doc_id", "text", F.size("replaced").alias("n_entities"), F.array_sort(F.array_distinct("replaced.kind")).alias("kinds"))
