@@ -53,9 +53,10 @@ def template_tree(paths: DataFrame) -> DataFrame:
         apart = (F.col("good") * F.col("all_n") - F.col("n") * F.col("all_good")).cast("double")
         bound = 3.8416 * F.col("n") * F.col("all_good") * (F.col("all_n") - F.col("all_good"))
         like = (F.col("branches") > 1) & ((F.col("n") == 0) | (apart * apart <= bound))
-        token = branch.join(node, ["host", "template"]).select("host", "template", "form", F.when(like, "*").otherwise(F.col("form")).alias("token"))
-        named = tree.withColumn("form", F.get("forms", F.lit(i - 1))).join(stored(token, f"branches-{i}"), ["host", "template", "form"], "left")
-        tree = stored(named.select("host", "forms", "n", "good", F.concat("template", F.coalesce(F.concat(F.lit("/"), "token"), F.lit(""))).alias("template")), f"tree-{i}")
+        token = salted(branch, node, ["host", "template"], "form").select("host", "template", "form", F.when(like, "*").otherwise(F.col("form")).alias("token"))
+        named = salted(at, stored(token, f"branches-{i}"), ["host", "template", "form"], "forms").select("host", "forms", "n", "good", F.concat("template", F.lit("/"), "token").alias("template"))
+        ended = tree.where(F.size("forms") < i).select("host", "forms", "n", "good", "template")
+        tree = stored(named.union(ended), f"tree-{i}")
     return tree
 
 
@@ -71,7 +72,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...
     tree = template_tree(paths)
     pure = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).crossJoin(F.broadcast(prior))
     pure = pure.select("host", "template", ((F.col("good") + ALPHA * F.col("prior")) / (F.col("n") + ALPHA)).alias("purity"))
-    judged = stored(tree.join(pure, ["host", "template"]).select("host", "forms", "template", "purity"), "templates")
+    judged = stored(salted(tree, pure, ["host", "template"], "forms").select("host", "forms", "template", "purity"), "templates")
     out = salted(cut.drop("quality"), judged, ["host", "forms"], "page_id").withColumn("by", _by_rule(rules))
     own = F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "by.rule", F.coalesce("by.kind", own).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
