@@ -69,13 +69,13 @@ def templates(rows: DataFrame, seen: DataFrame, min_docs: int = MIN_DOCS) -> Dat
     words = kinds.select("leaf", "line", "docs", F.expr("size(w)").alias("n"), F.posexplode("w").alias("place", "word")).where(F.col("place") >= LEAD)
     held = stored(words.where("word <> '<*>'").groupBy("leaf", "place", "word").agg(F.sum("docs").alias("held")), "held")
     best = F.max(F.struct("held", (-F.col("place")).alias("place"), "word"))
-    anchor = words.join(small(held, WORD_ROWS), ["leaf", "place", "word"]).groupBy("leaf", "line").agg(best.alias("a"))
+    anchor = salted(words, held, ["leaf", "place", "word"], "line", rows=WORD_ROWS).groupBy("leaf", "line").agg(best.alias("a"))
     anchor = stored(anchor.select("leaf", "line", F.xxhash64("leaf", "a.place", "a.word").alias("template")), "anchors")
     words = stored(words.join(small(anchor, WORD_ROWS), ["leaf", "line"]).select("template", "line", "docs", "n", "place", "word"), "anchored-words")
     counted = words.groupBy("template", "place", "word").agg(F.sum("docs").alias("docs"))
     top = counted.groupBy("template", "place").agg(F.max(F.struct("docs", "word")).alias("top"), F.sum("docs").alias("total"))
     shape = top.where("top.docs * 2 >= total and top.word <> '<*>'").select("template", "place", F.col("top.word").alias("word"))
-    same = words.join(small(stored(shape, "shapes"), WORD_ROWS), ["template", "place", "word"]).groupBy("template", "line").agg(F.count("*").alias("same"), F.first("n").alias("n"))
+    same = salted(words, stored(shape, "shapes"), ["template", "place", "word"], "line", rows=WORD_ROWS).groupBy("template", "line").agg(F.count("*").alias("same"), F.first("n").alias("n"))
     members = stored(same.where(f"2 * same > n - {LEAD}").select("line", "template"), "members")
     support = salted(seen.select("line", "doc"), members, "line", "doc").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     recurring = members.join(support.where(F.col("docs") >= min_docs), "template").select("line", "template")
