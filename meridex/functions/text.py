@@ -77,6 +77,8 @@ def date_and_clock(epoch_ms: Column, clock: Column, zone: str) -> Column:
 _PIECES = r"(?s)(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&)"
 #: Names of entities that are read without a semicolon too, longest first.
 _BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+#: Entities that most pages have; names are looked up one after the other.
+_FREQUENT = ("quot;", "amp;", "nbsp;", "lt;", "gt;", "apos;", "copy;", "laquo;", "raquo;", "mdash;", "ndash;", "middot;", "hellip;", "rsquo;", "lsquo;", "ldquo;", "rdquo;", "bull;", "reg;", "euro;", "eacute;", "uuml;", "ouml;", "auml;", "szlig;")
 _APART = "\ue000"  # a private character between names, and between what they stand for
 
 
@@ -96,7 +98,7 @@ def _character(code: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Reads all entities: by name (the longest known one), by number and by hexadecimal number, with or without semicolon."""
-    names = _book({k: v for k, v in html5.items()})
+    names = _book({k: html5[k] for k in (*_FREQUENT, *html5)})
 
     def piece(p: Column) -> Column:
         number = F.regexp_extract(p, "^&#0*([0-9]+)", 1)
@@ -183,9 +185,11 @@ def jsonld_events(df: DataFrame, key: str, html: str) -> DataFrame:
     """
     raw = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<script[^>]*application/ld\+json[^>]*>([\s\S]*?)</script>"), 1)
     blocks = df.select(F.col(key).alias("_key"), F.posexplode(raw).alias("_b", "j"))
-    level = cut(blocks.select("_key", F.array("_b").alias("_at"), F.try_parse_json(F.trim(F.regexp_replace(unescape(F.col("j")), "[\n\r\t]+", " "))).alias("v")).where("v is not null"))
     of = lambda v, path, kind: F.try_variant_get(v, path, kind)
-    text = lambda v, *path: F.nullif(F.trim(F.regexp_replace(unescape(of(v, "$" + "".join(f'["{p}"]' for p in path), "string")), _BLANKS, " ")), F.lit(""))
+    listed = lambda v: F.coalesce(of(v, "$", "array<variant>"), F.when(v.isNotNull(), F.array(v)), F.array().cast("array<variant>"))
+    parsed = blocks.select("_key", "_b", F.try_parse_json(F.trim(F.regexp_replace(unescape(F.col("j")), "[\n\r\t]+", " "))).alias("v"))
+    level = cut(parsed.select("_key", "_b", F.posexplode(listed(F.col("v"))).alias("i", "v")).select("_key", F.array("_b", "i").alias("_at"), "v"))
+    text = lambda v, *path: of(v, "$" + "".join(f'["{p}"]' for p in path), "string")
     found = None
     while not level.isEmpty():
         v, at = F.col("v"), F.col("_at")
@@ -196,14 +200,16 @@ def jsonld_events(df: DataFrame, key: str, html: str) -> DataFrame:
         address = of(place, '$["address"]', "variant")
         nodes = level.where(items.isNull() & event).select(
             "_key", F.concat("_at", F.array(F.lit(_LAST))).alias("_at"), text(v, "name").alias("name"), text(place, "name").alias("venue"), text(v, "startDate").alias("start"), text(v, "endDate").alias("end"),
-            F.coalesce(text(v, "category"), F.array_join(types, ", ")).alias("category"), F.coalesce(text(address, "streetAddress"), F.when(F.schema_of_variant(address) == "STRING", text(address))).alias("address"), text(address, "addressLocality").alias("city"), text(v, "url").alias("url"),
+            F.coalesce(F.nullif(text(v, "category"), F.lit("")), F.array_join(types, ", ")).alias("category"), F.coalesce(text(address, "streetAddress"), F.when(F.schema_of_variant(address) == "STRING", text(address))).alias("address"), text(address, "addressLocality").alias("city"), text(v, "url").alias("url"),
         )
         found = nodes if found is None else found.unionByName(nodes)
-        inner = F.filter(F.array(*[of(v, f'$["{k}"]', "variant") for k in _INNER]), lambda x: x.isNotNull())
+        inner = F.concat(*[listed(of(v, f'$["{k}"]', "variant")) for k in _INNER])
         level = cut(level.select("_key", "_at", F.posexplode(F.coalesce(items, inner)).alias("i", "v")).where("v is not null").select("_key", F.concat("_at", F.array("i")).alias("_at"), "v"))
     names = ["name", "venue", "start", "end", "category", "address", "city", "url"]
     if found is None:
         return df.sparkSession.createDataFrame([], f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"`{n}` string" for n in names))
+    clean = F.transform(F.array(*names), lambda x: F.nullif(F.trim(F.regexp_replace(unescape(x), _BLANKS, " ")), F.lit("")))
+    found = found.select("_key", "_at", clean.alias("t")).select("_key", "_at", *[F.col("t")[i].alias(n) for i, n in enumerate(names)])
     one = found.where("name is not null and start is not null").groupBy("_key", "name", "venue", "start").agg(F.min_by(F.struct(*names), "_at").alias("e"))
     return one.select(F.col("_key").alias(key), "e.*")
 

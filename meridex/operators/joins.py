@@ -35,8 +35,8 @@ def unmatched(left: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     return left.join(dim, on, "left_anti")
 
 
-#: A directory of so many keys is looked up in each text where it stands; a larger one by a join.
-INLINE_KEYS = 2_000
+#: So many aliases are tried on each text as they are, and so many keys of an index where the text stands; more by a join.
+INLINE_ALIASES, INLINE_KEYS = 64, 2_000
 _GRAM = 4
 
 
@@ -45,16 +45,22 @@ def alias_lookup(df: DataFrame, key: str, text: Column, directory: DataFrame, al
 
     An index on runs of four characters: a text that contains an alias has all its runs, so each alias is filed under the
     one that fewest aliases have (a shorter alias under itself). Distinct runs of texts meet the index by equal keys, and
-    only texts and aliases that met are compared. A small directory (at most `INLINE_KEYS` keys) prunes runs before they
-    become rows. Directories of any size work; null and empty texts and aliases match nothing.
+    only texts and aliases that met are compared. An index of at most `INLINE_KEYS` keys prunes runs before they become
+    rows; up to `INLINE_ALIASES` aliases need none. Directories of any size work; null and empty texts and aliases match
+    nothing.
     """
     known = directory.where(F.length(alias) > 0).select(F.col(alias).alias("_alias"), F.col(priority).alias("_priority"), F.col(code).alias("_code"))
+    rows = df.select(key, text.alias("_t")).where(F.length("_t") > 0)
+    few = known.limit(INLINE_ALIASES + 1).collect()
+    if len(few) <= INLINE_ALIASES:
+        found = F.array(*[F.when(F.contains("_t", F.lit(r._alias)), F.struct(F.lit(r._priority).alias("p"), F.lit(r._alias).alias("a"), F.lit(r._code).alias("c"))) for r in few]) if few else F.array()
+        met = rows.select(key, (F.array_min(F.array_compact(found)) if few else F.lit(None).cast("struct<c:string>")).alias("_m"))
+        return met.where("_m is not null").groupBy(key).agg(F.min("_m")["c"].alias(code))
     runs = known.select("_alias").distinct().select("_alias", F.explode(F.array_distinct(_runs(F.col("_alias"), F.least(F.length("_alias"), F.lit(_GRAM))))).alias("_k"))
     rarest = runs.join(runs.groupBy("_k").agg(F.count("*").alias("_n")), "_k").groupBy("_alias").agg(F.min(F.struct("_n", "_k"))["_k"].alias("_k"))
     index = cut(known.join(rarest, "_alias"))
     keys = [r[0] for r in index.select("_k").distinct().limit(INLINE_KEYS + 1).collect()]
     lengths = sorted({len(k) for k in keys}) if len(keys) <= INLINE_KEYS else range(1, _GRAM + 1)
-    rows = df.select(key, text.alias("_t")).where(F.length("_t") > 0)
     every = F.array_distinct(F.concat(*[_runs(F.col("_t"), F.lit(n)) for n in lengths])) if keys else F.array().cast("array<string>")
     if len(keys) <= INLINE_KEYS:
         met = rows.withColumn("_k", F.explode(F.array_intersect(every, F.array(*map(F.lit, keys)).cast("array<string>")))).join(F.broadcast(index), "_k")

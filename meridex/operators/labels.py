@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .records import global_rank
-from .tables import cut
+from .tables import cut, small
 
 
 def hash_number(*parts: Column, digits: int = 8) -> Column:
@@ -88,7 +88,7 @@ def stratified_sample(df: DataFrame, label: str, keys: list[str], n: int) -> Dat
     total = df.count()
     quota = share.withColumn("_q", F.round(F.col("_n") * n / F.lit(max(total, 1))).cast("long"))
     ranked = global_rank(df, [hash_number(*[F.col(k) for k in keys]), *map(F.col, keys)], "_r", [label])
-    return ranked.join(F.broadcast(quota), label).where("_r <= _q").drop("_r", "_q", "_n")  # one row for each class
+    return ranked.join(small(quota), label).where("_r <= _q").drop("_r", "_q", "_n")
 
 
 def first_active_window(days: DataFrame, months: list[int], horizon: int) -> DataFrame:

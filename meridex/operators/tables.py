@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,3 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, to be broadcast if it has no more than so many rows of a few values, and else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -87,8 +87,9 @@ def test_directories_of_any_size(spark, monkeypatch):
         hits = sorted((p, a, c) for a, p, c in rows if a and t and a in t)
         if hits:
             want[k] = hits[0][2]
-    for inline in (2_000, 3):
-        monkeypatch.setattr(J, "INLINE_KEYS", inline)
+    for aliases, keys in ((10_000, 2_000), (64, 2_000), (64, 3)):
+        monkeypatch.setattr(J, "INLINE_ALIASES", aliases)
+        monkeypatch.setattr(J, "INLINE_KEYS", keys)
         assert {r.k: r.code for r in J.alias_lookup(df, "k", F.col("t"), directory, "alias", "p", "code").collect()} == want
     assert J.alias_lookup(df, "k", F.col("t"), directory.where("false"), "alias", "p", "code").count() == 0
 
