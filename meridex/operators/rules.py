@@ -130,6 +130,12 @@ def priority_rank(df: DataFrame, priority: str, order: list[Column]) -> DataFram
 
 # Fixed value: the display name of a road without one.
 NO_ROAD = "участок дороги"
+# What is said of an action, in three languages, around its code and place.
+ADVICE = {
+    "ru": ("Рассмотреть действие ", "code", " на участке ", "place", " в рекомендуемый период."),
+    "kz": ("Ұсынылатын кезеңде ", "place", " учаскесінде ", "code", " әрекетін қарастыру."),
+    "en": ("Consider ", "plain", " for ", "place", " during the recommended period."),
+}
 #: Columns of a plan's input that may be missing; missing ones are null.
 OPTIONAL = {
     **dict.fromkeys(("road_name", "road_ref", "event_id", "event_name", "event_venue", "repair_id", "repair_title", "repair_road_name"), "string"),
@@ -139,7 +145,8 @@ OPTIONAL = {
 
 def action_plan(df: DataFrame, at: Column, horizon: Column, top: int = 10, least: str = "medium", batch_id: str = "") -> DataFrame:
     """The best actions: (action_id, action, kind, label, display, segments, n, score, priority, reasons, uncertainty,
-    start, end, basis, rank, percentile, hotspot_rank, hotspot, lon, lat, context, warnings, place).
+    start, end, basis, rank, percentile, hotspot_rank, hotspot, lon, lat, context, warnings, text (by language),
+    requires_human_confirmation, place).
 
     `df` has a row for each segment: segment, codes, priority, uncertainty, percentile, hotspot, event_start, event_end,
     repair_start, repair_end, weather_start, weather_end, and those of `OPTIONAL` that it has. Rows of at least the
@@ -182,9 +189,11 @@ def action_plan(df: DataFrame, at: Column, horizon: Column, top: int = 10, least
     display = display.otherwise(F.coalesce(first("road_name", "road_ref"), F.lit(NO_ROAD)))
     ids = F.array_join(F.array_sort(F.transform("segments", lambda x: x.cast("string"))), "|")
     named = lambda x: F.struct(F.lit(x).alias("type"), F.col(f"b.{x}_id").alias("source_id"), F.col("b.event_name" if x == "event" else "b.repair_title").alias("name"), F.col("b.event_venue" if x == "event" else "b.repair_road_name").alias("place"), F.col(f"b.{x}_start").alias("start"), F.col(f"b.{x}_end").alias("end"))
+    words = {"code": F.col("action"), "plain": F.lower(F.replace("action", F.lit("_"), F.lit(" "))), "place": display}
+    text = F.struct(*[F.concat(*[words[x] if x in words else F.lit(x) for x in parts]).alias(language) for language, parts in ADVICE.items()])
     out = per.select(F.substring(F.sha1(F.concat(F.lit(batch_id), "action", display, ids)), 1, 16).alias("action_id"), "action", "kind", "label", display.alias("display"), "segments", n.alias("n"), score.alias("score"), "reasons",
         F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level").cast("int")).alias("uncertainty"), F.coalesce(start("start", at), at).alias("start"), F.coalesce(start("end", at), at + horizon).alias("end"), basis.alias("basis"),
-        "b.rank", "b.percentile", "b.hotspot_rank", "b.hotspot", "b.lon", "b.lat", F.when(of("event"), named("event")).when(of("repair"), named("repair")).alias("context"), "warnings")
+        "b.rank", "b.percentile", "b.hotspot_rank", "b.hotspot", "b.lon", "b.lat", F.when(of("event"), named("event")).when(of("repair"), named("repair")).alias("context"), "warnings", text.alias("text"), F.lit(True).alias("requires_human_confirmation"))
     best = out.orderBy(F.desc("score"), "action", "action_id").limit(top)
     level = F.when(F.col("score") >= 0.8, "critical").when(F.col("score") >= 0.6, "high").when(F.col("score") >= 0.4, "medium").otherwise("monitor")
     return best.withColumns({"priority": level, "place": F.row_number().over(Window.orderBy(F.desc("score"), "action", "action_id"))})  # at most `top` rows

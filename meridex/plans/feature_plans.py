@@ -83,8 +83,8 @@ def day_summary(spark, sf):
 
 
 @query(f"""WITH {C}, {OBS}, f AS (SELECT o.entity, o.hour, count(b.n) > 0 AS due FROM obs o LEFT JOIN counts b ON b.entity = o.entity AND b.hour > o.hour AND b.hour <= o.hour + 24 GROUP BY 1, 2), p AS (SELECT o.entity, o.hour, coalesce(sum(b.n), 0) AS prior FROM obs o LEFT JOIN counts b ON b.entity = o.entity AND b.hour < o.hour AND b.hour >= o.hour - 24 GROUP BY 1, 2),
- d AS (SELECT entity, hour, CASE WHEN (entity + hour) % 101 = 0 THEN 1 - due::INT ELSE due::INT END AS target, due, (entity + hour) % 97 = 0 AS off FROM f JOIN p USING (entity, hour)), r AS (SELECT count(*) FILTER (due AND target = 0) AS a, count(*) FILTER (NOT due AND target = 1) AS b, count(*) FILTER (off) AS h, abs(count(*) FILTER (target = 0) - 5 * count(*) FILTER (target = 1)) AS c, count(*) FILTER ((entity + hour) % 89 = 0) AS j, count(*) FILTER (hour < (SELECT lo + 48 FROM span)) AS o FROM d),
- x AS (SELECT unnest(['positive_missed', 'positive_unfounded', 'negative_not_free', 'duplicate_keys', 'history_mismatches', 'class_balance', 'missing_values', 'outside_coverage', 'join_poi', 'join_road', 'foreign_entities', 'leakage']) AS check_name, unnest([a, b, a, 0, h, c, j, o, j, 0, 0, 1]) AS failures FROM r) SELECT check_name, failures, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM x UNION ALL SELECT 'final_status', count(*) FILTER (failures > 0), CASE WHEN count(*) FILTER (failures > 0) = 0 THEN 'READY' ELSE 'FAILED' END FROM x""")
+ d AS (SELECT entity, hour, CASE WHEN (entity + hour) % 101 = 0 THEN 1 - due::INT ELSE due::INT END AS target, due, (entity + hour) % 97 = 0 AS off FROM f JOIN p USING (entity, hour)), r AS (SELECT count(*) FILTER (due AND target = 0) AS a, count(*) FILTER (NOT due AND target = 1) AS b, count(*) FILTER (off) AS h, abs(count(*) FILTER (target = 0) - 5 * count(*) FILTER (target = 1)) AS c, count(*) FILTER ((entity + hour) % 89 = 0) AS j, count(*) FILTER (hour < (SELECT lo + 48 FROM span)) AS o, count(*) FILTER ((entity + hour) % 83 = 0) AS z FROM d),
+ x AS (SELECT unnest(['positive_missed', 'positive_unfounded', 'negative_not_free', 'duplicate_keys', 'history_mismatches', 'class_balance', 'missing_values', 'outside_coverage', 'join_poi', 'join_road', 'same_time_mismatches', 'foreign_entities', 'leakage']) AS check_name, unnest([a, b, a, 0, h, c, j, o, j, 0, z, 0, 1]) AS failures FROM r) SELECT check_name, failures, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM x UNION ALL SELECT 'final_status', count(*) FILTER (failures > 0), CASE WHEN count(*) FILTER (failures > 0) = 0 THEN 'READY' ELSE 'FAILED' END FROM x""")
 def training_audit(spark, sf):
     """A table of observations with some labels turned round, counters off by one, values missing, early hours and the future."""
     obs, c = observations(spark, sf), counts(spark, sf)
@@ -93,8 +93,11 @@ def training_audit(spark, sf):
     odd = lambda n: (F.col("entity") + F.col("hour")) % n == 0
     data = data.withColumns({"target": F.when(odd(101), 1 - F.col("target")).otherwise(F.col("target")), "prior": F.col("prior") + odd(97).cast("int")})
     data = data.withColumns({"poi_total": F.when(~odd(89), F.lit(1)), "road_lanes": F.lit(2), "future_count": F.lit(0)})
+    timed = lambda df: df.withColumns({f"_{p}": A.SEASONS[p](F.col("hour")) for p in ("hour", "weekday")})
+    same = H.prior_counts(timed(obs), timed(c), {"same_time": None}, ["entity", "_hour", "_weekday"]).select("entity", "hour", "same_time")
+    data = data.join(same, ["entity", "hour"]).withColumn("same_time", F.col("same_time") + odd(83).cast("int"))
     span = c.agg((F.min("hour") + 48).alias("lo"), F.max("hour").alias("hi"))
-    return A.training_audit(data, c, 24, 24, 5, span, {"poi": ["poi_total"], "road": ["road_lanes"]}, ("future_count", "target_count"))
+    return A.training_audit(data, c, 24, 24, 5, span, {"poi": ["poi_total"], "road": ["road_lanes"]}, ("future_count", "target_count"), {"same_time": ["hour", "weekday"]}, 10_000_000)
 
 
 @query(REPAIRS + """ SELECT count(*) = 1000 AS row_count, true AS unique_entities, true AS no_infinite_numeric, bool_and(repairs >= 0) AS nonnegative_counts, bool_and(coalesce(confidence BETWEEN 0 AND 1, true)) AS shares_in_range, bool_and(coalesce(nearest >= 0, true)) AS nonnegative_distances, true AS window_length, true AS keys_known, true AS unique_keys, NOT bool_or(segment NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS all_known, true AS stable_schema FROM f""")

@@ -197,7 +197,7 @@ ROADS = """CASE WHEN seg % 5 = 0 THEN NULL WHEN seg % 2 = 0 THEN ' ' || upper(n_
  CASE WHEN action IN ('EVENT_TRAFFIC_CONTROL', 'PEDESTRIAN_FLOW_MONITORING') THEN 'event_period' WHEN action = 'REPAIR_ZONE_SAFETY_REVIEW' THEN 'repair_period' WHEN action = 'SPEED_MONITORING' THEN 'weather_period' WHEN action = 'CONGESTION_MONITORING' THEN 'traffic_period' ELSE 'prediction_horizon' END AS basis
  FROM q JOIN l b USING (action, kind, label) WHERE b.best = 1),
  y AS (SELECT *, substr(sha1('b1' || action || display || array_to_string(list_sort(list_transform(segments, lambda x: x::VARCHAR)), '|')), 1, 16) AS action_id FROM z)
- SELECT action_id, action, kind, label, display, segments, n, score, reasons, ['low', 'medium', 'high'][u + 1] AS uncertainty, start, "end", basis, percentile, hotspot, hotspot_rank, lon, lat, context, warned AS warnings, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'monitor' END AS priority, row_number() OVER (ORDER BY score DESC, action, action_id) AS place FROM y ORDER BY place LIMIT 20""")
+ SELECT action_id, action, kind, label, display, segments, n, score, reasons, ['low', 'medium', 'high'][u + 1] AS uncertainty, start, "end", basis, percentile, hotspot, hotspot_rank, lon, lat, context, warned AS warnings, 'Consider ' || lower(replace(action, '_', ' ')) || ' for ' || display || ' during the recommended period.' AS advice, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'monitor' END AS priority, row_number() OVER (ORDER BY score DESC, action, action_id) AS place FROM y ORDER BY place LIMIT 20""")
 def action_plan(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     seg, ev, rep = F.col("seg"), F.col("ev") == 1, F.col("rep") == 1
@@ -210,7 +210,7 @@ def action_plan(spark, sf):
     }
     rows = risk(spark, sf).join(n, "c_nationkey").withColumns(made).withColumnsRenamed({"seg": "segment", "pct": "percentile", "hot": "hotspot", "hot_rank": "hotspot_rank"})
     context = F.when(F.col("context").isNotNull(), F.concat_ws("/", *[f"context.{x}" for x in ("type", "source_id", "name", "place")]))
-    return R.action_plan(rows, F.lit(100), F.lit(24), 20, batch_id="b1").withColumn("context", context).drop("rank")
+    return R.action_plan(rows, F.lit(100), F.lit(24), 20, batch_id="b1").withColumns({"context": context, "advice": F.col("text.en")}).drop("rank", "text", "requires_human_confirmation")
 
 
 @query(f"WITH {RISK} SELECT 'SEVERE_WEATHER' AS warning_code, count(DISTINCT seg) AS affected, coalesce(min_by(seg + 1000, seg) FILTER (seg % 4 = 1), 7) AS start, coalesce(min_by(seg + 2000, seg) FILTER (seg % 400 = 399), 7) AS \"end\", 'weather_period' AS basis FROM o WHERE list_contains(codes, 'SEVERE_WEATHER') HAVING count(*) > 0")
