@@ -4,13 +4,14 @@ A document is contaminated by an item if one of its windows of as many words as
 is shorter) has a weighted similarity of at least `SIMILARITY` with the item: over 5-word shingles, sum of the lesser
 counts over sum of the greater counts.
 
-1. A window that similar shares at least one shingle with the item, so only windows around shared shingles count.
+1. A window of w shingles that similar to an item of as many shares w * 8 / 9 of them at least, counted with repeats. So
+   only windows that hold so many places of shingles of one item count; nothing similar is lost.
 2. Every such window gets a 64-bit SimHash, which is looked up in a multi-index of the items of that length. It cuts
    fingerprints into eight blocks of eight bits; two fingerprints within `RADIUS` = 24 bits agree in some block to 3
    bits (24 / 8). For each block and each of its 256 values a table holds the items that near, so eight look-ups give
    all fingerprints within the radius; their distance is checked. At the threshold two fingerprints differ in about 10
    bits, 24 being five standard deviations above that.
-3. The exact weighted similarity decides.
+3. The exact weighted similarity decides, for pairs that have that many places in common.
 
 Items are read in blocks of at most `ITEM_BLOCK_BYTES` of text, a proven bound for what is sent to the executors;
 more items mean more passes over the documents, each written before the next. Memory of a task follows its longest text.
@@ -22,6 +23,7 @@ of equal keys are items of their own; a null key is reported as null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +84,22 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(len(a) + len(b) - common, 1)
 
 
+def least_common(wide: int, bag: int) -> int:
+    """Shingles that a window of `wide` must share with an item of `bag` to be similar: c / (wide + bag - c) >= SIMILARITY."""
+    return max(1, math.ceil(SIMILARITY / (1 + SIMILARITY) * (wide + bag) - 1e-9))
+
+
+def crowded(spot: np.ndarray, of: np.ndarray, need: int, wide: int, last: int) -> np.ndarray:
+    """Starts of the windows, 0 to `last`, that hold `need` spots of one item; spots are sorted by item and place."""
+    j = np.arange(len(spot) - need + 1)
+    lo, hi = np.maximum(spot[j + need - 1] - wide + 1, 0), np.minimum(spot[j], last)
+    held = (of[j] == of[j + need - 1]) & (lo <= hi)
+    edge = np.zeros(last + 2, np.int64)
+    np.add.at(edge, lo[held], 1)
+    np.add.at(edge, hi[held] + 1, -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
 class ItemIndex:
     """Shingles, lengths and SimHashes of a block of items."""
 
@@ -122,23 +140,27 @@ class ItemIndex:
         number = self.first[at + 1] - self.first[at]
         position = np.repeat(hits, number)
         owner = self.owner[np.repeat(self.first[at] - (np.cumsum(number) - number), number) + np.arange(number.sum())]
+        order = np.lexsort((position, owner))
+        position, owner = position[order], owner[order]
         hashes = mix(values ^ np.uint64(0x5851F42D4C957F2D))
         best: dict[int, tuple] = {}
         for length in np.unique(self.length[owner]).tolist():
-            spots = np.unique(position[self.length[owner] == length])
             size = min(length, n_words)
             wide = max(size - SHINGLE + 1, 1)  # shingles of a window
-            last = len(values) - wide
-            edge = np.zeros(last + 2, np.int32)  # windows that hold one of the spots
-            np.add.at(edge, np.clip(spots - wide + 1, 0, last), 1)
-            np.add.at(edge, np.clip(spots, 0, last) + 1, -1)
-            steps = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            mine = self.length[owner] == length
+            spot, of = position[mine], owner[mine]
+            need = least_common(wide, max(length - SHINGLE + 1, 1))
+            steps = crowded(spot, of, need, wide, len(values) - wide)
             prints = fingerprints(values, steps, wide, hashes)
             items, tables = self.index[length]
+            place = of * (len(values) + 1) + spot  # ascends, as items do and spots of each
             many = max(1, (1 << 22) // len(items))
             for lo in range(0, len(steps), many):
-                found = tables.within_radius(prints[lo : lo + many])
-                for s, i in zip(steps[lo:][found[0]].tolist(), items[found[1]].tolist(), strict=True):
+                query, found = tables.within_radius(prints[lo : lo + many])
+                step, item = steps[lo:][query], items[found]
+                begin = item * (len(values) + 1) + step
+                enough = np.searchsorted(place, begin + wide) - np.searchsorted(place, begin) >= need
+                for s, i in zip(step[enough].tolist(), item[enough].tolist(), strict=True):
                     if i in best and best[i][1] == 1.0:
                         continue
                     got = weighted_similarity(values[s : s + wide], self.bag[i])
