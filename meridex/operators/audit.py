@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .records import even_sample
+from .history import prior_counts
 from .tables import cut
 
 
@@ -83,7 +83,7 @@ def rank_contract(df: DataFrame, key: list[str], score: str, rank: str) -> DataF
 SEASONS = {"hour": lambda h: F.pmod(h, F.lit(24)), "weekday": lambda h: F.pmod(F.floor(h / 24) + 3, F.lit(7))}
 
 
-def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int, ratio: int, coverage: DataFrame | None = None, joined: dict[str, list[str]] | None = None, forbidden: tuple[str, ...] = (), seasonal: dict[str, list[str]] | None = None, sample: int = 100_000) -> DataFrame:
+def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int, ratio: int, coverage: DataFrame | None = None, joined: dict[str, list[str]] | None = None, forbidden: tuple[str, ...] = (), seasonal: dict[str, list[str]] | None = None) -> DataFrame:
     """(check_name, failures, status) of a training table (entity, hour, target, prior, ...), recounted from hourly events.
 
     Positive keys are rebuilt from `counts` (entity, hour, n) within the table's hours and entities; `prior` is compared
@@ -91,8 +91,8 @@ def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int
     hours at once. `coverage` (lo, hi) are the hours for which features exist; `joined` names columns that each feature
     table brought, none of which may be null; `forbidden` are columns that tell the future. Missing values are looked for
     in all columns, entities must have events. `seasonal` (column -> parts of the hour, of `SEASONS`) are counters of
-    earlier events in hours that agree in those parts; `sample` rows, evenly spaced, are recounted by a self-join. The
-    last row says READY or FAILED. The table is written once.
+    earlier events in hours that agree in those parts; all rows are recounted, by running sums in ranges of time, as a
+    self-join would meet each row with its whole past. The last row says READY or FAILED. The table is written once.
     """
     data = cut(data)
     spans = data.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
@@ -119,11 +119,10 @@ def training_audit(data: DataFrame, counts: DataFrame, horizon: int, window: int
         *[n(missing(columns) if columns else F.lit(True)).alias(f"join_{name}") for name, columns in (joined or {}).items()],
     )
     for name, parts in (seasonal or {}).items():
-        season = lambda c, parts=parts: [SEASONS[p](F.col(c)).alias(f"_{p}") for p in parts]
-        rows = even_sample(data.select("entity", "hour", name), ["entity", "hour"], sample).select("*", *season("hour"))
-        events = counts.select("entity", F.col("hour").alias("at"), "n", *season("hour"))
-        before = rows.join(events, ["entity", *[f"_{p}" for p in parts]]).where("at < hour").groupBy("entity", "hour").agg(F.sum("n").alias("again"))
-        wrong = rows.join(before, ["entity", "hour"], "left").agg(n(F.col(name) != F.coalesce("again", F.lit(0))).alias(f"{name}_mismatches"))
+        season = [SEASONS[p](F.col("hour")).alias(f"_{p}") for p in parts]
+        asked = data.where("entity is not null and hour is not null").select("entity", "hour", *season).distinct()
+        again = prior_counts(asked, counts.select("entity", "hour", "n", *season), {"again": None}, ["entity", *[f"_{p}" for p in parts]]).select("entity", "hour", "again")
+        wrong = data.select("entity", "hour", name).join(again, ["entity", "hour"], "left").agg(n(F.col(name) != F.coalesce("again", F.lit(0))).alias(f"{name}_mismatches"))
         rest = rest.crossJoin(wrong)  # one row each
     foreign = data.select("entity").distinct().join(counts.select("entity").distinct(), "entity", "left_anti").agg(F.count("*").alias("foreign_entities"))
     one = labels.crossJoin(history).crossJoin(rest).crossJoin(foreign).withColumn("leakage", F.lit(len(set(forbidden) & set(data.columns))).cast("long"))  # one row each

@@ -97,7 +97,7 @@ def training_audit(spark, sf):
     same = H.prior_counts(timed(obs), timed(c), {"same_time": None}, ["entity", "_hour", "_weekday"]).select("entity", "hour", "same_time")
     data = data.join(same, ["entity", "hour"]).withColumn("same_time", F.col("same_time") + odd(83).cast("int"))
     span = c.agg((F.min("hour") + 48).alias("lo"), F.max("hour").alias("hi"))
-    return A.training_audit(data, c, 24, 24, 5, span, {"poi": ["poi_total"], "road": ["road_lanes"]}, ("future_count", "target_count"), {"same_time": ["hour", "weekday"]}, 10_000_000)
+    return A.training_audit(data, c, 24, 24, 5, span, {"poi": ["poi_total"], "road": ["road_lanes"]}, ("future_count", "target_count"), {"same_time": ["hour", "weekday"]})
 
 
 @query(REPAIRS + """ SELECT count(*) = 1000 AS row_count, true AS unique_entities, true AS no_infinite_numeric, bool_and(repairs >= 0) AS nonnegative_counts, bool_and(coalesce(confidence BETWEEN 0 AND 1, true)) AS shares_in_range, bool_and(coalesce(nearest >= 0, true)) AS nonnegative_distances, true AS window_length, true AS keys_known, true AS unique_keys, NOT bool_or(segment NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS all_known, true AS stable_schema FROM f""")

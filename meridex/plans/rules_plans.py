@@ -9,6 +9,7 @@ from ..operators import context as X
 from ..operators import models as MO
 from ..operators import records as RC
 from ..operators import rules as R
+from ..operators.tables import cut
 from .registry import query, table
 
 I = """i AS (SELECT o_orderkey AS id, o_custkey AS seg, epoch_us(o_orderdate) // 86400000000 AS s, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE epoch_us(o_orderdate) // 86400000000 + floor(o_totalprice / 50000)::BIGINT END AS e, o_orderkey % 14 = 0 AS open_end, CASE o_orderstatus WHEN 'F' THEN 'full' WHEN 'O' THEN 'partial' ELSE 'other' END AS kind, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 500)::DOUBLE END AS d, o_totalprice AS w FROM orders)"""
@@ -208,7 +209,7 @@ def action_plan(spark, sf):
         "event_venue": F.when(ev & (seg % 4 == 0), F.concat(F.lit("Hall "), seg % 7)), "event_name": F.when(ev, F.concat(F.lit("Gig "), seg % 7)), "repair_title": F.when(rep & (seg % 2 == 0), F.concat(F.lit("Works "), seg % 5)),
         "lon": seg / 10, "lat": seg / 20, "warnings": F.when(seg % 3 == 0, F.array(F.lit("old"), F.lit("far"))).when(seg % 13 == 0, F.array(F.lit("no weather"))),
     }
-    rows = risk(spark, sf).join(n, "c_nationkey").withColumns(made).withColumnsRenamed({"seg": "segment", "pct": "percentile", "hot": "hotspot", "hot_rank": "hotspot_rank"})
+    rows = cut(risk(spark, sf)).join(n, "c_nationkey").withColumns(made).withColumnsRenamed({"seg": "segment", "pct": "percentile", "hot": "hotspot", "hot_rank": "hotspot_rank"})
     context = F.when(F.col("context").isNotNull(), F.concat_ws("/", *[f"context.{x}" for x in ("type", "source_id", "name", "place")]))
     return R.action_plan(rows, F.lit(100), F.lit(24), 20, batch_id="b1").withColumns({"context": context, "advice": F.col("text.en")}).drop("rank", "text", "requires_human_confirmation")
 
