@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -140,10 +142,13 @@ def in_batches(spark, df, name, number=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
-def landed(spark, stream, name):
+def landed(spark, stream, name, rocksdb=False):
     """What a stream has written when all its input is read."""
     at = folder(spark, name)
-    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True)
+    with ST.state_in_rocksdb(spark) if rocksdb else nullcontext():
+        started = writer.start()
+    started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
@@ -202,11 +207,12 @@ def stream_prior_counters(spark, sf):
     """Counters at arrival over five micro-batches, each a part of the time; they equal those of the batch."""
     at, c = folder(spark, "counted"), H.event_counts(table(spark, sf, "events"), "user_id", "ts")
     span = c.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).first()
-    for k in range(5 if span.lo is not None else 0):
-        edge = lambda i: span.lo + (span.hi + 1 - span.lo) * i // 5
+    lo, hi = span if span.lo is not None else (0, 0)  # without events, all parts are empty
+    for k in range(5):
+        edge = lambda i: lo + (hi + 1 - lo) * i // 5
         c.where((F.col("hour") >= edge(k)) & (F.col("hour") < edge(k + 1))).coalesce(1).write.mode("append").parquet(f"{at}/in")
     stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    return landed(spark, ST.prior_counters(stream), "counters")
+    return landed(spark, ST.prior_counters(stream), "counters", rocksdb=True)
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS c_name, 1 AS created_at, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS updated_at FROM customer")

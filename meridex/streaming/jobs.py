@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -15,6 +17,24 @@ from ..sources.commits import write_batch_chunks
 from ..sources.sinks import upsert_table
 
 HOUR = 3600
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_starting = threading.Lock()
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, whatever the session is set to.
+
+    Map states and timers need it: Spark's default provider refuses them. A stream copies the session's settings when it
+    starts, so the session gets its own back and other streams don't notice.
+    """
+    with _starting:
+        before = spark.conf.get(PROVIDER)
+        spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            yield
+        finally:
+            spark.conf.set(PROVIDER, before)
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], hash_column: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -184,7 +204,8 @@ COUNTER_WINDOWS = {"prior_24h": 24, "prior_7d": 168, "prior_30d": 720}
 def prior_counters(hourly: DataFrame, windows: dict[str, int] | None = None, late_hours: int = 24) -> DataFrame:
     """The stateful twin of the batch counters over a stream of (entity, hour, n), hours being counted from 1970.
 
-    Rows more than `late_hours` behind the latest hour of all entities are dropped; see `PriorCounters` for late ones.
+    Rows more than `late_hours` behind the latest hour of all entities are dropped; see `PriorCounters` for late ones. The
+    stream is to be started within `state_in_rocksdb`.
     """
     windows = COUNTER_WINDOWS if windows is None else windows
     out = f"entity {hourly.schema['entity'].dataType.simpleString()}, hour long, n long, prior_total long, {', '.join(f'{w} long' for w in windows)}, hours_since_prev double"
