@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packed import EliasFano, pack_sorted, pack_values, unpack_sorted, unpack_values
+from .packed import Distinct, EliasFano, distinct, pack_sorted, pack_values, unpack_sorted, unpack_values
 from .textops import chunks, mix, text_buffers, words
 
 DISCOUNT = 0.75
@@ -79,15 +79,19 @@ class Trie:
             out.write(codes.tobytes())
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of the pairs, `_ABSENT` for those that aren't there."""
-        row, seen = self.words.successor(context)
-        name, known = self.names.successor(successor)
-        ask = np.flatnonzero(seen & known)
-        row, name = row[ask], name[ask]
-        begin, end = self.pointers.at(row).astype(np.int64), self.pointers.at(row + 1).astype(np.int64)
-        at, found = self.successors.successor(row.astype(np.uint64) * np.uint64(max(self.names.number, 1)) + name.astype(np.uint64))
-        found &= (at >= begin) & (at < end)
+        """Codes of the pairs, `_ABSENT` for those that aren't there; fastest where pairs of a context stand together."""
         out = np.full(len(context), _ABSENT, np.uint8)
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        run = np.cumsum(new) - 1
+        row, seen = self.words.successor(context[new])  # once for each run of a context
+        ask = np.flatnonzero(seen[run])
+        row, run = row[seen], (np.cumsum(seen) - 1)[run[ask]]
+        begin, end = self.pointers.at(row).astype(np.int64), self.pointers.at(row + 1).astype(np.int64)
+        name, known = self.names.successor(successor[ask])
+        ask, run, name = ask[known], run[known], name[known]
+        at, found = self.successors.successor(row[run].astype(np.uint64) * np.uint64(max(self.names.number, 1)) + name.astype(np.uint64))
+        found &= (at >= begin[run]) & (at < end[run])
         out[ask[found]] = self.codes[at[found]]
         return out
 
@@ -138,13 +142,14 @@ class Request:
 
         Contexts that the shard owns come first, then spread ones by hash; those without a pair are asked for all the same.
         """
-        orders = [np.argsort(x, kind="stable") for x in (self.word_shard, self.pair_shard, self.wide_shard)]
+        narrow = np.min_scalar_type(shards)  # up to two bytes are sorted by their digits
+        orders = [np.argsort(x.astype(narrow), kind="stable") for x in (self.word_shard, self.pair_shard, self.wide_shard)]
         edges = [np.searchsorted(x[o], np.arange(shards + 1)) for x, o in zip((self.word_shard, self.pair_shard, self.wide_shard), orders, strict=True)]
         for s in range(shards):
             w, p, x = (o[e[s] : e[s + 1]] for o, e in zip(orders, edges, strict=True))
             if not len(w) + len(p) + len(x):
                 continue
-            heads = np.union1d(self.context[p], self.wide[x])
+            heads = distinct(np.concatenate([self.context[p], self.wide[x]]))
             owned = np.isin(heads, w)
             far = heads[~owned]
             heads = np.concatenate([heads[owned], far[np.argsort(self.hash[far], kind="stable")]])
@@ -170,7 +175,7 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discoun
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a task: how many training tokens there are, in which buckets tokens are, and the distinct training words."""
-        buckets, number, held = np.zeros(BUCKETS, np.int64), 0, np.zeros(0, np.uint64)
+        buckets, number, found = np.zeros(BUCKETS, np.int64), 0, Distinct()
         for whole in batches:
             for batch in chunks(whole):
                 tokens, starts = tokens_of(*text_buffers(batch.column("text")))
@@ -178,7 +183,8 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discoun
                 word = tokens >> np.uint64(64 - word_bits)
                 buckets += np.bincount((mix(word) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 number += int(flag.sum())
-                held = np.union1d(held, word[flag])
+                found.add(word[flag])
+        held = found.all()
         shard = (mix(held) >> np.uint64(33)).astype(np.int64) % shards
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -191,7 +197,7 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id", discoun
         parts = table.column("packed").to_pylist()
         if table.column("shard")[0].as_py() < 0:
             return pa.table({"number": pa.array([0], pa.int64()), "packed": pa.array([pack_values(sum(unpack_values(p) for p in parts))], pa.binary())})
-        held = np.unique(np.concatenate([unpack_sorted(p) for p in parts]))
+        held = distinct(np.concatenate([unpack_sorted(p) for p in parts]))
         return pa.table({"number": pa.array([len(held)], pa.int64()), "packed": pa.array([None], pa.binary())})
 
     found = docs.select("text", "train").mapInArrow(survey, "shard long, packed binary").groupBy("shard").applyInArrow(gather, "number long, packed binary")
