@@ -35,19 +35,28 @@ MIN_DOCS = 3
 COPIES = 0.8
 #: Tables of words or lines of leaves are broadcast up to this many rows (about 10 MB).
 WORD_ROWS = 100_000
-_BLANKS = r"[\\x20\\x09\\x0B\\x0C\\x0D]+"
-_MASK = r"if({0} rlike '[0-9]', regexp_replace({0}, '[^\\x20\\x09\\x0B\\x0C\\x0D]*[0-9][^\\x20\\x09\\x0B\\x0C\\x0D]*', '<*>'), {0})"
-_WORDS = f"array_remove(split({_MASK}, '{_BLANKS}'), '')"
+_BLANK = r"\\x20\\x09\\x0B\\x0C\\x0D"
+#: Words with a digit, each tried from its beginning alone, without going back.
+_VARIABLE = f"(?<![^{_BLANK}])[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+"
+_MASK = rf"if({{0}} rlike '[0-9\\x09\\x0B\\x0C\\x0D]', regexp_replace(regexp_replace({{0}}, '{_VARIABLE}', '<*>'), '[{_BLANK}]+', ' '), {{0}})"
+_NORMAL = "trim(if(contains({0}, '  '), regexp_replace({0}, ' +', ' '), {0}))"
+
+
+def _normal(lines: DataFrame, raw: str, *others: str) -> DataFrame:
+    """(others, normal): the words of the column `raw`, masked, with one blank between them."""
+    masked = lines.select(*others, F.expr(_MASK.format(raw)).alias("masked"))
+    return masked.select(*others, F.expr(_NORMAL.format("masked")).alias("normal"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(doc, print, pos, n, leaf, line, fixed) for each line that has words; leaf and line are hashes."""
     one = rows.select("doc", "print", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    words = one.select("doc", "print", "pos", F.expr(_WORDS.format("raw")).alias("w")).where("size(w) > 0")
-    leaf = f"xxhash64(size(w), array_join(slice(w, 1, {LEAD}), ' '))"
-    return words.select(
-        "doc", "print", "pos", F.expr("cast(size(w) as int)").alias("n"), F.expr(leaf).alias("leaf"), F.expr("xxhash64(array_join(w, ' '))").alias("line"), F.expr("exists(w, x -> x <> '<*>')").alias("fixed")
-    )
+    one = one.where(f"raw rlike '[^{_BLANK}]'")  # a condition on the words would have them made twice
+    words = _normal(one, "raw", "doc", "print", "pos")
+    words = words.withColumn("n", F.expr("cast(1 + octet_length(normal) - octet_length(replace(normal, ' ', '')) as int)"))
+    leaf = f"xxhash64(n, substring_index(normal, ' ', {LEAD}))"
+    fixed = "not (startswith(normal, '<*>') and normal = rtrim(repeat('<*> ', n)))"
+    return words.select("doc", "print", "pos", "n", F.expr(leaf).alias("leaf"), F.xxhash64("normal").alias("line"), F.expr(fixed).alias("fixed"))
 
 
 def _words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -55,7 +64,7 @@ def _words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
     per = lines.groupBy(F.col("at.doc").alias("own"), F.col("at.print").alias("own_print")).agg(F.collect_list(F.struct("at.pos", "leaf", "line", "docs")).alias("wanted"))
     found = rows.join(per, F.col("doc").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))).select("wanted", F.split("text", "\n").alias("all"))
     one = found.select(F.explode(F.expr("transform(wanted, x -> struct(x.leaf, x.line, x.docs, all[x.pos] as raw))")).alias("x"))
-    words = one.select("x.leaf", "x.line", "x.docs", F.expr(_WORDS.format("x.raw")).alias("w"))
+    words = _normal(one.select("x.*"), "raw", "leaf", "line", "docs").select("leaf", "line", "docs", F.split("normal", " ").alias("w"))
     return words.dropDuplicates(["leaf", "line"])
 
 
