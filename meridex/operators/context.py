@@ -128,13 +128,15 @@ def repair_features(matched: DataFrame, start: Column) -> DataFrame:
     return out.select("*", F.col("p.id").alias("source_id"), F.col("p.valid_from").alias("repair_start"), F.col("p.valid_to").alias("repair_end")).drop("p")
 
 
-def event_features(matched: DataFrame, start: Column, end: Column) -> DataFrame:
+def event_features(matched: DataFrame, start: Column, end: Column, order: str | None = None) -> DataFrame:
     """The venue events matched to each segment within [start, end) (epoch seconds), as one row; an event counts once.
 
     `matched`: segment, id, distance, confidence, valid_from, valid_to, event_type, severity, intensity, venue. Of rows
-    that repeat an event at a segment the nearest counts.
+    that repeat an event at a segment the nearest counts, of equally near ones the earliest, then the first by the column
+    `order`, and then by what they hold, so that no tie is left to the order in which rows arrive.
     """
-    best = F.min_by(F.struct("distance", "confidence", "valid_from", "valid_to", "event_type", "severity", "intensity", "venue"), F.struct(F.coalesce("distance", F.lit(float("inf"))), "valid_from"))
+    row = F.struct("distance", "confidence", "valid_from", "valid_to", "event_type", "severity", "intensity", "venue")
+    best = F.min_by(row, F.struct(F.coalesce("distance", F.lit(float("inf"))), "valid_from", *([order] if order else []), row.alias("row")))
     m = matched.groupBy("segment", "id").agg(best.alias("b")).select("segment", "id", "b.*")
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     major, kind, v = F.col("severity") >= 4, F.col("event_type"), F.coalesce("intensity", F.lit(0.0))

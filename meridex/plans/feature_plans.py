@@ -21,7 +21,7 @@ def matched(spark, sf):
     k = F.col("o_orderkey")
     of = lambda some, i: F.array(*map(F.lit, some))[i.cast("int")]
     return table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("segment"), F.concat(F.lit("i"), k % 1500).alias("id"), F.when(k % 11 > 0, (k % 2500).cast("double")).alias("distance"), ((k % 26) / 25).alias("confidence"),
+        k.alias("record"), F.col("o_custkey").alias("segment"), F.concat(F.lit("i"), k % 1500).alias("id"), F.when(k % 11 > 0, (k % 2500).cast("double")).alias("distance"), ((k % 26) / 25).alias("confidence"),
         F.when(k % 6 > 0, START + (k % 97 - 40) * 1800).alias("valid_from"), F.when(k % 7 > 0, START + k % 200 * 1800).alias("valid_to"), of(("bridge_repair", "road_repair", "large_concert", "football_match", "festival"), k % 5).alias("event_type"),
         of(("critical", "high", "medium", "low", "unknown"), F.floor(k / 3) % 5).alias("severity"), of(("full_closure", "partial_closure", "lane_narrowing", "intersection_closure", None), F.floor(k / 7) % 5).alias("restriction"),
         (k % 8 == 0).alias("open_end"), (1 + k % 5).alias("level"), F.when(k % 4 > 0, (k % 75) / 10).alias("intensity"), of(("Astana Arena", "Hall", None), k % 3).alias("venue"),
@@ -44,7 +44,7 @@ def repair_features(spark, sf):
  round(sum(coalesce(intensity, 0)), 3)::DOUBLE AS intensity_sum, max(coalesce(intensity, 0)) AS intensity_max, min(distance) AS nearest, round(min(greatest((valid_from - {START}) / 3600, 0)), 6) AS hours_until_start, coalesce(max((valid_to >= {START} AND valid_to < {START} + 86400 AND level >= 4)::INT), 0) AS outflow_risk, max(confidence) AS confidence, any_value(id) FILTER (r = 1) AS source_id FROM w GROUP BY 1""")
 def event_features(spark, sf):
     m = matched(spark, sf).drop("severity").withColumnRenamed("level", "severity")
-    got = X.event_features(m, F.lit(START), F.lit(START + 86400))
+    got = X.event_features(m, F.lit(START), F.lit(START + 86400), "record")
     return got.withColumns({"intensity_sum": F.round("intensity_sum", 3), "hours_until_start": F.round("hours_until_start", 6)}).drop("venue", "event_start", "event_end")
 
 

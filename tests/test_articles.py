@@ -101,3 +101,15 @@ def test_contracts(spark):
     a, b = (R.history_hash(df.withColumn("at", F.lit(i)), ["k"], ["at"]).orderBy("k").collect() for i in (1, 2))
     assert [r.content_hash for r in a] == [r.content_hash for r in b] and a[0].content_hash != a[1].content_hash
     assert AU.reconstruction_audit(df, df, ["k", "v"]).first().equal
+
+
+def test_equally_near_rows_of_an_event_leave_no_choice(spark):
+    """Rows of one event that agree in distance and start: the first by `order` counts, else the least, however they arrive."""
+    names = "record int, segment string, id string, distance double, confidence double, valid_from long, valid_to long, event_type string, severity int, intensity double, venue string"
+    rows = [(k, "s", "e", 100.0, (k * 7 % 20) / 20, None, START + 60 * k, "festival", k % 5, float(k), "Hall") for k in range(1, 20)]
+    for dealt in (rows, rows[::-1], rows[7:] + rows[:7]):
+        df = spark.createDataFrame(dealt, names).repartition(3)
+        r = X.event_features(df, F.lit(START), F.lit(START + 86400), "record").first()
+        assert (r.events, r.confidence, r.intensity_sum, r.event_end) == (1, 0.35, 1.0, START + 60)
+        r = X.event_features(df.drop("record"), F.lit(START), F.lit(START + 86400)).first()
+        assert (r.events, r.confidence, r.intensity_sum) == (1, 0.05, 3.0)
