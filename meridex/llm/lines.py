@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import salted, small, stored
+from .shared import large, salted, small, stored
 
 LEAD = 3
 MIN_DOCS = 3
@@ -62,7 +62,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 def _words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(leaf, line, docs, w) of `lines` (leaf, line, docs, at: doc, print and pos of one of each)."""
     per = lines.groupBy(F.col("at.doc").alias("own"), F.col("at.print").alias("own_print")).agg(F.collect_list(F.struct("at.pos", "leaf", "line", "docs")).alias("wanted"))
-    found = rows.join(per, F.col("doc").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))).select("wanted", F.split("text", "\n").alias("all"))
+    found = rows.join(large(per), F.col("doc").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))).select("wanted", F.split("text", "\n").alias("all"))
     one = found.select(F.explode(F.expr("transform(wanted, x -> struct(x.leaf, x.line, x.docs, all[x.pos] as raw))")).alias("x"))
     words = _normal(one.select("x.*"), "raw", "leaf", "line", "docs").select("leaf", "line", "docs", F.split("normal", " ").alias("w"))
     return words.dropDuplicates(["leaf", "line"])
@@ -87,19 +87,19 @@ def templates(rows: DataFrame, seen: DataFrame, min_docs: int = MIN_DOCS) -> Dat
     same = salted(words, stored(shape, "shapes"), ["template", "place", "word"], "line", rows=WORD_ROWS).groupBy("template", "line").agg(F.count("*").alias("same"), F.first("n").alias("n"))
     members = stored(same.where(f"2 * same > n - {LEAD}").select("line", "template"), "members")
     support = salted(seen.select("line", "doc"), members, "line", "doc").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-    recurring = members.join(support.where(F.col("docs") >= min_docs), "template").select("line", "template")
+    recurring = members.join(large(support.where(F.col("docs") >= min_docs)), "template").select("line", "template")
     return stored(alone.union(recurring).distinct(), "templates")
 
 
 def _without_copies(seen: DataFrame, found: DataFrame, copies: float, min_docs: int) -> DataFrame:
     """`found` again, where the documents of which so large a share recurs count as one for each template."""
     gone = salted(seen, found.select("line").distinct(), "line", "doc").groupBy(F.col("doc").alias("copy")).agg(F.sum("n").alias("gone"))
-    mostly = seen.groupBy("doc").agg(F.sum("n").alias("words")).join(gone, F.col("doc").eqNullSafe(F.col("copy"))).where(F.col("gone") >= copies * F.col("words"))
+    mostly = seen.groupBy("doc").agg(F.sum("n").alias("words")).join(large(gone), F.col("doc").eqNullSafe(F.col("copy"))).where(F.col("gone") >= copies * F.col("words"))
     mostly = stored(mostly.select("copy"), "mostly-recurring")
     having = salted(seen.select("line", "doc"), found, "line", "doc").select("template", "doc").distinct()
     having = having.join(small(mostly.withColumn("one", F.lit(True))), F.col("doc").eqNullSafe(F.col("copy")), "left")
     having = having.groupBy("template").agg(F.count(F.when(F.col("one").isNull(), 1)).alias("docs"), F.max(F.coalesce("one", F.lit(False))).cast("int").alias("more"))
-    return stored(found.join(having.where(F.col("docs") + F.col("more") >= min_docs).select("template"), "template", "left_semi"), "templates")
+    return stored(found.join(large(having.where(F.col("docs") + F.col("more") >= min_docs).select("template")), "template", "left_semi"), "templates")
 
 
 def drop_recurring(df: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS, counts: bool = False, copies: float | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS,
         found = _without_copies(seen, found, copies, min_docs)
     lost = salted(seen.select("doc", "print", "pos", "line"), found.select("line").distinct(), "line", "doc")
     per = lost.groupBy(F.col("doc").alias("own"), F.col("print").alias("own_print")).agg(F.collect_set("pos").alias("lost"))
-    out = rows.join(per, F.col("doc").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print")), "left").withColumn("all", F.split("text", "\n"))
+    out = rows.join(large(per), F.col("doc").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print")), "left").withColumn("all", F.split("text", "\n"))
     kept = "array_join(transform(array_except(sequence(0, size(all) - 1), lost), i -> all[i]), '\n')"
     out = out.withColumn("new", F.expr(f"if(lost is null, row.text, {kept})"))
     made = {c: F.col("row").getField(c).alias(c) for c in df.columns} | {"text": F.col("new").alias("text")}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packed import pack_sorted, pack_values, unpack_sorted, unpack_values
-from .shared import BROADCAST_ROWS, connected_components, key_ranges, salted, small, stored
+from .shared import BROADCAST_ROWS, connected_components, key_ranges, large, salted, small, stored
 from .textops import chunks, distinct_per_text, mix, shingles, text_buffers, words
 
 BLOCK_BYTES = 4 << 20
@@ -184,13 +184,13 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of ids whose sets link; many pairs may share their a."""
     spark = sets.sparkSession
     pairs = stored(pairs, "pairs")
-    near = F.broadcast if 2 * pairs.count() <= BROADCAST_ROWS else lambda d: d  # no more leaders than pairs
+    near = F.broadcast if 2 * pairs.count() <= BROADCAST_ROWS else large  # no more leaders than pairs
     blocks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
     number = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     of = F.pmod(F.xxhash64("a", "part"), F.lit(blocks)).alias("block")
     some = pairs.join(near(number), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", F.col("b").alias("id"))
     probes = number.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("id", F.col("a"))
-    rows = some.union(probes).join(sets, "id").select(of, "a", "part", "id", "n", "tokens", "often")
+    rows = some.union(probes).join(large(sets), "id").select(of, "a", "part", "id", "n", "tokens", "often")
 
     def join(table: pa.Table) -> pa.Table:
         a, part, ids, n = (table.column(c).to_numpy() for c in ("a", "part", "id", "n"))
@@ -210,17 +210,17 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _units(open_keys: DataFrame) -> DataFrame:
     """(unit, lo, hi, part, id, component): each id in every unit of two parts of its cluster, or of its keys."""
     nearest = open_keys.groupBy("k").agg(F.min("id").alias("b"))
-    cluster = connected_components(open_keys.join(nearest, "k").select(F.col("id").alias("a"), "b"))
-    named = open_keys.join(cluster.select("id", F.col("component").alias("cluster")), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    cluster = connected_components(open_keys.join(large(nearest), "k").select(F.col("id").alias("a"), "b"))
+    named = open_keys.join(large(cluster.select("id", F.col("component").alias("cluster"))), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     named = stored(named.select("k", "id", "component", "cluster").distinct(), "clusters")
     parts = F.ceil(F.count("*") / UNIT)
     whole = named.select("cluster", "id").distinct().groupBy("cluster").agg(parts.alias("parts"), (F.count("*") * parts).alias("sent"))
     key = named.select("cluster", "k", "id").distinct().groupBy("cluster", "k").agg(parts.alias("parts"), (F.count("*") * parts).alias("sent"))
     by_key = key.groupBy("cluster").agg(F.sum("sent").alias("by_key"))
-    less = whole.join(by_key, "cluster").withColumn("whole", F.col("sent") <= F.col("by_key")).select("cluster", "parts", "whole")
+    less = whole.join(large(by_key), "cluster").withColumn("whole", F.col("sent") <= F.col("by_key")).select("cluster", "parts", "whole")
     rows = salted(named, stored(less, "cluster-sizes"), "cluster", "id")
     one = rows.where("whole").select(F.col("cluster").alias("unit"), F.lit(0).alias("k"), "parts", "id", "component").distinct()
-    two = rows.where("not whole").drop("parts").join(key.select("cluster", "k", "parts"), ["cluster", "k"]).select(F.col("cluster").alias("unit"), "k", "parts", "id", "component").distinct()
+    two = rows.where("not whole").drop("parts").join(large(key.select("cluster", "k", "parts")), ["cluster", "k"]).select(F.col("cluster").alias("unit"), "k", "parts", "id", "component").distinct()
     dealt = one.union(two).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     return dealt.select(F.xxhash64("unit", "k").alias("unit"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "component")
 
@@ -250,7 +250,7 @@ def _rest_links(open_keys: DataFrame, sets: DataFrame, percent: int) -> DataFram
     units = stored(_units(open_keys), "units")
     blocks = max(spark.sparkContext.defaultParallelism, units.count() // UNIT)
     of = F.pmod(F.xxhash64("unit", "lo", "hi"), F.lit(blocks)).alias("block")
-    rows = units.join(sets, "id").select(of, "unit", "lo", "hi", "part", "id", "component", "n", "tokens", "often")
+    rows = units.join(large(sets), "id").select(of, "unit", "lo", "hi", "part", "id", "component", "n", "tokens", "often")
 
     def join(table: pa.Table) -> pa.Table:
         unit, lo, hi, part, ids, component, n = (table.column(c).to_numpy() for c in ("unit", "lo", "hi", "part", "id", "component", "n"))
@@ -388,30 +388,31 @@ def classes(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ke
     groups = stored(real.groupBy("n", "s1", "s2").agg(F.min("key").alias("id")), "groups")
     # a document of several texts joins their groups
     twins = real.groupBy("key").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").select("key")
-    copies = real.join(groups, ["n", "s1", "s2"]).where("key <> id").select("key").distinct().join(small(twins), "key", "left_anti")
+    twins = small(twins)
+    copies = real.join(large(groups), ["n", "s1", "s2"]).where("key <> id").select("key").distinct().join(twins, "key", "left_anti")
     alone = docs.where("key is not null").join(small(copies), "key", "left_anti")
     totals = seen.agg(F.sum("bytes"), F.sum("n")).first()
     sets = _ordered_sets(alone, totals[0] or 0, totals[1] or 0, n, percent)
     tokens = sets.select("id", "n", "core", F.posexplode("keys").alias("at", "k"))
     shared = tokens.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
-    tokens = stored(tokens.join(shared, "k"), "shared-keys")  # only keys of two or more sets
-    weighed = tokens.join(tokens.groupBy("id").agg(F.avg("c").alias("w")), "id").withColumn("down", -F.col("id"))
+    tokens = stored(tokens.join(large(shared), "k"), "shared-keys")  # only keys of two or more sets
+    weighed = tokens.join(large(tokens.groupBy("id").agg(F.avg("c").alias("w"))), "id").withColumn("down", -F.col("id"))
     leader = weighed.groupBy("k").agg(F.max(F.struct("w", "down", "n", "core", "at")).alias("l"))
     leader = leader.select("k", (-F.col("l.down")).alias("a"), F.col("l.n").alias("an"), F.col("l.core").alias("acore"), F.col("l.at").alias("aat"))
     # two sets share no more than what follows the first shingle that they share
     fits = f"100 * least(n, an) >= {percent} * greatest(n, an) and {100 + percent} * least(core - at, acore - aat) >= {percent} * (n + an)"
-    found = _star_links(tokens.join(leader, "k").where(f"id <> a and {fits}").select("a", F.col("id").alias("b")).distinct(), sets, percent)
-    again = real.join(twins, "key", "left_semi").join(groups, ["n", "s1", "s2"]).select(F.col("key").alias("a"), F.col("id").alias("b")).where("a <> b")
+    found = _star_links(tokens.join(large(leader), "k").where(f"id <> a and {fits}").select("a", F.col("id").alias("b")).distinct(), sets, percent)
+    again = real.join(twins, "key", "left_semi").join(large(groups), ["n", "s1", "s2"]).select(F.col("key").alias("a"), F.col("id").alias("b")).where("a <> b")
     found = found.union(again)
     component = stored(connected_components(found), "components")
 
-    labelled = tokens.join(component, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
+    labelled = tokens.join(small(component), "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
-    more = _rest_links(stored(labelled.join(mixed, "k"), "open-keys"), sets, percent)
+    more = _rest_links(stored(labelled.join(large(mixed), "k"), "open-keys"), sets, percent)
     if not more.isEmpty():
         component = stored(connected_components(found.union(more)), "components")
-    whole = groups.join(component, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
-    out = seen.join(whole, ["n", "s1", "s2"], "left")
+    whole = groups.join(small(component), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
+    out = seen.join(large(whole), ["n", "s1", "s2"], "left")
     own = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 

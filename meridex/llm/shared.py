@@ -25,23 +25,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """`df`, to be joined by a shuffle whatever Spark takes its size to be.
+
+    Spark goes by the bytes of Parquet files, which hold repeated values once, and doesn't see how rows grow by `explode`
+    or how long collected arrays are: a table that it takes for 10 MB may be a gigabyte in the driver.
+    """
+    return df.hint("merge")
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """`df`, to be broadcast if it has no more than `rows` rows (and `BROADCAST_ROWS`), and else as it is."""
+    """`df`, to be broadcast if it has no more than `rows` rows (and `BROADCAST_ROWS`), and else never."""
     most = min(BROADCAST_ROWS if rows is None else rows, BROADCAST_ROWS)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else large(df)
 
 
 def salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, salts: int = 8, rows: int = 250_000) -> DataFrame:
     """`left` joined with `right` on columns of which one value may be very frequent in `left`.
 
-    `right` is broadcast if it is small, and else sent `salts` times, so a frequent value is dealt over as many tasks.
+    `right` is broadcast if it is small, and else sent `salts` times by a shuffle, so a frequent value is dealt over as
+    many tasks.
     """
     most = min(rows, BROADCAST_ROWS)
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), on)
     many = right.withColumn("salt_number", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = [on] if isinstance(on, str) else on
-    return left.withColumn("salt_number", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(many, [*on, "salt_number"]).drop("salt_number")
+    return left.withColumn("salt_number", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(large(many), [*on, "salt_number"]).drop("salt_number")
 
 
 def key_ranges(docs: DataFrame, total: int, block_bytes: int) -> np.ndarray:
@@ -85,5 +95,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         mark = now
-        near = F.broadcast if 2 * now[0] <= BROADCAST_ROWS else lambda d: d  # no more minima than ends of edges
+        near = F.broadcast if 2 * now[0] <= BROADCAST_ROWS else large  # no more minima than ends of edges
         e = stored(star(star(e, True, near), False, near).distinct(), "edges")
